@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skein.llm import mixing
+from skein.llm import html_text, mixing
 
 
 def queries() -> dict:
     return {
+        "op1_html_extract": html_text.op1_html_extract,
         "op3_mix_sources": mixing.op3_mix_sources,
     }
 
