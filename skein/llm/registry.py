@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from skein.llm import html_text, mixing
+from skein.llm import html_text, mixing, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_html_extract": html_text.op1_html_extract,
+        "op2_token_counts": token_counts.op2_token_counts,
         "op3_mix_sources": mixing.op3_mix_sources,
     }
 

@@ -28,6 +28,18 @@ PRETOKEN = re.compile(f"{pm.MARK}*[^{pm.MARK}]+|{pm.MARK}+")
 UNKNOWN_PENALTY = 10.0
 
 
+class _Counts(dict):
+    """Token counts of pre-tokens at their terminal nodes; a new one is inserted into the trie on first sight."""
+
+    def __init__(self, insert) -> None:
+        super().__init__()
+        self.insert = insert
+
+    def __missing__(self, pretoken: str) -> int:
+        found = self[pretoken] = self.insert(pretoken)
+        return found
+
+
 class ForwardTrie:
     """Best scores and token counts of prefixes."""
 
@@ -48,14 +60,11 @@ class ForwardTrie:
         self.child: dict[tuple[int, str], int] = {}
         self.best = [0.0]
         self.count = [0]
-        self.done: dict[str, int] = {}
+        self.done = _Counts(self._insert)
 
-    def tokens(self, pretoken: str) -> int:
-        """Tokens on the best path of a pre-token; its prefixes' scores are shared."""
-        found = self.done.get(pretoken)
-        if found is None:
-            found = self.done[pretoken] = self._insert(pretoken)
-        return found
+    def tokens(self, pretokens: list[str]) -> int:
+        """Tokens of some pre-tokens on their best paths; prefixes' scores are shared."""
+        return sum(map(self.done.__getitem__, pretokens))
 
     def _insert(self, word: str) -> int:
         child, best, count, scores = self.child, self.best, self.count, self.scores
@@ -118,7 +127,7 @@ def count_tokens(docs: DataFrame, model_path: str = pm.MODEL_PATH, max_nodes: in
                 for text in part.column(1).to_pylist():
                     found = PRETOKEN.findall(normalise(text, model)) if text else []
                     words.append(len(found))
-                    tokens.append(sum(map(trie.tokens, found)))
+                    tokens.append(trie.tokens(found))
                     if len(trie.best) > max_nodes:
                         trie.reset()
                 yield pa.RecordBatch.from_arrays(
