@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import html_text, mixing, token_counts
+from skein.llm import html_text, mixing, pieces, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_html_extract": html_text.op1_html_extract,
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op10_piece_encode": pieces.op10_piece_encode,
     }
 
 
