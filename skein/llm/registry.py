@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import html_text, media, mixing, pieces, token_counts
+from skein.llm import html_text, media, mixing, pieces, token_counts, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_html_extract": html_text.op1_html_extract,
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op6_warc": warc.op6_warc,
         "op9_media_webp": media.op9_media_webp,
         "op10_piece_encode": pieces.op10_piece_encode,
     }
