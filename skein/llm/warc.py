@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import read, scratch
+from skein.llm.common import read, scratch, stored
 
 #: All records carry this date: output depends on the input only.
 DATE = "2024-01-01T00:00:00Z"
@@ -32,6 +32,8 @@ ROLL_BYTES = 32 << 20
 SHARD_BYTES = 64 << 20
 #: File lists up to this length are broadcast.
 MANY_FILES = 10_000
+#: Revisits up to this number (about 100 bytes each) are broadcast.
+MANY_REVISITS = 200_000
 EOL = b"\r\n"
 
 
@@ -105,9 +107,12 @@ def mark_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame
     large = F.octet_length(F.coalesce("html", F.lit(""))) >= min_revisit
     firsts = sized.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     firsts = firsts.filter("n > 1").select("digest", "first")
-    # The heavy column stays out of the join: only ids that revisit travel.
     keys = pages.select("page_id", F.when(large, digest).alias("digest")).filter("digest is not null and page_id is not null")
     revisits = keys.join(firsts, "digest").filter("page_id <> first").select("page_id", "digest", "first").distinct()
+    # Only the short keys of revisits travel; up to a checked number they are broadcast and the html stays in place.
+    revisits = stored(revisits, "warc-revisits")
+    if revisits.limit(MANY_REVISITS + 1).count() <= MANY_REVISITS:
+        revisits = F.broadcast(revisits)
     joined = sized.join(revisits, ["page_id", "digest"], "left")
     return joined.select("page_id", "url", "html", F.col("first").alias("refers_to"))
 
