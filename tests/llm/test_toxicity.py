@@ -17,7 +17,7 @@ def test_entries_and_matcher_agree():
 def test_label_model_finds_accuracies_and_discounts_copies():
     rng = np.random.default_rng(0)
     y = (rng.random(4000) < 0.3).astype(int)
-    rates = [(0.6, 0.01), (0.5, 0.02), (0.3, 0.01), (0.2, 0.2)]
+    rates = [(0.6, 0.001), (0.5, 0.002), (0.3, 0.001), (0.2, 0.2)]
     votes = np.column_stack([rng.random(4000) < np.where(y == 1, a, b) for a, b in rates]).astype(float)
     votes = np.column_stack([votes, votes[:, 0], votes[:, 0], votes.sum(axis=1) == 0])
     noisy = np.where(rng.random(4000) < 0.05, 1 - y, y)
