@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import html_text, media, mixing, pieces, token_counts, toxicity, warc
+from skein.llm import html_text, media, mixing, near_dups, pieces, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mix_sources": mixing.op3_mix_sources,
         "op6_warc": warc.op6_warc,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_near_duplicates": near_dups.op8_near_duplicates,
         "op9_media_webp": media.op9_media_webp,
         "op10_piece_encode": pieces.op10_piece_encode,
     }
