@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import html_text, media, mixing, near_dups, pieces, pii, token_counts, toxicity, warc
+from skein.llm import html_text, media, mixing, mtree, near_dups, pieces, pii, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_pii_pseudonyms": pii.op4_pii_pseudonyms,
+        "op5_mtree_topk": mtree.op5_mtree_topk,
         "op6_warc": warc.op6_warc,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_near_duplicates": near_dups.op8_near_duplicates,
