@@ -40,15 +40,21 @@ def same_size(a: Column, b: Column) -> Column:
     return F.size(a) == F.size(b)
 
 
-@F.pandas_udf("binary")
-def pack(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _pack(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Little-endian float32 bytes."""
     for s in vectors:
         yield s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
-def unpack(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _unpack(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The vector of packed bytes; null where their number is no multiple of four."""
     for s in blobs:
         yield s.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4").tolist())
+
+
+def pack(vector: Column | str) -> Column:
+    return F.pandas_udf(_pack, "binary")(vector)
+
+
+def unpack(blob: Column | str) -> Column:
+    return F.pandas_udf(_unpack, "array<float>")(blob)

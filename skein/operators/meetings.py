@@ -171,7 +171,7 @@ def upkeep(stored: DataFrame, retired: DataFrame, added: DataFrame, keep: int =
         added.filter(text.strip(F.col("text")) != "").select(key.alias("key"), "id", "kind", "text", "updated_at", F.lit(1).alias("prio"))
     )
     merged = both.groupBy("key").agg(F.min_by(F.struct("id", "kind", "text"), F.struct("prio", "id")).alias("f"), F.max("updated_at").alias("updated_at"))
-    known = F.col("f.kind").isin("preference", "person", "project", "decision", "term", "general")
+    known = F.col("f.kind").isin("person", "project", "decision", "preference", "recurring", "general")
     facts = merged.select("f.id", F.when(known, F.col("f.kind")).otherwise(F.lit("general")).alias("kind"), "f.text", "updated_at")
     return facts.orderBy(F.desc("updated_at"), "id").limit(keep)
 

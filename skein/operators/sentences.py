@@ -7,7 +7,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose dot ends no sentence.
@@ -94,8 +94,7 @@ def as_of(offsets: list[int], values: list, at: int):
 CHUNKS = "array<struct<chunk_index:bigint,text:string,words:bigint,page_number:bigint,timestamp:double>>"
 
 
-@F.pandas_udf(CHUNKS)
-def chunk_document(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _chunk_document(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Chunks of (text, page start offsets)."""
     for texts, breaks in parts:
         out = []
@@ -109,8 +108,7 @@ def chunk_document(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.Series(out)
 
 
-@F.pandas_udf(CHUNKS)
-def chunk_segments(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _chunk_segments(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Chunks of a session's ordered (segment texts, segment starts); each has the time of its first sentence's segment."""
     for texts, starts in parts:
         out = []
@@ -127,8 +125,7 @@ def chunk_segments(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.Series(out)
 
 
-@F.pandas_udf("array<string>")
-def sentences(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _sentences(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Sentences of cumulative text, the trailing one included."""
     for s in texts:
         out = []
@@ -139,6 +136,18 @@ def sentences(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
+def chunk_document(text, page_breaks) -> Column:
+    return F.pandas_udf(_chunk_document, CHUNKS)(text, page_breaks)
+
+
+def chunk_segments(texts, starts) -> Column:
+    return F.pandas_udf(_chunk_segments, CHUNKS)(texts, starts)
+
+
+def sentences(text) -> Column:
+    return F.pandas_udf(_sentences, "array<string>")(text)
+
+
 def chunk_documents(docs: DataFrame) -> DataFrame:
     """id, chunk_index, text, words, page_number of documents (id, text, page_breaks)."""
     made = docs.select("id", F.explode(chunk_document("text", "page_breaks")).alias("c"))

@@ -38,7 +38,6 @@ def looks_scanned(pages: Column) -> Column:
     return total < F.greatest(F.lit(50), F.size(pages) * 10)
 
 
-@F.pandas_udf("string")
 def _fallback(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Windows code page 1252, else Latin-1."""
 
@@ -57,7 +56,7 @@ def _fallback(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def decode(content: Column) -> Column:
     """UTF-8 where valid, else the fallback."""
     as_text = content.cast("string")
-    return F.when(F.is_valid_utf8(as_text), as_text).otherwise(_fallback(content))
+    return F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.pandas_udf(_fallback, "string")(content))
 
 
 def import_files(spark: SparkSession, folder: str) -> DataFrame:
