@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skein.llm.common import read
+from skein.llm.common import map_batches, read
 
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -257,7 +257,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                     ["page_id", "url", "text", "n_chars"],
                 )
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_batches(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")
 
 
 def op1_html_extract(spark, sf_dir):

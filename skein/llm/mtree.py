@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import read, stored
+from skein.llm.common import map_batches, read, stored
 
 SCALE = 1024
 PAGE = 64
@@ -241,7 +241,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SH
                 columns = list(zip(*out, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "query_key", "vec_id", "score"])
 
-    found = blocks.join(packed, "shard").select("q", "pages").mapInArrow(run, schema)
+    found = map_batches(blocks.join(packed, "shard").select("q", "pages"), run, schema)
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

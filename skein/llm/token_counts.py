@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skein.llm import piece_model as pm
-from skein.llm.common import read
+from skein.llm.common import map_batches, read
 
 PRETOKEN = re.compile(f"{pm.MARK}*[^{pm.MARK}]+|{pm.MARK}+")
 #: Fixed value of the format: how far below the least score an unknown character lies.
@@ -134,7 +134,7 @@ def count_tokens(docs: DataFrame, model_path: str = pm.MODEL_PATH, max_nodes: in
                     [part.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_pretokens long, n_tokens long")
 
 
 def op2_token_counts(spark, sf_dir):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import read, stored
+from skein.llm.common import map_batches, read, stored
 
 #: A small seed lexicon.
 SEED = ("idiot", "moron", "stupid", "dumb", "loser", "trash", "scum", "worthless", "pathetic", "disgusting", "clown", "imbecile")
@@ -133,7 +133,7 @@ def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
             part = keys[lo : lo + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[k] for k in part], pa.int64())], ["entry", "n"])
 
-    return rows.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    return map_batches(rows.select("text"), run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
 def _votes(rows: DataFrame, lexicon: list[str]) -> DataFrame:
@@ -151,7 +151,7 @@ def _votes(rows: DataFrame, lexicon: list[str]) -> DataFrame:
                 names = ["label", "hits", "times", "shouting", "bangs"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return rows.select("text", "label").mapInArrow(run, "label int, hits array<int>, times array<int>, shouting int, bangs int")
+    return map_batches(rows.select("text", "label"), run, "label int, hits array<int>, times array<int>, shouting int, bangs int")
 
 
 def find_lexicon(rows: DataFrame) -> list[str]:
@@ -287,7 +287,7 @@ def score_texts(docs: DataFrame, model: Classifier) -> DataFrame:
                 n = [sum(r[0].values()) for r in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array(n, pa.int64())], ["doc_id", "score", "n_hits"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, schema)
+    scored = map_batches(docs.select("doc_id", "text"), run, schema)
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_hits"
     )
@@ -308,7 +308,7 @@ def drop_toxic(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD)
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def op7_toxicity(spark, sf_dir):

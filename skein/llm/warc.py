@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import read, scratch, stored
+from skein.llm.common import map_batches, read, scratch, stored
 
 #: All records carry this date: output depends on the input only.
 DATE = "2024-01-01T00:00:00Z"
@@ -179,7 +179,7 @@ def write_archives(marked: DataFrame, root: str, roll_bytes: int = ROLL_BYTES, s
 
     manifest = f"{root}/manifest"
     schema = "name string, bytes long, records long, sha256 string"
-    ordered.mapInArrow(write, schema).write.parquet(manifest)
+    map_batches(ordered, write, schema).write.parquet(manifest)
     files, path = _filesystem(root)
     if files.get_file_info(f"{path}/_temporary").type.name == "Directory":
         files.delete_dir(f"{path}/_temporary")
@@ -245,7 +245,7 @@ def read_archives(spark, root: str) -> DataFrame:
                     yield _rows(rows)
 
     archives = found.join(named, "name", "left_semi")
-    return archives.select("content").mapInArrow(run, RECORD_SCHEMA)
+    return map_batches(archives.select("content"), run, RECORD_SCHEMA)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
