@@ -97,7 +97,7 @@ def register(name: str, sql: str | None = None, frames: str = ""):
 
 
 def _load() -> None:
-    for module in ("scalars", "relational"):
+    for module in ("scalars", "relational", "storage", "search"):
         import_module(f"skein.plans.{module}")
 
 
