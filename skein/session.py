@@ -25,3 +25,22 @@ def build_session(app: str = "skein", cpus: int | None = None, **conf: str) -> S
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where neither PYTHONPATH nor the working folder gives it to them.
+
+    On a cluster it is usually shipped with --py-files; otherwise a zip of it goes out once a session.
+    """
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [Path.cwd().resolve()]
+    context = spark.sparkContext
+    if root in known or getattr(context, "_skein_shipped", False):
+        return
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-skein-')}/skein", "zip", root, "skein")
+    context.addPyFile(made)
+    context._skein_shipped = True
