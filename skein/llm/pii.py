@@ -25,16 +25,26 @@ DEFAULT_KEY = "skein-demonstration-key"
 #: Shapes of personal data, tried in this order at each place of a text.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 SECRET = (
-    r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}[:=][ \t]{0,3}[\"']?[A-Za-z0-9+/_-]{8,128}(?![A-Za-z0-9+/_-])"
+    r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}[:=][ \t]{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+"
     r"|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 )
-IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Lengths of IBANs by country; other countries' are found by shape alone.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL|FK", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK|MN", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|TL|OM|SO", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE",
+    31: "MT|SC", 32: "LC", 33: "RU",
+}
+IBAN = "".join(
+    rf"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r"(?![A-Za-z0-9])|" for n, c in IBAN_LENGTHS.items()
+) + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ISO_DATE = r"(?:19|20)[0-9]{2}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?![0-9])"
 DAY_DATE = r"(?:0?[1-9]|[12][0-9]|3[01])([-/.])(?:0?[1-9]|[12][0-9]|3[01])\2(?:19|20)[0-9]{2}(?![0-9])"
 SSN = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = OCTET + r"(?:\." + OCTET + r"){3}(?![0-9]|\.[0-9])"
-CARD = r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"
+#: American Express and Diners as written (4-6-5, 4-6-4), groups of four with a last one of up to seven, or 19 digits in fours.
+CARD = r"3[0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{4,5}(?![0-9])|[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}(?![0-9]|[-/.][0-9])|[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"
 PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
 KINDS = (("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("date", ISO_DATE + "|" + DAY_DATE), ("ssn", SSN), ("ip", IPV4), ("card", CARD), ("phone", PHONE))
 #: One expression for all kinds; a value never starts inside a longer word or number.
@@ -144,16 +154,27 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
-    """A number that passes the Luhn check: its digits permuted, with a right check digit. Others are no card numbers."""
+    """A number that passes the Luhn check: its digits permuted, with a right check digit. Others are no card numbers.
 
-    def fresh(d):
+    Three digits after a number of 16 may be another value: they stay where only the 16 pass.
+    """
+
+    def permuted(d):
         body = feistel_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
 
         def with_check(b):
             check = F.pmod(F.lit(10) - luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10))
             return F.concat(b, check.cast("int").cast("string"))
 
-        return F.when(luhn_sum(d) % 10 == 0, _let(body, with_check)).otherwise(d)
+        return _let(body, with_check)
+
+    def fresh(d):
+        head, grouped = F.substr(d, F.lit(1), F.lit(16)), value.rlike("^(?:[0-9]{4}[ -]){4}[0-9]{3}$")
+        return (
+            F.when(luhn_sum(d) % 10 == 0, permuted(d))
+            .when(grouped & (luhn_sum(head) % 10 == 0), F.concat(permuted(head), F.substr(d, F.lit(17), F.lit(3))))
+            .otherwise(d)
+        )
 
     return _refill(value, _let(_digits_of(value), fresh), "[0-9]")
 

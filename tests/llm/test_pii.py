@@ -89,3 +89,22 @@ def test_native_plan(spark):
     df = spark.createDataFrame([(1, "a@b.de")], "doc_id long, text string")
     plan = pii.pseudonymise(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_values_before_other_words(spark):
+    ibans = ["AT61 1904 3002 3457 3201 EUR", "BE68539007547034 BIC", "ES9121000418450200051332 OK"]
+    cards = ["3782 822463 10005", "3056 930902 5904", "4111 1111 1111 1111 123", "4111 1111 1111 1111"]
+    body = "601100099013942455"
+    long = next(body + c for c in "0123456789" if luhn(body + c))
+    cards.append(" ".join(long[k : k + 4] for k in range(0, 19, 4)))
+    secret = "token=" + "aB3" * 100
+    texts = ibans + cards + [secret]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(rows).collect()}
+    assert all(got[k] != t and len(got[k]) == len(t) for k, t in enumerate(texts))
+    for k, t in enumerate(ibans):
+        new, word = got[k].rsplit(" ", 1)
+        new = new.replace(" ", "")
+        assert t.endswith(" " + word) and int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+    assert got[5] == got[6] + " 123" and all(luhn(got[k].replace(" ", "")) for k in (3, 4, 6, 7))
+    assert got[8].startswith("token=") and got[8][6:136] != secret[6:136]
