@@ -1,13 +1,17 @@
 """Near-duplicate documents by a chosen-path set similarity join over MinHash.
 
 Documents are sets of distinct 5-word shingles of their whole texts. Equal sets are one representative. Every
-representative walks several independent trees: a node chooses, by its own hash, one or two signature positions, and
-the document goes on to the children named by its minwise tokens there, so that similar documents stay together and
-others part. Documents that share a node of at most ``LIMIT`` members are compared exhaustively. Larger nodes branch on
-for more levels, and at each stop are also dealt into blocks that all hold the node's most central members (elected in
-small heats), so that a group of any size is compared in bounded pieces and stays connected. Estimated
-similarities only collect candidates: those form loose groups, and links are confirmed on full shingle sets, for
-small groups pair by pair, for large ones block by block. Components are the connected components of confirmed links.
+representative walks several independent trees: a node chooses, by its own hash, one signature position or two (so
+that a pair at the threshold keeps one common child on average at every level), and the document goes on to the
+children named by its minwise tokens there: similar documents stay together and others part. Documents that share a
+node of at most ``LIMIT`` members are compared exhaustively; larger nodes branch on to the next stop. The estimates
+of small nodes form loose groups, and links are confirmed pair by pair on full shingle sets.
+
+Nodes still large at the last stop (families of copies, shared templates) and large loose groups are finished exactly:
+their members are first linked with a few central members of their node, on full sets; then members of different
+components that share a shingle in the prefixes of their sets (rare shingles first, as long as the threshold
+requires) are compared, so that no link between components is lost whatever a group's size. Popular prefix shingles
+are compared in cells of bounded size. Components are the connected components of all confirmed links.
 
 Null or empty texts, or texts without words, have no shingles and are linked with nothing. Equal rows share their
 component. Rows with a null doc_id join the component of equal or similar texts but never name one; alone, their
@@ -17,10 +21,11 @@ component is null and they are kept. Other columns are ignored or passed through
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm import shingles as sh
@@ -28,63 +33,63 @@ from skein.llm.common import map_batches, read, stored
 from skein.llm.components import connected_components
 
 #: Signature positions, trees, and levels at which nodes are compared.
-POSITIONS, TREES, STOPS = 128, 12, (3, 7, 15)
-#: Chance that a node of the first levels chooses a second position: 1 / 0.85 positions on average.
-SECOND, SECOND_LEVELS = 0.18, 3
+POSITIONS, TREES, STOPS = 128, 16, (3, 7)
+#: Nodes up to LIMIT are compared exhaustively; PIVOTS central members of larger ones are elected in heats of HEAT.
 LIMIT, HEAT, PIVOTS = 64, 48, 16
 #: Loose groups up to this size are confirmed pair by pair in one piece.
 SMALL = 128
-#: Estimates this far below the threshold still make candidates (about three standard errors).
-MARGIN = 0.10
+#: Estimates this far below the threshold still make candidates (about five standard errors).
+MARGIN = 0.16
+#: Members of a cell in which prefix shingles are compared.
+CELL = 256
+#: Repeated shingles whose order of frequency is known to the tasks (12 bytes each). Any order gives the same links.
+RANKED = 1 << 19
 #: Id lists up to this length (8 bytes each) are broadcast.
 MANY_IDS = 1_000_000
 
 
-def _i64(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the set's fingerprint (f1, f2), its signature (sig: 128 little-endian uint32)."""
+    """doc_id, n_shingles, the set's fingerprint (f1, f2), its signature (sig: 128 little-endian uint32) and that one's lowest bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = sh.MinHash(POSITIONS)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                n, f1, f2, sigs = [], [], [], []
+                n, f1, f2, sigs, low = [], [], [], [], []
                 for text in part.column(1):
                     s = sh.shingle_set(text.as_py())
                     a, b = sh.fingerprint(s)
                     n.append(len(s))
                     f1.append(a)
                     f2.append(b)
-                    sigs.append(minhash.signature(s).tobytes() if len(s) else None)
-                cols = [part.column(0), *(pa.array(x, pa.int64()) for x in (n, f1, f2)), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "f1", "f2", "sig"])
+                    sig = minhash.signature(s) if len(s) else None
+                    sigs.append(sig if sig is None else sig.tobytes())
+                    low.append(sig if sig is None else sig.astype(np.uint8).tobytes())
+                cols = [part.column(0), *(pa.array(x, pa.int64()) for x in (n, f1, f2)), *(pa.array(x, pa.binary()) for x in (sigs, low))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "f1", "f2", "sig", "sketch"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary, sketch binary")
 
 
-def _children(sig: np.ndarray, row: np.ndarray, node: np.ndarray, level: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and nodes after the walk from ``level`` to ``stop``."""
-    one = np.uint64(1)
-    for depth in range(level, stop):
-        h = sh.mix(node + one)
+def _children(sig: np.ndarray, row: np.ndarray, node: np.ndarray, levels: int, second: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and nodes ``levels`` further down; a node chooses another position with the chance ``second``."""
+    for _ in range(levels):
+        h = sh.mix(node + np.uint64(1))
         first = (h % np.uint64(POSITIONS)).astype(np.int64)
         draw = (sh.mix(h) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-        second = ((h >> np.uint64(32)) % np.uint64(POSITIONS)).astype(np.int64)
-        more = (draw < (SECOND if depth < SECOND_LEVELS else 0.0)) & (first != second)
+        other = (first + 1 + ((h >> np.uint64(32)) % np.uint64(POSITIONS - 1)).astype(np.int64)) % POSITIONS
+        more = draw < second
         row2 = np.concatenate([row, row[more]])
         node2 = np.concatenate([node, node[more]])
-        at = np.concatenate([first, second[more]])
+        at = np.concatenate([first, other[more]])
         token = sig[row2, at].astype(np.uint64)
         node = sh.mix(sh.mix(node2 ^ (at.astype(np.uint64) << np.uint64(40))) + token * np.uint64(0x9E3779B97F4A7C15))
         row = row2
     return row, node
 
 
-def _walk(rows: DataFrame, level: int, stop: int) -> DataFrame:
+def _walk(rows: DataFrame, level: int, stop: int, second: float) -> DataFrame:
     """(node, rep) at level ``stop``: from the roots of all trees, or from each row's ``node`` at ``level``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +104,7 @@ def _walk(rows: DataFrame, level: int, stop: int) -> DataFrame:
                 else:
                     row = np.repeat(np.arange(n), TREES)
                     node = np.tile(sh.mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)), n)
-                row, node = _children(sig, row, node, level, stop)
+                row, node = _children(sig, row, node, stop - level, second)
                 pairs = np.unique(np.stack([node.view(np.int64), reps[row]], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["node", "rep"])
 
@@ -198,26 +203,44 @@ def _elect(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _blocks(shared: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(block, rep): nodes of up to LIMIT members as they are, larger ones in blocks that share elected pivots."""
-    small = shared.filter(F.col("size") <= LIMIT).select(F.col("node").alias("block"), "rep")
-    hot = shared.filter(F.col("size") > LIMIT)
-    heats = F.ceil(F.col("size") / F.lit(HEAT)).cast("long")
-    hot = hot.withColumn("heats", heats).withColumn("heat", F.pmod(F.xxhash64("node", "rep"), F.col("heats")))
-    hot = stored(hot.withColumn("block", F.xxhash64("node", F.col("heat"), F.lit("block"))), "hot-nodes")
-    if hot.limit(1).count() == 0:
-        return small
-    from pyspark.sql import Window
-
-    ranked = by_runs(hot.join(sketches, "rep").select("block", "node", "rep", "sketch"), "block", "node long, rep long, score double", _elect)
+def _pivot_links(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) of members (node, rep) of large groups with their group's most central members."""
+    sizes = members.groupBy("node").agg(F.ceil(F.count("*") / F.lit(HEAT)).cast("long").alias("heats"))
+    heats = members.join(sizes, "node").withColumn("heat", F.pmod(F.xxhash64("node", "rep"), F.col("heats")))
+    heats = stored(heats.withColumn("block", F.xxhash64("node", "heat", F.lit("block"))), "dup-heats")
+    ranked = by_runs(heats.join(sketches, "rep").select("block", "node", "rep", "sketch"), "block", "node long, rep long, score double", _elect)
     best = Window.partitionBy("node").orderBy(F.desc("score"), "rep")
-    pivots = ranked.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PIVOTS).select("node", F.col("rep").alias("pivot"))
-    nodes = hot.select("node", "heats").distinct()
-    spread = pivots.join(nodes, "node").select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("heats") - 1)).alias("heat"), "node", F.col("pivot").alias("rep")
-    )
-    spread = spread.select(F.xxhash64("node", F.col("heat"), F.lit("block")).alias("block"), "rep")
-    return small.union(hot.select("block", "rep").union(spread).distinct())
+    pivots = ranked.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PIVOTS).select("node", "rep")
+    pivots = stored(pivots.join(sizes, "node").join(sets, "rep"), "dup-pivots")
+    spread = pivots.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("heats") - 1)).alias("heat"), "node", "rep", "set")
+    spread = spread.select(F.xxhash64("node", "heat", F.lit("block")).alias("block"), "rep", "set", F.lit(True).alias("pivot"))
+    rows = heats.select("block", "rep").join(sets, "rep").select("block", "rep", "set", F.lit(False).alias("pivot")).union(spread)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids = np.array(batch.column(1), np.int64)
+        held = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(2)]
+        pivot = np.array(batch.column(3).to_pylist(), bool)
+        centre = np.flatnonzero(pivot)
+        out = []
+        for i in np.flatnonzero(~pivot):
+            # One link with the component of the centre is enough; the next pivots stand in where the first does not link.
+            for p in centre:
+                if ids[i] != ids[p] and _linked(held[i], held[p], percent):
+                    out.append((int(ids[p]), int(ids[i])))
+                    break
+        for k, p in enumerate(centre):
+            out += [(int(ids[q]), int(ids[p])) for q in centre[:k] if ids[p] != ids[q] and _linked(held[p], held[q], percent)]
+        return _edges(out)
+
+    return by_runs(rows, "block", "a long, b long", work).distinct()
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if min(len(a), len(b)) * 100 < max(len(a), len(b)) * percent:
+        return False
+    common = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def _loose_links(block_rows: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -234,33 +257,155 @@ def _loose_links(block_rows: DataFrame, sketches: DataFrame, least: float) -> Da
     return by_runs(block_rows.join(sketches, "rep").select("block", "rep", "sketch"), "block", "a long, b long", work).distinct()
 
 
-def _confirmed(rows: DataFrame, percent: int, least: float) -> DataFrame:
-    """Confirmed links, as stars, in groups (key, rep, set): pairs are tried by estimate and decided on full sets."""
-    minhash_size = POSITIONS
+def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links, as stars, in groups (key, rep, set) of bounded size: all pairs decided on full sets."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids = np.array(batch.column(1), np.int64)
         if len(ids) < 2:
             return None
         sets = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(2)]
-        sizes = np.array([len(s) for s in sets])
         a, b = np.triu_indices(len(ids), 1)
-        near = np.minimum(sizes[a], sizes[b]) * 100 >= np.maximum(sizes[a], sizes[b]) * percent
-        a, b = a[near], b[near]
-        if len(a) > 64:
-            minhash = sh.MinHash(minhash_size)
-            est = _estimates(np.stack([minhash.signature(s).astype(np.uint8) for s in sets]))[a, b]
-            order = np.argsort(-est, kind="stable")
-            order = order[est[order] >= least]
-            a, b = a[order], b[order]
+        return _edges(_stars(ids, a, b, lambda i, j: _linked(sets[i], sets[j], percent)))
+
+    return by_runs(rows, rows.columns[0], "a long, b long", work)
 
-        def linked(i: int, j: int) -> bool:
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            return 100 * common >= percent * (sizes[i] + sizes[j] - common)
 
-        return _edges(_stars(ids, a, b, linked))
+def _repeated_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles that repeat within some piece of the sets, sorted, and their place by frequency.
 
-    return by_runs(rows, rows.columns[0], "a long, b long", work)
+    Only the order in which shingles are tried follows from it, never which links are found.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def counted():
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            again = counts > 1
+            return pa.RecordBatch.from_arrays([pa.array(tokens[again].view(np.int64)), pa.array(counts[again])], ["token", "n"])
+
+        for batch in batches:
+            for x in batch.column(0):
+                held.append(np.frombuffer(x.as_py(), "<u8"))
+                n += len(held[-1])
+                if n > 1 << 21:
+                    yield counted()
+                    n = 0
+        if held:
+            yield counted()
+
+    found = map_batches(sets.select("set"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "token").limit(RANKED).toArrow()
+    tokens = np.asarray(top.column("token"), np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], (len(tokens) - order).astype(np.int32)
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, rep, comp, at, size): the shingles of each set's prefix, rare ones first; sets are (rep, comp, set)."""
+    known, place = _repeated_shingles(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                tokens, at, size = [], [], []
+                for x in part.column(2):
+                    held = np.frombuffer(x.as_py(), "<u8")
+                    n = len(held)
+                    rank = np.zeros(n, np.int32)
+                    if len(known):
+                        spot = np.minimum(np.searchsorted(known, held), len(known) - 1)
+                        rank = np.where(known[spot] == held, place[spot], 0)
+                    first = held[np.argsort(rank, kind="stable")[: n - -(-percent * n // 100) + 1]]
+                    tokens.append(first.view(np.int64))
+                    at.append(np.arange(len(first), dtype=np.int32))
+                    size.append(n)
+                times = np.array([len(t) for t in tokens])
+                row = pa.array(np.repeat(np.arange(len(tokens)), times))
+                columns = [
+                    pa.array(np.concatenate(tokens)), part.column(0).take(row), part.column(1).take(row), pa.array(np.concatenate(at)),
+                    pa.array(np.repeat(np.array(size, np.int32), times)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "rep", "comp", "at", "size"])
+
+    return map_batches(sets.select("rep", "comp", "set"), run, "token long, rep long, comp long, at int, size int")
+
+
+def _cells(live: DataFrame) -> DataFrame:
+    """(cell, rep, comp, at, size, side): rows that share a token, in cells of bounded size.
+
+    Up to CELL rows of a token are one cell. Of a more popular token, the rows of its most frequent component are
+    apart from the rest: the rest is compared with them and with itself, chunk by chunk. Rows of one side of a cell
+    aren't compared, but those of side 2 are.
+    """
+    columns = ["rep", "comp", "at", "size"]
+    cold = live.filter(F.col("n") <= CELL).select(F.col("token").alias("cell"), *columns, F.lit(2).alias("side"))
+    hot = live.filter(F.col("n") > CELL)
+    if hot.limit(1).count() == 0:
+        return cold
+    per = hot.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    per = per.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("mass"), F.max("c").alias("most"), F.sum("c").alias("all"))
+    half = CELL // 2
+    per = per.filter("all > most").select(
+        "token", "mass", F.ceil(F.col("most") / half).alias("lots"), F.ceil((F.col("all") - F.col("most")) / half).alias("rests")
+    )
+    hot = hot.join(F.broadcast(per) if per.limit(MANY_IDS + 1).count() <= MANY_IDS else per, "token")
+    deal = F.xxhash64("rep", F.lit("cell"))
+
+    def cell(*parts):
+        return F.xxhash64("token", *parts).alias("cell")
+
+    mass = hot.filter("comp = mass").withColumn("lot", F.pmod(deal, F.col("lots"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
+    mass = mass.select(cell(F.lit("lot"), "lot", "other"), *columns, F.lit(1).alias("side"))
+    rest = hot.filter("comp <> mass").withColumn("own", F.pmod(deal, F.col("rests")))
+    against = rest.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)))
+    against = against.select(cell(F.lit("lot"), "lot", "own"), *columns, F.lit(0).alias("side"))
+    among = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
+    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
+    among = among.select(cell(F.lit("rest"), F.least("own", "other"), F.greatest("own", "other")), *columns, side.alias("side"))
+    return cold.union(mass).union(against).union(among)
+
+
+def _crossing_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components whose shared prefix shingles leave room for enough common ones."""
+    tokens = prefixes.groupBy("token").agg(
+        F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least")
+    )
+    tokens = stored(tokens.filter("lo < hi").select("token", "n", "least"), "dup-tokens")
+    few = tokens.limit(MANY_IDS + 1).count() <= MANY_IDS
+    live = prefixes.join(F.broadcast(tokens) if few else tokens, "token")
+    partner = F.greatest(F.col("least").cast("double"), F.col("size") * percent / 100.0)
+    live = live.filter((F.col("size") - F.col("at")) * (100 + percent) >= percent * (F.col("size") + partner) - 0.001)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        rep, comp, at, size = (np.array(batch.column(k), np.int64) for k in (1, 2, 3, 4))
+        side = np.array(batch.column(5))
+        a, b = np.triu_indices(len(rep), 1)
+        ok = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] == 2))
+        room = np.minimum(size[a] - at[a], size[b] - at[b])
+        ok &= room * (100 + percent) >= percent * (size[a] + size[b])
+        a, b = rep[a[ok]], rep[b[ok]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]) if len(a) else None
+
+    return by_runs(_cells(stored(live, "dup-live")), "cell", "a long, b long", work).distinct()
+
+
+def _confirmed_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("t")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [
+                _linked(np.frombuffer(s.as_py(), "<u8"), np.frombuffer(t.as_py(), "<u8"), percent)
+                for s, t in zip(batch.column(2), batch.column(3), strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return map_batches(both.select("a", "b", "s", "t"), run, "a long, b long")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -280,57 +425,50 @@ def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``; links are 100 * common >= percent * union."""
-    least = percent / 100 - MARGIN
     signed = stored(signatures(docs), "dup-signatures")
-    reps = signed.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    reps = signed.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles")
+    reps = reps.agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     reps = stored(reps.filter("rep is not null"), "dup-reps")
-    # The lowest byte of each position makes the sketch that travels with candidates.
-    sketches = reps.select("rep", _low_bytes(F.col("sig")).alias("sketch"))
-
-    parts = []
-    level = 0
-    shared = None
-    for stop in STOPS:
-        if shared is None:
-            keys = _walk(reps, 0, stop)
-        else:
-            hot = shared.filter(F.col("size") > LIMIT)
-            if hot.limit(1).count() == 0:
-                break
-            keys = _walk(hot.select("node", "rep").join(reps.select("rep", "sig"), "rep"), level, stop).distinct()
-        shared = stored(_shared(stored(keys, "dup-keys")), "dup-shared")
-        parts.append(_blocks(shared, sketches))
-        level = stop
-    blocks = parts[0]
-    for p in parts[1:]:
-        blocks = blocks.union(p)
-    blocks = stored(blocks, "dup-blocks")
-
-    loose = connected_components(_loose_links(blocks, sketches, least))
+    sketches = reps.select("rep", "sketch")
+
+    blocks, hot = [], None
+    for level, stop in zip((0, *STOPS), STOPS, strict=False):
+        rows = reps if hot is None else hot.select("node", "rep").join(reps.select("rep", "sig"), "rep")
+        keys = _walk(rows, level, stop, 100 / percent - 1)
+        shared = stored(_shared(stored(keys if hot is None else keys.distinct(), "dup-keys")), "dup-shared")
+        blocks.append(shared.filter(F.col("size") <= LIMIT).select(F.col("node").alias("block"), "rep"))
+        hot = shared.filter(F.col("size") > LIMIT)
+        if hot.limit(1).count() == 0:
+            break
+
+    loose = connected_components(_loose_links(reduce(DataFrame.union, blocks), sketches, percent / 100 - MARGIN))
     sizes = loose.groupBy("component").agg(F.count("*").alias("members"))
     loose = stored(loose.join(sizes, "component"), "dup-loose")
-    sets = stored(_full_sets(docs, loose.select(F.col("id").alias("rep"))), "dup-sets").groupBy("rep").agg(F.first("set").alias("set"))
+    # Each member of a large group belongs to one of them: the largest hot node, or else its loose group.
+    large = loose.filter(F.col("members") > SMALL).select(F.col("id").alias("rep"), F.lit(0).cast("long").alias("size"), F.col("component").alias("node"))
+    large = hot.select("rep", "size", "node").union(large).groupBy("rep").agg(F.max(F.struct("size", "node")).alias("x"))
+    large = stored(large.select(F.col("x.node").alias("node"), "rep"), "dup-large")
+    wanted = loose.select(F.col("id").alias("rep")).union(large.select("rep")).distinct()
+    sets = stored(_full_sets(docs, stored(wanted, "dup-wanted")).groupBy("rep").agg(F.first("set").alias("set")), "dup-sets")
+
     small = loose.filter(F.col("members") <= SMALL).select(F.col("component").alias("key"), F.col("id").alias("rep"))
-    links = _confirmed(small.join(sets, "rep").select("key", "rep", "set"), percent, 0.0)
-    large = loose.filter(F.col("members") > SMALL).select(F.col("id").alias("rep"))
+    links = _confirmed(small.join(sets, "rep").select("key", "rep", "set"), percent)
     if large.limit(1).count():
-        pieces = blocks.join(large, "rep", "left_semi").select(F.col("block").alias("key"), "rep")
-        links = links.union(_confirmed(pieces.join(sets, "rep").select("key", "rep", "set"), percent, least))
+        links = stored(links.union(_pivot_links(large, sketches, sets, percent)), "dup-links")
+        near = connected_components(links).select(F.col("id").alias("rep"), "component")
+        held = large.select("rep").join(near, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+        prefixes = stored(_prefixes(held.join(sets, "rep").select("rep", "comp", "set"), percent), "dup-prefixes")
+        pairs = stored(_crossing_pairs(prefixes, percent), "dup-pairs")
+        links = links.union(_confirmed_pairs(pairs, sets, percent))
     components = connected_components(stored(links, "dup-links"))
 
     named = reps.select("f1", "f2", "n_shingles", "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.drop("sig").join(named, ["f1", "f2", "n_shingles"], "left")
+    out = signed.drop("sig", "sketch").join(named, ["f1", "f2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")), F.lit(False)))
 
 
-def _low_bytes(sig):
-    """Every fourth byte of a signature."""
-    digits = F.hex(sig)
-    return F.unhex(F.regexp_replace(digits, "(..)......", "$1"))
-
-
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row of each component stays, columns unchanged: that of the smallest doc_id (of equal ids, all)."""
     gone = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()

@@ -86,3 +86,36 @@ def test_table_has_no_missed_links(spark):
     want = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     for r in nd.op8_near_duplicates(spark, sf).collect():
         assert (r.n_shingles, r.component_id) == want[r.doc_id]
+
+
+def test_template_keeps_every_link(spark):
+    """Texts that share most of a template, with planted pairs just above the threshold, in nodes that stay large."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(1500):
+        shared = 165 if k % 3 else 172
+        text = [f"t{j}" for j in range(shared)] + [f"u{rng.randrange(10**9)}" for _ in range(200 - shared)]
+        cut = rng.choice([9, 11, 13, 14, 15])
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[: 200 - cut] + [f"v{rng.randrange(10**9)}" for _ in range(cut)]))]
+    sets = {i: sh.shingle_set(t) for i, t in rows}
+    linked = {k for k in range(1500) if nd._linked(sets[2 * k], sets[2 * k + 1], 85)}
+    assert len(linked) > 1400
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert {i for i, c in got.items() if i != c} == {2 * k + 1 for k in linked}
+    assert all(got[2 * k + 1] == 2 * k for k in linked)
+
+
+def test_large_family_against_brute_force(spark):
+    """One family of copies, many of them just above or below the threshold of others."""
+    rng = random.Random(6)
+    base = [f"b{j}" for j in range(120)]
+    rows = []
+    for k in range(900):
+        text = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            text[rng.randrange(120)] = f"m{rng.randrange(40)}"
+        rows.append((k, " ".join(text)))
+    want = brute(rows)
+    assert 1 < len({c for _, c in want.values()}) < 800
+    for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect():
+        assert r.component_id == want[r.doc_id][1], r
