@@ -335,13 +335,13 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _cells(live: DataFrame) -> DataFrame:
-    """(cell, rep, comp, at, size, side): rows that share a token, in cells of bounded size.
+    """(cell, rep, comp, at, size, sketch, side): rows that share a token, in cells of bounded size.
 
     Up to CELL rows of a token are one cell. Of a more popular token, the rows of its most frequent component are
     apart from the rest: the rest is compared with them and with itself, chunk by chunk. Rows of one side of a cell
     aren't compared, but those of side 2 are.
     """
-    columns = ["rep", "comp", "at", "size"]
+    columns = ["rep", "comp", "at", "size", "sketch"]
     cold = live.filter(F.col("n") <= CELL).select(F.col("token").alias("cell"), *columns, F.lit(2).alias("side"))
     hot = live.filter(F.col("n") > CELL)
     if hot.limit(1).count() == 0:
@@ -369,43 +369,80 @@ def _cells(live: DataFrame) -> DataFrame:
     return cold.union(mass).union(against).union(among)
 
 
-def _crossing_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components whose shared prefix shingles leave room for enough common ones."""
-    tokens = prefixes.groupBy("token").agg(
-        F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least")
-    )
+def _live(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, rep, comp, at, size) whose token leaves room for a link with another component, with its rows' number n."""
+    tokens = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least"))
     tokens = stored(tokens.filter("lo < hi").select("token", "n", "least"), "dup-tokens")
     few = tokens.limit(MANY_IDS + 1).count() <= MANY_IDS
-    live = prefixes.join(F.broadcast(tokens) if few else tokens, "token")
+    live = rows.join(F.broadcast(tokens) if few else tokens, "token")
     partner = F.greatest(F.col("least").cast("double"), F.col("size") * percent / 100.0)
-    live = live.filter((F.col("size") - F.col("at")) * (100 + percent) >= percent * (F.col("size") + partner) - 0.001)
+    room = (F.col("size") - F.col("at")) * (100 + percent) >= percent * (F.col("size") + partner) - 0.001
+    return live.filter(room).drop("least")
+
+
+def _crossing_pairs(live: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b, of components ca, cb) whose shared prefix shingles leave room for enough common ones and whose
+    estimates make them candidates; with ``best`` only each row's most similar partner in a cell."""
+    least = percent / 100 - MARGIN
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rep, comp, at, size = (np.array(batch.column(k), np.int64) for k in (1, 2, 3, 4))
-        side = np.array(batch.column(5))
-        a, b = np.triu_indices(len(rep), 1)
-        ok = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] == 2))
-        room = np.minimum(size[a] - at[a], size[b] - at[b])
-        ok &= room * (100 + percent) >= percent * (size[a] + size[b])
-        a, b = rep[a[ok]], rep[b[ok]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]) if len(a) else None
+        side = np.array(batch.column(6))
+        need = percent * (size[:, None] + size[None, :])
+        ok = np.minimum.outer(size - at, size - at) * (100 + percent) >= need
+        ok &= (comp[:, None] != comp[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
+        if not ok.any():
+            return None
+        est = np.where(ok, _estimates(_sketches(batch, 5)), 0)
+        if best:
+            a, b = np.arange(len(rep)), est.argmax(axis=1)
+            keep = est[a, b] >= least
+            a, b = a[keep], b[keep]
+        else:
+            a, b = np.nonzero(np.triu(est >= least, 1))
+        swap = rep[a] > rep[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rep[a], rep[b], comp[a], comp[b])], ["a", "b", "ca", "cb"])
 
-    return by_runs(_cells(stored(live, "dup-live")), "cell", "a long, b long", work).distinct()
+    return by_runs(_cells(live), "cell", "a long, b long, ca long, cb long", work).distinct()
+
+
+def _prefix_links(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Confirmed links (a, b) that join components of ``members`` (rep, comp); the components so joined share links only once.
+
+    Two rounds try each row's best partners, which joins most components that belong together; the last tries all
+    pairs that still cross components.
+    """
+    rows = stored(_prefixes(members.join(sets, "rep").select("rep", "comp", "set"), percent), "dup-prefixes")
+    rows = stored(_live(rows, percent).drop("n").join(sketches, "rep"), "dup-live")
+    links = None
+    for best in (True, True, False):
+        live = _live(rows, percent)
+        pairs = stored(_crossing_pairs(live, percent, best), "dup-pairs")
+        found = stored(_confirmed_pairs(pairs, sets, percent), "dup-confirmed")
+        links = found if links is None else links.union(found)
+        if best:
+            merged = connected_components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            merged = merged.filter("id <> component").withColumnRenamed("id", "comp")
+            few = merged.limit(MANY_IDS + 1).count() <= MANY_IDS
+            rows = rows.join(F.broadcast(merged) if few else merged, "comp", "left")
+            rows = stored(rows.withColumn("comp", F.coalesce("component", "comp")).drop("component"), "dup-live")
+    return links.select("a", "b")
 
 
 def _confirmed_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b, ca, cb) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("t")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [
                 _linked(np.frombuffer(s.as_py(), "<u8"), np.frombuffer(t.as_py(), "<u8"), percent)
-                for s, t in zip(batch.column(2), batch.column(3), strict=True)
+                for s, t in zip(batch.column(4), batch.column(5), strict=True)
             ]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["a", "b", "ca", "cb"]).filter(pa.array(ok, pa.bool_()))
 
-    return map_batches(both.select("a", "b", "s", "t"), run, "a long, b long")
+    return map_batches(both.select("a", "b", "ca", "cb", "s", "t"), run, "a long, b long, ca long, cb long")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -457,9 +494,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         links = stored(links.union(_pivot_links(large, sketches, sets, percent)), "dup-links")
         near = connected_components(links).select(F.col("id").alias("rep"), "component")
         held = large.select("rep").join(near, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-        prefixes = stored(_prefixes(held.join(sets, "rep").select("rep", "comp", "set"), percent), "dup-prefixes")
-        pairs = stored(_crossing_pairs(prefixes, percent), "dup-pairs")
-        links = links.union(_confirmed_pairs(pairs, sets, percent))
+        links = links.union(_prefix_links(held.select("rep", "comp"), sketches, sets, percent))
     components = connected_components(stored(links, "dup-links"))
 
     named = reps.select("f1", "f2", "n_shingles", "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left")
