@@ -11,20 +11,20 @@ from skein.llm.common import stored
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``edges`` (a, b), for every id in them.
 
-    Each round takes the smallest label among neighbours (pre-aggregated before the shuffle) and then the label of the
-    label, so that paths shrink geometrically. Labels are written to the shared folder between rounds.
+    Each round takes the smallest of the labels of an id's neighbours and of its label's label (pre-aggregated before
+    the shuffle), so that paths shrink geometrically. Labels are written to the shared folder between rounds.
     """
     both = stored(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "cc-edges"
     )
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "cc-labels")
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels["id"] == near["a"]).select("id", F.least("component", "m").alias("component"), F.col("component").alias("old"))
-        step = stored(step, "cc-step")
-        up = step.select(F.col("id").alias("parent"), F.col("component").alias("top"))
-        jumped = step.join(up, step["component"] == up["parent"]).select("id", F.least("component", "top").alias("component"), "old")
-        labels = stored(jumped, "cc-labels")
-        if labels.filter("component <> old").limit(1).count() == 0:
-            return labels.select("id", "component")
-        labels = labels.select("id", "component")
+        # An id looks at its neighbours, at its label and at itself.
+        looks = both.union(labels.filter("id <> component").select("id", "component")).union(labels.select("id", "id"))
+        seen = looks.toDF("a", "b").join(labels, F.col("b") == labels["id"])
+        own = F.max(F.when(F.col("a") == F.col("b"), F.col("component")))
+        step = seen.groupBy("a").agg(F.min("component").alias("component"), own.alias("old")).withColumnRenamed("a", "id")
+        step = stored(step, "cc-labels")
+        labels = step.select("id", "component")
+        if step.filter("component <> old").limit(1).count() == 0:
+            return labels

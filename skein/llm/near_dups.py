@@ -370,7 +370,7 @@ def _cells(live: DataFrame) -> DataFrame:
 
 
 def _live(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (token, rep, comp, at, size) whose token leaves room for a link with another component, with its rows' number n."""
+    """Rows (token, rep, comp, at, size, ...) whose token leaves room for a link with another component, with its rows' number n."""
     tokens = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least"))
     tokens = stored(tokens.filter("lo < hi").select("token", "n", "least"), "dup-tokens")
     few = tokens.limit(MANY_IDS + 1).count() <= MANY_IDS
@@ -407,27 +407,22 @@ def _crossing_pairs(live: DataFrame, percent: int, best: bool) -> DataFrame:
     return by_runs(_cells(live), "cell", "a long, b long, ca long, cb long", work).distinct()
 
 
-def _prefix_links(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Confirmed links (a, b) that join components of ``members`` (rep, comp); the components so joined share links only once.
+def _prefix_links(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join components of ``members`` (rep, comp).
 
-    Two rounds try each row's best partners, which joins most components that belong together; the last tries all
-    pairs that still cross components.
+    First each row's best partners are tried, which joins most components that belong together; then all pairs that
+    still cross components.
     """
     rows = stored(_prefixes(members.join(sets, "rep").select("rep", "comp", "set"), percent), "dup-prefixes")
-    rows = stored(_live(rows, percent).drop("n").join(sketches, "rep"), "dup-live")
-    links = None
-    for best in (True, True, False):
-        live = _live(rows, percent)
-        pairs = stored(_crossing_pairs(live, percent, best), "dup-pairs")
-        found = stored(_confirmed_pairs(pairs, sets, percent), "dup-confirmed")
-        links = found if links is None else links.union(found)
-        if best:
-            merged = connected_components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            merged = merged.filter("id <> component").withColumnRenamed("id", "comp")
-            few = merged.limit(MANY_IDS + 1).count() <= MANY_IDS
-            rows = rows.join(F.broadcast(merged) if few else merged, "comp", "left")
-            rows = stored(rows.withColumn("comp", F.coalesce("component", "comp")).drop("component"), "dup-live")
-    return links.select("a", "b")
+    live = stored(_live(rows, percent).join(sketches, "rep"), "dup-live")
+    first = stored(_confirmed_pairs(_crossing_pairs(live, percent, True), sets, percent), "dup-confirmed")
+    merged = connected_components(first.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    merged = merged.filter("id <> component").withColumnRenamed("id", "comp")
+    few = merged.limit(MANY_IDS + 1).count() <= MANY_IDS
+    rows = live.drop("n").join(F.broadcast(merged) if few else merged, "comp", "left")
+    rows = rows.withColumn("comp", F.coalesce("component", "comp")).drop("component")
+    pairs = _crossing_pairs(stored(_live(rows, percent), "dup-live"), percent, False)
+    return first.union(_confirmed_pairs(pairs, sets, percent)).select("a", "b")
 
 
 def _confirmed_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
