@@ -2,9 +2,15 @@
 
 Each page becomes a sequence of text blocks, each with its root-to-leaf tag path. Text length and punctuation are
 aggregated per path, the per-block ratios are smoothed along the page, the features are fused, and paths above a
-threshold relative to the page's own spread are content. Short blocks (headings, list items, one-line paragraphs)
-under the container that holds the selected text are kept with it; elements that by their tag, role or class names
-are menus, notices, adverts, forms or comments never take part.
+threshold relative to the page's own spread are content. Their blocks are kept wherever they stand (inside the page's
+article or main element, if that holds them). Blocks of other paths are kept where they belong to content: headings,
+list items and short paragraphs beside a selected block or inside the element that holds nearly all of them; other
+elements' blocks there need a lower score.
+
+Elements that by their tag, role or hiding attributes are menus, notices, adverts, forms or comments never take part.
+Those that are so by class or id words alone (whole names, such as ``comment-list``, not ``has-sidebar``) do take part
+when they hold nearly all of the page's text. Inline elements are judged alike. Tags and attributes are read as the
+HTML standard does; nesting of any depth takes linear time.
 
 Null or empty html gives the empty text. Pages are processed one by one and whole. Repeated rows give repeated
 results; extra columns are ignored.
@@ -30,7 +36,7 @@ FORMATTING = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 NEVER = frozenset(
-    "head script style noscript template title nav aside footer form button select option textarea input iframe object embed "
+    "head script style noscript template title nav aside footer button select option textarea input iframe object embed "
     "svg canvas audio video map dialog menu datalist fieldset legend xmp noembed noframes applet".split()
 )
 CLOSES_P = frozenset(
@@ -42,75 +48,132 @@ SELF_CLOSING = {
     "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"}),
 }
 SCOPES = frozenset("table ul ol dl body html article section div td th blockquote main aside nav footer header".split())
-CONTAINERS = frozenset("article main section div td body html center".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption summary address".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Class and id words of page furniture.
+#: Names of page furniture in classes and ids, and words that such names are put together with.
 FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus "
-    "breadcrumb breadcrumbs sidebar side aside widget widgets rail footer foot header masthead topbar toolbar comment comments "
-    "disqus reply replies respond discussion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter "
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation "
+    "menu menus breadcrumb breadcrumbs sidebar aside widget widgets rail footer header masthead topbar toolbar comment comments "
+    "disqus reply replies respond cookie cookies consent gdpr notice notices notification popup modal overlay newsletter "
     "subscribe subscription signup login share sharing social related recommended recommendations popular trending pagination pager "
     "copyright legal disclaimer skip tags hidden".split()
 )
+BESIDE = frozenset(
+    "list lists box bar wrap wrapper container block area section item items link links button buttons left right top bottom inner "
+    "outer slot unit text panel form message posts post articles stories thread body title icon icons count meta holder row col "
+    "column module region zone group label".split()
+)
+STATES = frozenset("has no not with without is".split())
+#: What a header of these is, belongs to the text.
+HEADED = frozenset("page post entry article content story section title".split())
+#: Named furniture that holds this share of a page's text is none.
+MOST = 0.85
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？¿¡\"'“”‘’«»()-–—")
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/>]*+)"
+    r"((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+|=)*+)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-NAME_WORD = re.compile(r"[a-z]+")
+ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
+NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HEADING = re.compile(r"h[1-6]\Z")
+NONE, NAMED, ALWAYS = 0, 1, 2
 
 
-def _is_furniture(tag: str, attributes: str, inside_content: bool) -> bool:
-    """Whether an element's tag, role, class or id marks page furniture."""
-    if tag in NEVER or (tag == "header" and not inside_content):
-        return True
-    if not attributes or tag in ("html", "body", "main"):
+def _names_furniture(name: str) -> bool:
+    """Whether a class or id is a name of page furniture."""
+    words = [w.lower() for w in NAME_WORD.findall(name)]
+    words = [w for w in words if len(w) > 1]
+    if not words or not STATES.isdisjoint(words):
         return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and not FURNITURE.isdisjoint(NAME_WORD.findall(value)):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[str, tuple[int, ...], str, int]]:
-    """(text, ids of the enclosing elements, tag path, characters of the text inside links), furniture left out."""
-    out: list[tuple[str, tuple[int, ...], str, int]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, element number, furniture
-    parts: list[str] = []
-    links = blocked = linked = serial = content = 0
+    if words[-1] in FURNITURE:
+        return not (words[-1] == "header" and words[0] in HEADED)
+    return words[0] in FURNITURE and all(w in BESIDE or w in FURNITURE for w in words[1:])
 
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join(html_lib.unescape("".join(parts)).split())
-            if text:
-                out.append((text, tuple(x[1] for x in stack), "/".join(x[0] for x in stack), min(linked, len(text))))
-            parts.clear()
-        linked = 0
-
-    def pop() -> None:
+
+def _furniture(tag: str, attributes: str, inside_content: bool) -> int:
+    """Whether an element is page furniture: ALWAYS by tag, role or hiding, NAMED so by class or id, or NONE."""
+    if tag in NEVER or (tag == "header" and not inside_content):
+        return ALWAYS
+    if tag in ("html", "body", "main"):
+        return NONE
+    found = NAMED if tag == "form" else NONE
+    for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), "".join(values).strip()
+        if name == "hidden" or (name == "role" and value.lower() in ROLES) or (name == "aria-hidden" and value.lower() == "true"):
+            return ALWAYS
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return ALWAYS
+        if name in ("class", "id") and any(map(_names_furniture, value.split())):
+            found = NAMED
+    return found
+
+
+class Page:
+    """A page's elements (parent, tag, kind of furniture, number of the tag path; parents come first) and runs of text."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.kind, self.path = [0], [""], [NONE], [0]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.runs: list[tuple[int, int, str, bool]] = []  # block, element, text, whether in a link
+
+    def add(self, parent: int, tag: str, kind: int, inline: bool = False) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.kind.append(kind)
+        above = self.path[parent]
+        self.path.append(above if inline else self.paths.setdefault((above, tag), len(self.paths) + 1))
+        return len(self.tag) - 1
+
+
+def read_page(page: str) -> Page:
+    """Elements and runs of text; those inside furniture by tag, role or hiding are left out."""
+    out = Page()
+    stack = [0]  # open block elements
+    marks: list[int] = []  # places in the stack that end searches for open elements
+    opened: dict[str, int] = {}
+    inline_open: dict[str, int] = {}
+    inline: list[tuple[str, int, int]] = []  # inline furniture and what is open in it: tag, element, stack's height
+    block = blocked = content = 0
+    link = False
+
+    def close_inline() -> str:
+        nonlocal blocked
+        tag, e, _ = inline.pop()
+        inline_open[tag] -= 1
+        blocked -= out.kind[e] == ALWAYS
+        return tag
+
+    def push(tag: str, kind: int) -> None:
+        nonlocal blocked, content
+        if tag == "p" or tag in SELF_CLOSING or tag in SCOPES:
+            marks.append(len(stack))
+        stack.append(out.add(stack[-1], tag, kind))
+        opened[tag] = opened.get(tag, 0) + 1
+        blocked += kind == ALWAYS
+        content += tag in ("article", "main")
+
+    def pop(height: int) -> None:
         nonlocal blocked, content
-        tag, _, bad = stack.pop()
-        blocked -= bad
-        content -= tag in ("article", "main")
+        while len(stack) > height:
+            e = stack.pop()
+            tag = out.tag[e]
+            opened[tag] -= 1
+            blocked -= out.kind[e] == ALWAYS
+            content -= tag in ("article", "main")
+        while marks and marks[-1] >= height:
+            marks.pop()
+        while inline and inline[-1][2] > height:
+            close_inline()
 
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
         if text and not blocked:
-            parts.append(text)
-            if links:
-                linked += len(text)
+            out.runs.append((block, inline[-1][1] if inline else stack[-1], text, link))
         if not m:
             break
         at = m.end()
@@ -118,18 +181,23 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...], str, int]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag == "br":
+            if not blocked:
+                out.runs.append((block, inline[-1][1] if inline else stack[-1], " ", link))
+            continue
         if m[1]:
             if tag in FORMATTING:
-                links = max(0, links - (tag == "a"))
-                continue
-            if tag == "br":
-                parts.append(" ")
-                continue
-            if any(x[0] == tag for x in stack):
-                flush()
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
+                if tag == "a":
+                    link = False
+                while inline_open.get(tag) and close_inline() != tag:
+                    pass
+            elif opened.get(tag):
+                block += 1
+                link = False
+                height = len(stack) - 1
+                while out.tag[stack[height]] != tag:
+                    height -= 1
+                pop(height)
             continue
         attributes = m[3]
         if tag in RAW:
@@ -139,45 +207,71 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...], str, int]]:
                 gt = page.find(">", close.end())
                 at = gt + 1 if gt >= 0 else end
             continue
-        if tag == "br":
-            if not blocked:
-                parts.append(" ")
-            continue
         if tag in FORMATTING:
-            if tag == "a":
-                links = 1  # links don't nest
+            link = link or tag == "a"
+            kind = _furniture(tag, attributes, True) if attributes else NONE
+            if kind or inline:
+                inline_open[tag] = inline_open.get(tag, 0) + 1
+                inline.append((tag, out.add(inline[-1][1] if inline else stack[-1], tag, kind, inline=True), len(stack)))
+                blocked += kind == ALWAYS
             continue
         if tag in VOID:
-            if tag == "hr":
-                flush()
+            block += tag == "hr"
             continue
-        flush()
-        links = 0
+        block += 1
+        link = False
         if tag in CLOSES_P:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] in SCOPES), -1)
-            if depth >= 0 and stack[depth][0] == "p":
-                while len(stack) > depth:
-                    pop()
-        if tag in SELF_CLOSING:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SELF_CLOSING[tag]:
-                    while len(stack) > k:
-                        pop()
+            for k in reversed(marks):
+                if out.tag[stack[k]] == "p":
+                    pop(k)
                     break
-                if stack[k][0] in SCOPES and not (tag in ("td", "th", "tr") and stack[k][0] in ("td", "th")):
+                if out.tag[stack[k]] in SCOPES:
                     break
+        for k in reversed(marks) if tag in SELF_CLOSING else ():
+            there = out.tag[stack[k]]
+            if there in SELF_CLOSING[tag]:
+                pop(k)
+                break
+            if there in SCOPES and not (tag in ("td", "th", "tr") and there in ("td", "th")):
+                break
         if attributes.endswith("/") and tag not in ("p", "div", "li"):
             continue
-        bad = _is_furniture(tag, attributes, content > 0)
-        serial += 1
-        blocked += bad
-        content += tag in ("article", "main")
-        stack.append((tag, serial, bad))
-    if not blocked:
-        flush()
+        push(tag, _furniture(tag, attributes, content > 0))
     return out
 
 
+def blocks(page: str) -> tuple[Page, list[tuple[str, int, int]]]:
+    """The page and its blocks: text, element, characters inside links; furniture left out."""
+    out = read_page(page)
+    inside = [0] * len(out.tag)
+    for _, e, text, _ in out.runs:
+        inside[e] += len(text) if not text.isspace() else 0
+    for e in range(len(inside) - 1, 0, -1):
+        inside[out.parent[e]] += inside[e]
+    gone = [False] * len(out.tag)
+    for e in range(1, len(gone)):
+        gone[e] = gone[out.parent[e]] or out.kind[e] == ALWAYS or (out.kind[e] == NAMED and inside[e] < MOST * inside[0])
+    found: list[tuple[str, int, int]] = []
+    held: list[tuple[int, int, str, bool]] = []
+
+    def flush() -> None:
+        text = " ".join(html_lib.unescape("".join([x[2] for x in held])).split())
+        if text:
+            e = held[0][1]
+            while e and out.path[out.parent[e]] == out.path[e]:  # inline elements have their parents' paths
+                e = out.parent[e]
+            found.append((text, e, min(len(text), sum([len(x[2]) for x in held if x[3]]))))
+        held.clear()
+
+    for run in out.runs:
+        if held and held[0][0] != run[0]:
+            flush()
+        if not gone[run[1]]:
+            held.append(run)
+    flush()
+    return out, found
+
+
 def _smooth(values: list[float]) -> list[float]:
     """Gaussian smoothing over two neighbours on either side."""
     kernel = [math.exp(-(d * d) / 2.0) for d in range(3)]
@@ -194,53 +288,63 @@ def _smooth(values: list[float]) -> list[float]:
 
 def extract(page: str | None, strength: float = 0.5) -> str:
     """The main text of one page; blocks in page order, one per line."""
-    found = blocks(page) if page else []
+    tree, found = blocks(page) if page else (None, [])
     if not found:
         return ""
-    paths: dict[str, list[float]] = {}
-    for text, _, path, linked in found:
-        p = paths.setdefault(path, [0.0, 0.0, 0.0])
-        p[0] += len(text) - linked
-        p[1] += sum(map(text.count, PUNCTUATION)) if linked < len(text) else 0
-        p[2] += 1
-    length = _smooth([paths[b[2]][0] / paths[b[2]][2] for b in found])
-    marks = _smooth([paths[b[2]][1] / paths[b[2]][2] for b in found])
+    path = [tree.path[e] for _, e, _ in found]
+    ratios: dict[int, list[float]] = {}
+    for (text, _, linked), number in zip(found, path, strict=True):
+        r = ratios.setdefault(number, [0.0, 0.0, 0.0])
+        r[0] += len(text) - linked
+        r[1] += sum(map(text.count, PUNCTUATION)) if linked < len(text) else 0
+        r[2] += 1
+    length = _smooth([ratios[n][0] / ratios[n][2] for n in path])
+    marks = _smooth([ratios[n][1] / ratios[n][2] for n in path])
     fused = [a * (1.0 + b) for a, b in zip(length, marks, strict=True)]
-    per_path: dict[str, list[float]] = {}
-    for b, score in zip(found, fused, strict=True):
-        per_path.setdefault(b[2], []).append(score)
-    means = {path: sum(v) / len(v) for path, v in per_path.items()}
+    per_path: dict[int, list[float]] = {}
+    for n, score in zip(path, fused, strict=True):
+        per_path.setdefault(n, []).append(score)
+    means = {n: sum(v) / len(v) for n, v in per_path.items()}
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     bar = min(strength * spread, max(means.values()))
-    chosen = {path for path, v in means.items() if v >= bar}
-    hit = [b[2] in chosen and b[3] * 2 <= len(b[0]) for b in found]
+    plain = [linked * 2 <= len(text) for text, _, linked in found]
+    hit = [means[n] >= bar and ok for n, ok in zip(path, plain, strict=True)]
     if not any(hit):
-        hit = [b[2] in chosen for b in found]
-    # The innermost element that holds nearly all of the selected text is the article's container.
-    weight: dict[int, int] = {}
-    total = 0
-    for b, ok in zip(found, hit, strict=True):
+        hit = [means[n] >= bar for n in path]
+
+    # The innermost element that holds nearly all of the selected text, and whether it is the page's own article.
+    weight = [0] * len(tree.tag)
+    beside = set()
+    for (text, e, _), ok in zip(found, hit, strict=True):
         if ok:
-            total += len(b[0])
-            for e in b[1]:
-                weight[e] = weight.get(e, 0) + len(b[0])
-    box = max((e for e, w in weight.items() if w >= 0.8 * total), default=None)
-    container = next((b[1][: b[1].index(box) + 1] for b in found if box in b[1]), ()) if box is not None else ()
-    tags = next((b[2].split("/")[: len(container)] for b in found if container and b[1][: len(container)] == container), [])
-    article = max((k for k, tag in enumerate(tags) if tag in ("article", "main")), default=None)
-    if article is not None:
-        container = container[: article + 1]
-    else:
-        while container and tags[len(container) - 1] not in CONTAINERS:
-            container = container[:-1]
-    inner = container[-1] if container else None
+            weight[e] += len(text)
+            beside.add(tree.parent[e])
+    for e in range(len(weight) - 1, 0, -1):
+        weight[tree.parent[e]] += weight[e]
+    box = max((e for e, w in enumerate(weight) if w >= 0.8 * weight[0]), default=0)
+    while box and tree.tag[box] in TEXTUAL:
+        box = tree.parent[box]
+    above = [box]
+    while above[-1]:
+        above.append(tree.parent[above[-1]])
+    own = next((e for e in above if tree.tag[e] in ("article", "main")), 0)
+    box = own or box
+    held = [False] * len(tree.tag)
+    for e in range(len(held)):
+        held[e] = e == box or (e > 0 and held[tree.parent[e]])
+    titled = any(tree.tag[e] == "h1" and held[e] for _, e, _ in found)
     keep = []
-    for b, ok in zip(found, hit, strict=True):
-        leaf = b[2].rsplit("/", 1)[-1]
-        inside = inner is None or inner in b[1] or (leaf == "h1" and b[1][:-1] == container[: len(b[1]) - 1])
-        if inside and (ok or b[3] * 2 <= len(b[0]) or HEADING.match(leaf)):
-            keep.append(b[0])
+    for (text, e, _), ok, open_ in zip(found, hit, plain, strict=True):
+        leaf = tree.tag[e]
+        if leaf == "h1" and not titled and (tree.parent[e] in above or tree.parent[tree.parent[e]] in above):
+            keep.append(text)
+            continue
+        if own and not held[e]:
+            continue
+        near = held[e] or tree.parent[e] in beside
+        if ok or (near and leaf in TEXTUAL and (open_ or own or leaf == "p" or HEADING.match(leaf))) or (near and open_ and means[tree.path[e]] >= 0.2 * bar):
+            keep.append(text)
     return "\n".join(keep)
 
 

@@ -1,5 +1,6 @@
 import html as html_lib
 import re
+import time
 
 from skein.llm.html_text import extract, extract_pages
 
@@ -20,6 +21,49 @@ def test_layout():
     )
 
 
+TEXT = "<p>This is a long paragraph of the article, with commas, and sentences. It goes on, and on, and on.</p>"
+PLAIN = TEXT[3:-4]
+
+
+def test_names_that_only_look_like_furniture():
+    for wrapper in ('<div class="has-sidebar content">', '<section id="legal-analysis">', '<div class="sidebar-layout">', '<form id="f">', '<div class="notice">'):
+        assert extract(f"<body>{wrapper}<h2>Head</h2>{TEXT}{TEXT}</body>") == f"Head\n{PLAIN}\n{PLAIN}", wrapper
+    assert extract(f'<body><div class="page-header"><h1>Title</h1></div><div>{TEXT}{TEXT}</div></body>') == f"Title\n{PLAIN}\n{PLAIN}"
+
+
+def test_attributes_and_links():
+    assert extract(f"<body><p class=x'>Stray, but text.</p>{TEXT}</body>") == f"Stray, but text.\n{PLAIN}"
+    assert extract(f"<article>{TEXT}<p><a href=x>A paragraph, all of it a link</a></p>{TEXT}</article>") == f"{PLAIN}\nA paragraph, all of it a link\n{PLAIN}"
+    assert extract(f'<p><a title="a > b" class=\'c "d\'>link</a></p>{TEXT}') == f"link\n{PLAIN}"
+
+
+def test_inline_furniture():
+    page = f'<article>{TEXT}<p>Text <span class="advertisement">BUY <b>NOW</b></span>more <span hidden>secret</span><span class="share">Tweet <span>this</span></span>end.</p></article>'
+    assert extract(page) == f"{PLAIN}\nText more end."
+
+
+SHORT = "<p>Short.</p>"
+LAYOUTS = [
+    f'<div id="top-menu"><a href=a>A</a> <a href=b>B</a></div><div class="intro"><h2>Intro</h2>{TEXT}</div><div class="rest">{TEXT * 6}{SHORT}</div><div class="footer">Imprint, terms.</div>',
+    f'<table><tr><td class="nav"><a href=a>A</a></td><td><h2>Intro</h2>{TEXT}{TEXT * 6}{SHORT}</td></tr></table>',
+    f'<div id="wrapper"><div class="site-header">Site</div><div class="columns"><div class="side-bar widget">Popular: a, b, c, and d.</div><div class="text"><h2>Intro</h2>{TEXT}{TEXT * 6}{SHORT}</div></div></div>',
+    f'<center><h2>Intro</h2>{TEXT}<div>{TEXT * 6}</div>{SHORT}</center><div class="comment-list"><p>No, I disagree, strongly, with all of it!</p></div>',
+    f'<section><h2>Intro</h2>{TEXT}</section><section>{TEXT * 6}{SHORT}</section><div role="contentinfo">Imprint</div><div class="cookieBanner"><p>We use cookies, as you know, and so on.</p></div>',
+]
+
+
+def test_layouts_without_article():
+    for layout in LAYOUTS:
+        assert extract(f"<html><body>{layout}</body></html>") == "\n".join(["Intro", *[PLAIN] * 7, "Short."]), layout
+
+
+def test_nesting_is_linear():
+    start = time.monotonic()
+    for hostile in ("<div>", "<div></p>", "<span class=ad>", "<x><p><y>", "<li>", "<ul><li>", "<a b='", "<table><td>"):
+        assert "goes on" in extract(hostile * 100_000 + "</x>" + TEXT.replace("'", "")), hostile
+    assert time.monotonic() - start < 30
+
+
 def test_edges():
     assert extract(None) == "" and extract("") == "" and extract("<p></p>") == ""
     assert extract("just text &lt;b&gt;") == "just text <b>"
