@@ -53,6 +53,7 @@ def _release() -> None:
     import pyarrow as pa
 
     gc.collect()
+    gc.freeze()  # what is left are modules, which later collections need not look at
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -66,10 +67,19 @@ def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataF
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def bounded(batches):
+        seen = False
+
+        def watched():
+            nonlocal seen
+            for batch in batches:
+                seen = True
+                yield batch
+
         try:
-            yield from run(batches)
+            yield from run(watched())
         finally:
-            _release()
+            if seen:
+                _release()
 
     return df.mapInArrow(bounded, schema)
 
@@ -77,3 +87,11 @@ def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataF
 def word_count(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name like ``wish`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish

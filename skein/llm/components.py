@@ -14,9 +14,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest of the labels of an id's neighbours and of its label's label (pre-aggregated before
     the shuffle), so that paths shrink geometrically. Labels are written to the shared folder between rounds.
     """
-    both = stored(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "cc-edges"
-    )
+    edges = stored(edges.select("a", "b").filter("a <> b"), "cc-edges")
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "cc-labels")
     while True:
         # An id looks at its neighbours, at its label and at itself.

@@ -204,7 +204,10 @@ def _elect(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _pivot_links(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) of members (node, rep) of large groups with their group's most central members."""
+    """(a, b): members b of large groups (node, rep) that confirmed links join with a central member a of their group.
+
+    Every block of a group holds all its pivots, so that each finds the same components of pivots, and a is theirs.
+    """
     sizes = members.groupBy("node").agg(F.ceil(F.count("*") / F.lit(HEAT)).cast("long").alias("heats"))
     heats = members.join(sizes, "node").withColumn("heat", F.pmod(F.xxhash64("node", "rep"), F.col("heats")))
     heats = stored(heats.withColumn("block", F.xxhash64("node", "heat", F.lit("block"))), "dup-heats")
@@ -221,15 +224,18 @@ def _pivot_links(members: DataFrame, sketches: DataFrame, sets: DataFrame, perce
         held = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(2)]
         pivot = np.array(batch.column(3).to_pylist(), bool)
         centre = np.flatnonzero(pivot)
-        out = []
+        centre = centre[np.argsort(ids[centre])]
+        a, b = np.triu_indices(len(centre), 1)
+        root = {int(p): int(ids[p]) for p in centre}
+        near = _stars(ids[centre], a, b, lambda i, j: _linked(held[centre[i]], held[centre[j]], percent))
+        known = dict((y, x) for x, y in near)
+        root = {p: known.get(r, r) for p, r in root.items()}
+        out = list(near)
         for i in np.flatnonzero(~pivot):
-            # One link with the component of the centre is enough; the next pivots stand in where the first does not link.
-            for p in centre:
-                if ids[i] != ids[p] and _linked(held[i], held[p], percent):
-                    out.append((int(ids[p]), int(ids[i])))
-                    break
-        for k, p in enumerate(centre):
-            out += [(int(ids[q]), int(ids[p])) for q in centre[:k] if ids[p] != ids[q] and _linked(held[p], held[q], percent)]
+            # One link is enough; the next pivots stand in where the first does not link.
+            p = next((p for p in centre if _linked(held[i], held[p], percent)), None)
+            if p is not None and root[int(p)] != ids[i]:
+                out.append((root[int(p)], int(ids[i])))
         return _edges(out)
 
     return by_runs(rows, "block", "a long, b long", work).distinct()
@@ -352,7 +358,7 @@ def _cells(live: DataFrame) -> DataFrame:
     per = per.filter("all > most").select(
         "token", "mass", F.ceil(F.col("most") / half).alias("lots"), F.ceil((F.col("all") - F.col("most")) / half).alias("rests")
     )
-    hot = hot.join(F.broadcast(per) if per.limit(MANY_IDS + 1).count() <= MANY_IDS else per, "token")
+    hot = hot.join(per, "token")
     deal = F.xxhash64("rep", F.lit("cell"))
 
     def cell(*parts):
@@ -373,8 +379,7 @@ def _live(rows: DataFrame, percent: int) -> DataFrame:
     """Rows (token, rep, comp, at, size, ...) whose token leaves room for a link with another component, with its rows' number n."""
     tokens = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least"))
     tokens = stored(tokens.filter("lo < hi").select("token", "n", "least"), "dup-tokens")
-    few = tokens.limit(MANY_IDS + 1).count() <= MANY_IDS
-    live = rows.join(F.broadcast(tokens) if few else tokens, "token")
+    live = rows.join(tokens, "token")
     partner = F.greatest(F.col("least").cast("double"), F.col("size") * percent / 100.0)
     room = (F.col("size") - F.col("at")) * (100 + percent) >= percent * (F.col("size") + partner) - 0.001
     return live.filter(room).drop("least")
@@ -418,8 +423,7 @@ def _prefix_links(members: DataFrame, sketches: DataFrame, sets: DataFrame, perc
     first = stored(_confirmed_pairs(_crossing_pairs(live, percent, True), sets, percent), "dup-confirmed")
     merged = connected_components(first.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     merged = merged.filter("id <> component").withColumnRenamed("id", "comp")
-    few = merged.limit(MANY_IDS + 1).count() <= MANY_IDS
-    rows = live.drop("n").join(F.broadcast(merged) if few else merged, "comp", "left")
+    rows = live.drop("n").join(merged, "comp", "left")
     rows = rows.withColumn("comp", F.coalesce("component", "comp")).drop("component")
     pairs = _crossing_pairs(stored(_live(rows, percent), "dup-live"), percent, False)
     return first.union(_confirmed_pairs(pairs, sets, percent)).select("a", "b")
@@ -486,10 +490,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     small = loose.filter(F.col("members") <= SMALL).select(F.col("component").alias("key"), F.col("id").alias("rep"))
     links = _confirmed(small.join(sets, "rep").select("key", "rep", "set"), percent)
     if large.limit(1).count():
-        links = stored(links.union(_pivot_links(large, sketches, sets, percent)), "dup-links")
-        near = connected_components(links).select(F.col("id").alias("rep"), "component")
-        held = large.select("rep").join(near, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-        links = links.union(_prefix_links(held.select("rep", "comp"), sketches, sets, percent))
+        near = stored(_pivot_links(large, sketches, sets, percent), "dup-near")
+        own = near.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("a"))
+        held = large.select("rep").join(own, "rep", "left").select("rep", F.coalesce("a", "rep").alias("comp"))
+        links = links.union(near).union(_prefix_links(held, sketches, sets, percent))
     components = connected_components(stored(links, "dup-links"))
 
     named = reps.select("f1", "f2", "n_shingles", "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left")
