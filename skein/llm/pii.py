@@ -1,33 +1,44 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations in DataFrame expressions.
 
 Found and validated: e-mail addresses, card numbers (13 to 19 digits that pass the Luhn check, and pass it again),
-telephone numbers, IPv4 addresses (octets up to 255), IBANs (check digits kept right), US social security numbers
-(valid areas and groups), dates (ISO and day-month-year or month-day-year with one separator), and secrets that are
-assigned or well-known keys. Each value is permuted by a keyed Feistel network inside its own format: the digits of a
-number within its length, a date within the days from 1900 to 2099, an address within its octets, a name within its
-letters' and digits' places. Equal values get equal pseudonyms in all documents, different values of a format
-different ones, and the spelling (separators, case, length) stays. Everything else in a text is untouched.
+telephone numbers, IPv4 addresses (octets up to 255) and IPv6 addresses, IBANs (check digits kept right), US social
+security numbers (valid areas and groups), dates (ISO and day-month-year or month-day-year with one separator), and
+secrets that are assigned or well-known keys. Each value is permuted by a keyed Feistel network inside its own format:
+the digits of a number within its length, a date within the days from 1900 to 2099 that have its spelling, an address
+within its octets, a name within its letters' and digits' places. Equal values get equal pseudonyms in all documents
+(a telephone number however it is spaced, a date in either of the padded spellings), different values of a format
+different ones, and the spelling (separators, case, length, order of a date) stays. Everything else is untouched.
+
+The round function is HMAC-SHA-256 under the job's key: the session setting ``spark.skein.pii.key``, or else the
+environment's SKEIN_PII_KEY. Without either a published demonstration key is taken, with a warning: whoever knows the
+key can undo the pseudonyms.
 
 Null texts stay null, empty ones empty. Texts of any length are handled whole. Repeated rows give repeated results.
-Extra columns pass through.
+Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
+import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import read
+from skein.llm.common import free_name, read
 
-DEFAULT_KEY = "skein-demonstration-key"
+#: The session setting and the environment variable that hold a job's key; the key that is used without them is public.
+KEY_SETTING, KEY_VARIABLE = "spark.skein.pii.key", "SKEIN_PII_KEY"
+DEMONSTRATION_KEY = "skein-demonstration-key"
 #: Shapes of personal data, tried in this order at each place of a text.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+SECRET_VALUE = r"(?:[A-Za-z0-9+/_-]{8,}+|(?=[^\s\"'<>,;]{0,64}[0-9!@#$%^&*+/_-])[^\s\"'<>,;]{6,}+)"
 SECRET = (
-    r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}[:=][ \t]{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+"
-    r"|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-)
+    r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}[:=][ \t]{0,3}[\"']?" + SECRET_VALUE
+    + r"|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
+)
 #: Lengths of IBANs by country; other countries' are found by shape alone.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL|FK", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK|MN", 21: "CH|HR|LI|LV",
@@ -43,26 +54,38 @@ DAY_DATE = r"(?:0?[1-9]|[12][0-9]|3[01])([-/.])(?:0?[1-9]|[12][0-9]|3[01])\2(?:1
 SSN = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = OCTET + r"(?:\." + OCTET + r"){3}(?![0-9]|\.[0-9])"
+HEXTET = r"[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer around a double colon, one of them of three digits or more (``10::20`` is no address).
+IPV6 = (
+    rf"(?=[0-9A-Fa-f:]{{0,39}}[0-9A-Fa-f]{{3}})(?=[0-9A-Fa-f:]{{0,39}}[0-9])(?:(?:{HEXTET}:){{7}}{HEXTET}|(?:{HEXTET}:){{1,6}}:{HEXTET}(?::{HEXTET}){{0,5}}|(?:{HEXTET}:){{1,7}}:)"
+    r"(?![0-9A-Za-z:])"
+)
+#: Country codes of one and two digits; all others have three.
+CALLING_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: American Express and Diners as written (4-6-5, 4-6-4), groups of four with a last one of up to seven, or 19 digits in fours.
 CARD = r"3[0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{4,5}(?![0-9])|[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}(?![0-9]|[-/.][0-9])|[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"
 PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-KINDS = (("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("date", ISO_DATE + "|" + DAY_DATE), ("ssn", SSN), ("ip", IPV4), ("card", CARD), ("phone", PHONE))
+KINDS = (("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("date", ISO_DATE + "|" + DAY_DATE), ("ssn", SSN), ("ipv6", IPV6), ("ip", IPV4), ("card", CARD), ("phone", PHONE))
 #: One expression for all kinds; a value never starts inside a longer word or number.
 FOUND = (
     r"(?<![A-Za-z0-9._%+@-])(?:" + "|".join(p for _, p in KINDS) + r")|(?<![A-Za-z0-9])(?:" + SECRET + "|" + CARD
     + r")|(?<![A-Za-z0-9.])" + IPV4
 )
-#: A text without any of these holds nothing to replace.
-HINT = r"[0-9@]"
+#: A text without any of these holds nothing to replace: every pattern asks for one of them.
+HINT = r"[0-9@:=]|AKIA|ASIA"
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73049  # 1900-01-01 to 2099-12-31
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def _keyed(key: str, *parts: Column) -> Column:
-    """A keyed number below 16**13."""
-    text = F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long")
+    """A keyed number below 16**13: the head of the HMAC-SHA-256 of the joined parts."""
+    raw = key.encode()
+    raw = (raw if len(raw) <= 64 else hashlib.sha256(raw).digest()).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in raw)) for pad in (0x36, 0x5C))
+    text = F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")
+    digest = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text), 256))), 256)
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
 def _let(value: Column, body) -> Column:
@@ -107,11 +130,12 @@ def _shift_digit(digits: Column, key: str, tag: str) -> Column:
     return F.when(F.length(digits) == 0, digits).otherwise(F.pmod(digits.cast("long") + _keyed(key, F.lit(tag)), F.lit(10)).cast("string"))
 
 
-def feistel_below(value: Column, size: int, key: str, tag: str) -> Column:
-    """A keyed permutation of 0 .. size - 1: a Feistel network over side * side numbers, walked until inside.
+def feistel_below(value: Column, size: int, key: str, tag: str, inside=None, steps: int = 40) -> Column:
+    """A keyed permutation of 0 .. size - 1, or of those of them that are ``inside``: a Feistel network over side * side
+    numbers, walked until inside.
 
-    The walk has at most 40 steps; since side * side exceeds size by little, a longer one doesn't occur in practice,
-    and the value then stays as it is, which keeps the map one-to-one.
+    The first return to a set along a permutation's cycles is one-to-one. ``steps`` bounds the walk; it is chosen so
+    that a longer one has a chance below 10**-20 (a share of 0.22 of the numbers inside needs 200 steps).
     """
     side = int(size**0.5) + 1
 
@@ -129,9 +153,13 @@ def feistel_below(value: Column, size: int, key: str, tag: str) -> Column:
     start = F.struct(value.cast("long").alias("v"), F.lit(False).alias("in"))
 
     def walk(s, _):
-        return F.when(s["in"], s).otherwise(_let(network(s["v"]), lambda v: F.struct(v.alias("v"), (v < size).alias("in"))))
+        def landed(v):
+            ok = (v < size) if inside is None else (v < size) & inside(v)
+            return F.struct(v.alias("v"), ok.alias("in"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, walk, lambda s: F.when(s["in"], s["v"]).otherwise(value.cast("long")))
+        return F.when(s["in"], s).otherwise(_let(network(s["v"]), landed))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, walk, lambda s: F.when(s["in"], s["v"]).otherwise(value.cast("long")))
 
 
 def _refill(shape: Column, fresh: Column, kind: str) -> Column:
@@ -180,12 +208,20 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    """The country code stays; the other digits are permuted."""
-    head = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    """The country code stays; the other digits are permuted, however they are spaced."""
+    head = F.regexp_extract(value, CALLING_CODE, 0)
     tail = F.substr(value, F.length(head) + 1)
     return F.concat(head, _refill(tail, feistel_digits(_digits_of(tail), key, "phone"), "[0-9]"))
 
 
+def _ipv6(value: Column, key: str) -> Column:
+    """The hexadecimal digits permuted in their places; groups and case stay."""
+    lower = value.rlike("[a-f]") | ~value.rlike("[A-F]")
+    made = [_spelling(value, key, "ipv6", (alphabet,)) for alphabet in ("0123456789abcdef", "0123456789ABCDEF")]
+    mixed = value.rlike("[a-f]") & value.rlike("[A-F]")
+    return F.when(mixed, _spelling(F.lower(value), key, "ipv6", ("0123456789abcdef",))).when(lower, made[0]).otherwise(made[1])
+
+
 def _ip(value: Column, key: str) -> Column:
     """The address as a number below 2**32, permuted."""
     octets = F.transform(F.split(value, "[.]"), lambda o: o.cast("long"))
@@ -198,9 +234,10 @@ def _ip(value: Column, key: str) -> Column:
 
 
 def _date(value: Column, key: str) -> Column:
-    """The day permuted among the days of two centuries; order of parts and separator stay. Days that don't exist stay digits.
+    """The day permuted among the days of two centuries that can be spelled alike: order of parts, widths and separator stay.
 
-    Ambiguous dates are read day first; a second part over 12 makes it month first.
+    Ambiguous dates are read day first; a second part over 12 makes it month first. A part of one digit stays one, a
+    part of two digits has a leading zero where needed. Days that don't exist stay as they are.
     """
     parts = F.split(value, "[-/.]")
     sep = F.regexp_extract(value, "[-/.]", 0)
@@ -211,21 +248,26 @@ def _date(value: Column, key: str) -> Column:
     day = F.when(iso, parts[2]).when(month_first, parts[1]).otherwise(parts[0]).cast("int")
     real = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
     number = F.datediff(real, F.lit(FIRST_DAY).cast("date"))
+    # Parts of one digit hold numbers below ten; a month comes first only where the day shows it.
+    short_day = (~iso) & (~month_first) & (F.length(parts[0]) == 1)
+    short_month = (~iso) & (F.length(F.when(month_first, parts[0]).otherwise(parts[1])) == 1)
 
-    def spell(v):
-        d = F.date_add(F.lit(FIRST_DAY).cast("date"), v.cast("int"))
+    def of(v):
+        return F.date_add(F.lit(FIRST_DAY).cast("date"), v.cast("int"))
 
-        def wide(n, like):
-            return F.when(F.length(like) == 1, n.cast("string")).otherwise(F.format_string("%02d", n))
+    def alike(v):
+        return _let(of(v), lambda d: (~short_day | (F.day(d) < 10)) & (~short_month | (F.month(d) < 10)) & (~month_first | (F.day(d) > 12)))
 
-        y = F.year(d).cast("string")
-        return (
-            F.when(iso, F.concat(y, sep, F.format_string("%02d", F.month(d)), sep, F.format_string("%02d", F.day(d))))
-            .when(month_first, F.concat(F.format_string("%02d", F.month(d)), sep, F.format_string("%02d", F.day(d)), sep, y))
-            .otherwise(F.concat(wide(F.day(d), parts[0]), sep, wide(F.month(d), parts[1]), sep, y))
-        )
+    def spell(v):
+        def parts_of(d):
+            y = F.year(d).cast("string")
+            m = F.when(short_month, F.month(d).cast("string")).otherwise(F.format_string("%02d", F.month(d)))
+            t = F.when(short_day, F.day(d).cast("string")).otherwise(F.format_string("%02d", F.day(d)))
+            return F.when(iso, F.concat(y, sep, m, sep, t)).when(month_first, F.concat(m, sep, t, sep, y)).otherwise(F.concat(t, sep, m, sep, y))
 
-    return F.when(number.between(0, DAYS - 1), _let(feistel_below(number, DAYS, key, "date"), spell)).otherwise(value)
+        return _let(of(v), parts_of)
+
+    return F.when(number.between(0, DAYS - 1), _let(feistel_below(number, DAYS, key, "date", alike, 200), spell)).otherwise(value)
 
 
 def _ssn(value: Column, key: str) -> Column:
@@ -267,7 +309,7 @@ def _iban(value: Column, key: str) -> Column:
     return _let(F.replace(value, F.lit(" "), F.lit("")), fresh)
 
 
-def _spelling(value: Column, key: str, tag: str) -> Column:
+def _spelling(value: Column, key: str, tag: str, alphabets: tuple[str, ...] = ALPHABETS) -> Column:
     """Letters and digits permuted in their places: each moves in its alphabet by a keyed amount of all that precedes it
     and then of all that follows, so that the whole is one-to-one and equal values stay equal."""
 
@@ -279,7 +321,7 @@ def _spelling(value: Column, key: str, tag: str) -> Column:
 
             def moved(m):
                 out = c
-                for alphabet in ALPHABETS:
+                for alphabet in alphabets:
                     at = F.instr(F.lit(alphabet), c)
                     out = F.when(at > 0, F.substr(F.lit(alphabet), (F.pmod(at - 1 + m, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))).otherwise(out)
                 return out
@@ -313,9 +355,17 @@ def kind_of(value: Column) -> Column:
     return out
 
 
-def pseudonym(value: Column, key: str = DEFAULT_KEY) -> Column:
+def job_key(spark: SparkSession) -> str:
+    """The key of this job."""
+    found = spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE)
+    if not found:
+        warnings.warn(f"neither {KEY_SETTING} nor {KEY_VARIABLE} is set: pseudonyms are made with a public key", stacklevel=3)
+    return found or DEMONSTRATION_KEY
+
+
+def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of a found value in its own format."""
-    make = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card, "phone": _phone}
+    make = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ssn": _ssn, "ipv6": _ipv6, "ip": _ip, "card": _card, "phone": _phone}
 
     def of_kind(kind):
         return reduce(lambda out, name: F.when(kind == name, make[name](value, key)).otherwise(out), reversed([n for n, _ in KINDS]), value)
@@ -324,21 +374,26 @@ def pseudonym(value: Column, key: str = DEFAULT_KEY) -> Column:
 
 
 def found_values(text: Column) -> Column:
-    """All values in a text, in order; texts without a digit or an at sign are not searched."""
+    """All values in a text, in order; texts without any of the signs that every value has are not searched."""
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, counts: bool = False) -> DataFrame:
-    """``docs`` with the personal data in ``text`` replaced; with ``counts`` also n_found and kinds (in text order)."""
+def pseudonymise(docs: DataFrame, key: str | None = None, counts: bool = False) -> DataFrame:
+    """``docs`` with the personal data in ``text`` replaced; with ``counts`` also n_found and kinds (in text order).
+
+    Without ``key`` the job's key is taken.
+    """
+    key = key or job_key(docs.sparkSession)
+    name = free_name(docs, "found")
     # The values are found once; explode of a one-element array keeps the plan from searching again for every use.
-    found = docs.withColumn("__found", F.explode(F.array(F.coalesce(found_values(F.col("text")), F.array().cast("array<string>")))))
+    found = docs.withColumn(name, F.explode(F.array(F.coalesce(found_values(F.col("text")), F.array().cast("array<string>")))))
     between = F.split(F.col("text"), FOUND, -1)
-    made = F.transform("__found", lambda v: pseudonym(v, key))
+    made = F.transform(name, lambda v: pseudonym(v, key))
     woven = F.array_join(F.transform(F.arrays_zip(between.alias("t"), made.alias("p")), lambda x: F.concat(x["t"], F.coalesce(x["p"], F.lit("")))), "")
-    text = F.when(F.size("__found") > 0, woven).otherwise(F.col("text"))
+    text = F.when(F.size(name) > 0, woven).otherwise(F.col("text"))
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        columns += [F.size("__found").cast("long").alias("n_found"), F.transform("__found", kind_of).alias("kinds")]
+        columns += [F.size(name).cast("long").alias("n_found"), F.transform(name, kind_of).alias("kinds")]
     return found.select(*columns)
 
 
