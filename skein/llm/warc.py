@@ -1,13 +1,17 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page id and written by the tasks: each task rolls its files by compressed size, makes all
-headers and digests anew from the payload, writes under a temporary name and renames when a file is whole; a part
-manifest, renamed last, names a part's files with sizes and digests. The manifest table, committed when all tasks have
-ended, names the files of the whole run, and readers take only files named there. Names and bytes depend on the rows alone, so a task that
-is run again writes the same files over. Paths may be of any file system that pyarrow opens.
+Records are dealt by ranges of page ids into shards. The number of shards follows from the bytes alone and their
+bounds from a sample of page ids chosen by hash, so that neither depends on the cluster's settings. A task sorts its
+shards, rolls their files by compressed size, makes all headers and digests anew from the payload, writes under a
+temporary name and renames when a file is whole; a shard's manifest, renamed last, names its files with sizes and
+digests. The manifest table, committed when all tasks have ended, names the files of the whole run, and readers take
+only files named there. Names and bytes depend on the rows alone, so an attempt that finds a file already in place
+leaves it. Paths may be of any file system that pyarrow opens.
 
 Equal payloads of at least ``min_revisit`` bytes: the smallest page id has a response record, the others revisit it.
-Null html is the empty payload; rows with a null page id are responses and never referred to. Rows with equal page id and payload are responses alike. Other columns are ignored.
+Blocks are HTTP messages: a regenerated head, and in responses the payload. Null html is the empty payload; rows with
+a null page id are responses, never referred to, in shards of their own. Rows with equal page id and payload are
+responses alike. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +33,17 @@ from skein.llm.common import map_batches, read, scratch, stored
 DATE = "2024-01-01T00:00:00Z"
 MIN_REVISIT = 100
 ROLL_BYTES = 32 << 20
-SHARD_BYTES = 64 << 20
+#: Shards of SHARD_BYTES, but up to MOST_SHARDS only; beyond, of 256 MB.
+SHARD_BYTES, MOST_SHARDS, LARGE_SHARD_BYTES = 16 << 20, 2000, 256 << 20
+#: Sampled page ids for each bound between shards (8 bytes each).
+SAMPLED = 64
 #: File lists up to this length are broadcast.
 MANY_FILES = 10_000
 #: Revisits up to this number (about 100 bytes each) are broadcast.
 MANY_REVISITS = 200_000
 EOL = b"\r\n"
+#: Bytes given to the decompressor at once.
+PIECE = 1 << 14
 
 
 def _filesystem(uri: str):
@@ -47,12 +56,20 @@ def _filesystem(uri: str):
 
 
 def _commit(files, temporary: str, final: str) -> None:
-    """Rename a whole file to its name; an equal file of an earlier attempt gives way."""
-    try:
-        files.move(temporary, final)
-    except OSError:
-        files.delete_file(final)
-        files.move(temporary, final)
+    """Rename a whole file to its name, unless an earlier attempt has put the equal file there."""
+    from pyarrow import fs
+
+    size = files.get_file_info(temporary).size
+    for attempt in (0, 1):
+        there = files.get_file_info(final)
+        if there.type != fs.FileType.NotFound and there.size == size:
+            return
+        try:
+            files.move(temporary, final)
+            return
+        except OSError:  # another attempt was faster: its file is looked at once more
+            if attempt:
+                raise
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -72,11 +89,16 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def http_head(size: int) -> bytes:
+    """The regenerated head of the HTTP response that brought a payload."""
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(size).encode() + EOL + EOL
+
+
 def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """The record of a page: a response with the payload, or a revisit of the page it equals."""
     digest = hashlib.sha256(payload).hexdigest()
     revisit = refers_to is not None
-    block = b"" if revisit else payload
+    block = http_head(len(payload)) + (b"" if revisit else payload)
     headers = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", record_id(page_id, digest)),
@@ -93,7 +115,7 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
             ("WARC-Refers-To", record_id(refers_to, digest)),
             ("X-Refers-To-Page-ID", str(refers_to)),
         ]
-    headers += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(block)))]
+    headers += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return _record(headers, block)
 
 
@@ -117,44 +139,86 @@ def mark_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame
     return joined.select("page_id", "url", "html", F.col("first").alias("refers_to"))
 
 
-def write_archives(marked: DataFrame, root: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> str:
-    """Write the records below ``root``; the path of the manifest that commits them."""
-    spark = marked.sparkSession
-    total = marked.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
-    ordered = marked.repartitionByRange(shards, "page_id", "url").sortWithinPartitions("page_id", "url", "html")
+def shard_bounds(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
+    """Sorted page ids at which shards begin, by bytes, from page ids sampled by hash: about SAMPLED for each shard."""
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    total, n = pages.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("page_id")).first()
+    shards = max(1, min(-(-total // shard_bytes), max(MOST_SHARDS, -(-total // LARGE_SHARD_BYTES))))
+    if shards == 1 or n == 0:
+        return []
+    rate = max(1, n // (SAMPLED * shards))
+    picked = pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(rate)) == 0).groupBy("page_id").agg(F.sum(size).alias("bytes"))
+    sample = sorted((r.page_id, r.bytes) for r in picked.filter("page_id is not null").collect())
+    weight, bounds, at = sum(b for _, b in sample), [], 0
+    for page, size_here in sample:
+        if at * shards >= weight * (len(bounds) + 1):
+            bounds.append(page)
+        at += size_here
+    return bounds
+
+
+def _sharded(marked: DataFrame, bounds: list[int]) -> DataFrame:
+    """``marked`` with its shard: the number of bounds up to the page id; null page ids have shards after those, by hash."""
+    from pyspark.ml.feature import Bucketizer
+
+    shards = len(bounds) + 1
+    key = F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("url", "html"), F.lit(shards)) + shards)
+    splits = sorted({float(b) for b in bounds})  # doubles keep the order
+    if splits:
+        found = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="place", outputCol="bucket", handleInvalid="keep")
+        marked = found.transform(marked.withColumn("place", F.col("page_id").cast("double"))).drop("place")
+    else:
+        marked = marked.withColumn("bucket", F.lit(0.0))
+    return marked.select(F.coalesce(key, F.col("bucket").cast("long")).cast("long").alias("shard"), "page_id", "url", "html", "refers_to")
+
+
+def write_archives(marked: DataFrame, root: str, bounds: list[int], roll_bytes: int = ROLL_BYTES) -> str:
+    """Write the records below ``root``, in shards that begin at ``bounds``; the path of the manifest that commits them."""
+    tasks = 2 * (len(bounds) + 1)
+    ordered = _sharded(marked, bounds).repartition(tasks, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context = TaskContext.get()
-        part = context.partitionId()
         files, path = _filesystem(root)
-        temporary = f"{path}/_temporary/{part:06d}-{context.taskAttemptId()}"
-        listed: list[dict] = []
+        temporary = f"{path}/_temporary/{TaskContext.get().taskAttemptId()}"
+        done: list[dict] = []  # of all shards of the task
+        listed: list[dict] = []  # of the shard at hand
         buffer: list[bytes] = []
         held = records = 0
+        shard = None
 
-        def roll() -> None:
-            nonlocal held, records
-            if not buffer:
-                return
-            name = f"part-{part:06d}-{len(listed):05d}.warc.gz"
-            data = b"".join(buffer)
+        def put(name: str, data: bytes) -> None:
             files.create_dir(temporary, recursive=True)
             with files.open_output_stream(f"{temporary}/{name}", compression=None) as f:
                 f.write(data)
             _commit(files, f"{temporary}/{name}", f"{path}/{name}")
-            listed.append({"name": name, "bytes": len(data), "records": records, "sha256": hashlib.sha256(data).hexdigest()})
+
+        def roll() -> None:
+            nonlocal held, records
+            if buffer:
+                name, data = f"part-{shard:06d}-{len(listed):05d}.warc.gz", b"".join(buffer)
+                put(name, data)
+                listed.append({"name": name, "bytes": len(data), "records": records, "sha256": hashlib.sha256(data).hexdigest()})
             buffer.clear()
             held = records = 0
 
+        def finish() -> None:
+            roll()
+            if listed:
+                put(f"part-{shard:06d}.manifest.json", json.dumps({"shard": shard, "files": listed}, sort_keys=True).encode())
+            done.extend(listed)
+            listed.clear()
+
         slices = (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256))
-        for part_rows in slices:
-            for page, url, html, refers in zip(*(c.to_pylist() for c in part_rows.columns), strict=True):
+        for part in slices:
+            for own, page, url, html, refers in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if own != shard:
+                    finish()
+                    shard = own
                 if not buffer:
                     info = _record(
-                        [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(-1, f"{part}/{len(listed)}")), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", "18")],
+                        [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(-1, f"{shard}/{len(listed)}")), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", "18")],
                         b"format: WARC/1.1\r\n",
                     )
                     buffer.append(_gzip(info))
@@ -165,13 +229,8 @@ def write_archives(marked: DataFrame, root: str, roll_bytes: int = ROLL_BYTES, s
                 records += 1
                 if held >= roll_bytes:
                     roll()
-        roll()
-        if listed:
-            files.create_dir(temporary, recursive=True)
-            with files.open_output_stream(f"{temporary}/manifest.json") as f:
-                f.write(json.dumps({"part": part, "files": listed}, sort_keys=True).encode())
-            _commit(files, f"{temporary}/manifest.json", f"{path}/part-{part:06d}.manifest.json")
-        rows = [[x[k] for x in listed] for k in ("name", "bytes", "records", "sha256")]
+        finish()
+        rows = [[x[k] for x in done] for k in ("name", "bytes", "records", "sha256")]
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.string())],
             ["name", "bytes", "records", "sha256"],
@@ -190,12 +249,18 @@ RECORD_SCHEMA = "page_id long, url string, payload binary, payload_bytes long, p
 
 
 def _members(data: bytes) -> Iterator[bytes]:
-    while data:
+    """The gzip members of a file, read in pieces: what follows a member is looked at once."""
+    view, at = memoryview(data), 0
+    while at < len(view):
         z = zlib.decompressobj(31)
-        yield z.decompress(data) + z.flush()
+        out = []
+        while not z.eof and at < len(view):
+            piece = view[at : at + PIECE]
+            out.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
         if not z.eof:
             raise ValueError("an archive ends inside a record")
-        data = z.unused_data
+        yield b"".join(out)
 
 
 def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
@@ -233,10 +298,11 @@ def read_archives(spark, root: str) -> DataFrame:
                         continue
                     revisit = headers["warc-type"] == "revisit"
                     digest = headers["warc-payload-digest"].removeprefix("sha256:")
-                    if not revisit and hashlib.sha256(block).hexdigest() != digest:
+                    payload = block.partition(EOL + EOL)[2]
+                    if not revisit and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError("a record's payload digest is wrong")
                     page, refers = headers["x-page-id"], headers.get("x-refers-to-page-id")
-                    rows.append((int(page) if page else None, headers["warc-target-uri"], None if revisit else block, int(headers["x-payload-length"]), digest, headers["warc-type"], int(refers) if refers else None))
+                    rows.append((int(page) if page else None, headers["warc-target-uri"], None if revisit else payload, int(headers["x-payload-length"]), digest, headers["warc-type"], int(refers) if refers else None))
                     held += len(block)
                     if held > 4 << 20:
                         yield _rows(rows)
@@ -255,5 +321,6 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def op6_warc(spark, sf_dir):
     root = scratch(spark, "warc")
-    write_archives(mark_revisits(read(spark, sf_dir, "pages")), root)
+    pages = read(spark, sf_dir, "pages")
+    write_archives(mark_revisits(pages), root, shard_bounds(pages))
     return read_archives(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
