@@ -2,8 +2,9 @@
 
 The model protobuf is parsed and rebuilt as a tokenizers pipeline: normaliser (character map, white space rules, the
 leading mark), the metaspace marker, the scored unigram lattice or the merges that BPE scores imply, byte fallback and
-the matching decoder. Batches of distinct pre-tokens are encoded by the library's threads and ids put together per
-text; every distinct pre-token's ids are verified against the sentencepiece library (``parity``).
+the matching decoder. Batches of whole texts are encoded by the library's threads. ``parity`` compares each text's ids
+with those of the sentencepiece library under the model file as it is, so that normaliser and splitting are verified
+too; ``round_trip`` tells whether the decoded ids are the text again.
 
 Whole texts are encoded. Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated
 results; other columns are ignored.
@@ -15,7 +16,6 @@ import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
-from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 
 from skein.llm import piece_model as pm
 from skein.llm.common import map_batches, read
-from skein.llm.token_counts import PRETOKEN, normalise
 
 
 def _decoder(strip: bool):
@@ -72,100 +71,42 @@ def rebuild(model: pm.PieceModel):
 
 
 class Encoder:
-    """Encodes and decodes texts in batches; what distinct pre-tokens became is kept from batch to batch.
-
-    ``max_kept`` bounds what is kept in memory; beyond it the table is started afresh.
-    """
-
-    def __init__(self, data: bytes, parity: bool = True, max_kept: int = 350_000) -> None:
-        from tokenizers import normalizers
-
-        self.model = pm.parse(data)
-        self.made = rebuild(self.model)
-        self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
-        self.pieces_only = rebuild(self.model)
-        self.pieces_only.normalizer = normalizers.Sequence([])
-        self.pieces_only.decoder = _decoder(strip=False)
-        self.max_kept = max_kept
-        self.names = [p for p, _, _ in self.model.pieces]
+    """Encodes and decodes batches of whole texts; with ``parity`` the sentencepiece library encodes them as well."""
+
+    def __init__(self, data: bytes, parity: bool = True) -> None:
+        self.made = rebuild(pm.parse(data))
         self.other = None
         if parity:
             import sentencepiece
 
-            self.other = sentencepiece.SentencePieceProcessor()
-            plain = pm.parse(data)  # pre-tokens are normalised already
-            plain.normalizer, plain.charsmap, plain.add_dummy_prefix, plain.remove_extra_whitespaces = "identity", b"", False, False
-            self.other.LoadFromSerializedProto(pm.serialize(plain))
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids = np.empty(0, np.int32)  # of all kept pre-tokens, one after another
-        self.starts = np.zeros(1, np.int64)
-        self.differs = np.empty(0, bool)  # from sentencepiece
-        self.lossy = np.empty(0, bool)  # decoding does not give the pre-token back
-
-    def pretokens(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        return PRETOKEN.findall(normalise(self.charsmap.normalize_str(text) if self.charsmap else text, self.model))
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode pre-tokens seen for the first time, in multithreaded batches; verify parity and the way back."""
-        flat, lengths, differs, lossy = [self.ids], [], [], []
-        names = self.names
-        for lo in range(0, len(new), 8192):
-            part = new[lo : lo + 8192]
-            ids = [e.ids for e in self.pieces_only.encode_batch_fast(part, add_special_tokens=False)]
-            theirs = self.other.encode(part, num_threads=1) if self.other is not None else ids
-            # Pieces put together are the pre-token; where not (byte pieces), the decoder tells.
-            back = ["".join([names[i] for i in x]) for x in ids]
-            odd = [k for k, (a, b) in enumerate(zip(back, part, strict=True)) if a != b]
-            lost = np.zeros(len(part), bool)
-            if odd:
-                decoded = self.pieces_only.decode_batch([ids[k] for k in odd], skip_special_tokens=False)
-                lost[odd] = [a != part[k].replace(pm.MARK, " ") for a, k in zip(decoded, odd, strict=True)]
-            differs.append(np.array(list(map(ne, ids, theirs)), bool))
-            lossy.append(lost)
-            lengths.append(np.fromiter(map(len, ids), np.int64, len(part)))
-            flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(lengths[-1].sum())))
-        at = len(self.index)
-        self.index.update(zip(new, range(at, at + len(new)), strict=True))
-        self.ids = np.concatenate(flat)
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(lengths))])
-        self.differs = np.concatenate([self.differs, *differs])
-        self.lossy = np.concatenate([self.lossy, *lossy])
-
-    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All ids one after another, where each text's begin and end, and for each text: parity, exact way back."""
-        split = [self.pretokens(t) for t in texts]
-        words = list(chain.from_iterable(split))
-        if len(self.index) > self.max_kept:
-            self._reset()
-        new = list(dict.fromkeys(w for w in words if w not in self.index))
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        first = self.starts[at]
-        sizes = self.starts[at + 1] - first
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.cumsum([0, *map(len, split)])
-        bounds = np.concatenate([[0], ends])[cuts]
-        parity = np.array([not self.differs[at[a:b]].any() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], bool)
-        exact = np.array([not self.lossy[at[a:b]].any() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], bool)
-        # Pre-tokens come back as they were; what normalising itself changed does not.
-        lead = 1 if self.model.add_dummy_prefix else 0
-        same = np.array(["".join(w).replace(pm.MARK, " ")[lead:] == (t or "") for w, t in zip(split, texts, strict=True)], bool)
-        return ids, bounds, parity, exact & same
-
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool]]:
-        """Ids of each text, and whether all its pre-tokens have the ids that sentencepiece gives."""
-        ids, bounds, parity, _ = self.encode_flat(texts)
-        return [(ids[a:b], bool(ok)) for a, b, ok in zip(bounds[:-1], bounds[1:], parity, strict=True)]
-
-    def decode(self, batch: list[np.ndarray]) -> list[str]:
-        return self.made.decode_batch([x.tolist() for x in batch], skip_special_tokens=False)
+            self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
+
+    def encode(self, texts: list[str | None]) -> list[tuple[list[int], bool]]:
+        """Ids of each text, and whether sentencepiece gives the same."""
+        plain = [t or "" for t in texts]
+        ids = [e.ids for e in self.made.encode_batch_fast(plain, add_special_tokens=False)]
+        theirs = self.other.encode(plain, num_threads=1) if self.other is not None else ids
+        return [(a, a == b) for a, b in zip(ids, theirs, strict=True)]
+
+    def decode(self, batch: list[list[int]]) -> list[str]:
+        return self.made.decode_batch(batch, skip_special_tokens=False)
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.Array, list]]:
+    """The first column and the values of another in pieces of bounded text: up to 256 rows, or about 4 MB."""
+    values = batch.column(column)
+    lo = size = 0
+    for k, v in enumerate(values):
+        size += 0 if v.as_py() is None else len(v.as_py())
+        if k + 1 - lo == 256 or size > 1 << 22 or k + 1 == len(values):
+            yield batch.column(0).slice(lo, k + 1 - lo), values.slice(lo, k + 1 - lo).to_pylist()
+            lo, size = k + 1, 0
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after another, and where each list begins and ends."""
+    bounds = np.cumsum([0, *map(len, lists)])
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(bounds[-1])), bounds
 
 
 def encode_pieces(docs: DataFrame, model_path: str = pm.MODEL_PATH, parity: bool = True, threads: int = 2) -> DataFrame:
@@ -175,11 +116,11 @@ def encode_pieces(docs: DataFrame, model_path: str = pm.MODEL_PATH, parity: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(data, parity, threads)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids, bounds, parity_ok, _ = encoder.encode_flat(part.column(1).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(parity_ok)], ["doc_id", "ids", "parity"])
+            for keys, texts in _parts(batch, 1):
+                done = encoder.encode(texts)
+                ids, bounds = _flat([x for x, _ in done])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([keys, lists, pa.array([ok for _, ok in done], pa.bool_())], ["doc_id", "ids", "parity"])
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, parity boolean")
 
@@ -199,25 +140,27 @@ def decode_pieces(encoded: DataFrame, model_path: str = pm.MODEL_PATH, threads:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = [np.array(x or [], np.int32) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder.decode(ids), pa.string())], ["doc_id", "text"])
+                texts = encoder.decode([x or [] for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def encode_summary(docs: DataFrame, model_path: str = pm.MODEL_PATH, threads: int = 2) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian int32), parity, round_trip (decoded text equals the text)."""
+    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian int32), parity, round_trip (the decoded ids are the text)."""
     data, _ = pm.load(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(data, True, threads)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids, bounds, parity, exact = encoder.encode_flat(part.column(1).to_pylist())
+            for keys, texts in _parts(batch, 1):
+                done = encoder.encode(texts)
+                lists = [x for x, _ in done]
+                back = [a == (b or "") for a, b in zip(encoder.decode(lists), texts, strict=True)]
+                ids, bounds = _flat(lists)
                 raw = memoryview(ids.astype("<i4").tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                columns = [part.column(0), pa.array(np.diff(bounds)), pa.array(crc, pa.int64()), pa.array(parity), pa.array(exact)]
+                columns = [keys, pa.array(np.diff(bounds)), pa.array(crc, pa.int64()), pa.array([ok for _, ok in done], pa.bool_()), pa.array(back, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"])
 
     schema = "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean"
