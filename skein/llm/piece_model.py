@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import struct
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 #: Default place of the public BPE model with byte fallback; a parameter everywhere.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Model kinds and piece kinds of the format.
 UNIGRAM, BPE = 1, 2
+#: Shift of ranks in Zipf's law (Mandelbrot's form).
+ZIPF_SHIFT = 2.7
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -120,6 +123,22 @@ def serialize(model: PieceModel) -> bytes:
     return out + _put(3, 2, norm)
 
 
+def as_unigram(model: PieceModel) -> PieceModel:
+    """A unigram model of the same pieces: log-probabilities by Zipf's law of the pieces' ranks, in sixteenths.
+
+    A BPE model states no probabilities, only the order of its merges, which is nearly that of frequency. Sixteenths
+    make sums of scores exact in floats, so that other implementations find the same best paths. Unigram models stay
+    as they are.
+    """
+    if model.kind == UNIGRAM:
+        return model
+    ranked = sorted((-score, k) for k, (_, score, kind) in enumerate(model.pieces) if kind == NORMAL)
+    total = sum(1 / (r + ZIPF_SHIFT) for r in range(len(ranked)))
+    scores = {k: -round(16 * math.log((r + ZIPF_SHIFT) * total)) / 16 for r, (_, k) in enumerate(ranked)}
+    pieces = [(piece, scores.get(k, score), kind) for k, (piece, score, kind) in enumerate(model.pieces)]
+    return replace(model, pieces=pieces, kind=UNIGRAM)
+
+
 def load(path: str = MODEL_PATH) -> tuple[bytes, PieceModel]:
     with open(path, "rb") as f:
         data = f.read()

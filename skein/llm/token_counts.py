@@ -4,7 +4,8 @@ A text becomes pre-tokens: white-space marked words, each with the marks before
 trie; every trie node keeps the best unigram score of its prefix and the number of tokens on that best path, so the
 forward step is made once per shared prefix and a pre-token's count is read at its terminal node. Characters outside
 the vocabulary count as their UTF-8 bytes where the model has byte pieces, else as one unknown token, at a score ten
-below the least. Scores are those stored in the model file.
+below the least. Scores are those stored in a unigram model file; for a BPE file a unigram model is derived from its
+pieces' ranks (``piece_model.as_unigram``), no tokenizer being trained here. Equal scores go to the longer last piece.
 
 A task's trie is kept from batch to batch and started afresh beyond ``max_nodes`` nodes: a bound on memory, not on
 results. Counts sum whole texts. Null and empty texts have 0 tokens. Repeated rows count each; other columns are
@@ -113,12 +114,11 @@ def normalise(text: str, model: pm.PieceModel) -> str:
 
 def count_tokens(docs: DataFrame, model_path: str = pm.MODEL_PATH, max_nodes: int = 2_000_000) -> DataFrame:
     """doc_id, n_pretokens, n_tokens. The model is read once on the driver (its size is fixed)."""
-    data, parsed = pm.load(model_path)
-    if parsed.charsmap:
+    model = pm.as_unigram(pm.load(model_path)[1])
+    if model.charsmap:
         raise ValueError("models with a character map need the encoder, not the counter")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pm.parse(data)
         trie = ForwardTrie(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):

@@ -5,6 +5,7 @@ import sentencepiece as sp
 
 from skein.llm import piece_model as pm
 from skein.llm import token_counts as tc
+from skein.llm.common import read
 
 
 def brute(word: str, model: pm.PieceModel) -> int:
@@ -54,3 +55,22 @@ def test_frame(spark):
     assert out[2].n_tokens == out[3].n_tokens == 0 and out[1].n_pretokens == 3
     assert out[5].n_pretokens == 50001 and out[5].n_tokens >= 50000
     assert tc.count_tokens(df).count() == 6 and tc.count_tokens(df.limit(0)).count() == 0
+
+
+def test_query_against_sentencepiece(spark):
+    """The registered query's rows: the library counts whole texts under the same derived unigram model."""
+    sf = "/root/testdata/sf0.001"
+    derived = pm.as_unigram(pm.load()[1])
+    assert derived.kind == pm.UNIGRAM and abs(sum(2.718281828459045**s for _, s, k in derived.pieces if k == pm.NORMAL) - 1) < 0.05
+    proc = sp.SentencePieceProcessor(model_proto=pm.serialize(derived))
+    texts = {r.doc_id: r.text for r in read(spark, sf, "documents").collect()}
+    got = tc.op2_token_counts(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.n_tokens == len(proc.encode(texts[r.doc_id] or "")), r.doc_id
+
+
+def test_restarts_give_the_same_counts(spark):
+    rows = [(k, " ".join(f"w{k}x{j} straße" for j in range(300))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(tc.count_tokens(df, max_nodes=500).collect()) == sorted(tc.count_tokens(df).collect())
