@@ -3,7 +3,8 @@
 Voters are lexicon entries (whole words, word beginnings, and either of them only where it comes up densely) and
 surface patterns. Lexicon entries come from a short
 seed list and from training rows, where entries that nearly only toxic rows hold are found and chosen greedily to
-cover the toxic rows several times. A generative label model estimates each voter's accuracy by expectation
+cover the toxic rows several times; choosing ends when no entry covers ``support`` more rows, so that their number
+follows from coverage (at most COVERS * toxic rows / support, which is 1,200). A generative label model estimates each voter's accuracy by expectation
 maximisation and the voters' conditional correlations, which discount voters that repeat each other. Its posterior
 labels train a regularised linear classifier, and the classifier scores every whole text.
 
@@ -16,7 +17,9 @@ usable label the seed list alone decides.
 
 from __future__ import annotations
 
+import heapq
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,8 +43,9 @@ DENSE_TIMES, DENSE_RATE = 2, 1.0
 #: Log odds that a training row's own label adds to its votes.
 LABEL_SAY = 2.0
 COVERS = 3
-MAX_VOTERS = 256
 LETTERS = re.compile(r"[^\W\d_]+")
+MASKED = re.compile(r"[A-Za-z]{1,12}[*#@$%]{2,}[A-Za-z]")
+DRAWN_OUT = re.compile(r"([a-z])\1{3}")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -102,10 +106,14 @@ class Matcher:
         return {k: times for k, times in found.items() if not self.dense[k] or is_dense(times, len(text))}
 
 
-def patterns(text: str) -> tuple[int, int]:
-    """Surface patterns: shouting, and repeated exclamation marks."""
+def patterns(text: str) -> tuple[int, ...]:
+    """Surface patterns: shouting, repeated exclamation marks, words with masked letters, drawn-out letters."""
     shouting = len(text) > 20 and text.upper() == text and text.lower() != text
-    return int(shouting), int("!!" in text)
+    return int(shouting), int("!!" in text), int(bool(MASKED.search(text))), int(bool(DRAWN_OUT.search(text.lower())))
+
+
+NO_MARKS = patterns("")
+PATTERNS = len(NO_MARKS)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -137,7 +145,7 @@ def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
 
 
 def _votes(rows: DataFrame, lexicon: list[str]) -> DataFrame:
-    """label, hits (entry numbers), times, shouting, bangs of each training row."""
+    """label, hits (entry numbers), times, marks (patterns) of each training row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
@@ -145,13 +153,12 @@ def _votes(rows: DataFrame, lexicon: list[str]) -> DataFrame:
             out = []
             for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hits = matcher.hits(text)
-                out.append((label, list(hits), list(hits.values()), *patterns(text)))
+                out.append((label, list(hits), list(hits.values()), list(patterns(text))))
             if out:
-                kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32()]
-                names = ["label", "hits", "times", "shouting", "bangs"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                kinds = [pa.int32(), *[pa.list_(pa.int32())] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["label", "hits", "times", "marks"])
 
-    return map_batches(rows.select("text", "label"), run, "label int, hits array<int>, times array<int>, shouting int, bangs int")
+    return map_batches(rows.select("text", "label"), run, "label int, hits array<int>, times array<int>, marks array<int>")
 
 
 def find_lexicon(rows: DataFrame) -> list[str]:
@@ -166,23 +173,26 @@ def find_lexicon(rows: DataFrame) -> list[str]:
     good = [e for e, n in common.items() if n >= MIN_PRECISION * (n + clean.get(e, 0))]
     # Ties in coverage: whole words before beginnings, longer beginnings before shorter.
     good.sort(key=lambda e: (-common[e], "@" in e, "*" in e, -len(e), e))
-    good = good[:4000]
-    holders: list[set[int]] = [set() for _ in good]
+    holders = [array("i") for _ in good]
     for k, r in enumerate(_votes(toxic, good).select("hits").toLocalIterator()):
         for e in r.hits:
-            holders[e].add(k)
-    covered: Counter = Counter()
+            holders[e].append(k)
+    held = [np.frombuffer(h, np.int32) if len(h) else np.empty(0, np.int32) for h in holders]
+    covered = np.zeros(n_toxic, np.int32)
     chosen: list[str] = []
-    left = list(range(len(good)))
-    while left and len(chosen) < MAX_VOTERS - len(SEED):
-        gains = [sum(1 for d in holders[e] if covered[d] < COVERS) for e in left]
-        best = max(range(len(left)), key=gains.__getitem__)
-        if gains[best] < support:
-            break
-        e = left.pop(best)
+    # Gains only fall while rows get covered, so an entry whose gain is still the largest when looked at again is best.
+    queue = [(-len(h), e) for e, h in enumerate(held)]
+    heapq.heapify(queue)
+    while queue:
+        old, e = heapq.heappop(queue)
+        gain = int((covered[held[e]] < COVERS).sum())
+        if gain < support:
+            continue
+        if gain < -old:
+            heapq.heappush(queue, (-gain, e))
+            continue
         chosen.append(good[e])
-        covered.update(holders[e])
-        left = [x for x, g in zip(left, gains[:best] + gains[best + 1 :], strict=True) if g >= support]
+        covered[held[e]] += 1
     return list(dict.fromkeys([*chosen, *SEED]))
 
 
@@ -198,17 +208,17 @@ class Classifier:
         return 1.0 / (1.0 + np.exp(-np.clip(features @ self.weights + self.bias, -30, 30)))
 
 
-def features(rows: list[tuple[dict[int, int], int, int]], size: int) -> np.ndarray:
+def features(rows: list[tuple[dict[int, int], list[int]]], size: int) -> np.ndarray:
     """Votes as numbers: each entry, any entry, how many entries, how often in all, and the patterns."""
-    x = np.zeros((len(rows), size + 5))
-    for i, (hits, shouting, bangs) in enumerate(rows):
+    x = np.zeros((len(rows), size + 3 + PATTERNS))
+    for i, (hits, marks) in enumerate(rows):
         for k in hits:
             x[i, k] = 1.0
         if hits:
             x[i, size] = 1.0
             x[i, size + 1] = min(len(hits), 4) / 4
             x[i, size + 2] = np.log1p(min(sum(hits.values()), 50))
-        x[i, size + 3], x[i, size + 4] = shouting, bangs
+        x[i, size + 3 :] = marks
     return x
 
 
@@ -257,13 +267,13 @@ def _fit_linear(x: np.ndarray, q: np.ndarray, ridge: float = 0.05, steps: int =
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Classifier:
     rows = training_rows(docs, labels, max_train)
     lexicon = find_lexicon(rows)
-    found = [(r.label, dict(zip(r.hits, r.times, strict=True)), r.shouting, r.bangs) for r in _votes(rows, lexicon).toLocalIterator()]
+    found = [(r.label, dict(zip(r.hits, r.times, strict=True)), r.marks) for r in _votes(rows, lexicon).toLocalIterator()]
     # The order in which rows arrive must not matter.
-    found.sort(key=lambda r: (r[0], sorted(r[1].items()), r[2], r[3]))
+    found.sort(key=lambda r: (r[0], sorted(r[1].items()), r[2]))
     y = np.array([r[0] for r in found], int)
     size = len(lexicon)
     if len(found) == 0 or y.sum() == 0:
-        weights = np.zeros(size + 5)
+        weights = np.zeros(size + 3 + PATTERNS)
         weights[size] = 5.0
         return Classifier(lexicon, weights, -3.0)
     x = features([r[1:] for r in found], size)
@@ -282,7 +292,7 @@ def score_texts(docs: DataFrame, model: Classifier) -> DataFrame:
                 part = batch.slice(lo, 256)
                 rows = []
                 for text in part.column(1).to_pylist():
-                    rows.append((matcher.hits(text), *patterns(text)) if text else ({}, 0, 0))
+                    rows.append((matcher.hits(text), patterns(text)) if text else ({}, NO_MARKS))
                 scores = model.score(features(rows, len(model.lexicon)))
                 n = [sum(r[0].values()) for r in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array(n, pa.int64())], ["doc_id", "score", "n_hits"])
@@ -303,7 +313,7 @@ def drop_toxic(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD)
             at = batch.schema.get_field_index("text")
             for lo in range(0, batch.num_rows, 256):
                 texts = batch.column(at).slice(lo, 256).to_pylist()
-                rows = [(matcher.hits(t), *patterns(t)) if t else ({}, 0, 0) for t in texts]
+                rows = [(matcher.hits(t), patterns(t)) if t else ({}, NO_MARKS) for t in texts]
                 keep.append(model.score(features(rows, len(model.lexicon))) < threshold)
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))

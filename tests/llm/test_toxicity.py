@@ -52,3 +52,32 @@ def test_edges(spark):
     assert tx.score_texts(docs.limit(0), model).count() == 0
     long = spark.createDataFrame([(1, "word " * 200000 + "idiot")], "doc_id long, text string")
     assert tx.score_texts(long, model).first().n_hits == 1
+
+
+def plain_hits(text, lexicon):
+    """Entries found by taking the text's words one by one."""
+    words = tx.LETTERS.findall(text.lower())
+    found = {}
+    for k, entry in enumerate(lexicon):
+        stem = entry.rstrip("*@")
+        times = sum(w.startswith(stem) if "*" in entry else w == stem for w in words)
+        if times and ("@" not in entry or (times >= 2 and 1000 * times >= len(text))):
+            found[k] = times
+    return found
+
+
+def test_query_against_plain_scores(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = read(spark, sf, "documents")
+    model = tx.train(docs, read(spark, sf, "labels"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in tx.op7_toxicity(spark, sf).collect():
+        hits, text = plain_hits(texts[r.doc_id], model.lexicon), texts[r.doc_id]
+        n = len(model.lexicon)
+        x = [0.0] * (n + 3) + list(map(float, tx.patterns(text)))
+        for k in hits:
+            x[k] = 1.0
+        if hits:
+            x[n : n + 3] = [1.0, min(len(hits), 4) / 4, np.log1p(min(sum(hits.values()), 50))]
+        score = 1 / (1 + np.exp(-(np.dot(x, model.weights) + model.bias)))
+        assert abs(score - r.score) < 1e-9 and r.n_hits == sum(hits.values()), r.doc_id
