@@ -1,14 +1,18 @@
 """Exact top-k inner-product search with paged M-trees, best first.
 
 Vectors become integer vectors, floor(1024 x). One more coordinate, the root of (largest squared norm - own squared
-norm), makes the largest inner product the smallest Euclidean distance, so that a metric tree applies. Rows are dealt by
-hash into shards of about ``shard_rows``; each shard is an M-tree in pages of at most ``PAGE`` entries, stored as a
-table: routing entries hold an object, its covering radius, its distance to the parent's object and a child page,
-leaf entries an object, its distance to the parent's object and its id. A query visits pages by their least possible
-distance; the triangle inequality over stored parent distances and radii discards entries before their distances are
-computed. A bound from ``seed_rows`` sampled candidates (a documented bound; they are real candidates, so the bound is
-safe) starts every search. Queries are dealt in blocks over the shards and partial results merged by rank: results are
-exact, equal scores go to smaller ids, and no candidate is skipped unless a bound proves it.
+norm), makes the largest inner product the smallest Euclidean distance, so that a metric tree applies. The root page
+holds routing objects chosen by hash; each row goes to the cell of its nearest one, and the cell keeps its covering
+radius. Cells of about ``cell_rows`` rows are M-trees in pages of at most ``PAGE`` entries, stored as a table: routing
+entries hold an object, its covering radius, its distance to the parent's object and a child page, leaf entries an
+object, its distance to the parent's object and its id. Cells that grow too large (many equal vectors) are several
+trees.
+
+A query first visits the cell nearest to it, under a bound from a sample of candidates (real ones, so that the bound is
+safe); then, under the bound that visit gave, only the cells whose ball it reaches. Inside a tree, pages are visited by
+their least possible distance, and the triangle inequality over stored parent distances and radii discards entries
+before their distances are computed. Results are exact, equal scores go to smaller ids, and no candidate is skipped
+unless a bound proves it.
 
 Vectors that are null or hold null, NaN or infinite components take no part, nor do rows without vec_id. Shorter
 vectors count as padded with zeros. Rows equal in id and vector count once; a query's own id is no candidate. Inner
@@ -29,8 +33,11 @@ from skein.llm.common import map_batches, read, stored
 
 SCALE = 1024
 PAGE = 64
-SHARD_ROWS = 4096
-QUERY_BLOCK = 128
+#: Rows of a cell, and cells at most (their routing objects travel with the tasks: 16384 vectors); beyond, cells grow.
+CELL_ROWS, MOST_CELLS = 4096, 16384
+#: Queries that visit a tree together.
+QUERY_BLOCK = 1024
+#: Sampled candidates for the first bound.
 SEED_ROWS = 2048
 
 
@@ -161,25 +168,50 @@ class Tree:
         return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
 
 
-PAGES = "shard int, page int, leaf boolean, ids array<long>, v binary, to_parent binary, radius binary"
+PAGES = "cell int, part int, page int, leaf boolean, ids array<long>, v binary, to_parent binary, radius binary"
+FOUND = "query_id long, query_key long, vec_id long, score long"
 
 
-def build_trees(vectors: DataFrame, shards: int, width: int, most: int) -> DataFrame:
-    """The pages of all shards' trees."""
+class Cells:
+    """The root page: routing objects, and how far a query is from them."""
+
+    def __init__(self, objects: np.ndarray, most: int) -> None:
+        self.objects, self.most = objects, most
+        self.lifted = _lift(objects, most)
+
+    def nearest(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each vector's cell and its distance from the cell's object."""
+        lifted = _lift(v, self.most)
+        cell = np.concatenate([(lifted[lo : lo + 256] @ self.lifted.T).argmax(axis=1) for lo in range(0, len(v), 256)] or [np.empty(0, np.int64)])
+        return cell, np.linalg.norm(lifted - self.lifted[cell], axis=1)
+
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        total = float(q.astype(np.float64) @ q) + self.most
+        return np.sqrt(np.maximum(0.0, total - 2.0 * (self.objects @ q)))
+
+    def reached(self, q: np.ndarray, floor: float, radii: np.ndarray) -> np.ndarray:
+        """The cells that may hold a score of at least ``floor``."""
+        if floor == -np.inf:
+            return np.flatnonzero(radii >= 0)
+        total = float(q.astype(np.float64) @ q) + self.most
+        limit = np.sqrt(max(0.0, total - 2 * floor + 1e-9 * total + 1e-6)) + 1e-6
+        return np.flatnonzero((radii >= 0) & (self.distances(q) - radii <= limit))
+
+
+def build_trees(placed: DataFrame, width: int, most: int) -> DataFrame:
+    """The pages of all trees of ``placed`` (cell, part, vec_id, v)."""
 
     def build(table: pa.Table) -> pa.Table:
         ids = np.asarray(table.column("vec_id"), np.int64)
         v = _matrix(table.column("v"), width)
-        shard = table.column("shard")[0].as_py()
         order = np.lexsort((*v.T[::-1], ids))
-        ids, v = ids[order], v[order]
-        fresh = np.ones(len(ids), bool)
-        fresh[1:] = (ids[1:] != ids[:-1]) | (v[1:] != v[:-1]).any(axis=1)
-        pages = build_pages(ids[fresh], v[fresh], most)
+        pages = build_pages(ids[order], v[order], most)
+        n = len(pages)
         return pa.table(
             {
-                "shard": pa.array([shard] * len(pages), pa.int32()),
-                "page": pa.array(range(len(pages)), pa.int32()),
+                "cell": pa.array([table.column("cell")[0].as_py()] * n, pa.int32()),
+                "part": pa.array([table.column("part")[0].as_py()] * n, pa.int32()),
+                "page": pa.array(range(n), pa.int32()),
                 "leaf": pa.array([p["leaf"] for p in pages]),
                 "ids": pa.array([p["ids"].tolist() for p in pages], pa.list_(pa.int64())),
                 "v": pa.array([p["v"].astype("<i8").tobytes() for p in pages], pa.binary()),
@@ -188,34 +220,47 @@ def build_trees(vectors: DataFrame, shards: int, width: int, most: int) -> DataF
             }
         )
 
-    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
-    return dealt.groupBy("shard").applyInArrow(build, PAGES)
+    return placed.groupBy("cell", "part").applyInArrow(build, PAGES)
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, seed_rows: int = SEED_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's ``k`` best inner products among ``rows`` (both vec_id, embedding)."""
-    vectors = stored(integer_vectors(rows), "mtree-vectors")
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda s, c: s + c * c)
-    asked = integer_vectors(queries)
-    about = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(norm).alias("most")).first()
-    width = max(about["width"] or 1, asked.agg(F.max(F.size("v")).alias("width")).first()["width"] or 1)
-    n, most = about["n"], int(about["most"] or 0)
-    shards = max(1, -(-n // shard_rows))
-    pages = stored(build_trees(vectors, shards, width, most), "mtree-pages")
-
-    # The seed rows: about seed_rows candidates by hash, at most twice as many; they set the first bound of each search.
-    share = min(1.0, seed_rows / max(1, n))
-    chosen = vectors.filter(F.pmod(F.xxhash64(F.lit("seed"), "vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().limit(2 * seed_rows)
-    seeds = chosen.toArrow()
-    seed_ids, seed_v = np.asarray(seeds.column("vec_id"), np.int64), _matrix(seeds.column("v"), width)
-
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, -(-n // (100 * QUERY_BLOCK)))))).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    )
-    blocks = blocks.groupBy("shard", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    # A shard's pages travel together: at most shard_rows vectors and their routing entries.
-    packed = pages.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("page", "leaf", "ids", "v", "to_parent", "radius"))).alias("pages"))
-    schema = "query_id long, query_key long, vec_id long, score long"
+def _place(vectors: DataFrame, cells: Cells, width: int) -> DataFrame:
+    """(cell, far, vec_id, v): each row in the cell of its nearest routing object."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, far = cells.nearest(_matrix(batch.column(1), width))
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(far), *batch.columns], ["cell", "far", "vec_id", "v"])
+
+    return map_batches(vectors.select("vec_id", "v"), run, "cell int, far double, vec_id long, v array<long>")
+
+
+def _routes(asked: DataFrame, cells: Cells, radii: np.ndarray, width: int, first: bool) -> DataFrame:
+    """(cell, vec_id, query_key, v, bar): the cell nearest to each query, or else the other cells that its bar reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, cell = [], []
+            for i, (q, bar) in enumerate(zip(_matrix(batch.column(2), width), batch.column(3).to_pylist(), strict=True)):
+                near = int(np.where(radii >= 0, cells.distances(q), np.inf).argmin())
+                to = np.array([near]) if first else np.setdiff1d(cells.reached(q, -np.inf if bar is None else bar, radii), [near])
+                row.append(np.full(len(to), i))
+                cell.append(to)
+            if row:
+                out = batch.take(pa.array(np.concatenate(row)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell).astype(np.int32)), *out.columns], ["cell", "vec_id", "query_key", "v", "bar"])
+
+    return map_batches(asked.select("vec_id", "query_key", "v", "bar"), run, "cell int, vec_id long, query_key long, v array<long>, bar double")
+
+
+def _visit(routes: DataFrame, parts: DataFrame, pages: DataFrame, k: int, width: int, most: int) -> DataFrame:
+    """The best of each query in each tree it visits: query_id, query_key, vec_id, score."""
+    routes = stored(routes, "mtree-routes")
+    blocks = routes.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("long").alias("blocks"))
+    dealt = routes.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id", "query_key"), F.col("blocks")))
+    dealt = dealt.groupBy("cell", "block").agg(F.collect_list(F.struct("vec_id", "query_key", "v", "bar")).alias("q"))
+    dealt = dealt.join(parts.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "cell")
+    # A tree's pages travel together: they hold about a cell's rows.
+    packed = pages.groupBy("cell", "part").agg(F.sort_array(F.collect_list(F.struct("page", "leaf", "ids", "v", "to_parent", "radius"))).alias("pages"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,16 +279,65 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SH
                 for q in batch.column(0)[r].as_py():
                     v = np.zeros(width, np.int64)
                     v[: len(q["v"])] = q["v"]
-                    scores = (seed_v @ v)[seed_ids != q["vec_id"]] if len(seed_ids) else np.empty(0)
-                    floor = float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -np.inf
-                    key = int((v * np.arange(1, 2 * width, 2)).sum())  # tells apart queries that share an id
-                    out += [(q["vec_id"], key, i, s) for s, i in tree.search(v, q["vec_id"], k, floor)]
+                    floor = -np.inf if q["bar"] is None else q["bar"]
+                    out += [(q["vec_id"], q["query_key"], i, s) for s, i in tree.search(v, q["vec_id"], k, floor)]
                 columns = list(zip(*out, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "query_key", "vec_id", "score"])
 
-    found = map_batches(blocks.join(packed, "shard").select("q", "pages"), run, schema)
+    return map_batches(dealt.join(packed, ["cell", "part"]).select("q", "pages"), run, FOUND)
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, cell_rows: int = CELL_ROWS, seed_rows: int = SEED_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's ``k`` best inner products among ``rows`` (both vec_id, embedding)."""
+    vectors = stored(integer_vectors(rows).distinct(), "mtree-vectors")
+    norm = F.aggregate("v", F.lit(0).cast("long"), lambda s, c: s + c * c)
+    asked = integer_vectors(queries).distinct()
+    about = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(norm).alias("most")).first()
+    width = max(about["width"] or 1, asked.agg(F.max(F.size("v")).alias("width")).first()["width"] or 1)
+    n, most = about["n"], int(about["most"] or 0)
+
+    # A sample by hash, of bounded size: the routing objects, and the candidates of the first bound.
+    count = max(1, min(MOST_CELLS, -(-n // cell_rows)))
+    take = max(seed_rows, count)
+    order = F.xxhash64(F.lit("sample"), "vec_id", "v")
+    share = min(1.0, 2 * take / max(1, n))
+    sample = vectors.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(order, "vec_id").limit(take).toArrow()
+    seed_ids, seed_v = np.asarray(sample.column("vec_id"), np.int64), _matrix(sample.column("v"), width)
+    if n and len(seed_ids) == 0:  # a table of a few rows whose hashes all lie outside
+        few = vectors.limit(1).toArrow()
+        seed_ids, seed_v = np.asarray(few.column("vec_id"), np.int64), _matrix(few.column("v"), width)
+    cells = Cells(np.unique(seed_v[:count], axis=0) if n else np.zeros((1, width), np.int64), most)
+
+    placed = stored(_place(vectors, cells, width), "mtree-placed")
+    parts = placed.groupBy("cell").agg(F.max("far").alias("far"), F.ceil(F.count("*") / F.lit(2 * max(cell_rows, n // count))).cast("int").alias("parts"))
+    parts = stored(parts, "mtree-cells")
+    radii = np.full(len(cells.objects), -1.0)
+    for r in parts.collect():  # one row for each routing object
+        radii[r.cell] = r.far + 1e-6
+    placed = placed.join(F.broadcast(parts.select("cell", "parts")), "cell")
+    placed = placed.select("cell", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
+    pages = stored(build_trees(placed, width, most), "mtree-pages")
+
+    def bars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _matrix(batch.column(1), width)
+            key = (v * np.arange(1, 2 * width, 2)).sum(axis=1)  # tells apart queries that share an id
+            bar = []
+            for own, q in zip(batch.column(0).to_pylist(), v, strict=True):
+                scores = (seed_v @ q)[seed_ids != own]
+                bar.append(float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), batch.column(1), pa.array(bar, pa.float64())], ["vec_id", "query_key", "v", "bar"])
+
+    asked = stored(map_batches(asked.select("vec_id", "v"), bars, "vec_id long, query_key long, v array<long>, bar double"), "mtree-asked")
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = stored(_visit(_routes(asked, cells, radii, width, True), parts, pages, k, width, most), "mtree-near")
+    # The k-th score so far bounds what the other cells must offer.
+    kth = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k)
+    kth = kth.select(F.col("query_id").alias("vec_id"), "query_key", F.col("score").cast("double").alias("kth"))
+    closer = asked.join(kth, ["vec_id", "query_key"], "left").withColumn("bar", F.greatest("bar", "kth"))
+    rest = _visit(_routes(closer, cells, radii, width, False), parts, pages, k, width, most)
+    found = near.union(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op5_mtree_topk(spark, sf_dir):
