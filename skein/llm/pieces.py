@@ -2,7 +2,7 @@
 
 The model protobuf is parsed and rebuilt as a tokenizers pipeline: normaliser (character map, white space rules, the
 leading mark), the metaspace marker, the scored unigram lattice or the merges that BPE scores imply, byte fallback and
-the matching decoder. Batches of whole texts are encoded by the library's threads. ``parity`` compares each text's ids
+the matching decoder. Batches of whole texts are encoded by the library's threads, as many as a task has cores. ``parity`` compares each text's ids
 with those of the sentencepiece library under the model file as it is, so that normaliser and splitting are verified
 too; ``round_trip`` tells whether the decoded ids are the text again.
 
@@ -29,7 +29,7 @@ def _decoder(strip: bool):
     """Marks become spaces, byte pieces characters; the leading mark's space goes."""
     from tokenizers import decoders
 
-    steps = [decoders.Replace(pm.MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    steps = [decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(pm.MARK, " ")]
     return decoders.Sequence(steps + ([decoders.Strip(" ", 1, 0)] if strip else []))
 
 
@@ -93,12 +93,12 @@ class Encoder:
 
 
 def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.Array, list]]:
-    """The first column and the values of another in pieces of bounded text: up to 256 rows, or about 4 MB."""
+    """The first column and the values of another in pieces of bounded text: up to 64 rows, or about 1 MB."""
     values = batch.column(column)
     lo = size = 0
     for k, v in enumerate(values):
         size += 0 if v.as_py() is None else len(v.as_py())
-        if k + 1 - lo == 256 or size > 1 << 22 or k + 1 == len(values):
+        if k + 1 - lo == 64 or size > 1 << 20 or k + 1 == len(values):
             yield batch.column(0).slice(lo, k + 1 - lo), values.slice(lo, k + 1 - lo).to_pylist()
             lo, size = k + 1, 0
 
@@ -109,7 +109,7 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(lists), np.int32, int(bounds[-1])), bounds
 
 
-def encode_pieces(docs: DataFrame, model_path: str = pm.MODEL_PATH, parity: bool = True, threads: int = 2) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str = pm.MODEL_PATH, parity: bool = True, threads: int | None = None) -> DataFrame:
     """doc_id, ids array<int>, parity boolean. The model (of fixed size) travels with the task."""
     data, _ = pm.load(model_path)
 
@@ -125,13 +125,18 @@ def encode_pieces(docs: DataFrame, model_path: str = pm.MODEL_PATH, parity: bool
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, parity boolean")
 
 
-def _encoder(data: bytes, parity: bool, threads: int) -> Encoder:
-    os.environ["TOKENIZERS_PARALLELISM"] = "true"
+def _encoder(data: bytes, parity: bool, threads: int | None) -> Encoder:
+    """An encoder with ``threads`` threads; by default as many as the task has cores (spark.task.cpus)."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    threads = threads or (context.cpus() if context else 1)
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
     os.environ["RAYON_NUM_THREADS"] = str(threads)
     return Encoder(data, parity)
 
 
-def decode_pieces(encoded: DataFrame, model_path: str = pm.MODEL_PATH, threads: int = 2) -> DataFrame:
+def decode_pieces(encoded: DataFrame, model_path: str = pm.MODEL_PATH, threads: int | None = None) -> DataFrame:
     """doc_id, text from doc_id, ids."""
     data, _ = pm.load(model_path)
 
@@ -146,7 +151,7 @@ def decode_pieces(encoded: DataFrame, model_path: str = pm.MODEL_PATH, threads:
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
-def encode_summary(docs: DataFrame, model_path: str = pm.MODEL_PATH, threads: int = 2) -> DataFrame:
+def encode_summary(docs: DataFrame, model_path: str = pm.MODEL_PATH, threads: int | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian int32), parity, round_trip (the decoded ids are the text)."""
     data, _ = pm.load(model_path)
 
