@@ -54,6 +54,8 @@ def cluster(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, cluster of rows (grp, id, vector): one fold per grp, in the order of the ids as text."""
 
     def fold(table: pa.Table) -> pa.Table:
+        if table.num_rows > FOLD_LIMIT:
+            raise ValueError(f"a group of {table.num_rows} vectors is more than the fold takes ({FOLD_LIMIT}): give smaller groups")
         ids = table.column("id").to_pylist()
         order = sorted(range(len(ids)), key=lambda k: str(ids[k]))
         v = np.array([table.column("vector")[k].as_py() for k in order], float)
@@ -73,14 +75,43 @@ def group_names(members: DataFrame, classified: DataFrame) -> DataFrame:
     return named.select("id", "cluster", F.coalesce("tag", "known", "name", F.lit("General")).alias("tag"))
 
 
-def continuity(current: DataFrame, prior: DataFrame, least: float = 0.4, k: int = 3) -> DataFrame:
+def continuity(current: DataFrame, prior: DataFrame, least: float = 0.4, k: int = 3, chunk: int = 512) -> DataFrame:
     """id, prior_id, cosine, rank: earlier summarised sessions of cosine at least ``least``, the best ``k``.
 
-    Both frames: (grp, id, created, vector); only sessions of one grp are compared.
+    Both frames: (grp, id, created, vector); only sessions of one grp are compared. Groups are dealt into chunks, and
+    a chunk of current sessions meets a chunk of prior ones in one task, which keeps each session's best ``k``.
     """
-    a, b = current.alias("a"), prior.alias("b")
-    pairs = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("b.created") < F.col("a.created")))
-    scored = pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("prior_id"), F.round(V.dot(F.col("a.vector"), F.col("b.vector")), 6).alias("cosine"))
+    sizes = current.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("currents")).join(
+        prior.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("priors")), "grp"
+    )
+
+    def dealt(rows: DataFrame, own: str, other: str, is_prior: bool) -> DataFrame:
+        rows = rows.select("grp", "id", "created", V.doubles(F.col("vector")).alias("vector")).join(sizes, "grp")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col(own))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        cell = ("other", "own") if is_prior else ("own", "other")
+        return rows.select("grp", F.col(cell[0]).cast("long").alias("i"), F.col(cell[1]).cast("long").alias("j"), "id", "created", "vector", F.lit(is_prior).alias("prior"))
+
+    def best(table: pa.Table) -> pa.Table:
+        table = table.filter(table.column("vector").is_valid())
+        earlier = np.asarray(table.column("prior"), bool)
+        ids, created = np.asarray(table.column("id"), np.int64), np.asarray(table.column("created"), np.int64)
+        vectors = table.column("vector").combine_chunks()
+        size = np.asarray(vectors.value_lengths(), np.int64)
+        out = []
+        for n in np.unique(size):
+            mine, theirs = np.flatnonzero(~earlier & (size == n)), np.flatnonzero(earlier & (size == n))
+            if not len(mine) or not len(theirs):
+                continue
+            a, b = (np.asarray(vectors.take(pa.array(x)).flatten(), float).reshape(len(x), n) for x in (mine, theirs))
+            s = np.round(a @ b.T, 6)
+            for row, m in zip(s, mine, strict=True):
+                fit = np.flatnonzero((row >= least) & (created[theirs] < created[m]))
+                fit = fit[np.lexsort((ids[theirs[fit]], -row[fit]))][:k]
+                out += [(int(ids[m]), int(ids[theirs[x]]), float(row[x])) for x in fit]
+        a, b, c = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"id": pa.array(a, pa.int64()), "prior_id": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
+
+    cells = dealt(current, "currents", "priors", False).union(dealt(prior, "priors", "currents", True))
+    scored = cells.groupBy("grp", "i", "j").applyInArrow(best, "id long, prior_id long, cosine double")
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "prior_id")
-    ranked = scored.filter(F.col("cosine") >= least).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

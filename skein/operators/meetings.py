@@ -13,14 +13,24 @@ MAP_OUTPUT = 300
 SLACK = 0.05
 
 
-def label_speakers(segments: DataFrame, spans: DataFrame) -> DataFrame:
+def label_speakers(segments: DataFrame, spans: DataFrame, bucket: float = 600.0) -> DataFrame:
     """session_id, segment_id, speaker: the speaker of the greatest total overlap, ties to the smaller name; else null.
 
-    Equi-join on the session with an interval residual; overlaps are summed per speaker before they are ranked.
+    Both sides are cut at multiples of ``bucket`` seconds, so that only what lies in the same stretch of a session
+    meets, however long the session is; overlaps are summed per speaker before they are ranked.
     """
-    s, p = segments.alias("s"), spans.alias("p")
-    shared = scores.overlap(F.col("s.start"), F.col("s.end"), F.col("p.start"), F.col("p.end"))
-    pairs = s.join(p, (F.col("s.session_id") == F.col("p.session_id")) & (F.col("s.start") < F.col("p.end")) & (F.col("p.start") < F.col("s.end")))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        """Rows in each bucket they touch, clipped to it."""
+        reach = F.sequence(F.floor(F.col("start") / bucket), F.greatest(F.floor(F.col("start") / bucket), F.ceil(F.col("end") / bucket) - 1))
+        rows = rows.filter(F.col("end") > F.col("start")).withColumn("bucket", F.explode(reach))
+        low = F.col("bucket") * F.lit(bucket)
+        return rows.withColumn("lo", F.greatest("start", low)).withColumn("hi", F.least("end", low + bucket))
+
+    s, p = cut(segments).alias("s"), cut(spans).alias("p")
+    shared = scores.overlap(F.col("s.lo"), F.col("s.hi"), F.col("p.lo"), F.col("p.hi"))
+    same = (F.col("s.session_id") == F.col("p.session_id")) & (F.col("s.bucket") == F.col("p.bucket"))
+    pairs = s.join(p, same & (F.col("s.lo") < F.col("p.hi")) & (F.col("p.lo") < F.col("s.hi")))
     total = pairs.select("s.session_id", "s.segment_id", "p.speaker", shared.alias("o")).groupBy("session_id", "segment_id", "speaker").agg(F.round(F.sum("o"), 6).alias("o"))
     best = total.filter("o > 0").groupBy("session_id", "segment_id").agg(F.min_by("speaker", F.struct(-F.col("o"), F.col("speaker"))).alias("speaker"))
     return segments.select("session_id", "segment_id").join(best, ["session_id", "segment_id"], "left")
@@ -70,51 +80,64 @@ def tokens_of(value: str) -> int:
     return -(-len(value) * 2 // 7)
 
 
-def plan_windows(segments: list[str], limit: int = WINDOW_TOKENS) -> list[str]:
-    """Whole segments up to ``limit`` tokens a window; one that is larger stands alone, split at ". "."""
-    windows: list[str] = []
-    held: list[str] = []
-    used = 0
+def tokens_of_size(size: int) -> int:
+    return -(-size * 2 // 7)
+
+
+def plan_windows(segments: list[list[int]], limit: int = WINDOW_TOKENS) -> list[int]:
+    """Sizes in characters of the windows: whole segments, joined by spaces, up to ``limit`` tokens.
+
+    A segment is the list of its sentences' sizes (split at ". "); one of several sentences is larger than a window,
+    stands alone and is split between sentences.
+    """
+    windows: list[int] = []
+    size, used, number = 0, 0, 0
 
     def flush():
-        nonlocal used
-        if held:
-            windows.append(" ".join(held))
-            held.clear()
-        used = 0
-
-    for s in segments:
-        n = tokens_of(s)
-        if n > limit:
+        nonlocal size, used, number
+        if number:
+            windows.append(size)
+        size = used = number = 0
+
+    for parts in segments:
+        alone = tokens_of_size(sum(parts) + 2 * (len(parts) - 1)) > limit
+        gap = 2 if alone else 1
+        if alone:
             flush()
-            part: list[str] = []
-            size = 0
-            for sentence in s.split(". "):
-                m = tokens_of(sentence)
-                if part and size + m > limit:
-                    windows.append(". ".join(part))
-                    part, size = [], 0
-                part.append(sentence)
-                size += m
-            if part:
-                windows.append(". ".join(part))
-            continue
-        if held and used + n > limit:
+        for part in parts if alone else [parts[0]]:
+            n = tokens_of_size(part)
+            if number and used + n > limit:
+                flush()
+            size += part + gap * (number > 0)
+            used += n
+            number += 1
+        if alone:
             flush()
-        held.append(s)
-        used += n
     flush()
     return windows
 
 
-def summary_calls(windows: list[str]) -> list[tuple[str, int, int]]:
-    """(stage, number, tokens) of the model calls that a summary takes; nothing for a text that is too short."""
-    total = sum(map(tokens_of, windows))
+def _segment_sizes(segments: DataFrame, limit: int) -> DataFrame:
+    """(session_id, start, sizes): only sizes travel; a segment larger than a window has one for each sentence."""
+    body = F.coalesce("text", F.lit(""))
+    large = F.ceil(F.length(body) * 2 / 7) > limit
+    sizes = F.when(large, F.transform(F.split(body, r"\. ", -1), lambda x: F.length(x))).otherwise(F.array(F.length(body)))
+    return segments.select("session_id", "start", sizes.alias("sizes"))
+
+
+def _session_windows(table: pa.Table, limit: int) -> list[int]:
+    rows = sorted(zip(table.column("start").to_pylist(), table.column("sizes").to_pylist(), strict=True), key=lambda r: r[0])
+    return plan_windows([sizes for _, sizes in rows], limit)
+
+
+def summary_calls(windows: list[int]) -> list[tuple[str, int, int]]:
+    """(stage, number, tokens) of the model calls that a summary of windows of these sizes takes; nothing for a text that is too short."""
+    total = sum(map(tokens_of_size, windows))
     if total < LEAST_TOKENS:
         return []
     if len(windows) == 1 and total <= SKIP_MAP_TOKENS:
         return [("reduce", 0, total)]
-    calls = [("map", k, tokens_of(w)) for k, w in enumerate(windows)]
+    calls = [("map", k, tokens_of_size(w)) for k, w in enumerate(windows)]
     n, level = len(windows), 0
     while n > PARTIALS:
         groups = -(-n // PARTIALS)
@@ -123,30 +146,28 @@ def summary_calls(windows: list[str]) -> list[tuple[str, int, int]]:
     return calls + [("reduce", 0, MAP_OUTPUT * n)]
 
 
-def summary_plan(segments: DataFrame) -> DataFrame:
+def summary_plan(segments: DataFrame, limit: int = WINDOW_TOKENS) -> DataFrame:
     """session_id, stage, number, tokens of segments (session_id, start, text)."""
 
     def fold(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("start").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: r[0])
-        calls = summary_calls(plan_windows([t or "" for _, t in rows]))
+        calls = summary_calls(_session_windows(table, limit))
         session = table.column("session_id")[0].as_py()
         a, b, c = zip(*calls, strict=True) if calls else ((), (), ())
         return pa.table({"session_id": pa.array([session] * len(a), pa.int64()), "stage": pa.array(a, pa.string()), "number": pa.array(b, pa.int64()), "tokens": pa.array(c, pa.int64())})
 
-    return segments.select("session_id", "start", "text").groupBy("session_id").applyInArrow(fold, "session_id long, stage string, number long, tokens long")
+    return _segment_sizes(segments, limit).groupBy("session_id").applyInArrow(fold, "session_id long, stage string, number long, tokens long")
 
 
 def window_plan(segments: DataFrame, limit: int = WINDOW_TOKENS) -> DataFrame:
     """session_id, window, tokens, n_chars of segments (session_id, start, text)."""
 
     def fold(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("start").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: r[0])
-        made = plan_windows([t or "" for _, t in rows], limit)
+        made = _session_windows(table, limit)
         session = table.column("session_id")[0].as_py()
         return pa.table({"session_id": pa.array([session] * len(made), pa.int64()), "window": pa.array(range(len(made)), pa.int64()),
-                         "tokens": pa.array(list(map(tokens_of, made)), pa.int64()), "n_chars": pa.array(list(map(len, made)), pa.int64())})
+                         "tokens": pa.array(list(map(tokens_of_size, made)), pa.int64()), "n_chars": pa.array(made, pa.int64())})
 
-    return segments.select("session_id", "start", "text").groupBy("session_id").applyInArrow(fold, "session_id long, window long, tokens long, n_chars long")
+    return _segment_sizes(segments, limit).groupBy("session_id").applyInArrow(fold, "session_id long, window long, tokens long, n_chars long")
 
 
 def needs_retry(state: Column, has_summary: Column, available: Column) -> Column:
@@ -176,36 +197,43 @@ def upkeep(stored: DataFrame, retired: DataFrame, added: DataFrame, keep: int =
     return facts.orderBy(F.desc("updated_at"), "id").limit(keep)
 
 
-def interruption(state: Column, event: Column) -> Column:
-    """The state after an audio event."""
-    return (
-        F.when((event == "began") & (state == "recording"), F.lit("paused"))
-        .when((event == "ended_resume") & (state == "paused"), F.lit("recording"))
-        .otherwise(state)
-    )
+#: Commands by event and state, and states after them. Route changes count for added and removed devices.
+COMMANDS = {
+    ("began", "recording"): "pauseCapture", ("ended_resume", "paused"): "resumeCapture", ("ended", "paused"): "surfacePausedState",
+    ("route_changed", "recording"): "reinstallTap", ("reset", "recording"): "rebuildEngine", ("reset", "paused"): "rebuildEngine",
+}
+STATES = {
+    ("start", "idle"): "recording", ("began", "recording"): "paused", ("ended_resume", "paused"): "recording",
+    ("stop", "recording"): "idle", ("stop", "paused"): "idle",
+}
+
+
+def command(event: Column, state: Column) -> Column:
+    """The command that an audio event gives in a state (idle, recording, paused by an interruption); null for none."""
+    out = F.lit(None).cast("string")
+    for (e, s), made in COMMANDS.items():
+        out = F.when((event == e) & (state == s), F.lit(made)).otherwise(out)
+    return out
 
 
 def run_states(events: DataFrame) -> DataFrame:
-    """key, seq, event, state: the pause state machine over each key's ordered events (a fold in arrival order)."""
+    """key, seq, event, state, command: the pause state machine over each key's ordered events.
+
+    ``state`` is the one after the event; the command follows from the event and the state before it.
+    """
 
     def fold(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("seq").to_pylist(), table.column("event").to_pylist(), strict=True))
         state, out = "idle", []
         for seq, event in rows:
-            if event == "start" and state == "idle":
-                state = "recording"
-            elif event == "began" and state == "recording":
-                state = "paused"
-            elif event == "ended_resume" and state == "paused":
-                state = "recording"
-            elif event == "stop":
-                state = "idle"
-            out.append((seq, event, state))
+            made = COMMANDS.get((event, state))
+            state = STATES.get((event, state), state)
+            out.append((seq, event, state, made))
         key = table.column("key")[0].as_py()
-        a, b, c = zip(*out, strict=True)
-        return pa.table({"key": pa.array([key] * len(a), pa.int64()), "seq": pa.array(a, pa.int64()), "event": pa.array(b, pa.string()), "state": pa.array(c, pa.string())})
+        a, b, c, d = zip(*out, strict=True)
+        return pa.table({"key": pa.array([key] * len(a), pa.int64()), "seq": pa.array(a, pa.int64()), **{n: pa.array(x, pa.string()) for n, x in (("event", b), ("state", c), ("command", d))}})
 
-    return events.groupBy("key").applyInArrow(fold, "key long, seq long, event string, state string")
+    return events.groupBy("key").applyInArrow(fold, "key long, seq long, event string, state string, command string")
 
 
 def last_turns(turns: DataFrame, n: int = 6) -> DataFrame:

@@ -10,50 +10,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import scores, text
+from skein.sources.shared import stored
 
 K1, B = 1.5, 0.75
-#: Query sets are shipped to the tasks in blocks of this many vectors.
-QUERY_BLOCK = 4096
-#: Term tables of queries up to this many rows are broadcast.
-SMALL_TERMS = 200_000
+#: Vectors of a query block and of a corpus piece that are multiplied at once, and blocks broadcast at once.
+QUERY_BLOCK, PIECE, BLOCKS_AT_ONCE = 1024, 4096, 64
+#: Stands for a document's length among its terms; no token is empty.
+LENGTH = ""
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(id, term, tf, len) of documents (id, text)."""
-    tokens = docs.select("id", text.tokenize(F.col("text")).alias("tokens"))
-    rows = tokens.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+def query_terms(queries: DataFrame) -> DataFrame:
+    """Distinct (query_id, term) of queries (query_id, text)."""
+    return queries.select("query_id", F.explode(F.array_distinct(text.tokenize(F.col("text")))).alias("term"))
+
 
+def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, term, tf, len) of documents (id, text) for the wanted terms (term), and a row with the term LENGTH of each.
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """One row: number of documents and their mean length in tokens, empty documents included."""
-    size = F.coalesce(F.size(F.when(F.col("text").isNotNull(), text.tokenize(F.col("text")))), F.lit(0))
-    size = F.greatest(size, F.lit(0))
-    return docs.select(size.alias("len")).agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.sum("len") / F.count("*")).alias("avg_len"))
+    One scan and one shuffle of what matches: occurrences are summed in the tasks, and the lengths travel along, so
+    that the corpus statistics need no pass of their own.
+    """
+    tokens = docs.select("id", F.coalesce(text.tokenize(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    rows = tokens.select("id", F.size("tokens").alias("len"), F.explode(F.concat("tokens", F.array(F.lit(LENGTH)))).alias("term"))
+    terms = wanted.select("term").union(docs.sparkSession.range(1).select(F.lit(LENGTH))).distinct()
+    return rows.join(terms, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """Distinct (query_id, term) of queries (query_id, text)."""
-    return queries.select("query_id", F.explode(F.array_distinct(text.tokenize(F.col("text")))).alias("term"))
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """term, df of documents (id, text), with n and avg_len of the corpus: each document's distinct terms are counted in its task."""
+    tokens = docs.select(text.tokenize(F.col("text")).alias("tokens"))
+    terms = F.concat(F.coalesce(F.array_distinct("tokens"), F.array().cast("array<string>")), F.array(F.lit(LENGTH)))
+    rows = tokens.select(F.greatest(F.coalesce(F.size("tokens"), F.lit(0)), F.lit(0)).alias("len"), F.explode(terms).alias("term"))
+    counted = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("total"))
+    stats = counted.filter(F.col("term") == LENGTH).select(F.col("df").alias("n"), F.round(F.greatest(F.lit(1.0), F.col("total") / F.col("df")), 6).alias("avg_len"))
+    return counted.filter(F.col("term") != LENGTH).select("term", "df").join(F.broadcast(stats), F.lit(True))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 20) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 20, posts: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, rank: Okapi BM25 of each query, positive scores, best ``k``; ties to smaller ids.
 
-    Document frequencies are counted only for terms that queries hold; the one-row statistics are read by the driver.
+    ``posts``: postings of the documents for at least the queries' terms, to be used for several sets of queries. The
+    corpus statistics (number and mean length of documents, empty ones included) are one row.
     """
     terms = query_terms(queries)
-    wanted = terms.select("term").distinct()
-    few = wanted.limit(SMALL_TERMS + 1).count() <= SMALL_TERMS
-    posts = postings(docs).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
-    stats = corpus_stats(docs).first()
-    n, avg_len = float(stats["n"]), float(stats["avg_len"])
+    if posts is None:
+        posts = stored(postings(docs, terms.select("term").distinct()), "bm25-postings")
+    stats = posts.filter(F.col("term") == LENGTH).agg(F.count("*").alias("n"), F.sum("len").alias("total")).first()
+    n = float(stats["n"] or 0)
+    avg_len = max(1.0, (stats["total"] or 0) / max(1.0, n))
+    posts = posts.filter(F.col("term") != LENGTH)
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     tf = F.col("tf")
     weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(avg_len)))
     weighted = posts.join(df, "term").select("term", "id", weight.alias("w"))
-    scored = weighted.join(F.broadcast(terms) if terms.limit(SMALL_TERMS + 1).count() <= SMALL_TERMS else terms, "term")
+    scored = weighted.join(terms, "term")
     scored = scored.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score")).filter("score > 0")
     return top_per_query(scored, k)
 
@@ -64,49 +75,73 @@ def top_per_query(scored: DataFrame, k: int | None) -> DataFrame:
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors (id, vector) packed by length into pieces: their number, length, ids and components as bytes."""
+    held: dict[int, list] = {}
+
+    def packed(size: int) -> pa.RecordBatch:
+        ids, v = zip(*held.pop(size), strict=True)
+        columns = [pa.array([len(ids)], pa.int32()), pa.array([size], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.concatenate(v).astype("<f8").tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["n", "size", "ids", "v"])
+
+    for batch in batches:
+        vectors = batch.column(1)
+        bounds, flat = np.asarray(vectors.offsets), np.asarray(vectors.values.fill_null(float("nan")), float)
+        for k, i in enumerate(batch.column(0).to_pylist()):
+            size = int(bounds[k + 1] - bounds[k])
+            if size and vectors.is_valid()[k].as_py() and i is not None:
+                held.setdefault(size, []).append((i, flat[bounds[k] : bounds[k + 1]].copy()))
+                if len(held[size]) == PIECE:
+                    yield packed(size)
+    for size in list(held):
+        yield packed(size)
+
+
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, decimals: int = 6) -> DataFrame:
     """query_id, id, score, rank by inner product of queries (query_id, vector) with (id, vector).
 
-    Queries travel to the tasks in blocks; each task multiplies its batches and keeps its best ``k`` of each query,
-    so that only they are shuffled. Vectors of another length than the query's are left out.
+    Every query is scored against all rows, in blocks: queries are dealt into blocks of about QUERY_BLOCK, of which a
+    bounded number is broadcast at a time, and each block is multiplied with pieces of the corpus; only the best ``k``
+    of a block and piece go on. Vectors of another length than the query's are left out.
     """
-    found = None
+    pack = "n int, size int, ids binary, v binary"
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     total = queries.count()
-    ordered = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     blocks = max(1, -(-total // QUERY_BLOCK))
-    for block in range(blocks):
-        part = ordered if blocks == 1 else ordered.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        held = [(r["query_id"], np.asarray(r["vector"], float)) for r in part.toLocalIterator()]
-        one = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_top_task(held, k, decimals), "query_id long, id long, score double")
+    if blocks > 1:
+        asked = asked.repartition(blocks, F.xxhash64("query_id"))
+    asked = asked.mapInArrow(_pieces, pack).select(*[F.col(c).alias(f"q_{c}") for c in ("n", "size", "ids", "v")])
+    if blocks > BLOCKS_AT_ONCE:
+        asked = stored(asked.withColumn("turn", F.pmod(F.xxhash64("q_ids"), F.lit(-(-blocks // BLOCKS_AT_ONCE)))), "query-blocks")
+    else:
+        asked = asked.withColumn("turn", F.lit(0))
+    corpus = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_pieces, pack)
+    found = None
+    for turn in range(-(-blocks // BLOCKS_AT_ONCE)):
+        block = asked.filter(F.col("turn") == turn).drop("turn")
+        pairs = corpus.join(F.broadcast(block), F.col("size") == F.col("q_size"))
+        one = pairs.select("q_n", "q_ids", "q_v", "n", "ids", "v", "size").mapInArrow(_best(k, decimals), "query_id long, id long, score double")
         found = one if found is None else found.union(one)
     return top_per_query(found, k)
 
 
-def _top_task(queries: list[tuple[int, np.ndarray]], k: int, decimals: int):
+def _best(k: int, decimals: int):
+    """The best ``k`` rows of a corpus piece for each query of a block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, int]]] = {q: [] for q, _ in queries}
-        by_size: dict[int, tuple[list[int], np.ndarray]] = {}
-        for size in {len(v) for _, v in queries}:
-            own = [(q, v) for q, v in queries if len(v) == size]
-            by_size[size] = ([q for q, _ in own], np.stack([v for _, v in own]))
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            rows = batch.column(1).to_pylist()
-            for size, (names, q) in by_size.items():
-                at = [i for i, v in enumerate(rows) if v is not None and len(v) == size]
-                if not at or not size:
-                    continue
-                s = np.round(q @ np.array([rows[i] for i in at]).T, decimals)
-                for j, name in enumerate(names):
-                    line = s[j]
-                    near = np.argpartition(-line, min(k, len(line)) - 1)[:k] if len(line) > k else np.arange(len(line))
-                    bar = line[near].min()
-                    cand = [(-line[i], ids[at[i]]) for i in np.flatnonzero(line >= bar)]
-                    best[name] = sorted(best[name] + cand)[:k]
-        rows = [(q, i, -s) for q, found in best.items() for s, i in found]
-        if rows:
-            a, b, c = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "id", "score"])
+            for r in range(batch.num_rows):
+                q_n, q_ids, q_v, n, ids, v, size = (batch.column(c)[r].as_py() for c in range(7))
+                ids = np.frombuffer(ids, "<i8")
+                s = np.round(np.frombuffer(q_v, "<f8").reshape(q_n, size) @ np.frombuffer(v, "<f8").reshape(n, size).T, decimals)
+                bars = np.partition(s, n - k, axis=1)[:, n - k] if n > k else np.full(q_n, -np.inf)
+                a, b = np.nonzero(s >= bars[:, None])
+                order = np.lexsort((ids[b], -s[a, b], a))
+                a, b = a[order], b[order]
+                first = np.searchsorted(a, np.arange(q_n))
+                top = np.arange(len(a)) - first[a] < k  # of equal scores, those of smaller ids
+                a, b = a[top], b[top]
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(q_ids, "<i8")[a]), pa.array(ids[b]), pa.array(s[a, b])], ["query_id", "id", "score"])
 
     return run
 
@@ -173,8 +208,10 @@ def hybrid(
     queries: (query_id, text, vector); corpus: (id, text, vector, created); expansions: (query_id, alt_no, text, vector),
     used only for queries whose retrieval is weak. The returned score is the adjusted fused one.
     """
+    terms = query_terms(queries if expansions is None else queries.select("query_id", "text").union(expansions.select("query_id", "text")))
+    posts = stored(postings(corpus, terms.select("term").distinct()), "hybrid-postings")
     by_vector = vector_top_k(queries, corpus, depth)
-    by_words = bm25(queries, corpus, depth)
+    by_words = bm25(queries, corpus, depth, posts)
     rankings = [by_vector, by_words]
     if expansions is not None:
         hits = by_words.groupBy("query_id").agg(F.count("*").alias("hits"))
@@ -184,7 +221,7 @@ def hybrid(
         alts = expansions.join(weak, "query_id", "left_semi").filter(F.col("alt_no") <= 2)
         for number in (1, 2):
             one = alts.filter(F.col("alt_no") == number)
-            rankings += [vector_top_k(one, corpus, depth), bm25(one, corpus, depth)]
+            rankings += [vector_top_k(one, corpus, depth), bm25(one, corpus, depth, posts)]
     fused = reciprocal_rank_fusion(rankings)
     scored = adjust(fused, corpus, queries, now) if priors else fused.select("query_id", "id", "fused", F.col("fused").alias("adjusted"))
     order = Window.partitionBy("query_id").orderBy(F.desc("adjusted"), "id")

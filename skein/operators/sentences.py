@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -91,21 +91,26 @@ def as_of(offsets: list[int], values: list, at: int):
     return values[max(0, bisect_right(offsets, at) - 1)]
 
 
+#: (text) -> (chunk, offset of its first sentence, words) of each chunk, in order.
+Chunker = Callable[[str], list[tuple[str, int, int]]]
 CHUNKS = "array<struct<chunk_index:bigint,text:string,words:bigint,page_number:bigint,timestamp:double>>"
 
 
-def _chunk_document(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Chunks of (text, page start offsets)."""
-    for texts, breaks in parts:
-        out = []
-        for text, starts in zip(texts, breaks, strict=True):
-            starts = [] if starts is None else [int(x) for x in starts]
-            pages = list(range(1, len(starts) + 1))
-            out.append([
-                {"chunk_index": k, "text": c, "words": n, "page_number": as_of(starts, pages, at), "timestamp": None}
-                for k, (c, at, n) in enumerate(chunk_text(text or ""))
-            ])
-        yield pd.Series(out)
+def _chunk_document(chunker: Chunker) -> Callable:
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        """Chunks of (text, page start offsets)."""
+        for texts, breaks in parts:
+            out = []
+            for text, starts in zip(texts, breaks, strict=True):
+                starts = [] if starts is None else [int(x) for x in starts]
+                pages = list(range(1, len(starts) + 1))
+                out.append([
+                    {"chunk_index": k, "text": c, "words": n, "page_number": as_of(starts, pages, at), "timestamp": None}
+                    for k, (c, at, n) in enumerate(chunker(text or ""))
+                ])
+            yield pd.Series(out)
+
+    return run
 
 
 def _chunk_segments(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -136,8 +141,8 @@ def _sentences(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
-def chunk_document(text, page_breaks) -> Column:
-    return F.pandas_udf(_chunk_document, CHUNKS)(text, page_breaks)
+def chunk_document(text, page_breaks, chunker: Chunker = chunk_text) -> Column:
+    return F.pandas_udf(_chunk_document(chunker), CHUNKS)(text, page_breaks)
 
 
 def chunk_segments(texts, starts) -> Column:
@@ -148,9 +153,9 @@ def sentences(text) -> Column:
     return F.pandas_udf(_sentences, "array<string>")(text)
 
 
-def chunk_documents(docs: DataFrame) -> DataFrame:
-    """id, chunk_index, text, words, page_number of documents (id, text, page_breaks)."""
-    made = docs.select("id", F.explode(chunk_document("text", "page_breaks")).alias("c"))
+def chunk_documents(docs: DataFrame, chunker: Chunker = chunk_text) -> DataFrame:
+    """id, chunk_index, text, words, page_number of documents (id, text, page_breaks); any chunker serves."""
+    made = docs.select("id", F.explode(chunk_document("text", "page_breaks", chunker)).alias("c"))
     return made.select("id", "c.chunk_index", "c.text", "c.words", "c.page_number")
 
 

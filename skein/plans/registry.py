@@ -51,9 +51,9 @@ class Tables:
 
     @cached_property
     def corpus(self) -> DataFrame:
-        """Documents that have a vector (vec_id = doc_id)."""
+        """All documents, with their vector and label where they have one (vec_id = doc_id)."""
         v = self.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-        return self.docs.join(v, "id").select("id", "text", "vector", "created", "label", "source")
+        return self.docs.join(v, "id", "left").select("id", "text", "vector", "created", "label", "source")
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -73,7 +73,9 @@ SQL_FRAMES = {
     "segments": """segments AS (SELECT conv_id AS session_id, conv_id * 1000 + turn AS segment_id, turn * 6.0::DOUBLE AS start,
         turn * 6.0::DOUBLE + 6.0::DOUBLE AS "end", text, role AS speaker, turn FROM conversations)""",
     "corpus": f"""corpus AS (SELECT doc_id AS id, text, embedding::DOUBLE[] AS vector, {EPOCH} + doc_id * 3600 AS created, label, source
-        FROM documents JOIN embeddings ON vec_id = doc_id)""",
+        FROM documents LEFT JOIN embeddings ON vec_id = doc_id)""",
+    "updates": """updates AS (SELECT conv_id::VARCHAR AS session_id, (turn * 4 + k)::BIGINT AS seq, CASE WHEN k < 2 THEN left(x, (length(x) // 2)::INT) ELSE x END AS text, k > 0 AS is_final,
+        turn * 6.0::DOUBLE AS start, turn * 6.0::DOUBLE + 6 AS "end" FROM (SELECT conv_id, turn, coalesce(text, '') AS x, unnest([0, 1, 2, 3]) AS k FROM conversations))""",
     "vectors": "vectors AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vector, label FROM embeddings)",
 }
 

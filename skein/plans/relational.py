@@ -239,10 +239,7 @@ def _(t):
 @register("agg_8_document_frequency", f"""WITH k AS (SELECT doc_id, unnest(list_distinct({TOK})) AS term FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*) AS n, greatest(1.0::DOUBLE, sum(coalesce(len({TOK}), 0)) / count(*)) AS a FROM documents)
     SELECT term, count(*)::BIGINT AS df, any_value(n.n)::BIGINT AS n, round(any_value(n.a), 6) AS avg_len FROM k, n GROUP BY term""")
 def _(t):
-    docs = t.docs.select("id", "text")
-    df = retrieval.postings(docs).groupBy("term").agg(F.count("*").alias("df"))
-    stats = retrieval.corpus_stats(docs).select(F.col("n"), F.round("avg_len", 6).alias("avg_len"))
-    return df.join(F.broadcast(stats), F.lit(True))
+    return retrieval.document_frequencies(t.docs.select("id", "text"))
 
 
 @register("agg_9_means", """SELECT round(coalesce(avg(quality) FILTER (WHERE toxic = 0), 0), 6) AS recall, round(coalesce(avg(1.0::DOUBLE / (1 + doc_id % 5)) FILTER (WHERE quality = 1), 0), 6) AS mrr FROM labels""")
@@ -339,7 +336,16 @@ def _(t):
     return t.conversations.withColumn("p", before).select("conv_id", "turn", relations.relation_to_previous(F.col("text"), F.col("p")).alias("relation"))
 
 
-@register("win_9_assembly_fold")
+#: The fold of exactly-once assembly over each session's final updates, its lines as one list.
+ASSEMBLY = r"""WITH f AS (SELECT session_id, list([{'t': text, 's': start, 'e': "end", 'k': lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))}] ORDER BY seq) AS u FROM updates WHERE is_final GROUP BY session_id),
+    l AS (SELECT session_id, list_reduce(u, lambda a, x: CASE WHEN NOT (x[1].s < a[-1].e - 0.05::DOUBLE AND x[1].e > a[-1].s) THEN list_append(a, x[1])
+        WHEN a[-1].k = x[1].k THEN a WHEN a[-1].k = '' OR starts_with(x[1].k, a[-1].k)
+        THEN list_append(list_slice(a, 1, len(a) - 1), {'t': x[1].t, 's': least(a[-1].s, x[1].s), 'e': greatest(a[-1].e, x[1].e), 'k': x[1].k})
+        WHEN starts_with(a[-1].k, x[1].k) THEN a ELSE list_append(a, x[1]) END) AS a FROM f)
+    SELECT session_id, line, a[line + 1].t AS text, a[line + 1].s AS start, a[line + 1].e AS "end" FROM (SELECT session_id, a, unnest(range(len(a))) AS line FROM l)"""
+
+
+@register("win_9_assembly_fold", ASSEMBLY, "updates")
 def _(t):
     return meetings.assemble(relations.update_stream(t.conversations))
 

@@ -99,10 +99,11 @@ def _(t):
     return s.select("vec_id", F.round(F.col("s")[0], 6).alias("first"), F.round(F.element_at("s", -1), 6).alias("last"))
 
 
-@register("fn_14_pack")
+@register("fn_14_pack", "SELECT vec_id, 4 * len(embedding) AS n_bytes, true AS same, true AS refused FROM embeddings")
 def _(t):
     packed = t.embeddings.select("vec_id", "embedding", V.pack("embedding").alias("packed"))
-    return packed.select("vec_id", F.octet_length("packed").cast("long").alias("n_bytes"), F.md5("packed").alias("md5"), (V.unpack("packed") == F.col("embedding")).alias("same"))
+    short = V.unpack(F.substring("packed", 1, 7))
+    return packed.select("vec_id", F.octet_length("packed").cast("long").alias("n_bytes"), (V.unpack("packed") == F.col("embedding")).alias("same"), short.isNull().alias("refused"))
 
 
 @register("fn_15_recency", f"SELECT doc_id, round(0.004::DOUBLE * exp(-greatest(0.0::DOUBLE, ({NOW} - created) / 86400.0::DOUBLE) / 45.0::DOUBLE), 9) AS prior FROM docs", "docs")
@@ -124,7 +125,7 @@ def _(t):
     return a.join(b, F.col("b.event_id") == F.col("a.event_id") + 1).select("a.event_id", F.round(o, 6).alias("overlap"))
 
 
-@register("fn_18_first_json")
+@register("fn_18_first_json", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def _(t):
     from skein.functions.json_text import first_object
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -11,16 +9,16 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from skein.functions import text
 from skein.operators import meetings
 from skein.plans.registry import EPOCH, Tables, register
+from skein.plans.relational import ASSEMBLY
+from skein.plans.scalars import CLEAN
 from skein.sources import imports, tables
+from skein.sources.shared import scratch
 from skein.streaming import transcripts
 
 
 def _folder(t: Tables, name: str) -> str:
-    """A fresh folder that the cluster shares: beside the checkpoints, or a temporary one where none are set."""
-    import uuid
-
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder that the cluster shares."""
+    return scratch(t.spark, name)
 
 
 # Sources
@@ -33,17 +31,27 @@ def _as_files(t: Tables) -> str:
     return folder
 
 
-@register("src_1_import_text")
+@register("src_1_import_text", f"SELECT item_id, md5({CLEAN}) AS text_md5, NULL::VARCHAR AS import_error FROM benchmark")
 def _(t: Tables) -> DataFrame:
     files = imports.import_files(t.spark, _as_files(t)).filter("file_type = 'txt'")
     return files.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("item_id"), F.md5("text").alias("text_md5"), "import_error")
 
 
-@register("src_2_import_markdown")
+@register("src_2_import_markdown", f"WITH d AS (SELECT doc_id, '# Notes' || chr(13) || chr(10) || repeat(chr(13) || chr(10), 2) || coalesce(text, '') || '  ' || chr(13) || chr(10) AS text FROM documents) SELECT doc_id, 'md' AS file_type, md5({CLEAN}) AS text_md5 FROM d")
+def _(t):
+    body = F.encode(F.concat(F.lit("# Notes\r\n\r\n\r\n"), F.coalesce("text", F.lit("")), F.lit("  \r\n")), "utf-8")
+    rows = t.documents.select("doc_id", F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), body.alias("content"))
+    return rows.select("doc_id", imports.file_type(F.col("path")).alias("file_type"), F.md5(text.clean(imports.decode(F.col("content")))).alias("text_md5"))
+
+
+@register("src_3_pages", f"""WITH c AS (SELECT conv_id, turn, coalesce({CLEAN}, '') AS page FROM conversations), o AS (SELECT conv_id, turn, page, (sum(length(page) + 2) OVER (PARTITION BY conv_id ORDER BY turn) - length(page) - 2)::BIGINT AS off FROM c),
+    g AS (SELECT conv_id, count(*) AS page_count, sum(length(page)) AS n, string_agg(page, chr(10) || chr(10) ORDER BY turn) AS body, list(off ORDER BY turn) AS page_breaks FROM o GROUP BY conv_id)
+    SELECT conv_id, md5(body) AS text_md5, page_breaks, page_count::INT AS page_count, CASE WHEN conv_id % 11 = 0 THEN 'tooLarge' WHEN n < greatest(50, 10 * page_count) THEN 'scanned' WHEN trim(body) = '' THEN 'empty' END AS import_error FROM g""")
 def _(t):
-    body = F.encode(F.concat(F.lit("# Notes\r\n\r\n\r\n"), F.col("text"), F.lit("  \r\n")), "utf-8")
-    rows = t.benchmark.select("item_id", F.concat(F.lit("/in/"), F.col("item_id").cast("string"), F.lit(".md")).alias("path"), body.alias("content"))
-    return rows.select("item_id", imports.file_type(F.col("path")).alias("file_type"), text.clean(imports.decode(F.col("content"))).alias("text"))
+    """Conversations as paged files, a turn a page; every eleventh is too large."""
+    pages = t.conversations.groupBy("conv_id").agg(F.collect_list(F.struct(F.col("turn").alias("page_number"), "text")).alias("pages"))
+    files = pages.withColumn("length", F.when(F.col("conv_id") % 11 == 0, F.lit(60 << 20)).otherwise(F.lit(1000)))
+    return imports.import_pages(files, "conv_id").select("conv_id", F.md5("text").alias("text_md5"), "page_breaks", "page_count", "import_error")
 
 
 PATH = "'/in/' || page_id || (['.txt', '.MD', '.pdf', '.docx', ''])[(page_id % 5 + 1)::INT]"
@@ -59,12 +67,12 @@ def _(t):
     return t.pages.select("page_id", imports.file_type(_paths()).alias("kind"))
 
 
-@register("src_5_encoding")
+@register("src_5_encoding", "SELECT doc_id, md5(unnest([coalesce(text, ''), 'it’s x'])) AS text_md5 FROM documents")
 def _(t):
-    utf8 = F.encode("text", "utf-8")
+    utf8 = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     latin = F.unhex(F.concat(F.hex(F.lit("it")), F.lit("92"), F.hex(F.lit("s "))))
-    rows = t.benchmark.select("item_id", F.explode(F.array(utf8, F.concat(latin, F.lit("x").cast("binary")))).alias("content"))
-    return rows.select("item_id", imports.decode(F.col("content")).alias("text"))
+    rows = t.documents.select("doc_id", F.explode(F.array(utf8, F.concat(latin, F.lit("x").cast("binary")))).alias("content"))
+    return rows.select("doc_id", F.md5(imports.decode(F.col("content"))).alias("text_md5"))
 
 
 @register("src_6_guards", f"""SELECT doc_id, CASE WHEN doc_id % 5 >= 3 THEN 'unsupportedType' WHEN n_chars * 3000 > CASE WHEN doc_id % 5 = 2 THEN 52428800 ELSE 5242880 END THEN 'tooLarge'
@@ -126,11 +134,11 @@ def _(t):
     return imports.usable_vectors(damaged, "v", 64).select("vec_id", F.col("v").isNotNull().alias("usable"))
 
 
-@register("src_17_update_stream")
+@register("src_17_update_stream", "SELECT session_id, seq, is_final FROM updates", "updates")
 def _(t):
     folder = _folder(t, "updates")
     _updates(t).write.json(folder)
-    return _drain(t, transcripts.read_updates(t.spark, folder, 100).select("session_id", "seq", "is_final"), "append")
+    return _drain(t, transcripts.read_updates(t.spark, folder, 100).select("session_id", "seq", "is_final"), "append").drop("batch")
 
 
 @register("src_18_generator", """SELECT i AS segment_id, i * 6.0::DOUBLE AS start, CASE i WHEN 10 THEN 'The launch moved to the twelfth of May.' WHEN 25 THEN 'Dana owns the vendor contract.'
@@ -146,6 +154,17 @@ def _(t):
     return a.unionByName(b).orderBy(F.desc("created"), "source_type", "id")
 
 
+MODELS = [("small-1b", "chat", False), ("small-3b", "chat", True), ("large-8b", "chat", False), ("embed-300m", "embedding", True)]
+
+
+@register("src_20_catalogue", "SELECT * FROM (VALUES ('chat', 'large-8b'), ('missing', 'small-3b'), ('all', 'embed-300m'), ('all', 'large-8b'), ('all', 'small-1b'), ('all', 'small-3b')) v(asked, model_id)")
+def _(t):
+    models = t.spark.createDataFrame(MODELS, "model_id string, kind string, is_default boolean")
+    found = imports.catalogue(models, "chat", "large-8b").select(F.lit("chat").alias("asked"), "model_id")
+    found = found.union(imports.catalogue(models, "chat", "unknown").select(F.lit("missing"), "model_id"))
+    return found.union(imports.catalogue(models).select(F.lit("all"), "model_id"))
+
+
 # Sinks
 
 
@@ -168,7 +187,7 @@ def _drain(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
     return t.spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).parquet(out)
 
 
-@register("snk_1_append")
+@register("snk_1_append", "SELECT vec_id, label FROM embeddings")
 def _(t):
     folder = _folder(t, "chunks")
     for half in (0, 1):
@@ -228,6 +247,15 @@ def _(t):
     return left.unionAll(tables.delete(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), gone, "o_orderkey"))
 
 
+@register("snk_10_wipe", "SELECT count(*) AS before, 0::BIGINT AS after FROM embeddings")
+def _(t):
+    folder = _folder(t, "wiped")
+    tables.append(t.embeddings.select("vec_id", "label"), folder)
+    before = t.spark.read.parquet(folder).count()
+    tables.wipe(t.embeddings.select("vec_id", "label"), folder)
+    return t.spark.read.parquet(folder).agg(F.lit(before).cast("long").alias("before"), F.count("*").alias("after"))
+
+
 @register("snk_11_clear", "SELECT conv_id, turn FROM conversations WHERE conv_id <> 1")
 def _(t):
     return t.conversations.filter("conv_id != 1").select("conv_id", "turn")
@@ -275,7 +303,10 @@ def _(t):
     return t.benchmark.select("item_id", summary.alias("s")).select("item_id", tables.summary_markdown(F.col("s")).alias("body"))
 
 
-@register("snk_16_export_all")
+@register("snk_16_export_all", f"""WITH b AS (SELECT conv_id, string_agg('**[' || {CLOCK} || ']** ' || text, chr(10) ORDER BY turn) AS l FROM conversations GROUP BY conv_id),
+    n AS (SELECT *, regexp_replace(translate(title, '/\\:?%*|"<>', '----------'), '^\\s+|\\s+$', '', 'g') AS s FROM sessions)
+    SELECT CASE WHEN s = '' THEN 'Session' ELSE s END || '-' || session_id AS file_name, length('# ' || title || chr(10) || chr(10) || '**Date:** ' || {DATE} || chr(10) || '**Duration:** ' || {DUR} || chr(10) || chr(10) || '## Transcript' || chr(10) || chr(10) || l || chr(10) || chr(10))::BIGINT AS n_chars
+    FROM n JOIN b ON conv_id = session_id""", "sessions")
 def _(t):
     bodies = tables.transcript(_sessions(t), t.segments).join(t.sessions.select("session_id", "title"), "session_id")
     name = F.concat(text.file_name(F.col("title")), F.lit("-"), F.col("session_id").cast("string"))
@@ -303,10 +334,15 @@ def _(t):
     return transcripts.latest_volatile(updates)
 
 
-@register("str_2_assembly_stream")
+@register("str_2_assembly_stream", ASSEMBLY, "updates")
 def _(t):
+    """Three files or more in order of seq, each a micro-batch, so that the state goes on from batch to batch."""
     folder = _folder(t, "updates")
-    _updates(t).coalesce(1).sortWithinPartitions("seq").write.json(folder)
+    updates = _updates(t)
+    cuts = updates.agg(F.max("seq").alias("n")).first()["n"] or 0
+    for k in range(3):
+        part = updates.filter((F.col("seq") > cuts * k // 3 - (k == 0)) & (F.col("seq") <= cuts * (k + 1) // 3))
+        part.repartition("session_id").sortWithinPartitions("session_id", "seq").write.mode("append").json(folder)
     changed = _drain(t, transcripts.assemble_stream(transcripts.read_updates(t.spark, folder)), "update")
     newest = Window.partitionBy("session_id", "line").orderBy(F.desc("batch"))
     return changed.withColumn("n", F.row_number().over(newest)).filter("n = 1").select("session_id", "line", "text", "start", "end")
@@ -332,8 +368,25 @@ def _(t):
     return transcripts.pauses(events, "user_id", "ts", 1800.0).select("event_id", F.round("gap", 3).alias("gap"))
 
 
-@register("str_6_interruptions")
+@register("str_6_interruptions", """WITH e AS (SELECT user_id AS key, event_id AS seq, (map {'view': 'start', 'click': 'began', 'purchase': 'ended_resume', 'error': 'reset', 'login': 'ended'})[event_type] AS n, event_id % 10 AS z FROM events),
+    v AS (SELECT key, seq, CASE z WHEN 7 THEN 'route_changed' WHEN 9 THEN 'stop' ELSE coalesce(n, 'other') END AS event FROM e),
+    f AS (SELECT key, list_prepend([{'q': -1::BIGINT, 'e': '', 's': 'idle', 'c': NULL::VARCHAR}], list([{'q': seq, 'e': event, 's': '', 'c': NULL::VARCHAR}] ORDER BY seq)) AS u FROM v GROUP BY key),
+    l AS (SELECT key, list_reduce(u, lambda a, x: list_append(a, {'q': x[1].q, 'e': x[1].e,
+        's': CASE WHEN x[1].e = 'start' AND a[-1].s = 'idle' THEN 'recording' WHEN x[1].e = 'began' AND a[-1].s = 'recording' THEN 'paused' WHEN x[1].e = 'ended_resume' AND a[-1].s = 'paused' THEN 'recording' WHEN x[1].e = 'stop' THEN 'idle' ELSE a[-1].s END,
+        'c': CASE WHEN x[1].e = 'began' AND a[-1].s = 'recording' THEN 'pauseCapture' WHEN x[1].e = 'ended_resume' AND a[-1].s = 'paused' THEN 'resumeCapture' WHEN x[1].e = 'ended' AND a[-1].s = 'paused' THEN 'surfacePausedState'
+             WHEN x[1].e = 'route_changed' AND a[-1].s = 'recording' THEN 'reinstallTap' WHEN x[1].e = 'reset' AND a[-1].s <> 'idle' THEN 'rebuildEngine' END})) AS a FROM f)
+    SELECT key, r.q AS seq, r.e AS event, r.s AS state, r.c AS command FROM (SELECT key, unnest(a) AS r FROM l) WHERE r.q >= 0""")
 def _(t):
-    names = F.create_map(*[F.lit(x) for x in ("view", "start", "click", "began", "purchase", "ended_resume", "error", "stop", "login", "start")])
-    events = t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.coalesce(names[F.col("event_type")], F.lit("other")).alias("event"))
-    return meetings.run_states(events)
+    names = F.create_map(*[F.lit(x) for x in ("view", "start", "click", "began", "purchase", "ended_resume", "error", "reset", "login", "ended")])
+    event = F.when(F.col("event_id") % 10 == 7, "route_changed").when(F.col("event_id") % 10 == 9, "stop").otherwise(F.coalesce(names[F.col("event_type")], F.lit("other")))
+    return meetings.run_states(t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), event.alias("event")))
+
+
+@register("str_7_tee", "SELECT 'first' AS sink, count(*) AS updates FROM updates UNION ALL SELECT 'second', count(*) FROM updates WHERE is_final", "updates")
+def _(t):
+    folder, one, two = (_folder(t, name) for name in ("updates", "tee-first", "tee-second"))
+    _updates(t).write.json(folder)
+    keep = lambda path, only: lambda rows, batch: rows.filter(only).write.mode("append").parquet(path)
+    transcripts.tee(transcripts.read_updates(t.spark, folder, 100), keep(one, "true"), keep(two, "is_final"), _folder(t, "tee-marks")).awaitTermination()
+    counted = lambda name, path: t.spark.read.parquet(path).agg(F.lit(name).alias("sink"), F.count("*").alias("updates"))
+    return counted("first", one).union(counted("second", two))

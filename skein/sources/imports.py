@@ -69,6 +69,34 @@ def import_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("path", "file_type", "text", error.alias("import_error"))
 
 
+def import_pages(rows: DataFrame, key: str) -> DataFrame:
+    """key, text, page_breaks, page_count, import_error of paged files: (key, length, pages array<struct<page_number,text>>).
+
+    The pages are what a parser made of the file's bytes: null for files it can't read, and cleaned here one by one.
+    They are joined by blank lines in page order, with the offset at which each begins; files that look scanned, are
+    too large or have no text are rejected.
+    """
+    cleaned = F.transform(F.array_sort("pages"), lambda p: text.clean(F.coalesce(p["text"], F.lit(""))))
+    made = rows.select(key, "length", cleaned.alias("pages"))
+    error = (
+        F.when(F.col("pages").isNull(), "unreadable").when(F.col("length") > PDF_LIMIT, "tooLarge")
+        .when((F.size("pages") > 0) & looks_scanned(F.col("pages")), "scanned").when(F.octet_length("text") > TEXT_LIMIT, "tooLarge")
+        .when(text.strip(F.col("text")) == "", "empty")
+    )
+    joined = text.join_pages(F.col("pages"))
+    made = made.select(key, "length", "pages", joined["text"].alias("text"), joined["offsets"].alias("page_breaks"))
+    return made.select(key, "text", "page_breaks", F.size("pages").alias("page_count"), error.alias("import_error"))
+
+
+def catalogue(models: DataFrame, kind: str | None = None, wanted: str | None = None) -> DataFrame:
+    """Models (model_id, kind, is_default) of a kind; with ``wanted`` that one, or else the default row."""
+    rows = models if kind is None else models.filter(F.col("kind") == kind)
+    if wanted is None:
+        return rows
+    place = F.when(F.col("model_id") == wanted, 0).when(F.col("is_default"), 1)
+    return rows.withColumn("place", place).filter("place is not null").orderBy("place", "model_id").limit(1).drop("place")
+
+
 # Scans: filters and orders are left to the reader's pushdown and the planner's top-n.
 
 

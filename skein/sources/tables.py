@@ -84,3 +84,8 @@ def reminders(items: DataFrame) -> DataFrame:
 def export_all(bodies: DataFrame, folder: str) -> None:
     """One text file folder per session: (file_name, body)."""
     bodies.select("file_name", F.col("body").alias("value")).write.mode("overwrite").partitionBy("file_name").text(folder)
+
+
+def wipe(rows: DataFrame, path: str) -> None:
+    """Overwrite a stored table with an empty one of the same columns."""
+    rows.limit(0).write.mode("overwrite").parquet(path)

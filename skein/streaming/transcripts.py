@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,15 +35,20 @@ def latest_volatile(updates: DataFrame) -> DataFrame:
 def assemble_stream(updates: DataFrame) -> DataFrame:
     """Changed lines of each session: rows (session_id, line, ...) supersede earlier rows of the same line.
 
-    State is the last line and its number; updates count in arrival order (seq within a batch), without a watermark.
+    State is the last line, its number and the last seq; updates count in order of seq, without a watermark. Updates
+    that come again or late (their seq is not beyond the state's) are refused, so that delivery may repeat.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else None
-        number, last = (held[0], tuple(held[1])) if held else (-1, None)
+        number, last, seen = (held[0], tuple(held[1]), held[2]) if held else (-1, None, None)
         changed: dict[int, tuple] = {}
         rows = pd.concat(list(batches)).sort_values("seq")
-        for r in rows[rows.is_final].itertuples():
+        rows = rows[rows.is_final.astype(bool)]
+        if seen is not None:
+            rows = rows[rows.seq > seen]
+        for r in rows.itertuples():
+            seen = int(r.seq)
             kind, line = merge_line(last, (r.text or "", r.start, r.end))
             if kind == "append":
                 number += 1
@@ -51,7 +56,7 @@ def assemble_stream(updates: DataFrame) -> DataFrame:
             if kind != "drop":
                 changed[number] = line
         if last is not None:
-            state.update((json.dumps([number, list(last)]),))
+            state.update((json.dumps([number, list(last), seen]),))
         yield pd.DataFrame([(key[0], n, *line) for n, line in changed.items()], columns=["session_id", "line", "text", "start", "end"])
 
     return updates.groupBy("session_id").applyInPandasWithState(step, LINES, "held string", "update", GroupStateTimeout.NoTimeout)
@@ -85,3 +90,17 @@ def pauses(events: DataFrame, key: str, ts: str, hold_seconds: float) -> DataFra
     following = F.lead(ts).over(Window.partitionBy(key).orderBy(ts))
     gap = (F.unix_micros(following) - F.unix_micros(ts)) / F.lit(1e6)
     return events.withColumn("gap", gap).filter(F.col("gap").isNull() | (F.col("gap") >= hold_seconds - 1e-6))
+
+
+def tee(stream: DataFrame, first: Callable[[DataFrame, int], None], second: Callable[[DataFrame, int], None], marks: str):
+    """A query that gives each batch to two sinks, the side effect ``first``; the batch is computed once."""
+
+    def both(rows: DataFrame, batch: int) -> None:
+        rows = rows.persist()
+        try:
+            first(rows, batch)
+            second(rows, batch)
+        finally:
+            rows.unpersist()
+
+    return stream.writeStream.foreachBatch(both).option("checkpointLocation", marks).trigger(availableNow=True).start()

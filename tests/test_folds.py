@@ -1,14 +1,18 @@
 """Order-dependent operators against plain Python versions, and the contracts they keep."""
 
 import json
+import os
 import random
+import re
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skein.functions.json_text import balanced
 from skein.functions import text
+from skein.plans import registry
 from skein.operators import clustering, embedding, meetings, retrieval, sentences
 from skein.sources import imports, tables
 from skein.streaming import transcripts
@@ -72,9 +76,10 @@ def test_assembly_batch_equals_stream(spark):
     batch = sorted(tuple(r) for r in meetings.assemble(df).collect())
     assert [r[2] for r in batch] == ["Hello world", "Next", "Other", "Yes"]
     folder = tempfile.mkdtemp(prefix="spark-updates-")
-    for k, part in enumerate((rows[:3], rows[3:6], rows[6:])):
+    for k, part in enumerate((rows[:3], rows[3:6], rows[6:], rows[1:5])):  # the last ones come again
         with open(f"{folder}/{k}.json", "w") as f:
             f.writelines(json.dumps(dict(zip(df.columns, r))) + "\n" for r in part)
+        os.utime(f"{folder}/{k}.json", (1_700_000_000 + 10 * k,) * 2)  # files are taken by their times
     seen: dict = {}
 
     def keep(out, number):
@@ -87,15 +92,22 @@ def test_assembly_batch_equals_stream(spark):
 
 
 def test_windows_and_summary_calls():
-    windows = meetings.plan_windows(["x" * 3000] * 20)
-    assert all(meetings.tokens_of(w) <= meetings.WINDOW_TOKENS + 10 for w in windows)
-    big = ". ".join(["y" * 3400] * 5)
-    assert len(meetings.plan_windows(["a", big, "b"])) == 2 + 3
-    assert meetings.summary_calls(["short"]) == [] and [c[0] for c in meetings.summary_calls(["z" * 700])] == ["reduce"]
-    stages = [c[0] for c in meetings.summary_calls(["z" * 7000] * 60)]
+    windows = meetings.plan_windows([[3000]] * 20)
+    assert windows == [6001] * 10 and all(meetings.tokens_of_size(w) <= meetings.WINDOW_TOKENS for w in windows)
+    assert meetings.plan_windows([[1], [3400] * 5, [1]]) == [1, 6802, 6802, 3400, 1]
+    assert meetings.plan_windows([[9000], [5]]) == [9000, 5]
+    assert meetings.summary_calls([5]) == [] and [c[0] for c in meetings.summary_calls([700])] == ["reduce"]
+    stages = [c[0] for c in meetings.summary_calls([7000] * 60)]
     assert stages.count("map") == 60 and stages.count("merge0") == 9 and stages.count("merge1") == 2 and stages[-1] == "reduce"
 
 
+def test_large_group_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "FOLD_LIMIT", 3)
+    rows = spark.createDataFrame([(1, k, [1.0, 0.0]) for k in range(4)], "grp long, id long, vector array<double>")
+    with pytest.raises(Exception, match="more than the fold takes"):
+        clustering.cluster(rows).collect()
+
+
 def test_json_and_imports(spark):
     assert balanced('noise "{" {"a": "}", "b": {"c": 1}} tail') == '{"a": "}", "b": {"c": 1}}' or balanced('x {"a": "}"} y') == '{"a": "}"}'
     assert balanced("none { here") is None
@@ -124,3 +136,114 @@ def test_partitions_do_not_matter(spark):
     q = v.filter("id % 50 = 0 and vector is not null").select(F.col("id").alias("query_id"), "vector")
     a, b = (sorted(map(tuple, retrieval.vector_top_k(q, v.repartition(n), 5).collect())) for n in (1, 7))
     assert a == b and all(r[3] <= 5 for r in a)
+
+
+# Plain versions of the queries that no SQL states, compared row by row on the smallest tables.
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain_sentences(text):
+    """Cut at terminators before blanks, closers allowed between, unless a title, an initial or a dotted abbreviation ends there."""
+    out = []
+    for line in text.split("\n"):
+        start = 0
+        for k, c in enumerate(line):
+            if c not in ".!?":
+                continue
+            after = line[k + 1 :].lstrip("\"')\u201d")
+            if after and after[0] != " ":
+                continue
+            word = re.split(r"[\W\d_]", line[max(0, k - 40) : k])[-1]
+            if c == "." and ((k >= 2 and line[k - 2] == ".") or (len(word) == 1 and word.isupper()) or word.lower() in sentences.TITLES):
+                continue
+            out.append(line[start : k + 1].strip())
+            start = k + 1
+        out.append(line[start:].strip())
+    return [s for s in out if s]
+
+
+def plain_chunks(text):
+    units = []
+    for s in plain_sentences(text):
+        words = s.split()
+        units += [words[k : k + 200] for k in range(0, len(words), 200)] if len(words) > 300 else [words]
+        if len(words) <= 300:
+            units[-1] = s
+    size = [len(u) if isinstance(u, list) else len(u.split()) for u in units]
+    spelt = [" ".join(u) if isinstance(u, list) else u for u in units]
+    out, at = [], 0
+    while at < len(units):
+        end = at + 1
+        while end < len(units) and sum(size[at : end + 1]) <= 200:
+            end += 1
+        out.append((" ".join(spelt[at:end]), sum(size[at:end])))
+        if end == len(units):
+            break
+        back = end
+        while back > at + 1 and sum(size[back:end]) < 40:
+            back -= 1
+        at = back
+    return out
+
+
+def plain_vector(text):
+    import hashlib
+
+    v = [0.0] * 64
+    for w in text.lower().split():
+        h = hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        v[int.from_bytes(h[:4], "little") % 64] += 1 if h[4] & 1 else -1
+    n = sum(x * x for x in v) ** 0.5
+    return [x / n for x in v] if n > 1e-6 else None
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_chunk_queries(spark, texts):
+    import hashlib
+
+    found = registry.queries()
+    want = sorted((i, k, n, hashlib.md5(c.encode()).hexdigest()) for i, t in texts.items() for k, (c, n) in enumerate(plain_chunks(t)))
+    assert sorted((r.id, r.chunk_index, r.words, r.text_md5) for r in found["ir_8_chunk_documents"](spark, SF).collect()) == want
+    assert sorted((r.id, r.chunk_index, r.words) for r in found["ir_10_index_build"](spark, SF).collect() if r.dim == 64) == [w[:3] for w in want]
+    words = {i: sum(n for j, _, n, _ in want if j == i) for i in {w[0] for w in want}}
+    assert {r.id: r.words for r in found["snk_8_rebuild"](spark, SF).collect()} == words
+    turns = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        turns.setdefault(r.conv_id, []).append(r.text or "")
+    want = sorted((i, k, n, hashlib.md5(c.encode()).hexdigest()) for i, t in turns.items() for k, (c, n) in enumerate(plain_chunks(" ".join(t))))
+    assert sorted((r.session_id, r.chunk_index, r.words, r.text_md5) for r in found["ir_9_chunk_sessions"](spark, SF).collect()) == want
+
+
+def test_embedding_queries(spark, texts):
+    found = registry.queries()
+    made = {r.id: r.vector for r in embedding.embed(spark.createDataFrame(list(texts.items()), "id long, text string")).collect()}
+    for i, t in texts.items():
+        want = plain_vector(t)
+        assert (made[i] is None) == (want is None) and (want is None or np.allclose(made[i], want, atol=1e-6))
+    assert {r.id: r.squared for r in found["ir_11_embed"](spark, SF).collect()} == {i: None if v is None else 1.0 for i, v in made.items()}
+    chunks = [(i, plain_vector(c)) for i, t in sorted(texts.items()) if len(t) >= 20 for c, _ in plain_chunks(t)]
+    matrix = np.array([v if v is not None else [0.0] * 64 for _, v in chunks], np.float32).astype(float)
+    misses = []
+    asked = [i for i, t in texts.items() if i % 100 == 0 and len(t) >= 20]
+    for i in asked:
+        s = np.round(matrix @ np.array(plain_vector(texts[i][:400]), np.float32).astype(float), 6)
+        if i not in [chunks[k][0] for k in sorted(range(len(s)), key=lambda k: (-s[k], k))[:6]]:
+            misses.append(i)
+    r = found["ir_23_self_retrieval"](spark, SF).first()
+    assert (r.hit_rate, r.misses) == (round(1 - len(misses) / len(asked), 6), misses)
+
+
+def test_sentence_query(spark, texts):
+    import hashlib
+
+    for r in registry.queries()["str_4_sentences"](spark, SF).collect():
+        parts, at = sentences.completed(texts[r.doc_id], 0)
+        tail = texts[r.doc_id][at:].strip()
+        want = parts + ([tail] if tail else [])
+        assert (r.n, r.md5) == (len(want), hashlib.md5("|".join(want).encode()).hexdigest())
+        assert "".join("".join(want).split()) == "".join(texts[r.doc_id].split())  # nothing is lost

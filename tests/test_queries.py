@@ -9,6 +9,8 @@ from skein.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Queries without SQL: tests/test_folds.py compares their rows with plain versions.
+PLAIN = {"ir_8_chunk_documents", "ir_9_chunk_sessions", "ir_10_index_build", "ir_11_embed", "ir_23_self_retrieval", "snk_8_rebuild", "str_4_sentences"}
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
 
@@ -34,7 +36,7 @@ def test_query(spark, duck, name):
     names = sorted(df.columns)
     got = sorted(repr([plain(r[c]) for c in names]) for r in df.collect())
     if name not in ORACLES:
-        assert got
+        assert got and name in PLAIN
         return
     done = duck.execute(ORACLES[name])
     columns = [d[0] for d in done.description]
