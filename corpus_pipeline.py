@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, near-duplicates, personal data, source mixing, SentencePiece encoding.
 
 Each stage takes all that its predecessor kept and returns it changed; all but the last return the columns of
-``documents``. ``run`` writes each stage's rows as Parquet in the shared folder and reads them again for the next.
+``documents``. ``run`` writes each stage's rows as Parquet in the shared folder, reads them again for the next, and
+then removes what the stage and its predecessor left there.
 No stage can be put as SQL that gives equal rows (a trained classifier, similarity components, keyed permutations),
 so ORACLE_SQL is None and tests/llm/test_pipeline.py compares the stages with plain Python versions.
 """
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import mixing, near_dups, pieces, pii, toxicity
-from skein.llm.common import read, scratch
+from skein.llm.common import read
+from skein.sources.shared import recorded, remove, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        path = scratch(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with recorded() as left:
+            path = scratch(spark, f"pipeline-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        remove(spark, before + [p for p in left if p != path])
+        before = [path]
     return docs

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_THREAD = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where none is set, a temporary one, but only for a local master."""
@@ -21,7 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for seen in getattr(_THREAD, "recorders", ()):
+        seen.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that this thread takes in the shared folder meanwhile."""
+    _THREAD.recorders = [*getattr(_THREAD, "recorders", ()), []]
+    try:
+        yield _THREAD.recorders[-1]
+    finally:
+        _THREAD.recorders = _THREAD.recorders[:-1]
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables of the shared folder, once nothing reads them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
