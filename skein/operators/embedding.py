@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.sentences import chunk_documents
+from skein.operators.sentences import CHUNK_FIELDS, Chunker, chunk_batch, chunk_text
 
 DIMENSION = 64
 
@@ -32,21 +32,35 @@ def hashed_embedding(text: str) -> np.ndarray | None:
     return v / n if n > 1e-6 else None
 
 
+def _vectors(texts: pa.Array, provider: Callable[[str], np.ndarray | None]) -> pa.Array:
+    made = [None if t is None else provider(t) for t in texts.to_pylist()]
+    return pa.array([None if v is None else v.astype(np.float32) for v in made], pa.list_(pa.float32()))
+
+
 def embed(rows: DataFrame, provider: Callable[[str], np.ndarray | None] = hashed_embedding) -> DataFrame:
     """``rows`` with a vector of each text (null where the provider has none); any provider from text to vector serves."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [None if t is None else provider(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            vectors = pa.array([None if v is None else v.astype(np.float32) for v in made], pa.list_(pa.float32()))
+            vectors = _vectors(batch.column(batch.schema.get_field_index("text")), provider)
             yield pa.RecordBatch.from_arrays([*batch.columns, vectors], [*batch.schema.names, "vector"])
 
     return rows.mapInArrow(run, f"{fields}, vector array<float>")
 
 
-def index_documents(docs: DataFrame, provider: Callable[[str], np.ndarray | None] = hashed_embedding) -> DataFrame:
-    """id, chunk_index, text, words, page_number, vector of documents (id, text), without a shuffle."""
+def index_documents(docs: DataFrame, provider: Callable[[str], np.ndarray | None] = hashed_embedding, chunker: Chunker = chunk_text) -> DataFrame:
+    """id, chunk_index, text, words, page_number, vector of documents (id, text): chunked and embedded in one step, without a shuffle."""
     if "page_breaks" not in docs.columns:
         docs = docs.withColumn("page_breaks", F.array(F.lit(0)))
-    return embed(chunk_documents(docs), provider)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                row, columns = chunk_batch(part, chunker)
+                names = ["id", "chunk_index", "text", "words", "page_number", "vector"]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), *columns, _vectors(columns[1], provider)], names)
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text", F.col("page_breaks").cast("array<bigint>")).mapInArrow(run, f"id {kind}, {CHUNK_FIELDS}, vector array<float>")

@@ -77,22 +77,23 @@ def top_per_query(scored: DataFrame, k: int | None) -> DataFrame:
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors (id, vector) packed by length into pieces: their number, length, ids and components as bytes."""
-    held: dict[int, list] = {}
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def packed(size: int) -> pa.RecordBatch:
-        ids, v = zip(*held.pop(size), strict=True)
-        columns = [pa.array([len(ids)], pa.int32()), pa.array([size], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.concatenate(v).astype("<f8").tobytes()], pa.binary())]
+        ids, v = (np.concatenate(x) for x in zip(*held.pop(size), strict=True))
+        columns = [pa.array([len(ids)], pa.int32()), pa.array([size], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([v.astype("<f8").tobytes()], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["n", "size", "ids", "v"])
 
     for batch in batches:
-        vectors = batch.column(1)
+        ids, vectors = batch.column(0), batch.column(1)
         bounds, flat = np.asarray(vectors.offsets), np.asarray(vectors.values.fill_null(float("nan")), float)
-        for k, i in enumerate(batch.column(0).to_pylist()):
-            size = int(bounds[k + 1] - bounds[k])
-            if size and vectors.is_valid()[k].as_py() and i is not None:
-                held.setdefault(size, []).append((i, flat[bounds[k] : bounds[k + 1]].copy()))
-                if len(held[size]) == PIECE:
-                    yield packed(size)
+        usable = np.asarray(ids.is_valid()) & np.asarray(vectors.is_valid()) & (np.diff(bounds) > 0)
+        ids = np.asarray(ids.fill_null(0), np.int64)
+        for size in np.unique(np.diff(bounds)[usable]).tolist():
+            at = np.flatnonzero(usable & (np.diff(bounds) == size))
+            held.setdefault(size, []).append((ids[at], flat[bounds[at][:, None] + np.arange(size)]))
+            if sum(len(x) for x, _ in held[size]) >= PIECE:
+                yield packed(size)
     for size in list(held):
         yield packed(size)
 

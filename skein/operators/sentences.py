@@ -7,6 +7,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,21 +97,19 @@ Chunker = Callable[[str], list[tuple[str, int, int]]]
 CHUNKS = "array<struct<chunk_index:bigint,text:string,words:bigint,page_number:bigint,timestamp:double>>"
 
 
-def _chunk_document(chunker: Chunker) -> Callable:
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        """Chunks of (text, page start offsets)."""
-        for texts, breaks in parts:
-            out = []
-            for text, starts in zip(texts, breaks, strict=True):
-                starts = [] if starts is None else [int(x) for x in starts]
-                pages = list(range(1, len(starts) + 1))
-                out.append([
-                    {"chunk_index": k, "text": c, "words": n, "page_number": as_of(starts, pages, at), "timestamp": None}
-                    for k, (c, at, n) in enumerate(chunker(text or ""))
-                ])
-            yield pd.Series(out)
-
-    return run
+def chunk_batch(batch: pa.RecordBatch, chunker: Chunker) -> tuple[pa.Array, list[pa.Array]]:
+    """Chunks of a batch (id, text, page start offsets): the row each belongs to, and chunk_index, text, words, page_number."""
+    rows, out = [], []
+    texts, breaks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+    for k, (text, starts) in enumerate(zip(texts, breaks, strict=True)):
+        starts = starts or []
+        pages = list(range(1, len(starts) + 1))
+        made = [(n, c, words, as_of(starts, pages, at)) for n, (c, at, words) in enumerate(chunker(text or ""))]
+        rows += [k] * len(made)
+        out += made
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+    columns = zip(*out, strict=True) if out else ((),) * 4
+    return pa.array(rows, pa.int64()), [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
 
 
 def _chunk_segments(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -141,10 +140,6 @@ def _sentences(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
-def chunk_document(text, page_breaks, chunker: Chunker = chunk_text) -> Column:
-    return F.pandas_udf(_chunk_document(chunker), CHUNKS)(text, page_breaks)
-
-
 def chunk_segments(texts, starts) -> Column:
     return F.pandas_udf(_chunk_segments, CHUNKS)(texts, starts)
 
@@ -153,10 +148,20 @@ def sentences(text) -> Column:
     return F.pandas_udf(_sentences, "array<string>")(text)
 
 
+#: Columns of a chunk beside the document's id.
+CHUNK_FIELDS = "chunk_index long, text string, words long, page_number long"
+
+
 def chunk_documents(docs: DataFrame, chunker: Chunker = chunk_text) -> DataFrame:
     """id, chunk_index, text, words, page_number of documents (id, text, page_breaks); any chunker serves."""
-    made = docs.select("id", F.explode(chunk_document("text", "page_breaks", chunker)).alias("c"))
-    return made.select("id", "c.chunk_index", "c.text", "c.words", "c.page_number")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, columns = chunk_batch(batch, chunker)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *columns], ["id", "chunk_index", "text", "words", "page_number"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text", F.col("page_breaks").cast("array<bigint>")).mapInArrow(run, f"id {kind}, {CHUNK_FIELDS}")
 
 
 def chunk_sessions(segments: DataFrame) -> DataFrame:
