@@ -356,10 +356,10 @@ def _(t):
     return relations.active_time(t.events, "user_id", "ts", "event_id", F.col("event_type") != "error")
 
 
-@register("win_11_pages", """WITH o AS (SELECT item_id, text, unnest([0, 40, 90]) AS off FROM benchmark), n AS (SELECT *, lead(off) OVER (PARTITION BY item_id ORDER BY off) AS nxt FROM o)
-    SELECT item_id, off::BIGINT AS off, substr(text, off + 1, coalesce(nxt, length(text)) - off) AS page FROM n WHERE off < length(text)""")
+@register("win_11_pages", """WITH o AS (SELECT doc_id, text, unnest([0, 40, 90]) AS off FROM documents), n AS (SELECT *, lead(off) OVER (PARTITION BY doc_id ORDER BY off) AS nxt FROM o)
+    SELECT doc_id, off::BIGINT AS off, substr(text, off + 1, coalesce(nxt, length(text)) - off) AS page FROM n WHERE off < length(text)""")
 def _(t):
-    return relations.split_pages(t.benchmark.select("item_id", "text", F.array(*[F.lit(x) for x in (0, 40, 90)]).alias("breaks")), "item_id")
+    return relations.split_pages(t.documents.select("doc_id", "text", F.array(*[F.lit(x) for x in (0, 40, 90)]).alias("breaks")), "doc_id")
 
 
 # Top-k and sets
@@ -404,18 +404,18 @@ def _(t):
     return t.conversations.select("conv_id", "turn", F.round(scores.coverage(words, text.tokenize(F.col("text"))), 6).alias("coverage"))
 
 
-@register("set_3_distinct_terms", f"SELECT item_id, len(list_distinct({TOK}))::BIGINT AS terms FROM benchmark")
+@register("set_3_distinct_terms", f"SELECT doc_id, len(list_distinct({TOK}))::BIGINT AS terms FROM documents")
 def _(t):
-    return t.benchmark.select("item_id", F.size(F.array_distinct(text.tokenize(F.col("text")))).cast("long").alias("terms"))
+    return t.documents.select("doc_id", F.size(F.array_distinct(text.tokenize(F.col("text")))).cast("long").alias("terms"))
 
 
-@register("set_4_disjoint", f"SELECT item_id, NOT list_has_any({TOK}, {CONTEXT}) AS disjoint_ FROM benchmark")
+@register("set_4_disjoint", f"SELECT doc_id, NOT list_has_any({TOK}, {CONTEXT}) AS disjoint_ FROM documents")
 def _(t):
     context = F.array(*[F.lit(w) for w in predicates.CONTEXT_WORDS])
-    return t.benchmark.select("item_id", (~F.arrays_overlap(text.tokenize(F.col("text")), context)).alias("disjoint_"))
+    return t.documents.select("doc_id", (~F.arrays_overlap(text.tokenize(F.col("text")), context)).alias("disjoint_"))
 
 
-@register("set_5_except", f"""SELECT item_id, len(list_filter(list_distinct({TOK}), lambda x: NOT list_contains({CONTEXT}, x)))::BIGINT AS others FROM benchmark""")
+@register("set_5_except", f"""SELECT doc_id, len(list_filter(list_distinct({TOK}), lambda x: NOT list_contains({CONTEXT}, x)))::BIGINT AS others FROM documents""")
 def _(t):
     context = F.array(*[F.lit(w) for w in predicates.CONTEXT_WORDS])
-    return t.benchmark.select("item_id", F.size(F.array_except(text.tokenize(F.col("text")), context)).cast("long").alias("others"))
+    return t.documents.select("doc_id", F.size(F.array_except(text.tokenize(F.col("text")), context)).cast("long").alias("others"))

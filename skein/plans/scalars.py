@@ -44,9 +44,9 @@ def _(t):
     return t.documents.select("doc_id", text.preview(F.col("text")).alias("preview"))
 
 
-@register("fn_6_normal_key", r"SELECT item_id, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS key FROM benchmark")
+@register("fn_6_normal_key", r"SELECT doc_id, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS key FROM documents")
 def _(t):
-    return t.benchmark.select("item_id", text.normal_key(F.col("text")).alias("key"))
+    return t.documents.select("doc_id", text.normal_key(F.col("text")).alias("key"))
 
 
 CLOCK = "printf('%02d:%02d:%02d', {s} // 3600, ({s} // 60) % 60, {s} % 60)"
@@ -133,11 +133,11 @@ def _(t):
     return t.events.select("event_id", F.from_json(first_object(noisy), "k bigint")["k"].alias("k"))
 
 
-@register("fn_19_list_markers", r"""SELECT item_id, list_filter(list_transform(string_split('1. ' || text || chr(10) || '- ' || text || chr(10) || ' ', chr(10)),
-    lambda x: trim(regexp_replace(x, '^[\p{N}.)\-• ]+', ''))), lambda x: x <> '') AS lines FROM benchmark""")
+@register("fn_19_list_markers", r"""SELECT doc_id, list_filter(list_transform(string_split('1. ' || text || chr(10) || '- ' || text || chr(10) || ' ', chr(10)),
+    lambda x: trim(regexp_replace(x, '^[\p{N}.)\-• ]+', ''))), lambda x: x <> '') AS lines FROM documents""")
 def _(t):
     listed = F.concat(F.lit("1. "), F.col("text"), F.lit("\n- "), F.col("text"), F.lit("\n "))
-    return t.benchmark.select("item_id", text.strip_list_markers(listed).alias("lines"))
+    return t.documents.select("doc_id", text.strip_list_markers(listed).alias("lines"))
 
 
 @register("fn_20_json_decode", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 0::BIGINT AS broken FROM events")
@@ -162,10 +162,10 @@ def _(t):
     return t.conversations.select("conv_id", "turn", text.numbered(n, F.col("text")).alias("passage"))
 
 
-@register("fn_23_sections", r"""SELECT item_id, concat_ws(chr(10) || chr(10), 'Facts', nullif(CASE WHEN item_id % 2 = 0 THEN '' ELSE 'Context' END, ''), text) AS prompt FROM benchmark""")
+@register("fn_23_sections", r"""SELECT doc_id, concat_ws(chr(10) || chr(10), 'Facts', nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'Context' END, ''), text) AS prompt FROM documents""")
 def _(t):
-    context = F.when(F.col("item_id") % 2 == 0, F.lit(" ")).otherwise(F.lit("Context"))
-    return t.benchmark.select("item_id", text.sections(F.lit("Facts"), context, F.col("text")).alias("prompt"))
+    context = F.when(F.col("doc_id") % 2 == 0, F.lit(" ")).otherwise(F.lit("Context"))
+    return t.documents.select("doc_id", text.sections(F.lit("Facts"), context, F.col("text")).alias("prompt"))
 
 
 @register("fn_24_word_count", r"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS words FROM documents")
@@ -173,10 +173,10 @@ def _(t):
     return t.documents.select("doc_id", F.when(F.col("text").isNotNull(), text.word_count(F.col("text"))).alias("words"))
 
 
-@register("fn_25_halves", """SELECT item_id, CASE WHEN len(p) > 1 THEN array_to_string(p[1:len(p) // 2], '. ') ELSE left(text, (length(text) // 2)::INT) END AS head,
-    CASE WHEN len(p) > 1 THEN array_to_string(p[len(p) // 2 + 1:], '. ') ELSE substr(text, (length(text) // 2)::INT + 1) END AS tail FROM (SELECT item_id, text, string_split(text, '. ') AS p FROM benchmark)""")
+@register("fn_25_halves", """SELECT doc_id, CASE WHEN len(p) > 1 THEN array_to_string(p[1:len(p) // 2], '. ') ELSE left(text, (length(text) // 2)::INT) END AS head,
+    CASE WHEN len(p) > 1 THEN array_to_string(p[len(p) // 2 + 1:], '. ') ELSE substr(text, (length(text) // 2)::INT + 1) END AS tail FROM (SELECT doc_id, text, string_split(text, '. ') AS p FROM documents)""")
 def _(t):
-    return t.benchmark.select("item_id", text.halves(F.col("text")).alias("h")).select("item_id", F.col("h")[0].alias("head"), F.col("h")[1].alias("tail"))
+    return t.documents.select("doc_id", text.halves(F.col("text")).alias("h")).select("doc_id", F.col("h")[0].alias("head"), F.col("h")[1].alias("tail"))
 
 
 @register("fn_26_percent", "SELECT source, round(avg(CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100)::INT || '%' AS english FROM documents GROUP BY source")

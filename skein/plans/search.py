@@ -295,10 +295,10 @@ def _(t):
     return store.count()
 
 
-@register("ext_5_token_counter", "SELECT item_id, len(regexp_extract_all(text, '\\S+'))::BIGINT AS used FROM benchmark")
+@register("ext_5_token_counter", "SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::BIGINT AS used FROM documents")
 def _(t):
-    packed = retrieval.pack_budget(t.benchmark, "item_id", [F.col("text")], text.word_count(F.col("text")), 1_000_000)
-    return packed.select("item_id", "used")
+    packed = retrieval.pack_budget(t.documents, "doc_id", [F.col("text")], text.word_count(F.col("text")), 1_000_000)
+    return packed.select("doc_id", "used")
 
 
 @register("ext_2_chunker", """WITH c AS (SELECT doc_id AS id, text, unnest(range((length(text) + 499) // 500)) AS chunk_index FROM documents)

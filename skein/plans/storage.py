@@ -290,17 +290,17 @@ def _(t):
     return tables.transcript(_sessions(t), t.segments, markdown=False)
 
 
-@register("snk_15_summary", """SELECT item_id, text || chr(10) || chr(10) || CASE WHEN item_id % 2 = 0 THEN '**Key Decisions**' || chr(10) || '- ' || text || chr(10) || chr(10) ELSE '' END ||
-    '**Action Items**' || chr(10) || '- call' || CASE WHEN item_id % 3 = 0 THEN ' (Dana)' ELSE '' END || chr(10) || '- write' || chr(10) AS body FROM benchmark""")
+@register("snk_15_summary", """SELECT doc_id, text || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '**Key Decisions**' || chr(10) || '- ' || text || chr(10) || chr(10) ELSE '' END ||
+    '**Action Items**' || chr(10) || '- call' || CASE WHEN doc_id % 3 = 0 THEN ' (Dana)' ELSE '' END || chr(10) || '- write' || chr(10) AS body FROM documents""")
 def _(t):
     none = F.array().cast("array<string>")
-    owner = F.when(F.col("item_id") % 3 == 0, F.lit("Dana"))
+    owner = F.when(F.col("doc_id") % 3 == 0, F.lit("Dana"))
     summary = F.struct(
-        F.col("text").alias("overview"), F.when(F.col("item_id") % 2 == 0, F.array("text")).otherwise(none).alias("key_decisions"),
+        F.col("text").alias("overview"), F.when(F.col("doc_id") % 2 == 0, F.array("text")).otherwise(none).alias("key_decisions"),
         F.array(F.struct(F.lit("call").alias("text"), owner.alias("owner")), F.struct(F.lit("write").alias("text"), F.lit(None).cast("string").alias("owner"))).alias("action_items"),
         none.alias("risks"), none.alias("open_questions"),
     )
-    return t.benchmark.select("item_id", summary.alias("s")).select("item_id", tables.summary_markdown(F.col("s")).alias("body"))
+    return t.documents.select("doc_id", summary.alias("s")).select("doc_id", tables.summary_markdown(F.col("s")).alias("body"))
 
 
 @register("snk_16_export_all", f"""WITH b AS (SELECT conv_id, string_agg('**[' || {CLOCK} || ']** ' || text, chr(10) ORDER BY turn) AS l FROM conversations GROUP BY conv_id),
