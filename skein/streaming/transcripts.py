@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -63,11 +64,19 @@ def assemble_stream(updates: DataFrame) -> DataFrame:
 
 
 def running_text(updates: DataFrame) -> DataFrame:
-    """session_id, seq, combined: all finals so far and the current volatile text."""
-    order = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    spoken = F.array_join(F.collect_list(F.when(F.col("is_final"), F.col("text"))).over(order), " ")
-    combined = F.trim(F.concat(spoken, F.lit(" "), F.when(F.col("is_final"), F.lit("")).otherwise(F.col("text"))))
-    return updates.select("session_id", "seq", combined.alias("combined"))
+    """session_id, seq, combined: all finals so far and the current volatile text, by one fold over a session's updates."""
+
+    def fold(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("seq", "is_final", "text")), strict=True), key=lambda r: r[0])
+        said, combined = "", []
+        for _, final, text in rows:
+            if final and text is not None:
+                said = f"{said} {text}" if said else text
+            combined.append(said.strip(" ") if final else None if text is None else f"{said} {text}".strip(" "))
+        sessions = table.column("session_id").combine_chunks()[0].as_py()
+        return pa.table({"session_id": pa.array([sessions] * len(rows), pa.string()), "seq": pa.array([r[0] for r in rows], pa.int64()), "combined": pa.array(combined, pa.string())})
+
+    return updates.select("session_id", F.col("seq").cast("long"), "is_final", "text").groupBy("session_id").applyInArrow(fold, "session_id string, seq long, combined string")
 
 
 def sentence_stream(snapshots: DataFrame) -> DataFrame:
