@@ -44,8 +44,8 @@ DENSE_TIMES, DENSE_RATE = 2, 1.0
 LABEL_SAY = 2.0
 COVERS = 3
 LETTERS = re.compile(r"[^\W\d_]+")
-MASKED = re.compile(r"[A-Za-z]{1,12}[*#@$%]{2,}[A-Za-z]")
-DRAWN_OUT = re.compile(r"([a-z])\1{3}")
+MASKED = re.compile(r"(?<=[A-Za-z])[*#@$%]{2,}[A-Za-z]")
+DRAWN_OUT = tuple(4 * c for c in "abcdefghijklmnopqrstuvwxyz")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -108,8 +108,9 @@ class Matcher:
 
 def patterns(text: str) -> tuple[int, ...]:
     """Surface patterns: shouting, repeated exclamation marks, words with masked letters, drawn-out letters."""
-    shouting = len(text) > 20 and text.upper() == text and text.lower() != text
-    return int(shouting), int("!!" in text), int(bool(MASKED.search(text))), int(bool(DRAWN_OUT.search(text.lower())))
+    lower = text.lower()
+    shouting = len(text) > 20 and lower != text and text.upper() == text
+    return int(shouting), int("!!" in text), int(bool(MASKED.search(text))), int(any(x in lower for x in DRAWN_OUT))
 
 
 NO_MARKS = patterns("")
