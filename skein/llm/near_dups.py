@@ -15,7 +15,8 @@ are compared in cells of bounded size. Components are the connected components o
 
 Null or empty texts, or texts without words, have no shingles and are linked with nothing. Equal rows share their
 component. Rows with a null doc_id join the component of equal or similar texts but never name one; alone, their
-component is null and they are kept. Other columns are ignored or passed through. Nothing is dropped, sampled or capped.
+component is null and they are kept. A doc_id names one text: where rows with different texts share one, links of either
+text's nodes are confirmed on one of them, always the same. Other columns are ignored or passed through. Nothing is dropped, sampled or capped.
 """
 
 from __future__ import annotations
@@ -485,7 +486,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     large = hot.select("rep", "size", "node").union(large).groupBy("rep").agg(F.max(F.struct("size", "node")).alias("x"))
     large = stored(large.select(F.col("x.node").alias("node"), "rep"), "dup-large")
     wanted = loose.select(F.col("id").alias("rep")).union(large.select("rep")).distinct()
-    sets = stored(_full_sets(docs, stored(wanted, "dup-wanted")).groupBy("rep").agg(F.first("set").alias("set")), "dup-sets")
+    sets = stored(_full_sets(docs, stored(wanted, "dup-wanted")).groupBy("rep").agg(F.max("set").alias("set")), "dup-sets")
 
     small = loose.filter(F.col("members") <= SMALL).select(F.col("component").alias("key"), F.col("id").alias("rep"))
     links = _confirmed(small.join(sets, "rep").select("key", "rep", "set"), percent)
