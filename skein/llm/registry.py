@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import html_text, media, mixing, mtree, near_dups, pieces, pii, token_counts, toxicity, warc
+from skein.llm import html_text, media, mixing, mtree, near_dups, periodic_runs, pieces, pii, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_near_duplicates": near_dups.op8_near_duplicates,
         "op9_media_webp": media.op9_media_webp,
         "op10_piece_encode": pieces.op10_piece_encode,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
 
@@ -40,5 +41,31 @@ NEAR_DUP_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_a
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept FROM s JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = s.doc_id"""
 
 
+def crc32_sql(key: str) -> str:
+    """CRC-32 of an ASCII string, unsigned: DuckDB has no such function."""
+    step = "xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"list_reduce(range(8), lambda x, i: {step}, xor(c, ascii(b)::BIGINT))"
+    return f"xor(list_reduce(string_split({key}, ''), lambda c, b: {byte}, 4294967295), 4294967295)"
+
+
+PERIODIC_SQL = rf"""WITH d AS (SELECT doc_id, h % 10 = 0 AS hit, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM (SELECT *, {crc32_sql("doc_id::VARCHAR")} AS h FROM documents)),
+  e AS (SELECT *, len(w) AS n, CASE WHEN hit AND len(w) > 0 THEN g % len(w) END AS a FROM d),
+  f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+  t AS MATERIALIZED (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM f),
+  x AS MATERIALIZED (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS w FROM t),
+  y AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM x l JOIN x r ON l.doc_id = r.doc_id AND l.w = r.w AND r.i > l.i),
+  z AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM y),
+  s AS (SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM z GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+  r AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+  o AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+  b AS (SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r c WHERE c.doc_id = a.doc_id AND (c.length * a.period > a.length * c.period
+    OR c.length * a.period = a.length * c.period AND (c.start, c.period) < (a.start, a.period)))),
+  g AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+  k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM x ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN o USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
 def oracle_sql() -> dict:
-    return {"op5_mtree_topk": TOP_K_SQL, "op6_warc": WARC_SQL, "op8_near_duplicates": NEAR_DUP_SQL}
+    return {"op13_periodic_runs": PERIODIC_SQL, "op5_mtree_topk": TOP_K_SQL, "op6_warc": WARC_SQL, "op8_near_duplicates": NEAR_DUP_SQL}
