@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import html_text, media, mixing, mtree, near_dups, periodic_runs, pieces, pii, token_counts, toxicity, warc
+from skein.llm import html_text, media, mixing, mtree, near_dups, periodic_runs, pieces, pii, token_counts, toxicity, turn_repair, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_near_duplicates": near_dups.op8_near_duplicates,
         "op9_media_webp": media.op9_media_webp,
         "op10_piece_encode": pieces.op10_piece_encode,
+        "op12_turn_repair": turn_repair.op12_turn_repair,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
@@ -67,5 +68,47 @@ SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start,
 FROM t LEFT JOIN o USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
 
+def _turn_sql() -> str:
+    """States are strings: six digits of cost, then the audit; a kept system row is J until the end."""
+
+    def more(state: str, cost: str, letter: str) -> str:
+        return f"lpad((left({state}, 6)::INT + {cost})::VARCHAR, 6, '0') || substr({state}, 7) || '{letter}'"
+
+    def when(test: str, *options: str) -> str:
+        return f"CASE WHEN {test} THEN least({', '.join(options)}) END"
+
+    kept = {s: more(s, "t", "K") for s in ("e0", "e1", "e2", "e3")}
+    role = {s: more(s, "3 + t", "R") for s in ("e0", "e1", "e2", "e3")}
+    deleted = [more(f"e{i}", "4", "D") for i in range(4)]
+    x1 = f"least({deleted[1]}, {when("NOT gone AND i = 's'", more('e0', 't', 'J'), 'NULL')})"
+    x2 = f"least({deleted[2]}, {when("NOT gone AND i = 'u'", kept['e0'], kept['e1'], kept['e3'])}, {when('NOT gone', role['e0'], role['e1'], role['e3'])})"
+    x3 = f"least({deleted[3]}, {when("NOT gone AND i = 'a'", kept['e2'], 'NULL')}, {when('NOT gone', role['e2'], 'NULL')})"
+    y2 = f"least(x2, {more('x0', '3', 'I')}, {more('x1', '3', 'I')}, {more('x3', '3', 'I')})"
+    space = r"[^\x20\x09-\x0D]"
+    return rf"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f FROM conversations),
+  d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE f <> 0),
+  o AS (SELECT *, left(role, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM d),
+  p AS (SELECT *, NOT regexp_matches(text, '{space}') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM o),
+  q AS MATERIALIZED (SELECT *, blank OR again AS gone, CASE WHEN open THEN 3 ELSE 0 END AS t FROM p),
+  r(conv_id, k, e0, e1, e2, e3) AS (SELECT DISTINCT conv_id, 0::BIGINT, '000000', NULL::VARCHAR, '000003I', '000006II' FROM q UNION ALL
+    SELECT conv_id, k, x0, x1, y2, least(x3, {more("y2", "3", "I")}) FROM (SELECT *, {y2} AS y2 FROM (SELECT q.conv_id, q.k, {deleted[0]} AS x0, {x1} AS x1, {x2} AS x2, {x3} AS x3
+      FROM r JOIN q ON q.conv_id IS NOT DISTINCT FROM r.conv_id AND q.k = r.k + 1))),
+  b AS MATERIALIZED (SELECT conv_id, left(e, 6)::BIGINT AS cost, substr(e, 7) AS audit FROM (SELECT conv_id, least(max_by(e0, k), max_by(e3, k)) AS e FROM (SELECT conv_id, coalesce(e0, '9') AS e0, coalesce(e3, '9') AS e3, k FROM r) GROUP BY conv_id)),
+  l AS (SELECT conv_id, audit, unnest(string_split(audit, '')) AS x, generate_subscripts(string_split(audit, ''), 1) AS pos FROM b WHERE audit <> ''),
+  m AS (SELECT *, sum(CASE WHEN x <> 'I' THEN 1 ELSE 0 END) OVER w AS k, sum(CASE WHEN x NOT IN ('D', 'J') THEN 1 ELSE 0 END) OVER w AS out
+    FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+  n AS (SELECT m.conv_id, sha256(string_agg(CASE WHEN x IN ('J', 'K') THEN q.role WHEN out % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE q.text END, chr(10) ORDER BY pos)) AS h
+    FROM m LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM m.conv_id AND q.k = m.k WHERE x <> 'D' GROUP BY m.conv_id),
+  s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (open AND NOT gone) AS truncated, count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM q GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, translate(coalesce(audit, ''), 'J', 'K') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id
+  LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
 def oracle_sql() -> dict:
-    return {"op13_periodic_runs": PERIODIC_SQL, "op5_mtree_topk": TOP_K_SQL, "op6_warc": WARC_SQL, "op8_near_duplicates": NEAR_DUP_SQL}
+    return {"op12_turn_repair": _turn_sql(), "op13_periodic_runs": PERIODIC_SQL, "op5_mtree_topk": TOP_K_SQL, "op6_warc": WARC_SQL, "op8_near_duplicates": NEAR_DUP_SQL}
