@@ -445,7 +445,7 @@ def _confirmed_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFra
     return map_batches(both.select("a", "b", "ca", "cb", "s", "t"), run, "a long, b long, ca long, cb long")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _full_sets(docs: DataFrame, ids: DataFrame, size: int = sh.SIZE) -> DataFrame:
     """rep and its sorted shingle hashes (set: little-endian uint64), for the wanted representatives only."""
     few = ids.limit(MANY_IDS + 1).count() <= MANY_IDS
     wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("rep"), "left_semi")
@@ -454,7 +454,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                sets = [sh.shingle_set(t.as_py()).astype("<u8").tobytes() for t in part.column(1)]
+                sets = [sh.shingle_set(t.as_py(), size).astype("<u8").tobytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["rep", "set"])
 
     return map_batches(wanted, run, "rep long, set binary")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import html_text, media, mixing, mtree, near_dups, periodic_runs, pieces, pii, token_counts, toxicity, turn_repair, warc
+from skein.llm import html_text, media, mixing, mtree, near_dups, ngram_join, periodic_runs, pieces, pii, token_counts, toxicity, turn_repair, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_near_duplicates": near_dups.op8_near_duplicates,
         "op9_media_webp": media.op9_media_webp,
         "op10_piece_encode": pieces.op10_piece_encode,
+        "op11_ngram_join": ngram_join.op11_ngram_join,
         "op12_turn_repair": turn_repair.op12_turn_repair,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
@@ -110,5 +111,15 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON s.conv_id IS
   LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id"""
 
 
+NGRAM_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+  s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) END) AS s FROM w),
+  x AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+  l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.x = b.x AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.c)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.c AS component_id FROM s JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = s.doc_id"""
+
+
 def oracle_sql() -> dict:
-    return {"op12_turn_repair": _turn_sql(), "op13_periodic_runs": PERIODIC_SQL, "op5_mtree_topk": TOP_K_SQL, "op6_warc": WARC_SQL, "op8_near_duplicates": NEAR_DUP_SQL}
+    return {"op11_ngram_join": NGRAM_SQL, "op12_turn_repair": _turn_sql(), "op13_periodic_runs": PERIODIC_SQL, "op5_mtree_topk": TOP_K_SQL, "op6_warc": WARC_SQL, "op8_near_duplicates": NEAR_DUP_SQL}

@@ -63,13 +63,13 @@ def word_hashes(text: str) -> np.ndarray:
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _ODD)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of a text's 5-word shingles; of all its words as one where it has fewer."""
+def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles of ``size`` (at most 5) words; of all its words as one where it has fewer."""
     words = word_hashes(text) if text else np.empty(0, np.uint64)
     n = len(words)
     if n == 0:
         return words
-    k = min(SIZE, n)
+    k = min(size, n)
     total = np.zeros(n - k + 1, np.uint64)
     for j in range(k):
         total += words[j : n - k + 1 + j] * _ORDER[j]
