@@ -7,8 +7,9 @@ number of pivots grows with the data. Two linked sets share one of their rarest
 order); of the documents with such a shingle, the one of least hash is a pivot to all of them. A region has the
 documents that see the same pivot, and every link lies in some region.
 
-A region of up to ``LIMIT`` documents is joined exactly, all pairs at once by a product of incidence matrices. A larger
-one chooses pivots of its own, wider apart than ``APART``, and measures every document's distance to all of them, block by
+In a region of up to ``LIMIT`` documents all pairs are measured by a lower bound of their distance that the prefixes give;
+pairs within r form groups. Groups, and regions of more documents, are then joined on full sets: up to ``LIMIT`` documents
+exactly, all pairs at once by a product of incidence matrices. A larger one chooses pivots of its own, wider apart than ``APART``, and measures every document's distance to all of them, block by
 block. A document goes to the Voronoi region of its nearest pivot q and is replicated to those of other pivots p with
 d(p) <= d(q) + 2r: for x in q's region and y at distance r, d(y, q) <= d(y, its own pivot) + 2r. Documents at 1 - 2r or more of all
 pivots form an open region, with those at 1 - 3r or more replicated to it. The parts are joined recursively. Documents within
@@ -25,6 +26,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from skein.llm import shingles as sh
 from skein.llm.common import map_batches, read, stored
 from skein.llm.components import connected_components
-from skein.llm.near_dups import RANKED, _cells, _edges, _full_sets, _stars, by_runs
+from skein.llm.near_dups import MANY_IDS, RANKED, _cells, _edges, _full_sets, _stars, by_runs
 
 #: Regions up to LIMIT are joined at once; larger ones measure blocks of BLOCK documents against PIVOTS pivots.
 LIMIT, BLOCK, PIVOTS = 64, 128, 24
@@ -45,12 +47,12 @@ APART = 0.5
 #: A part of more than SHRUNK times its region's size hasn't shrunk; regions are split at most DEPTH times.
 SHRUNK, DEPTH = 0.8, 8
 _EPS = 1e-9
-_PIECE = 1 << 21
+_PIECE = 1 << 22
 
 
 def _tallies(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their place by frequency. Only the order in which shingles are tried
-    follows from it, never which links are found; so counts below 4 in a piece of the texts may go."""
+    follows from it, never which links are found; so shingles that don't repeat in a piece of the texts may go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -58,7 +60,7 @@ def _tallies(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         def counted() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            often = counts > 3
+            often = counts > 1
             return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], ["token", "n"])
 
         for batch in batches:
@@ -104,33 +106,37 @@ def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _tokens(reps: DataFrame) -> DataFrame:
-    """(token, rep, h, n, room): prefix shingles; h is the representative's hash, room what the set has from that shingle on."""
+    """(token, rep): the prefix shingles of representatives (rep, n_shingles, prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [np.frombuffer(x.as_py(), "<i8") for x in batch.column(3)]
-            times = np.array([len(t) for t in held], np.int64)
-            if not times.sum():
-                continue
-            row = pa.array(np.repeat(np.arange(len(held)), times))
-            n = np.repeat(np.array(batch.column(2), np.int64), times)
-            at = np.concatenate([np.arange(len(t)) for t in held])
-            cols = [pa.array(np.concatenate(held)), batch.column(0).take(row), batch.column(1).take(row), pa.array(n), pa.array(n - at)]
-            yield pa.RecordBatch.from_arrays(cols, ["token", "rep", "h", "n", "room"])
+            held = [np.frombuffer(x.as_py(), "<i8") for x in batch.column(1)]
+            if held:
+                row = pa.array(np.repeat(np.arange(len(held)), [len(t) for t in held]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), batch.column(0).take(row)], ["token", "rep"])
 
-    rows = reps.select("rep", F.xxhash64("rep").alias("h"), "n_shingles", "prefix")
-    return map_batches(rows, run, "token long, rep long, h long, n long, room long")
+    return map_batches(reps.select("rep", "prefix"), run, "token long, rep long")
 
 
-def _sights(reps: DataFrame, percent: int) -> DataFrame:
+def _sights(reps: DataFrame) -> DataFrame:
     """(region, rep): the documents that see a pivot, by its hash."""
     tokens = _tokens(reps)
-    pivots = tokens.groupBy("token").agg(F.count("*").alias("seen"), F.min("h").alias("region"), F.min("n").alias("least")).filter("seen > 1")
-    rows = tokens.join(pivots.drop("seen"), "token")
-    # What is left of the set must do for a link with a partner no smaller than the least.
-    partner = F.greatest(F.col("least").cast("double"), F.col("n") * percent / 100.0)
-    rows = rows.filter(F.col("room") * (100 + percent) >= percent * (F.col("n") + partner) - 0.001)
-    return rows.select("region", "rep").distinct()
+    pivots = tokens.groupBy("token").agg(F.count("*").alias("seen"), F.min(F.xxhash64("rep")).alias("region")).filter("seen > 1")
+    return tokens.join(pivots.drop("seen"), "token").select("region", "rep").distinct()
+
+
+def _windows(sights: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Regions (region, rep) of up to ``LIMIT`` documents, and larger ones. Large regions are cut by the sets' sizes first: linked
+    sets differ by a bounded factor, so that bands of that width, each document in its own and the next one, keep every link."""
+    sizes = sights.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
+    sized = sights.join(sizes, "region")
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / (math.log(100 / percent) * 1.000001 + 1e-9))
+    wide = sized.filter(F.col("size") > LIMIT).select("region", "rep").join(reps.select("rep", "n_shingles"), "rep")
+    cut = wide.select(F.explode(F.array(band, band + 1)).alias("band"), "region", "rep").select(F.xxhash64("region", "band").alias("region"), "rep")
+    cut = stored(cut.distinct(), "ngram-bands")
+    bands = cut.join(cut.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1"), "region")
+    small = sized.filter(F.col("size") <= LIMIT).union(bands.filter(F.col("size") <= LIMIT)).select("region", "rep")
+    return small, bands.filter(F.col("size") > LIMIT).select("region", "rep")
 
 
 def common_sizes(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -170,6 +176,37 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), "<u8") for x in column]
 
 
+def _loose(regions: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), as stars, of documents of one small region (region, rep) that may be links by their prefixes.
+
+    Of two prefixes one ends first in the common order; what that set shares with the other is in both prefixes or behind its
+    own. So the intersection is at most the common part of the prefixes and the longer remainder: a lower bound of the distance.
+    Prefixes travel as 32 bits of each shingle; what that merges is added to the bound.
+    """
+
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique((np.frombuffer(x.as_py(), "<u8") >> np.uint64(32)).astype("<u4")).tobytes() for x in batch.column(2)]
+            behind = [n.as_py() - len(x.as_py()) // 8 for n, x in zip(batch.column(1), batch.column(2), strict=True)]
+            merged = [len(x.as_py()) // 8 - len(h) // 4 for h, x in zip(held, batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(behind, pa.int64()), pa.array(merged, pa.int64()), pa.array(held, pa.binary())], ["rep", "n", "behind", "merged", "short"]
+            )
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        if batch.num_rows < 2:
+            return None
+        rep, n, behind, merged = (np.array(batch.column(k), np.int64) for k in (1, 2, 3, 4))
+        short = [np.frombuffer(x.as_py(), "<u4") for x in batch.column(5)]
+        most = common_sizes(short, short) + np.minimum.outer(merged, merged) + np.maximum.outer(behind, behind)
+        near = most * (100 + percent) >= percent * (n[:, None] + n[None, :])
+        near &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
+        return _edges(_stars(rep, *np.nonzero(np.triu(near, 1)), lambda i, j: True))
+
+    short = map_batches(reps.select("rep", "n_shingles", "prefix"), shortened, "rep long, n long, behind long, merged long, short binary")
+    return by_runs(regions.join(short, "rep").select("region", "rep", "n", "behind", "merged", "short"), "region", "a long, b long", work)
+
+
 def _joined(rows: DataFrame, percent: int) -> DataFrame:
     """Links, as stars, inside regions (region, rep, set) of bounded size."""
 
@@ -260,12 +297,12 @@ def _crossing(hard: DataFrame, links: DataFrame, sets: DataFrame, percent: int)
     return by_runs(cells, "cell", "a long, b long", work)
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b), as stars, in all regions (region, rep)."""
     found: list[DataFrame] = []
     stars: list[DataFrame] = []
     hard: list[DataFrame] = []
-    left = members.withColumn("parent", F.lit(None).cast("long"))
+    left = regions.withColumn("parent", F.lit(None).cast("long"))
     for depth in range(DEPTH + 1):
         sizes = left.groupBy("region").agg(F.count("*").alias("size"), F.max("parent").alias("parent")).filter("size > 1")
         sized = stored(left.drop("parent").join(sizes, "region"), "ngram-regions")
@@ -290,12 +327,21 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
     if not 67 <= percent <= 100:
         raise ValueError("percent must be 67 to 100: windows of regions are three radii wide")
     signed = stored(_signed(docs, size, percent), "ngram-signed")
-    reps = signed.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    reps = stored(reps.filter("rep is not null"), "ngram-reps")
-    members = stored(_sights(reps, percent), "ngram-sights")
-    wanted = stored(members.select("rep").distinct(), "ngram-wanted")
+    reps = stored(signed.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "ngram-reps")
+    ids = reps.select("rep").distinct()
+    few = ids.limit(MANY_IDS + 1).count() <= MANY_IDS
+    firsts = signed.filter("n_shingles > 0").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("rep"), "left_semi")
+    firsts = firsts.select(F.col("doc_id").alias("rep"), "n_shingles", "prefix")
+    if firsts.count() > ids.count():
+        firsts = firsts.dropDuplicates()
+
+    small, large = _windows(stored(_sights(firsts), "ngram-sights"), firsts, percent)
+    groups = connected_components(_loose(small, firsts, percent))
+    groups = groups.select(F.xxhash64("component", F.lit("group")).alias("region"), F.col("id").alias("rep"))
+    regions = stored(groups.union(large), "ngram-groups")
+    wanted = stored(regions.select("rep").distinct(), "ngram-wanted")
     sets = stored(_full_sets(docs, wanted, size).groupBy("rep").agg(F.max("set").alias("set")), "ngram-sets")
-    components = connected_components(stored(_links(members, sets, percent), "ngram-links"))
+    components = connected_components(stored(_links(regions, sets, percent), "ngram-links"))
 
     named = reps.select("f1", "f2", "n_shingles", "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
