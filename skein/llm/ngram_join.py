@@ -46,6 +46,8 @@ LIMIT, BLOCK, PIVOTS = 64, 128, 24
 APART = 0.5
 #: A part of more than SHRUNK times its region's size hasn't shrunk; regions are split at most DEPTH times.
 SHRUNK, DEPTH = 0.8, 8
+#: Lists of (region, rep) up to this length (16 bytes each) are broadcast.
+MANY_ROWS = 1_000_000
 _EPS = 1e-9
 _PIECE = 1 << 22
 
@@ -136,7 +138,7 @@ def _windows(sights: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFram
     cut = stored(cut.distinct(), "ngram-bands")
     bands = cut.join(cut.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1"), "region")
     small = sized.filter(F.col("size") <= LIMIT).union(bands.filter(F.col("size") <= LIMIT)).select("region", "rep")
-    return small, bands.filter(F.col("size") > LIMIT).select("region", "rep")
+    return stored(small, "ngram-small"), bands.filter(F.col("size") > LIMIT).select("region", "rep")
 
 
 def common_sizes(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -176,6 +178,12 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), "<u8") for x in column]
 
 
+def _met(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows (region, rep, ...) with what ``held`` has by rep; short lists of rows are broadcast, so that sets travel once."""
+    few = rows.limit(MANY_ROWS + 1).count() <= MANY_ROWS
+    return held.join(F.broadcast(rows) if few else rows, "rep")
+
+
 def _loose(regions: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), as stars, of documents of one small region (region, rep) that may be links by their prefixes.
 
@@ -204,7 +212,7 @@ def _loose(regions: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         return _edges(_stars(rep, *np.nonzero(np.triu(near, 1)), lambda i, j: True))
 
     short = map_batches(reps.select("rep", "n_shingles", "prefix"), shortened, "rep long, n long, behind long, merged long, short binary")
-    return by_runs(regions.join(short, "rep").select("region", "rep", "n", "behind", "merged", "short"), "region", "a long, b long", work)
+    return by_runs(_met(regions, short).select("region", "rep", "n", "behind", "merged", "short"), "region", "a long, b long", work).distinct()
 
 
 def _joined(rows: DataFrame, percent: int) -> DataFrame:
@@ -217,7 +225,7 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
         linked = np.triu(_measured(sets, sets, percent)[1], 1)
         return _edges(_stars(np.array(batch.column(1), np.int64), *np.nonzero(linked), lambda i, j: True))
 
-    return by_runs(rows, "region", "a long, b long", work)
+    return by_runs(rows, "region", "a long, b long", work).distinct()
 
 
 def _split(members: DataFrame, sets: DataFrame, depth: int, percent: int) -> DataFrame:
@@ -233,7 +241,8 @@ def _split(members: DataFrame, sets: DataFrame, depth: int, percent: int) -> Dat
     pivots = stored(pivots.select("region", "rep", "place", "size").join(sets, "rep"), "ngram-pivots")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     block = F.xxhash64("region", "lot").alias("block")
-    rows = members.withColumn("lot", F.pmod(F.xxhash64("rep", F.lit("lot")), blocks)).join(sets, "rep")
+    rows = members.withColumn("lot", F.pmod(F.xxhash64("rep", F.lit("lot")), blocks))
+    rows = _met(rows, sets)
     rows = rows.select(block, "region", "rep", "size", F.lit(0).alias("place"), "set")
     spread = pivots.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(block, "region", "rep", "size", "place", "set")
 
@@ -306,7 +315,7 @@ def _links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for depth in range(DEPTH + 1):
         sizes = left.groupBy("region").agg(F.count("*").alias("size"), F.max("parent").alias("parent")).filter("size > 1")
         sized = stored(left.drop("parent").join(sizes, "region"), "ngram-regions")
-        found.append(_joined(sized.filter(F.col("size") <= LIMIT).select("region", "rep").join(sets, "rep").select("region", "rep", "set"), percent))
+        found.append(_joined(_met(sized.filter(F.col("size") <= LIMIT).select("region", "rep"), sets).select("region", "rep", "set"), percent))
         large = sized.filter(F.col("size") > LIMIT)
         stuck = (F.col("size") > SHRUNK * F.col("parent")) if 1 < depth < DEPTH else F.lit(depth == DEPTH)
         hard.append(large.filter(stuck).select("region", "rep"))
@@ -332,7 +341,8 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
     few = ids.limit(MANY_IDS + 1).count() <= MANY_IDS
     firsts = signed.filter("n_shingles > 0").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("rep"), "left_semi")
     firsts = firsts.select(F.col("doc_id").alias("rep"), "n_shingles", "prefix")
-    if firsts.count() > ids.count():
+    repeated = firsts.count() > ids.count()
+    if repeated:
         firsts = firsts.dropDuplicates()
 
     small, large = _windows(stored(_sights(firsts), "ngram-sights"), firsts, percent)
@@ -340,7 +350,8 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
     groups = groups.select(F.xxhash64("component", F.lit("group")).alias("region"), F.col("id").alias("rep"))
     regions = stored(groups.union(large), "ngram-groups")
     wanted = stored(regions.select("rep").distinct(), "ngram-wanted")
-    sets = stored(_full_sets(docs, wanted, size).groupBy("rep").agg(F.max("set").alias("set")), "ngram-sets")
+    sets = _full_sets(docs, wanted, size)
+    sets = stored(sets.groupBy("rep").agg(F.max("set").alias("set")) if repeated else sets, "ngram-sets")
     components = connected_components(stored(_links(regions, sets, percent), "ngram-links"))
 
     named = reps.select("f1", "f2", "n_shingles", "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left")
