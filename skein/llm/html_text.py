@@ -2,15 +2,16 @@
 
 Each page becomes a sequence of text blocks, each with its root-to-leaf tag path. Text length and punctuation are
 aggregated per path, the per-block ratios are smoothed along the page, the features are fused, and paths above a
-threshold relative to the page's own spread are content. Their blocks are kept wherever they stand (inside the page's
-article or main element, if that holds them). Blocks of other paths are kept where they belong to content: headings,
-list items and short paragraphs beside a selected block or inside the element that holds nearly all of them; other
-elements' blocks there need a lower score.
+threshold relative to the page's own spread are content. Their blocks are kept wherever they stand. Blocks of other
+paths are kept where they belong to content: headings, list items and short paragraphs beside a selected block or inside
+the element that holds nearly all of them; other elements' blocks there need a lower score.
 
-Elements that by their tag, role or hiding attributes are menus, notices, adverts, forms or comments never take part.
-Those that are so by class or id words alone (whole names, such as ``comment-list``, not ``has-sidebar``) do take part
-when they hold nearly all of the page's text. Inline elements are judged alike. Tags and attributes are read as the
-HTML standard does; nesting of any depth takes linear time.
+Elements that by their tag, role or hiding attributes are menus, notices, forms or comments never take part. Those
+that are comments, side columns, consent notices and the like by class or id words alone (whole names, such as
+``comment-list``, not ``has-sidebar``) do take part when they hold nearly all of the page's text. Other names of
+furniture (adverts, menus, legal notes, headers) only are a hint: such elements have paths of their own, and whether they are
+content their paths' scores decide, without the smoothing that lends them their neighbours' length. Inline elements
+with such names go. Tags and attributes are read as the HTML standard does; nesting of any depth takes linear time.
 
 Null or empty html gives the empty text. Pages are processed one by one and whole. Repeated rows give repeated
 results; extra columns are ignored.
@@ -50,14 +51,18 @@ SELF_CLOSING = {
 SCOPES = frozenset("table ul ol dl body html article section div td th blockquote main aside nav footer header".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption summary address".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Names of page furniture in classes and ids, and words that such names are put together with.
-FURNITURE = frozenset(
+#: Names of page furniture in classes and ids, and words that such names are put together with. What is named by the first
+#: group may read like the text itself; of the second, path scores tell.
+PROSE = frozenset(
+    "sidebar aside comment comments disqus reply replies respond cookie cookies consent gdpr popup modal overlay newsletter "
+    "subscribe subscription signup login related recommended recommendations skip hidden".split()
+)
+HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation "
-    "menu menus breadcrumb breadcrumbs sidebar aside widget widgets rail footer header masthead topbar toolbar comment comments "
-    "disqus reply replies respond cookie cookies consent gdpr notice notices notification popup modal overlay newsletter "
-    "subscribe subscription signup login share sharing social related recommended recommendations popular trending pagination pager "
-    "copyright legal disclaimer skip tags hidden".split()
+    "menu menus breadcrumb breadcrumbs widget widgets rail footer header masthead topbar toolbar notice notices notification "
+    "share sharing social popular trending pagination pager copyright legal disclaimer tags".split()
 )
+FURNITURE = PROSE | HINTS
 BESIDE = frozenset(
     "list lists box bar wrap wrapper container block area section item items link links button buttons left right top bottom inner "
     "outer slot unit text panel form message posts post articles stories thread body title icon icons count meta holder row col "
@@ -66,6 +71,8 @@ BESIDE = frozenset(
 STATES = frozenset("has no not with without is".split())
 #: What a header of these is, belongs to the text.
 HEADED = frozenset("page post entry article content story section title".split())
+#: Characters of a hinted path that can overrule its name.
+PROSE_CHARS = 200
 #: Named furniture that holds this share of a page's text is none.
 MOST = 0.85
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？¿¡\"'“”‘’«»()-–—")
@@ -79,22 +86,25 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HEADING = re.compile(r"h[1-6]\Z")
-NONE, NAMED, ALWAYS = 0, 1, 2
+NONE, HINTED, NAMED, ALWAYS = 0, 1, 2, 3
 
 
-def _names_furniture(name: str) -> bool:
-    """Whether a class or id is a name of page furniture."""
+def _named(name: str) -> int:
+    """Whether a class or id is a name of page furniture: NAMED, HINTED or NONE."""
     words = [w.lower() for w in NAME_WORD.findall(name)]
     words = [w for w in words if len(w) > 1]
     if not words or not STATES.isdisjoint(words):
-        return False
+        return NONE
     if words[-1] in FURNITURE:
-        return not (words[-1] == "header" and words[0] in HEADED)
-    return words[0] in FURNITURE and all(w in BESIDE or w in FURNITURE for w in words[1:])
+        if words[-1] == "header" and words[0] in HEADED:
+            return NONE
+    elif words[0] not in FURNITURE or not all(w in BESIDE or w in FURNITURE for w in words[1:]):
+        return NONE
+    return HINTED if PROSE.isdisjoint(words) else NAMED
 
 
 def _furniture(tag: str, attributes: str, inside_content: bool) -> int:
-    """Whether an element is page furniture: ALWAYS by tag, role or hiding, NAMED so by class or id, or NONE."""
+    """Whether an element is page furniture: ALWAYS by tag, role or hiding, NAMED or HINTED by class or id, or NONE."""
     if tag in NEVER or (tag == "header" and not inside_content):
         return ALWAYS
     if tag in ("html", "body", "main"):
@@ -106,8 +116,8 @@ def _furniture(tag: str, attributes: str, inside_content: bool) -> int:
             return ALWAYS
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return ALWAYS
-        if name in ("class", "id") and any(map(_names_furniture, value.split())):
-            found = NAMED
+        if name in ("class", "id"):
+            found = max([found, *map(_named, value.split())])
     return found
 
 
@@ -124,7 +134,8 @@ class Page:
         self.tag.append(tag)
         self.kind.append(kind)
         above = self.path[parent]
-        self.path.append(above if inline else self.paths.setdefault((above, tag), len(self.paths) + 1))
+        step = f"{tag} hinted" if kind == HINTED else tag
+        self.path.append(above if inline else self.paths.setdefault((above, step), len(self.paths) + 1))
         return len(self.tag) - 1
 
 
@@ -212,6 +223,7 @@ def read_page(page: str) -> Page:
             kind = _furniture(tag, attributes, True) if attributes else NONE
             if kind or inline:
                 inline_open[tag] = inline_open.get(tag, 0) + 1
+                kind = NAMED if kind == HINTED else kind
                 inline.append((tag, out.add(inline[-1][1] if inline else stack[-1], tag, kind, inline=True), len(stack)))
                 blocked += kind == ALWAYS
             continue
@@ -251,6 +263,8 @@ def blocks(page: str) -> tuple[Page, list[tuple[str, int, int]]]:
     gone = [False] * len(out.tag)
     for e in range(1, len(gone)):
         gone[e] = gone[out.parent[e]] or out.kind[e] == ALWAYS or (out.kind[e] == NAMED and inside[e] < MOST * inside[0])
+        if out.kind[e] == HINTED and inside[e] >= MOST * inside[0]:
+            out.kind[e] = NONE
     found: list[tuple[str, int, int]] = []
     held: list[tuple[int, int, str, bool]] = []
 
@@ -292,6 +306,9 @@ def extract(page: str | None, strength: float = 0.5) -> str:
     if not found:
         return ""
     path = [tree.path[e] for _, e, _ in found]
+    hinted = [False] * len(tree.tag)
+    for e in range(1, len(hinted)):
+        hinted[e] = tree.kind[e] == HINTED or hinted[tree.parent[e]]
     ratios: dict[int, list[float]] = {}
     for (text, _, linked), number in zip(found, path, strict=True):
         r = ratios.setdefault(number, [0.0, 0.0, 0.0])
@@ -308,6 +325,11 @@ def extract(page: str | None, strength: float = 0.5) -> str:
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     bar = min(strength * spread, max(means.values()))
+    # Hinted paths must come near the page's strongest path, without smoothing, and have text enough to tell.
+    raw = {n: length / count * (1.0 + marks / count) for n, (length, marks, count) in ratios.items()}
+    level = raw[max(raw, key=lambda n: raw[n] * ratios[n][2])]
+    for n in {n for n, (_, e, _) in zip(path, found, strict=True) if hinted[e]}:
+        means[n] = means[n] if raw[n] >= strength * level and ratios[n][0] >= 2 * strength * PROSE_CHARS else -1.0
     plain = [linked * 2 <= len(text) for text, _, linked in found]
     hit = [means[n] >= bar and ok for n, ok in zip(path, plain, strict=True)]
     if not any(hit):
@@ -340,9 +362,9 @@ def extract(page: str | None, strength: float = 0.5) -> str:
         if leaf == "h1" and not titled and (tree.parent[e] in above or tree.parent[tree.parent[e]] in above):
             keep.append(text)
             continue
-        if own and not held[e]:
-            continue
         near = held[e] or tree.parent[e] in beside
+        if hinted[e]:
+            near = tree.parent[e] in beside
         if ok or (near and leaf in TEXTUAL and (open_ or own or leaf == "p" or HEADING.match(leaf))) or (near and open_ and means[tree.path[e]] >= 0.2 * bar):
             keep.append(text)
     return "\n".join(keep)

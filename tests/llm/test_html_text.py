@@ -88,3 +88,27 @@ def test_pages_fixture(spark):
         body = html[r.page_id].split("<article>")[1].split("</article>")[0]
         plain = [" ".join(html_lib.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:h1|p)>", body)]
         assert r.text == "\n".join(x for x in plain if x)
+
+
+def test_a_passing_path_stays_wherever_it_stands():
+    lede = f"<p>A lede. {PLAIN} {PLAIN}</p>"
+    page = f"<main><h1>T</h1>{lede}<article>{TEXT * 8}</article></main>"
+    assert extract(page) == "\n".join(["T", lede[3:-4], *[PLAIN] * 8])
+    page = f"<body><article><h2>One</h2>{TEXT * 6}</article><article><h2>Two</h2>{TEXT}</article></body>"
+    assert extract(page) == "\n".join(["One", *[PLAIN] * 6, "Two", PLAIN])
+    page = f"<body><article><h2>One</h2>{TEXT * 6}</article><div class='content'>{TEXT * 2}</div></body>"
+    assert extract(page) == "\n".join(["One", *[PLAIN] * 8])
+
+
+def test_scores_decide_over_hints():
+    """A named section of prose inside the article stays, a line of an advert goes, and so do comments however long."""
+    law = f"<section class='legal'><h2>Law</h2><p>{PLAIN} {PLAIN} {PLAIN} {PLAIN}</p></section>"
+    page = f"<article><h1>H</h1>{TEXT * 6}{law}<div class='ad'>Buy now, it is cheap. Really.</div><section class='comments'><p>{PLAIN * 4}</p></section></article>"
+    want = ["H", *[PLAIN] * 6, "Law", f"{PLAIN} {PLAIN} {PLAIN} {PLAIN}"]
+    assert extract(page) == "\n".join(want)
+    assert extract(page, strength=0.0) == "\n".join([*want, "Buy now, it is cheap. Really."])
+
+
+def test_scores_change_the_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    assert all(extract(r.html) != extract(r.html, strength=0.0) for r in rows)
