@@ -7,8 +7,9 @@ the vocabulary count as their UTF-8 bytes where the model has byte pieces, else
 below the least. Scores are those stored in a unigram model file; for a BPE file a unigram model is derived from its
 pieces' ranks (``piece_model.as_unigram``), no tokenizer being trained here. Equal scores go to the longer last piece.
 
-A task's trie is kept from batch to batch and started afresh beyond ``max_nodes`` nodes: a bound on memory, not on
-results. Counts sum whole texts. Null and empty texts have 0 tokens. Repeated rows count each; other columns are
+A task's trie is kept from batch to batch and started afresh beyond ``max_nodes`` nodes, also inside a text. Pre-tokens
+of more than ``LONG`` characters, which hardly share prefixes, don't enter it: their forward scores are kept only as far back
+as the longest piece reaches. Both bound memory, not results. Counts sum whole texts. Null and empty texts have 0 tokens. Repeated rows count each; other columns are
 ignored.
 """
 
@@ -27,16 +28,20 @@ from skein.llm.common import map_batches, read
 PRETOKEN = re.compile(f"{pm.MARK}*[^{pm.MARK}]+|{pm.MARK}+")
 #: Fixed value of the format: how far below the least score an unknown character lies.
 UNKNOWN_PENALTY = 10.0
+#: Longer pre-tokens are scored outside the trie; words that are counted between two looks at its size.
+LONG, STRIDE = 1000, 4096
 
 
 class _Counts(dict):
     """Token counts of pre-tokens at their terminal nodes; a new one is inserted into the trie on first sight."""
 
-    def __init__(self, insert) -> None:
+    def __init__(self, insert, passing) -> None:
         super().__init__()
-        self.insert = insert
+        self.insert, self.passing = insert, passing
 
     def __missing__(self, pretoken: str) -> int:
+        if len(pretoken) > LONG:
+            return self.passing(pretoken)
         found = self[pretoken] = self.insert(pretoken)
         return found
 
@@ -44,7 +49,8 @@ class _Counts(dict):
 class ForwardTrie:
     """Best scores and token counts of prefixes."""
 
-    def __init__(self, model: pm.PieceModel) -> None:
+    def __init__(self, model: pm.PieceModel, max_nodes: int = 2_000_000) -> None:
+        self.max_nodes = max_nodes
         self.scores = {p: s for p, s, kind in model.pieces if kind in (pm.NORMAL, pm.USER_DEFINED)}
         if any(pm.MARK in p.lstrip(pm.MARK) for p in self.scores):
             raise ValueError("a piece crosses word boundaries: pre-tokens can't be scored on their own")
@@ -61,11 +67,36 @@ class ForwardTrie:
         self.child: dict[tuple[int, str], int] = {}
         self.best = [0.0]
         self.count = [0]
-        self.done = _Counts(self._insert)
+        self.done = _Counts(self._insert, self._passing)
 
     def tokens(self, pretokens: list[str]) -> int:
         """Tokens of some pre-tokens on their best paths; prefixes' scores are shared."""
-        return sum(map(self.done.__getitem__, pretokens))
+        total = 0
+        for lo in range(0, len(pretokens), STRIDE):
+            total += sum(map(self.done.__getitem__, pretokens[lo : lo + STRIDE]))
+            if len(self.best) > self.max_nodes:
+                self.reset()
+        return total
+
+    def _passing(self, word: str) -> int:
+        """The count of a long pre-token, with the scores of the last ``longest`` prefixes only."""
+        size = self.longest + 1
+        best, count = [0.0] * size, [0] * size
+        ends = self.pieces.iter(word)
+        end, piece = next(ends, (len(word), None))
+        for d, c in enumerate(word):
+            top, n, here = None, 0, d % size
+            if c not in self.scores:
+                top = best[here] + self.unknown
+                n = count[here] + (len(c.encode("utf-8", "surrogatepass")) if self.bytes else 1)
+            while end == d:
+                start = (d + 1 - piece[0]) % size
+                score = piece[1] + best[start]
+                if top is None or score > top:
+                    top, n = score, count[start] + 1
+                end, piece = next(ends, (len(word), None))
+            best[(d + 1) % size], count[(d + 1) % size] = top, n
+        return count[len(word) % size]
 
     def _insert(self, word: str) -> int:
         child, best, count, scores = self.child, self.best, self.count, self.scores
@@ -119,7 +150,7 @@ def count_tokens(docs: DataFrame, model_path: str = pm.MODEL_PATH, max_nodes: in
         raise ValueError("models with a character map need the encoder, not the counter")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = ForwardTrie(model)
+        trie = ForwardTrie(model, max_nodes)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -128,8 +159,6 @@ def count_tokens(docs: DataFrame, model_path: str = pm.MODEL_PATH, max_nodes: in
                     found = PRETOKEN.findall(normalise(text, model)) if text else []
                     words.append(len(found))
                     tokens.append(trie.tokens(found))
-                    if len(trie.best) > max_nodes:
-                        trie.reset()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"]
                 )

@@ -74,3 +74,26 @@ def test_restarts_give_the_same_counts(spark):
     rows = [(k, " ".join(f"w{k}x{j} straße" for j in range(300))) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert sorted(tc.count_tokens(df, max_nodes=500).collect()) == sorted(tc.count_tokens(df).collect())
+
+
+def test_long_words(model):
+    """Words beyond the trie count as in it, and need memory for the longest piece only."""
+    import tracemalloc
+
+    trie = tc.ForwardTrie(model)
+    rng = random.Random(2)
+    for word in ("the" * 900, "a" * 1500, "".join(rng.choice("abcdeé🤖there") for _ in range(3000))):
+        assert trie._passing(word) == trie._insert(word)
+    trie.reset()
+    word = "understanding" * 160_000
+    tracemalloc.start()
+    n = trie.tokens([word])
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20 and n > 160_000 and len(trie.best) == 1
+    tracemalloc.stop()
+
+
+def test_trie_is_bounded_inside_a_text(model):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(30_000)]
+    small, large = tc.ForwardTrie(model, 20_000), tc.ForwardTrie(model)
+    assert small.tokens(words) == large.tokens(words) and len(small.best) < 20_000 + 9 * tc.STRIDE < len(large.best)
