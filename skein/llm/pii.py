@@ -3,11 +3,12 @@
 Found and validated: e-mail addresses, card numbers (13 to 19 digits that pass the Luhn check, and pass it again),
 telephone numbers, IPv4 addresses (octets up to 255) and IPv6 addresses, IBANs (check digits kept right), US social
 security numbers (valid areas and groups), dates (ISO and day-month-year or month-day-year with one separator), and
-secrets that are assigned or well-known keys. Each value is permuted by a keyed Feistel network inside its own format:
+secrets that are assigned, of any length, or well-known keys. Each value is permuted by a keyed Feistel network inside its own format:
 the digits of a number within its length, a date within the days from 1900 to 2099 that have its spelling, an address
 within its octets, a name within its letters' and digits' places. Equal values get equal pseudonyms in all documents
 (a telephone number however it is spaced, a date in either of the padded spellings), different values of a format
-different ones, and the spelling (separators, case, length, order of a date) stays. Everything else is untouched.
+different ones, and the spelling (separators, case, length, order of a date) stays. Letters of an IBAN (the bank's code) stay,
+as do letters of e-mail addresses and secrets outside the Latin and Russian alphabets. Everything else is untouched.
 
 The round function is HMAC-SHA-256 under the job's key: the session setting ``spark.skein.pii.key``, or else the
 environment's SKEIN_PII_KEY. Without either a published demonstration key is taken, with a warning: whoever knows the
@@ -33,8 +34,12 @@ from skein.llm.common import free_name, read
 KEY_SETTING, KEY_VARIABLE = "spark.skein.pii.key", "SKEIN_PII_KEY"
 DEMONSTRATION_KEY = "skein-demonstration-key"
 #: Shapes of personal data, tried in this order at each place of a text.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-SECRET_VALUE = r"(?:[A-Za-z0-9+/_-]{8,}+|(?=[^\s\"'<>,;]{0,64}[0-9!@#$%^&*+/_-])[^\s\"'<>,;]{6,}+)"
+WORD_CHAR = r"\p{L}\p{M}\p{N}"
+EMAIL = (
+    rf"(?<![\p{{L}}\p{{M}}\p{{N}}])[\p{{L}}\p{{N}}][{WORD_CHAR}._%+-]{{0,63}}@[{WORD_CHAR}-]{{1,63}}(?:\.[{WORD_CHAR}-]{{1,63}}){{0,126}}\.[\p{{L}}\p{{M}}]{{2,63}}(?![{WORD_CHAR}-])"
+)
+#: Of any length; marks that may end the sentence stay outside.
+SECRET_VALUE = r"[^\s\"'<>,;]*[^\s\"'<>,;.:?)\]]"
 SECRET = (
     r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}[:=][ \t]{0,3}[\"']?" + SECRET_VALUE
     + r"|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
@@ -75,7 +80,10 @@ FOUND = (
 HINT = r"[0-9@:=]|AKIA|ASIA"
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73049  # 1900-01-01 to 2099-12-31
-ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+ALPHABETS = (
+    "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ",
+    "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
+)
 
 
 def _keyed(key: str, *parts: Column) -> Column:
@@ -388,12 +396,15 @@ def pseudonymise(docs: DataFrame, key: str | None = None, counts: bool = False)
     # The values are found once; explode of a one-element array keeps the plan from searching again for every use.
     found = docs.withColumn(name, F.explode(F.array(F.coalesce(found_values(F.col("text")), F.array().cast("array<string>")))))
     between = F.split(F.col("text"), FOUND, -1)
-    made = F.transform(name, lambda v: pseudonym(v, key))
-    woven = F.array_join(F.transform(F.arrays_zip(between.alias("t"), made.alias("p")), lambda x: F.concat(x["t"], F.coalesce(x["p"], F.lit("")))), "")
+    fresh = free_name(found, "fresh")
+    found = found.withColumn(fresh, F.explode(F.array(F.transform(name, lambda v: pseudonym(v, key)))))
+    woven = F.array_join(F.transform(F.arrays_zip(between.alias("t"), F.col(fresh).alias("p")), lambda x: F.concat(x["t"], F.coalesce(x["p"], F.lit("")))), "")
     text = F.when(F.size(name) > 0, woven).otherwise(F.col("text"))
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        columns += [F.size(name).cast("long").alias("n_found"), F.transform(name, kind_of).alias("kinds")]
+        # Shapes that fail their check stay as they are and don't count.
+        changed = F.filter(name, lambda v, k: v != F.get(fresh, k))
+        columns += [F.size(changed).cast("long").alias("n_found"), F.transform(changed, kind_of).alias("kinds")]
     return found.select(*columns)
 
 

@@ -3,7 +3,8 @@
 import datetime
 import hashlib
 import hmac
-import re
+
+import regex as re
 
 from skein.llm import pii
 
