@@ -2,9 +2,10 @@
 
 The model protobuf is parsed and rebuilt as a tokenizers pipeline: normaliser (character map, white space rules, the
 leading mark), the metaspace marker, the scored unigram lattice or the merges that BPE scores imply, byte fallback and
-the matching decoder. Batches of whole texts are encoded by the library's threads, as many as a task has cores. ``parity`` compares each text's ids
-with those of the sentencepiece library under the model file as it is, so that normaliser and splitting are verified
-too; ``round_trip`` tells whether the decoded ids are the text again.
+the matching decoder. Batches of whole texts are normalised, encoded and decoded by that pipeline in the library's threads: two,
+or as many as a task has cores if that is more. ``parity`` compares each text's ids with those of the sentencepiece
+library under the model file as it is, so that normaliser and splitting are verified too; ``round_trip`` tells whether the
+decoded ids are the text again.
 
 Whole texts are encoded. Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated
 results; other columns are ignored.
@@ -23,7 +24,9 @@ from pyspark.sql import DataFrame
 
 from skein.llm import piece_model as pm
 from skein.llm.common import map_batches, read
-from skein.llm.token_counts import normalise
+
+#: Threads of the library in a task, at least.
+THREADS = 2
 
 
 def _decoder(strip: bool):
@@ -72,51 +75,27 @@ def rebuild(model: pm.PieceModel):
 
 
 class Encoder:
-    """Encodes and decodes batches of whole texts; with ``parity`` the sentencepiece library encodes them as well.
-
-    ``made`` is the whole rebuilt pipeline. For speed, texts are normalised by the same rules in Python strings before
-    ``core``, which is ``made`` without its normaliser, and ids are decoded by a table of the pieces' bytes.
-    """
+    """Encodes and decodes batches of whole texts by the rebuilt pipeline; with ``parity`` the sentencepiece library encodes them as well."""
 
     def __init__(self, data: bytes, parity: bool = True) -> None:
-        from tokenizers import normalizers
-
         self.model = pm.parse(data)
-        self.made, self.core = rebuild(self.model), rebuild(self.model)
-        self.core.normalizer = normalizers.Sequence([])
-        self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
-        spelt = [bytes([int(p[3:5], 16)]) if kind == pm.BYTE else p.replace(pm.MARK, " ").encode() for p, _, kind in self.model.pieces]
-        self.sizes = np.array([len(x) for x in spelt])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.bytes = np.frombuffer(b"".join(spelt), np.uint8)
+        self.made = rebuild(self.model)
         self.other = None
         if parity:
             import sentencepiece
 
             self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
 
-    def normalised(self, text: str) -> str:
-        return normalise(self.charsmap.normalize_str(text) if self.charsmap else text, self.model)
-
     def encode(self, texts: list[str | None]) -> list[tuple[list[int], bool]]:
         """Ids of each text, and whether sentencepiece gives the same."""
         plain = [t or "" for t in texts]
-        ids = [e.ids for e in self.core.encode_batch_fast([self.normalised(t) for t in plain], add_special_tokens=False)]
+        ids = [e.ids for e in self.made.encode_batch_fast(plain, add_special_tokens=False)]
         theirs = self.other.encode(plain, num_threads=1) if self.other is not None else ids
         return [(a, a == b) for a, b in zip(ids, theirs, strict=True)]
 
     def decode(self, batch: list[list[int]]) -> list[str]:
         return self.made.decode_batch(batch, skip_special_tokens=False)
 
-    def decoded_bytes(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-        """The UTF-8 bytes that ids stand for, of lists given one after another; the leading mark's space goes."""
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        raw = self.bytes[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        cuts = np.concatenate([[0], ends])[bounds].tolist()
-        out = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return [x.removeprefix(b" ") for x in out] if self.model.add_dummy_prefix else out
-
 
 def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.Array, list]]:
     """The first column and the values of another in pieces of bounded text: up to 64 rows, or about 1 MB."""
@@ -152,11 +131,11 @@ def encode_pieces(docs: DataFrame, model_path: str = pm.MODEL_PATH, parity: bool
 
 
 def _encoder(data: bytes, parity: bool, threads: int | None) -> Encoder:
-    """An encoder with ``threads`` threads; by default as many as the task has cores (spark.task.cpus)."""
+    """An encoder with ``threads`` threads; by default two, or as many as the task has cores (spark.task.cpus)."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
-    threads = threads or (context.cpus() if context else 1)
+    threads = threads or max(THREADS, context.cpus() if context else 1)
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
     os.environ["RAYON_NUM_THREADS"] = str(threads)
     return Encoder(data, parity)
@@ -187,7 +166,7 @@ def encode_summary(docs: DataFrame, model_path: str = pm.MODEL_PATH, threads: in
             for keys, texts in _parts(batch, 1):
                 done = encoder.encode(texts)
                 ids, bounds = _flat([x for x, _ in done])
-                back = [a == (b or "").encode("utf-8", "surrogatepass") for a, b in zip(encoder.decoded_bytes(ids, bounds), texts, strict=True)]
+                back = [a == (b or "") for a, b in zip(encoder.decode([x for x, _ in done]), texts, strict=True)]
                 raw = memoryview(ids.astype("<i4").tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 columns = [keys, pa.array(np.diff(bounds)), pa.array(crc, pa.int64()), pa.array([ok for _, ok in done], pa.bool_()), pa.array(back, pa.bool_())]
