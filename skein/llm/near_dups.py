@@ -7,7 +7,7 @@ children named by its minwise tokens there: similar documents stay together and
 node of at most ``LIMIT`` members are compared exhaustively; larger nodes branch on to the next stop. The estimates
 of small nodes form loose groups, and links are confirmed pair by pair on full shingle sets.
 
-Nodes still large at the last stop (families of copies, shared templates) and large loose groups are finished exactly:
+Nodes that are large at any stop (families of copies, shared templates) and large loose groups are finished exactly:
 their members are first linked with a few central members of their node, on full sets; then members of different
 components that share a shingle in the prefixes of their sets (rare shingles first, as long as the threshold
 requires) are compared, so that no link between components is lost whatever a group's size. Popular prefix shingles
@@ -468,7 +468,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = stored(reps.filter("rep is not null"), "dup-reps")
     sketches = reps.select("rep", "sketch")
 
-    blocks, hot = [], None
+    blocks, hot, ever = [], None, []
     for level, stop in zip((0, *STOPS), STOPS, strict=False):
         rows = reps if hot is None else hot.select("node", "rep").join(reps.select("rep", "sig"), "rep")
         keys = _walk(rows, level, stop, 100 / percent - 1)
@@ -477,13 +477,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         hot = shared.filter(F.col("size") > LIMIT)
         if hot.limit(1).count() == 0:
             break
+        ever.append(hot.select("rep", "size", "node"))
 
     loose = connected_components(_loose_links(reduce(DataFrame.union, blocks), sketches, percent / 100 - MARGIN))
     sizes = loose.groupBy("component").agg(F.count("*").alias("members"))
     loose = stored(loose.join(sizes, "component"), "dup-loose")
-    # Each member of a large group belongs to one of them: the largest hot node, or else its loose group.
+    # Each member of a large group belongs to one of them: the largest node that was hot at any stop, or else its loose group.
     large = loose.filter(F.col("members") > SMALL).select(F.col("id").alias("rep"), F.lit(0).cast("long").alias("size"), F.col("component").alias("node"))
-    large = hot.select("rep", "size", "node").union(large).groupBy("rep").agg(F.max(F.struct("size", "node")).alias("x"))
+    large = reduce(DataFrame.union, ever, large).groupBy("rep").agg(F.max(F.struct("size", "node")).alias("x"))
     large = stored(large.select(F.col("x.node").alias("node"), "rep"), "dup-large")
     wanted = loose.select(F.col("id").alias("rep")).union(large.select("rep")).distinct()
     sets = stored(_full_sets(docs, stored(wanted, "dup-wanted")).groupBy("rep").agg(F.max("set").alias("set")), "dup-sets")
