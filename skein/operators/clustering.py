@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skein.functions import vectors as V
+from skein.sources.shared import stored
 
 THRESHOLD = 0.55
 #: The clustering fold is sequential in id order; it is meant for up to this many vectors a group.
 FOLD_LIMIT = 100_000
+#: Vectors of a piece, vectors that a task holds while packing, and bytes of pieces that are broadcast at once.
+PIECE, HELD, BROADCAST_BYTES = 512, 65_536, 32 << 20
 
 
 def mean_vectors(rows: DataFrame, key: str) -> DataFrame:
@@ -75,43 +81,76 @@ def group_names(members: DataFrame, classified: DataFrame) -> DataFrame:
     return named.select("id", "cluster", F.coalesce("tag", "known", "name", F.lit("General")).alias("tag"))
 
 
-def continuity(current: DataFrame, prior: DataFrame, least: float = 0.4, k: int = 3, chunk: int = 512) -> DataFrame:
+def _packed(rows: DataFrame, prefix: str = "") -> DataFrame:
+    """(grp, size, n, ids, created, v): rows (grp, id, created, vector) of one group and vector length as pieces of up to PIECE, in one
+    pass without a shuffle; rows without a vector or a group are left out."""
+    kind = rows.schema["grp"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[tuple[np.ndarray, ...]]] = {}
+        counts: dict[tuple, int] = {}
+
+        def piece(key: tuple) -> pa.RecordBatch:
+            ids, created, v = (np.concatenate(x) for x in zip(*held.pop(key), strict=True))
+            columns = [pa.array([key[0]], arrow), pa.array([key[1]], pa.int32()), pa.array([counts.pop(key)], pa.int32())]
+            columns += [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((ids, "<i8"), (created, "<i8"), (v, "<f8"))]
+            return pa.RecordBatch.from_arrays(columns, ["grp", "size", "n", "ids", "created", "v"])
+
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            code, ids, created, vectors = np.asarray(names.indices), np.asarray(batch.column(1), np.int64), np.asarray(batch.column(2), np.int64), batch.column(3)
+            size = np.asarray(vectors.value_lengths(), np.int64)
+            bounds, flat = np.asarray(vectors.offsets), np.asarray(vectors.values, float)
+            for c, n in np.unique(np.stack([code, size], axis=1), axis=0).tolist():
+                at, key = np.flatnonzero((code == c) & (size == n)), (names.dictionary[c].as_py(), n)
+                held.setdefault(key, []).append((ids[at], created[at], flat[bounds[at][:, None] + np.arange(n)]))
+                counts[key] = counts.get(key, 0) + len(at)
+                if counts[key] >= PIECE:
+                    yield piece(key)
+            if sum(counts.values()) > HELD:
+                for key in list(held):
+                    yield piece(key)
+        for key in list(held):
+            yield piece(key)
+
+    arrow = to_arrow_type(kind)
+    whole = rows.select("grp", "id", "created", V.doubles(F.col("vector")).alias("vector")).filter("grp is not null and id is not null and created is not null and size(vector) > 0")
+    made = whole.mapInArrow(run, f"grp {kind.simpleString()}, size int, n int, ids binary, created binary, v binary")
+    return made.select(*[F.col(c).alias(prefix + c) for c in made.columns])
+
+
+def continuity(current: DataFrame, prior: DataFrame, least: float = 0.4, k: int = 3) -> DataFrame:
     """id, prior_id, cosine, rank: earlier summarised sessions of cosine at least ``least``, the best ``k``.
 
-    Both frames: (grp, id, created, vector); only sessions of one grp are compared. Groups are dealt into chunks, and
-    a chunk of current sessions meets a chunk of prior ones in one task, which keeps each session's best ``k``.
+    Both frames: (grp, id, created, vector); only sessions of one grp are compared. Both are packed into pieces; those of the current
+    sessions are broadcast, at most BROADCAST_BYTES at a time, to where the prior ones lie, and only a piece's best ``k`` of each session are shuffled.
     """
-    sizes = current.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("currents")).join(
-        prior.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("priors")), "grp"
-    )
-
-    def dealt(rows: DataFrame, own: str, other: str, is_prior: bool) -> DataFrame:
-        rows = rows.select("grp", "id", "created", V.doubles(F.col("vector")).alias("vector")).join(sizes, "grp")
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col(own))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        cell = ("other", "own") if is_prior else ("own", "other")
-        return rows.select("grp", F.col(cell[0]).cast("long").alias("i"), F.col(cell[1]).cast("long").alias("j"), "id", "created", "vector", F.lit(is_prior).alias("prior"))
-
-    def best(table: pa.Table) -> pa.Table:
-        table = table.filter(table.column("vector").is_valid())
-        earlier = np.asarray(table.column("prior"), bool)
-        ids, created = np.asarray(table.column("id"), np.int64), np.asarray(table.column("created"), np.int64)
-        vectors = table.column("vector").combine_chunks()
-        size = np.asarray(vectors.value_lengths(), np.int64)
-        out = []
-        for n in np.unique(size):
-            mine, theirs = np.flatnonzero(~earlier & (size == n)), np.flatnonzero(earlier & (size == n))
-            if not len(mine) or not len(theirs):
-                continue
-            a, b = (np.asarray(vectors.take(pa.array(x)).flatten(), float).reshape(len(x), n) for x in (mine, theirs))
-            s = np.round(a @ b.T, 6)
-            for row, m in zip(s, mine, strict=True):
-                fit = np.flatnonzero((row >= least) & (created[theirs] < created[m]))
-                fit = fit[np.lexsort((ids[theirs[fit]], -row[fit]))][:k]
-                out += [(int(ids[m]), int(ids[theirs[x]]), float(row[x])) for x in fit]
-        a, b, c = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"id": pa.array(a, pa.int64()), "prior_id": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
-
-    cells = dealt(current, "currents", "priors", False).union(dealt(prior, "priors", "currents", True))
-    scored = cells.groupBy("grp", "i", "j").applyInArrow(best, "id long, prior_id long, cosine double")
+    asked, held = _packed(current, "c_"), _packed(prior)
+    sized = current.agg(F.sum(F.size("vector").cast("long") * 8).alias("bytes")).first()["bytes"] or 0
+    turns = max(1, -(-sized // BROADCAST_BYTES))
+    if turns > 1:
+        asked, held = stored(asked, "continuity-current"), stored(held, "continuity-prior")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {c: batch.column(i)[r].as_py() for i, c in enumerate(batch.schema.names)}
+                vectors = lambda p: np.frombuffer(row[p + "v"], "<f8").reshape(row[p + "n"], row["size"])  # noqa: E731, B023
+                mine, theirs, then, now = (np.frombuffer(row[c], "<i8") for c in ("c_ids", "ids", "created", "c_created"))
+                s = np.round(vectors("c_") @ vectors("").T, 6)
+                a, b = np.nonzero((s >= least) & (then[None, :] < now[:, None]))
+                order = np.lexsort((theirs[b], -s[a, b], a))
+                a, b = a[order], b[order]
+                top = np.arange(len(a)) - np.searchsorted(a, np.arange(len(mine)))[a] < k
+                a, b = a[top], b[top]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[a]), pa.array(theirs[b]), pa.array(s[a, b])], ["id", "prior_id", "cosine"])
+
+    found = None
+    for turn in range(turns):
+        block = asked if turns == 1 else asked.filter(F.pmod(F.xxhash64("c_ids"), F.lit(turns)) == turn)
+        pairs = held.join(F.broadcast(block), (F.col("grp") == F.col("c_grp")) & (F.col("size") == F.col("c_size")))
+        one = pairs.select("size", "n", "ids", "created", "v", "c_n", "c_ids", "c_created", "c_v").mapInArrow(best, "id long, prior_id long, cosine double")
+        found = one if found is None else found.union(one)
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "prior_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -10,32 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import scores, text
+from skein.operators.lexical import LexicalIndex
 from skein.sources.shared import stored
 
-K1, B = 1.5, 0.75
-#: Vectors of a query block and of a corpus piece that are multiplied at once, and blocks broadcast at once.
-QUERY_BLOCK, PIECE, BLOCKS_AT_ONCE = 1024, 4096, 64
+#: Vectors of a query block and of a corpus piece that are multiplied at once, and bytes of blocks broadcast at once.
+QUERY_BLOCK, PIECE, BROADCAST_BYTES = 1024, 4096, 32 << 20
 #: Stands for a document's length among its terms; no token is empty.
 LENGTH = ""
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """Distinct (query_id, term) of queries (query_id, text)."""
-    return queries.select("query_id", F.explode(F.array_distinct(text.tokenize(F.col("text")))).alias("term"))
-
-
-def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, term, tf, len) of documents (id, text) for the wanted terms (term), and a row with the term LENGTH of each.
-
-    One scan and one shuffle of what matches: occurrences are summed in the tasks, and the lengths travel along, so
-    that the corpus statistics need no pass of their own.
-    """
-    tokens = docs.select("id", F.coalesce(text.tokenize(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
-    rows = tokens.select("id", F.size("tokens").alias("len"), F.explode(F.concat("tokens", F.array(F.lit(LENGTH)))).alias("term"))
-    terms = wanted.select("term").union(docs.sparkSession.range(1).select(F.lit(LENGTH))).distinct()
-    return rows.join(terms, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-
-
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """term, df of documents (id, text), with n and avg_len of the corpus: each document's distinct terms are counted in its task."""
     tokens = docs.select(text.tokenize(F.col("text")).alias("tokens"))
@@ -46,27 +29,12 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return counted.filter(F.col("term") != LENGTH).select("term", "df").join(F.broadcast(stats), F.lit(True))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 20, posts: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, index: LexicalIndex | None = None) -> DataFrame:
     """query_id, id, score, rank: Okapi BM25 of each query, positive scores, best ``k``; ties to smaller ids.
 
-    ``posts``: postings of the documents for at least the queries' terms, to be used for several sets of queries. The
-    corpus statistics (number and mean length of documents, empty ones included) are one row.
+    ``index``: an index of the documents, to be used for several sets of queries; otherwise one is made for this search.
     """
-    terms = query_terms(queries)
-    if posts is None:
-        posts = stored(postings(docs, terms.select("term").distinct()), "bm25-postings")
-    stats = posts.filter(F.col("term") == LENGTH).agg(F.count("*").alias("n"), F.sum("len").alias("total")).first()
-    n = float(stats["n"] or 0)
-    avg_len = max(1.0, (stats["total"] or 0) / max(1.0, n))
-    posts = posts.filter(F.col("term") != LENGTH)
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    tf = F.col("tf")
-    weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(avg_len)))
-    weighted = posts.join(df, "term").select("term", "id", weight.alias("w"))
-    scored = weighted.join(terms, "term")
-    scored = scored.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score")).filter("score > 0")
-    return top_per_query(scored, k)
+    return (index or LexicalIndex.build(docs)).search(queries, k)
 
 
 def top_per_query(scored: DataFrame, k: int | None) -> DataFrame:
@@ -102,24 +70,23 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, decimals:
     """query_id, id, score, rank by inner product of queries (query_id, vector) with (id, vector).
 
     Every query is scored against all rows, in blocks: queries are dealt into blocks of about QUERY_BLOCK, of which a
-    bounded number is broadcast at a time, and each block is multiplied with pieces of the corpus; only the best ``k``
-    of a block and piece go on. Vectors of another length than the query's are left out.
+    bounded number of bytes is broadcast at a time, and each block is multiplied with pieces of the corpus; only the best
+    ``k`` of a block and piece go on. The corpus is packed once, however many turns the blocks take. Vectors of another
+    length than the query's are left out.
     """
     pack = "n int, size int, ids binary, v binary"
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
+    size = queries.agg(F.count("*").alias("n"), F.sum(F.size("vector").cast("long") * 8).alias("bytes")).first()
+    blocks, turns = max(1, -(-size["n"] // QUERY_BLOCK)), max(1, -(-(size["bytes"] or 0) // BROADCAST_BYTES))
     if blocks > 1:
         asked = asked.repartition(blocks, F.xxhash64("query_id"))
     asked = asked.mapInArrow(_pieces, pack).select(*[F.col(c).alias(f"q_{c}") for c in ("n", "size", "ids", "v")])
-    if blocks > BLOCKS_AT_ONCE:
-        asked = stored(asked.withColumn("turn", F.pmod(F.xxhash64("q_ids"), F.lit(-(-blocks // BLOCKS_AT_ONCE)))), "query-blocks")
-    else:
-        asked = asked.withColumn("turn", F.lit(0))
     corpus = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_pieces, pack)
+    if turns > 1:
+        asked, corpus = stored(asked, "query-blocks"), stored(corpus, "vector-pieces")
     found = None
-    for turn in range(-(-blocks // BLOCKS_AT_ONCE)):
-        block = asked.filter(F.col("turn") == turn).drop("turn")
+    for turn in range(turns):
+        block = asked if turns == 1 else asked.filter(F.pmod(F.xxhash64("q_ids"), F.lit(turns)) == turn)
         pairs = corpus.join(F.broadcast(block), F.col("size") == F.col("q_size"))
         one = pairs.select("q_n", "q_ids", "q_v", "n", "ids", "v", "size").mapInArrow(_best(k, decimals), "query_id long, id long, score double")
         found = one if found is None else found.union(one)
@@ -159,7 +126,9 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], k: int = scores.RRF_K) ->
 def adjust(fused: DataFrame, facts: DataFrame, queries: DataFrame, now: int) -> DataFrame:
     """Fused rows with recency and term coverage added: query_id, id, adjusted. facts: (id, text, created)."""
     q = queries.select("query_id", F.array_distinct(text.tokenize(F.col("text"))).alias("q_terms"))
-    rows = fused.join(facts.select("id", "created", text.tokenize(F.col("text")).alias("d_terms")), "id").join(q, "query_id")
+    # Only the found documents are tokenised.
+    found = facts.select("id", "created", "text").join(fused.select("id").distinct(), "id", "left_semi")
+    rows = fused.join(found.select("id", "created", text.tokenize(F.col("text")).alias("d_terms")), "id").join(q, "query_id")
     covered = scores.coverage(F.col("q_terms"), F.coalesce("d_terms", F.array().cast("array<string>")))
     value = scores.adjusted(F.col("fused"), scores.recency_prior(F.col("created"), F.lit(now)), covered)
     return rows.select("query_id", "id", "fused", F.round(value, 9).alias("adjusted"))
@@ -209,10 +178,9 @@ def hybrid(
     queries: (query_id, text, vector); corpus: (id, text, vector, created); expansions: (query_id, alt_no, text, vector),
     used only for queries whose retrieval is weak. The returned score is the adjusted fused one.
     """
-    terms = query_terms(queries if expansions is None else queries.select("query_id", "text").union(expansions.select("query_id", "text")))
-    posts = stored(postings(corpus, terms.select("term").distinct()), "hybrid-postings")
-    by_vector = vector_top_k(queries, corpus, depth)
-    by_words = bm25(queries, corpus, depth, posts)
+    index = LexicalIndex.build(corpus.select("id", "text"))
+    by_vector = stored(vector_top_k(queries, corpus, depth), "by-vector")
+    by_words = stored(bm25(queries, corpus, depth, index), "by-words")
     rankings = [by_vector, by_words]
     if expansions is not None:
         hits = by_words.groupBy("query_id").agg(F.count("*").alias("hits"))
@@ -222,8 +190,8 @@ def hybrid(
         alts = expansions.join(weak, "query_id", "left_semi").filter(F.col("alt_no") <= 2)
         for number in (1, 2):
             one = alts.filter(F.col("alt_no") == number)
-            rankings += [vector_top_k(one, corpus, depth), bm25(one, corpus, depth, posts)]
-    fused = reciprocal_rank_fusion(rankings)
+            rankings += [vector_top_k(one, corpus, depth), bm25(one, corpus, depth, index)]
+    fused = stored(reciprocal_rank_fusion(rankings), "fused")
     scored = adjust(fused, corpus, queries, now) if priors else fused.select("query_id", "id", "fused", F.col("fused").alias("adjusted"))
     order = Window.partitionBy("query_id").orderBy(F.desc("adjusted"), "id")
     pools = scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= pool)
@@ -233,9 +201,13 @@ def hybrid(
 
 
 def pack_budget(rows: DataFrame, key: str, order: list, tokens, budget: int, force_first: bool = False) -> DataFrame:
-    """The longest prefix of each group whose token sum stays within the budget; with ``force_first`` at least one row."""
-    run = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    """The longest prefix of each group whose token sum stays within the budget; with ``force_first`` at least one row.
+
+    Rows of a token or more beyond the first ``budget`` + 1 of their group can't be in it: they are cut in the tasks, before the shuffle.
+    """
     place = Window.partitionBy(key).orderBy(*order)
-    summed = rows.withColumn("used", F.sum(tokens).over(run)).withColumn("place", F.row_number().over(place).cast("long"))
+    heavy = rows.filter(tokens > 0).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= budget + 1).drop("place")
+    rows = heavy.unionByName(rows.filter(~F.coalesce(tokens > 0, F.lit(False))))
+    summed = rows.withColumn("used", F.sum(tokens).over(place.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(place).cast("long"))
     keep = F.col("used") <= budget
     return summed.filter(keep | (F.col("place") == 1) if force_first else keep)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions import scores, text
 from skein.operators import clustering, embedding, evaluation, meetings, relations, retrieval, sentences, services
 from skein.plans.registry import NOW, Tables, register
+from skein.sources.shared import stored
 
 TOK = r"regexp_extract_all(lower({}text), '[\p{{L}}\p{{M}}\p{{N}}]+')"
 TOKENS = TOK.format("")
@@ -85,7 +86,7 @@ def _(t):
 
 @register("ir_4_priors", f"WITH {ASKED}, {BM25}, {VECTOR}, {FUSED}, {ADJUSTED} SELECT query_id, id, round(adjusted, 7) AS adjusted FROM a", "corpus")
 def _(t):
-    adjusted = retrieval.adjust(_fused(t), t.corpus, t.asked, NOW)
+    adjusted = retrieval.adjust(stored(_fused(t), "fused"), t.corpus, t.asked, NOW)
     return adjusted.select("query_id", "id", F.round("adjusted", 7).alias("adjusted"))
 
 
@@ -295,10 +296,11 @@ def _(t):
     return store.count()
 
 
-@register("ext_5_token_counter", "SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::BIGINT AS used FROM documents")
+@register("ext_5_token_counter", "SELECT source, doc_id, used::BIGINT AS used FROM (SELECT source, doc_id, sum(len(regexp_extract_all(text, '\S+'))) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) WHERE used <= 5000")
 def _(t):
-    packed = retrieval.pack_budget(t.documents, "doc_id", [F.col("text")], text.word_count(F.col("text")), 1_000_000)
-    return packed.select("doc_id", "used")
+    """Words instead of estimated tokens: as many documents of each source as 5,000 words hold."""
+    packed = retrieval.pack_budget(t.documents, "source", [F.col("doc_id")], text.word_count(F.col("text")), 5000)
+    return packed.select("source", "doc_id", "used")
 
 
 @register("ext_2_chunker", """WITH c AS (SELECT doc_id AS id, text, unnest(range((length(text) + 499) // 500)) AS chunk_index FROM documents)
