@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text
 
+if TYPE_CHECKING:
+    from skein.operators.substrings import SubstringIndex
+
 #: Words by which a question leans on what was said before.
 CONTEXT_WORDS = ("it", "that", "this", "they", "them", "he", "she", "him", "her", "his", "hers", "their", "those", "these", "one")
 
@@ -16,11 +21,12 @@ def matches(column: Column, query: str) -> Column:
     return F.contains(F.collate(column, "UNICODE_CI_AI"), F.collate(F.lit(query), "UNICODE_CI_AI"))
 
 
-def search_sessions(sessions: DataFrame, segments: DataFrame, query: str) -> DataFrame:
-    """Sessions whose title or any segment holds the query; a blank query finds all."""
+def search_sessions(sessions: DataFrame, segments: DataFrame, query: str, index: SubstringIndex | None = None) -> DataFrame:
+    """Sessions whose title or any segment holds the query; a blank query finds all. ``index``: of the segments' texts."""
     if not query.strip():
-        return sessions
-    hits = segments.filter(matches(F.col("text"), query.strip())).select("session_id", F.lit(True).alias("__hit")).distinct()
+        return sessions.orderBy(F.desc("created"), "session_id")
+    held = index.search(query) if index is not None else segments.filter(matches(F.col("text"), query.strip()))
+    hits = held.select("session_id", F.lit(True).alias("__hit")).distinct()
     found = sessions.join(hits, "session_id", "left").filter(matches(F.col("title"), query.strip()) | F.col("__hit"))
     return found.drop("__hit").orderBy(F.desc("created"), "session_id")
 

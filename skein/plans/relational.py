@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import scores, text
 from skein.functions import vectors as V
 from skein.operators import clustering, meetings, predicates, relations, retrieval
+from skein.operators.substrings import SubstringIndex
 from skein.plans.registry import Tables, register
 
 # Predicates
@@ -16,7 +17,8 @@ from skein.plans.registry import Tables, register
 @register("flt_1_search", """SELECT s.session_id, s.title FROM sessions s WHERE contains(strip_accents(lower(s.title)), 'thing')
     OR EXISTS (SELECT 1 FROM segments g WHERE g.session_id = s.session_id AND contains(strip_accents(lower(g.text)), 'thing'))""", "sessions segments")
 def _(t: Tables) -> DataFrame:
-    return predicates.search_sessions(t.sessions, t.segments, "Thing").select("session_id", "title")
+    index = SubstringIndex.build(t.segments.select("session_id", "text"))
+    return predicates.search_sessions(t.sessions, t.segments, "Thing", index).select("session_id", "title")
 
 
 @register("flt_2_category", "SELECT doc_id FROM documents WHERE lang = 'en'")
@@ -185,9 +187,13 @@ def _(t):
     return t.orders.join(keys, "o_orderkey", "left_semi").select("o_orderkey")
 
 
-@register("join_9_anti", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@register("join_9_anti", r"""WITH k AS (SELECT doc_id, source, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS key FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id FROM k WHERE NOT EXISTS (SELECT 1 FROM k g WHERE g.key = k.key AND g.source = 'src3') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
 def _(t):
-    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Texts of one source retired wherever they stand, by normalised text; then ids that were seen."""
+    rows = t.documents.filter("text is not null").select("doc_id", "source", text.normal_key(F.col("text")).alias("key"))
+    left = rows.join(rows.filter("source = 'src3'").select("key").distinct(), "key", "left_anti")
+    return left.join(t.labels.filter("quality = 0").select("doc_id"), "doc_id", "left_anti").select("doc_id")
 
 
 @register("join_10_first_wins", "SELECT user_id, min_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from skein.functions import text
-from skein.operators import meetings
+from skein.operators import indexing, meetings
 from skein.plans.registry import EPOCH, Tables, register
 from skein.plans.relational import ASSEMBLY
 from skein.plans.scalars import CLEAN
 from skein.sources import imports, tables
+from skein.sources.corpus_cache import CorpusCache, decode_chunks
 from skein.sources.shared import scratch
-from skein.streaming import transcripts
+from skein.sources.versions import VersionedTable, sink
+from skein.streaming import stateful, transcripts
 
 
 def _folder(t: Tables, name: str) -> str:
@@ -130,8 +132,14 @@ def _(t):
 
 @register("src_16_corpus_decode", "SELECT vec_id, len(embedding) = 64 AND vec_id % 7 <> 0 AS usable FROM embeddings")
 def _(t):
-    damaged = t.embeddings.select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding")).alias("v"))
-    return imports.usable_vectors(damaged, "v", 64).select("vec_id", F.col("v").isNotNull().alias("usable"))
+    """The decoded corpus of a table to which rows were added after the first look."""
+    damaged = t.embeddings.select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding")).alias("vector"))
+    table = VersionedTable(t.spark, _folder(t, "chunks"), ["vec_id"])
+    cache = CorpusCache(t.spark, table, lambda rows: decode_chunks(rows, 64))
+    for half in (0, 1):
+        table.append(damaged.filter(F.col("vec_id") % 2 == half))
+        corpus = cache.corpus()
+    return corpus.select("vec_id", F.col("vector").isNotNull().alias("usable"))
 
 
 @register("src_17_update_stream", "SELECT session_id, seq, is_final FROM updates", "updates")
@@ -180,7 +188,8 @@ def _drain(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
     schema = stream.schema
 
     def keep(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)
+        # A batch that comes again overwrites its own folder.
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -189,10 +198,11 @@ def _drain(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
 
 @register("snk_1_append", "SELECT vec_id, label FROM embeddings")
 def _(t):
-    folder = _folder(t, "chunks")
-    for half in (0, 1):
-        tables.append(t.embeddings.filter(F.col("vec_id") % 2 == half).select("vec_id", "label"), folder)
-    return t.spark.read.parquet(folder)
+    """Two batches, the second delivered twice."""
+    table = VersionedTable(t.spark, _folder(t, "chunks"), ["vec_id"])
+    for batch in (0, 1, 1):
+        table.append(t.embeddings.filter(F.col("vec_id") % 2 == batch).select("vec_id", "label"), ("load", batch))
+    return table.read()
 
 
 @register("snk_2_orphans", "SELECT e.event_id, e.event_id IN (SELECT vec_id FROM embeddings) AS has_parent FROM events e")
@@ -228,16 +238,42 @@ def _(t):
 
 @register("snk_7_reindex", "SELECT label, vec_id, 'old' AS version FROM embeddings WHERE label NOT IN (SELECT label FROM embeddings WHERE vec_id < 3) UNION ALL SELECT label, vec_id + 1000000, 'new' FROM embeddings WHERE vec_id < 3")
 def _(t):
-    stored = t.embeddings.select("label", "vec_id", F.lit("old").alias("version"))
+    """The labels of three rows indexed anew, twice with one batch number; only their buckets are copied."""
+    table = VersionedTable(t.spark, _folder(t, "index"), ["label"])
+    table.append(t.embeddings.select("label", "vec_id", F.lit("old").alias("version")))
     fresh = t.embeddings.filter("vec_id < 3").select("label", (F.col("vec_id") + 1000000).alias("vec_id"), F.lit("new").alias("version"))
-    return tables.replace_sources(stored, fresh, ["label"])
+    for _ in range(2):
+        table.replace(fresh, token=("reindex", 0))
+    return table.read()
 
 
 @register("snk_8_rebuild")
 def _(t):
-    from skein.operators.embedding import index_documents
+    """Documents and sessions over an older index, in one commit."""
+    index = indexing.ChunkIndex.at(t.spark, _folder(t, "index"))
+    index.rebuild(indexing.document_items(t.docs.filter("id % 2 = 0").select((F.col("id") + 10_000_000).alias("id"), "text")))
+    statuses = index.rebuild(indexing.document_items(t.docs), indexing.session_items(t.segments))
+    counts = index.table.read().groupBy(*indexing.KEYS).agg(F.count("*").alias("chunks"), F.sum("words").alias("words"))
+    return statuses.join(counts, indexing.KEYS, "left").select(*indexing.KEYS, "status", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("words", F.lit(0)).alias("words"))
+
+
+@register("snk_8_rebuild_failures", """WITH i AS (SELECT 'document' AS source_type, doc_id AS source_id, coalesce(text, '') AS text FROM documents
+    UNION ALL SELECT 'session', conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) FROM conversations GROUP BY conv_id)
+    SELECT source_type, source_id, CASE WHEN length(text) > 5000 THEN 'failed' ELSE 'ready' END AS status, CASE WHEN length(text) > 5000 THEN 0 ELSE (length(text) + 499) // 500 END::BIGINT AS chunks FROM i""")
+def _(t):
+    """Pieces of 500 characters, ten at most: longer items fail by themselves, and what was indexed of them before is gone."""
 
-    return index_documents(t.docs).groupBy("id").agg(F.count("*").alias("chunks"), F.sum("words").alias("words"))
+    def pieces(body: str) -> list[tuple[str, int, int]]:
+        if len(body) > 5000:
+            raise ValueError("more than ten pieces")
+        return [(body[k : k + 500], k, 1) for k in range(0, len(body), 500)]
+
+    path = _folder(t, "index")
+    indexing.ChunkIndex.at(t.spark, path, chunker=lambda body: [(body, 0, 1)]).rebuild(indexing.document_items(t.docs))
+    index = indexing.ChunkIndex.at(t.spark, path, chunker=pieces)
+    statuses = index.index(indexing.document_items(t.docs).unionByName(indexing.session_items(t.segments)))
+    counts = index.table.read().groupBy(*indexing.KEYS).agg(F.count("*").alias("chunks"))
+    return statuses.join(counts, indexing.KEYS, "left").select(*indexing.KEYS, "status", F.coalesce("chunks", F.lit(0)).alias("chunks"))
 
 
 @register("snk_9_cascade", "SELECT o_orderkey FROM orders WHERE o_custkey % 10 <> 0 UNION ALL SELECT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 0)")
@@ -343,7 +379,7 @@ def _(t):
     for k in range(3):
         part = updates.filter((F.col("seq") > cuts * k // 3 - (k == 0)) & (F.col("seq") <= cuts * (k + 1) // 3))
         part.repartition("session_id").sortWithinPartitions("session_id", "seq").write.mode("append").json(folder)
-    changed = _drain(t, transcripts.assemble_stream(transcripts.read_updates(t.spark, folder)), "update")
+    changed = _drain(t, stateful.assemble_stream(transcripts.read_updates(t.spark, folder)), "update")
     newest = Window.partitionBy("session_id", "line").orderBy(F.desc("batch"))
     return changed.withColumn("n", F.row_number().over(newest)).filter("n = 1").select("session_id", "line", "text", "start", "end")
 
@@ -368,6 +404,24 @@ def _(t):
     return transcripts.pauses(events, "user_id", "ts", 1800.0).select("event_id", F.round("gap", 3).alias("gap"))
 
 
+@register("str_5_turn_ends", """WITH e AS (SELECT user_id::VARCHAR AS session_id, event_type AS text, epoch_us(ts) // 1000 AS ms FROM events),
+    c AS (SELECT *, lag(text) OVER (PARTITION BY session_id ORDER BY ms, text) AS before FROM e),
+    d AS (SELECT *, lead(ms) OVER (PARTITION BY session_id ORDER BY ms, text) AS following FROM c WHERE before IS NULL OR before <> text)
+    SELECT session_id, text, ms + 1800000 AS ended_ms FROM d WHERE following - ms >= 1800000 OR following IS NULL AND ms + 1800000 <= (SELECT max(ms) FROM e)""")
+def _(t):
+    """Each user's events as partial texts, in files by time that are a micro-batch each; half an hour without a change ends a turn."""
+    folder = _folder(t, "partials")
+    rows = t.events.select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("text"))
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(4):
+        lo, hi = (first + (last - first) * n / 4 for n in (k, k + 1))
+        part = rows.filter((F.col("ts") >= F.lit(lo)) & ((F.col("ts") < F.lit(hi)) if k < 3 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = t.spark.readStream.schema("session_id string, ts timestamp, text string").option("maxFilesPerTrigger", 1).parquet(folder)
+    ended = _drain(t, stateful.turn_ends(stream, 1_800_000), "append")
+    return ended.select("session_id", "text", F.unix_millis("ended_at").alias("ended_ms"))
+
+
 @register("str_6_interruptions", """WITH e AS (SELECT user_id AS key, event_id AS seq, (map {'view': 'start', 'click': 'began', 'purchase': 'ended_resume', 'error': 'reset', 'login': 'ended'})[event_type] AS n, event_id % 10 AS z FROM events),
     v AS (SELECT key, seq, CASE z WHEN 7 THEN 'route_changed' WHEN 9 THEN 'stop' ELSE coalesce(n, 'other') END AS event FROM e),
     f AS (SELECT key, list_prepend([{'q': -1::BIGINT, 'e': '', 's': 'idle', 'c': NULL::VARCHAR}], list([{'q': seq, 'e': event, 's': '', 'c': NULL::VARCHAR}] ORDER BY seq)) AS u FROM v GROUP BY key),
@@ -386,7 +440,8 @@ def _(t):
 def _(t):
     folder, one, two = (_folder(t, name) for name in ("updates", "tee-first", "tee-second"))
     _updates(t).write.json(folder)
-    keep = lambda path, only: lambda rows, batch: rows.filter(only).write.mode("append").parquet(path)
-    transcripts.tee(transcripts.read_updates(t.spark, folder, 100), keep(one, "true"), keep(two, "is_final"), _folder(t, "tee-marks")).awaitTermination()
-    counted = lambda name, path: t.spark.read.parquet(path).agg(F.lit(name).alias("sink"), F.count("*").alias("updates"))
+    kept = lambda path: VersionedTable(t.spark, path, ["session_id"])
+    every, final = sink(kept(one), "tee"), sink(kept(two), "tee")
+    transcripts.tee(transcripts.read_updates(t.spark, folder, 100), every, lambda rows, batch: final(rows.filter("is_final"), batch), _folder(t, "tee-marks")).awaitTermination()
+    counted = lambda name, path: kept(path).read().agg(F.lit(name).alias("sink"), F.count("*").alias("updates"))
     return counted("first", one).union(counted("second", two))

@@ -113,11 +113,6 @@ def by_keys(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted.select(key).distinct(), key, "left_semi")
 
 
-def usable_vectors(rows: DataFrame, vector: str, size: int) -> DataFrame:
-    """Rows with vectors of another size kept without their vector."""
-    return rows.withColumn(vector, F.when(F.size(vector) == size, F.col(vector)))
-
-
 def generated_segments(spark: SparkSession, count: int) -> DataFrame:
     """A long transcript: segments six seconds apart, facts planted at 10, 25, 40 and 60."""
     fact = (

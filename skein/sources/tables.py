@@ -32,11 +32,6 @@ def rename_placeholder(rows: DataFrame, titles: DataFrame, key: str, placeholder
     return joined.select(*[fresh.alias("title") if c == "title" else F.col(c) for c in rows.columns])
 
 
-def replace_sources(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows of the re-indexed sources replaced by the new ones."""
-    return stored.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
-
-
 def delete(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti")
 

@@ -1,8 +1,7 @@
-"""Streaming transcripts: volatile and final updates, exactly-once lines, running text, incremental sentences, pauses."""
+"""Streaming transcripts: volatile and final updates, running text, incremental sentences, pauses, two sinks."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,11 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from skein.operators.meetings import merge_line
 from skein.operators.sentences import completed
 
 UPDATES = "session_id string, seq long, ts timestamp, text string, is_final boolean, start double, end double"
-LINES = "session_id string, line long, text string, start double, end double"
 
 
 def read_updates(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
@@ -33,36 +30,6 @@ def latest_volatile(updates: DataFrame) -> DataFrame:
     return last.filter("not u.is_final").select("session_id", "seq", F.col("u.text").alias("text"))
 
 
-def assemble_stream(updates: DataFrame) -> DataFrame:
-    """Changed lines of each session: rows (session_id, line, ...) supersede earlier rows of the same line.
-
-    State is the last line, its number and the last seq; updates count in order of seq, without a watermark. Updates
-    that come again or late (their seq is not beyond the state's) are refused, so that delivery may repeat.
-    """
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else None
-        number, last, seen = (held[0], tuple(held[1]), held[2]) if held else (-1, None, None)
-        changed: dict[int, tuple] = {}
-        rows = pd.concat(list(batches)).sort_values("seq")
-        rows = rows[rows.is_final.astype(bool)]
-        if seen is not None:
-            rows = rows[rows.seq > seen]
-        for r in rows.itertuples():
-            seen = int(r.seq)
-            kind, line = merge_line(last, (r.text or "", r.start, r.end))
-            if kind == "append":
-                number += 1
-            last = line
-            if kind != "drop":
-                changed[number] = line
-        if last is not None:
-            state.update((json.dumps([number, list(last), seen]),))
-        yield pd.DataFrame([(key[0], n, *line) for n, line in changed.items()], columns=["session_id", "line", "text", "start", "end"])
-
-    return updates.groupBy("session_id").applyInPandasWithState(step, LINES, "held string", "update", GroupStateTimeout.NoTimeout)
-
-
 def running_text(updates: DataFrame) -> DataFrame:
     """session_id, seq, combined: all finals so far and the current volatile text, by one fold over a session's updates."""
 

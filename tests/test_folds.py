@@ -15,7 +15,7 @@ from skein.functions import text
 from skein.plans import registry
 from skein.operators import clustering, embedding, meetings, retrieval, sentences
 from skein.sources import imports, tables
-from skein.streaming import transcripts
+from skein.streaming import stateful, transcripts
 
 
 def test_sentences():
@@ -86,7 +86,7 @@ def test_assembly_batch_equals_stream(spark):
         for r in out.collect():
             seen[(r.session_id, r.line)] = (r.text, r.start, r.end)
 
-    stream = transcripts.assemble_stream(transcripts.read_updates(spark, folder))
+    stream = stateful.assemble_stream(transcripts.read_updates(spark, folder))
     stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-marks-")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((s, n, *v) for (s, n), v in seen.items()) == batch
 
@@ -210,12 +210,18 @@ def test_chunk_queries(spark, texts):
     want = sorted((i, k, n, hashlib.md5(c.encode()).hexdigest()) for i, t in texts.items() for k, (c, n) in enumerate(plain_chunks(t)))
     assert sorted((r.id, r.chunk_index, r.words, r.text_md5) for r in found["ir_8_chunk_documents"](spark, SF).collect()) == want
     assert sorted((r.id, r.chunk_index, r.words) for r in found["ir_10_index_build"](spark, SF).collect() if r.dim == 64) == [w[:3] for w in want]
-    words = {i: sum(n for j, _, n, _ in want if j == i) for i in {w[0] for w in want}}
-    assert {r.id: r.words for r in found["snk_8_rebuild"](spark, SF).collect()} == words
+    rebuilt = {(r.source_type, r.source_id): (r.status, r.chunks, r.words) for r in found["snk_8_rebuild"](spark, SF).collect()}
+    for i in texts:
+        mine = [n for j, _, n, _ in want if j == i]
+        assert rebuilt.pop(("document", i)) == ("ready", len(mine), sum(mine))
     turns = {}
     for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
         turns.setdefault(r.conv_id, []).append(r.text or "")
     want = sorted((i, k, n, hashlib.md5(c.encode()).hexdigest()) for i, t in turns.items() for k, (c, n) in enumerate(plain_chunks(" ".join(t))))
+    for i in turns:
+        mine = [n for j, _, n, _ in want if j == i]
+        assert rebuilt.pop(("session", i)) == ("ready", len(mine), sum(mine))
+    assert not rebuilt
     assert sorted((r.session_id, r.chunk_index, r.words, r.text_md5) for r in found["ir_9_chunk_sessions"](spark, SF).collect()) == want
 
 
