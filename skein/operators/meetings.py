@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import scores, text
+from skein.operators.scans import run_machine
 
 WINDOW_TOKENS, SKIP_MAP_TOKENS, LEAST_TOKENS, PARTIALS = 2200, 2150, 15, 7
 MAP_OUTPUT = 300
@@ -217,23 +218,12 @@ def command(event: Column, state: Column) -> Column:
 
 
 def run_states(events: DataFrame) -> DataFrame:
-    """key, seq, event, state, command: the pause state machine over each key's ordered events.
+    """key, seq, event, state, command: the pause state machine over each key's ordered events, which may span many tasks.
 
     ``state`` is the one after the event; the command follows from the event and the state before it.
     """
-
-    def fold(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("seq").to_pylist(), table.column("event").to_pylist(), strict=True))
-        state, out = "idle", []
-        for seq, event in rows:
-            made = COMMANDS.get((event, state))
-            state = STATES.get((event, state), state)
-            out.append((seq, event, state, made))
-        key = table.column("key")[0].as_py()
-        a, b, c, d = zip(*out, strict=True)
-        return pa.table({"key": pa.array([key] * len(a), pa.int64()), "seq": pa.array(a, pa.int64()), **{n: pa.array(x, pa.string()) for n, x in (("event", b), ("state", c), ("command", d))}})
-
-    return events.groupBy("key").applyInArrow(fold, "key long, seq long, event string, state string, command string")
+    walked = run_machine(events.select("key", "seq", "event"), "key", ["seq", "event"], "event", ["idle", "recording", "paused"], STATES)
+    return walked.select("key", "seq", "event", "state", command(F.col("event"), F.col("before")).alias("command"))
 
 
 def last_turns(turns: DataFrame, n: int = 6) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text
+from skein.operators.scans import following, numbered
 
 
 def resolve_citations(refs: DataFrame, chunks: DataFrame, titles: DataFrame, default: str) -> DataFrame:
@@ -105,10 +106,11 @@ def update_stream(turns: DataFrame) -> DataFrame:
 
 
 def active_time(events: DataFrame, key: str, ts: str, tie: str, running: Column) -> DataFrame:
-    """Seconds during which each key ran: from each running event to the next event."""
-    following = F.lead(ts).over(Window.partitionBy(key).orderBy(ts, tie))
-    gap = F.coalesce((F.unix_micros(following.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / F.lit(1e6), F.lit(0.0))
-    return events.withColumn("__gap", gap).groupBy(key).agg(F.round(F.sum(F.when(running, F.col("__gap")).otherwise(0.0)), 3).alias("active"))
+    """Seconds during which each key ran: from each running event to the next event. A key's events may span many tasks."""
+    rows = numbered(events.select(key, F.col(ts).cast("timestamp").alias("ts"), F.col(tie).alias("tie"), running.alias("running")), key, ["ts", "tie"])
+    gap = F.coalesce((F.unix_micros("next") - F.unix_micros("ts")) / F.lit(1e6), F.lit(0.0))
+    found = following(rows, key, "ts", "next")
+    return found.groupBy(key).agg(F.round(F.sum(F.when(F.col("running"), gap).otherwise(0.0)), 3).alias("active"))
 
 
 def split_pages(rows: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import scores, text
-from skein.operators import clustering, embedding, evaluation, meetings, relations, retrieval, sentences, services
+from skein.operators import chunk_udtf, clustering, embedding, evaluation, meetings, relations, retrieval, sentences, services
 from skein.plans.registry import NOW, Tables, register
 from skein.sources.shared import stored
 
@@ -312,6 +312,16 @@ def _(t):
     return chunks.select("id", "chunk_index", "words", F.md5("text").alias("text_md5"))
 
 
+@register("ext_2_chunk_udtf")
+def _(t):
+    """Sessions by the table function, called from SQL."""
+    chunk_udtf.register(t.spark)
+    view = "ext_2_turns"
+    _turns(t).createOrReplaceTempView(view)
+    made = t.spark.sql(f"SELECT * FROM chunk_text(TABLE({view}) PARTITION BY session_id ORDER BY start)")
+    return made.select("session_id", "chunk_index", "words", "timestamp", F.md5("text").alias("text_md5"))
+
+
 def _echo(instructions: str, prompt: str) -> str:
     """A stand-in for a model: valid JSON for even prompts only when asked again, for odd ones never, and it fails on some."""
     if prompt.endswith("7"):

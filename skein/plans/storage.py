@@ -15,7 +15,7 @@ from skein.sources import imports, tables
 from skein.sources.corpus_cache import CorpusCache, decode_chunks
 from skein.sources.shared import scratch
 from skein.sources.versions import VersionedTable, sink
-from skein.streaming import stateful, transcripts
+from skein.streaming import newest, stateful, transcripts
 
 
 def _folder(t: Tables, name: str) -> str:
@@ -445,3 +445,13 @@ def _(t):
     transcripts.tee(transcripts.read_updates(t.spark, folder, 100), every, lambda rows, batch: final(rows.filter("is_final"), batch), _folder(t, "tee-marks")).awaitTermination()
     counted = lambda name, path: kept(path).read().agg(F.lit(name).alias("sink"), F.count("*").alias("updates"))
     return counted("first", one).union(counted("second", two))
+
+
+@register("str_8_newest", "SELECT event_id, event_type, (SELECT greatest(count(*) - 64, 0) FROM events)::BIGINT AS dropped FROM events ORDER BY event_id DESC LIMIT 64")
+def _(t):
+    """All events came before the reader's first look: the newest 64 are kept."""
+    folder = _folder(t, "log")
+    t.events.select("event_id", "event_type").repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(folder)
+    t.spark.dataSource.register(newest.NewestRows)
+    stream = t.spark.readStream.format(newest.NewestRows.name()).schema("event_id long, event_type string, dropped long").load(folder)
+    return _drain(t, stream, "append").drop("batch")

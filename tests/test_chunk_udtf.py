@@ -35,3 +35,10 @@ def test_odd_arguments(spark):
     for asked, message in (("TABLE(udtf_bare)", "documents"), ("'x'", "table argument")):
         with pytest.raises(Exception, match=message):
             spark.sql(f"SELECT * FROM chunk_text({asked})").collect()
+
+
+def test_query_equals_the_frame_form(spark):
+    from skein.plans import registry
+
+    found = registry.queries()
+    assert rows(found["ext_2_chunk_udtf"](spark, SF)) == rows(found["ir_9_chunk_sessions"](spark, SF).select("session_id", "chunk_index", "words", "timestamp", "text_md5"))

@@ -10,7 +10,7 @@ from skein.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries without SQL: tests/test_folds.py compares their rows with plain versions.
-PLAIN = {"ir_8_chunk_documents", "ir_9_chunk_sessions", "ir_10_index_build", "ir_11_embed", "ir_23_self_retrieval", "snk_8_rebuild", "str_4_sentences"}
+PLAIN = {"ir_8_chunk_documents", "ir_9_chunk_sessions", "ir_10_index_build", "ir_11_embed", "ir_23_self_retrieval", "ext_2_chunk_udtf", "snk_8_rebuild", "str_4_sentences"}
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
 
