@@ -2,12 +2,14 @@
 
 The decoder reads the RIFF container, prefix codes (simple, normal and their run-length coded lengths), prefix groups,
 back-references and the colour cache, and inverts the predictor, cross-colour, subtract-green and palette transforms.
-Streams whose codes all have one length per channel and no references are read whole with array operations; any other
-stream is read symbol by symbol.
+Streams of one prefix group without references or cache are read with array operations: every bit is looked up as if a pixel
+began there, and the chain of pixels is followed through what was found. Codes of one length need no chain. Streams with references or a
+cache are read symbol by symbol.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 
 import numpy as np
@@ -48,6 +50,14 @@ class Bits:
         return value
 
 
+    def same(self, at: int, n: int) -> bool:
+        """Whether the next n bits are those at ``at``."""
+
+        def cut(at: int) -> int:
+            return (int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7)) & ((1 << n) - 1)
+
+        return cut(at) == cut(self.at)
+
     def array(self, n: int) -> np.ndarray:
         """The next n bits as 0 and 1."""
         byte, skip = divmod(self.at, 8)
@@ -72,24 +82,32 @@ class Prefix:
         self.bits = 0 if len(used) == 1 else int(own.max())
         #: The common length where all codes have the same, else None.
         self.uniform = 0 if len(used) == 1 else (self.bits if own.min() == self.bits and len(used) == 1 << self.bits else None)
+        self._array: np.ndarray | None = None
         self._table: list[int] | None = None
         self._own = own
+        #: Whether its description ended by its own count of lengths, for literals only: then it reads the same for any channel.
+        self.counted = False
 
     @property
-    def table(self) -> list[int]:
-        if self._table is None:
+    def array(self) -> np.ndarray:
+        """For the next ``bits`` bits: the symbol times 16, and its code's length."""
+        if self._array is None:
             table = np.full(1 << self.bits, -1, np.int64)
             code, last = 0, 0
-            for k in np.lexsort((self.symbols, self._own)):
-                n = int(self._own[k])
+            for n, k in sorted(zip(self._own.tolist(), range(len(self._own)), strict=True)):
                 code <<= n - last
                 last = n
-                back = int(format(code, f"0{n}b")[::-1], 2)
-                table[back :: 1 << n] = int(self.symbols[k]) << 4 | n
+                table[int(format(code, f"0{n}b")[::-1], 2) :: 1 << n] = int(self.symbols[k]) << 4 | n
                 code += 1
             if code != 1 << last or (table < 0).any():
                 raise ValueError("a prefix code is not complete")
-            self._table = table.tolist()
+            self._array = table
+        return self._array
+
+    @property
+    def table(self) -> list[int]:
+        if self._table is None:
+            self._table = self.array.tolist()
         return self._table
 
     def next(self, bits: Bits) -> int:
@@ -113,6 +131,7 @@ def _read_prefix(bits: Bits, size: int) -> Prefix:
         of_lengths[LENGTH_ORDER[k]] = bits.read(3)
     code = Prefix(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
+    counted = left < size
     at, last = 0, 8
     if code.uniform == 1 and code.symbols[1] < 16:  # one bit for each length and no runs: read at once
         at = min(size, left)
@@ -132,7 +151,24 @@ def _read_prefix(bits: Bits, size: int) -> Prefix:
             if n == 16:
                 lengths[at : at + times] = last
             at += times
-    return Prefix(lengths)
+    made = Prefix(lengths)
+    made.counted = counted and left == 0 and at <= 256
+    return made
+
+
+def _read_prefixes(bits: Bits, sizes: tuple[int, ...]) -> list[Prefix]:
+    """The codes of a prefix group; a description that is repeated bit by bit isn't worked out again."""
+    out: list[Prefix] = []
+    last = None
+    for size in sizes:
+        begin = bits.at
+        if last is not None and bits.same(*last):
+            out.append(out[-1])
+            bits.at += last[1]
+            continue
+        out.append(_read_prefix(bits, size))
+        last = (begin, bits.at - begin) if out[-1].counted else None
+    return out
 
 
 def _reach(bits: Bits, symbol: int) -> int:
@@ -173,6 +209,49 @@ def _uniform_pixels(bits: Bits, codes: list[Prefix], n: int) -> np.ndarray:
     return out
 
 
+#: Bits that are looked up at once; no pixel of four codes is longer than FURTHEST bits.
+_AHEAD, FURTHEST = 1 << 17, 64
+
+
+def _coded_pixels(bits: Bits, codes: list[Prefix], n: int) -> np.ndarray:
+    """Pixels of a stream of literals with any prefix codes, in stretches of bits."""
+    out = np.zeros(n, np.uint32)
+    tables = [None if c.single is not None else c.array for c in codes]
+    raw = np.frombuffer(bits.data, np.uint8)
+    have, done, shifts = 8 * (len(bits.data) - 8), 0, np.arange(8)
+    while done < n:
+        byte, skip = divmod(bits.at, 8)
+        part = raw[byte : byte + ((_AHEAD + FURTHEST) >> 3)]
+        end = min(_AHEAD, 8 * len(part))
+        part = np.concatenate([part, np.zeros(2 + FURTHEST // 8, np.uint8)]).astype(np.int64)
+        words = part[:-2] | part[1:-1] << 8 | part[2:] << 16
+        window = ((words[:, None] >> shifts) & 0x7FFF).reshape(-1)
+        place = np.arange(len(window) - FURTHEST)
+        found = []
+        for table in tables:
+            if table is not None:
+                hit = table.take(window.take(place) & (len(table) - 1))
+                found.append(hit)
+                place = place + (hit & 15)
+        after, starts, at = memoryview(place), [], skip
+        keep = starts.append
+        while at < end:
+            keep(at)
+            at = after[at]
+        m = min(len(starts), n - done)
+        at = starts[m] if m < len(starts) else at
+        at_pixel = np.array(starts[:m], np.int64)
+        column = iter(found)
+        for c, table, shift in zip(codes, tables, (8, 16, 0, 24), strict=True):
+            value = np.uint32(c.single) if table is None else (next(column).take(at_pixel) >> 4).astype(np.uint32)
+            out[done : done + m] |= value << np.uint32(shift)
+        done += m
+        bits.at += at - skip
+        if bits.at > have or not m:
+            raise ValueError("the stream ends early")
+    return out
+
+
 def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     """An entropy-coded image as a row of ARGB values."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -185,10 +264,11 @@ def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
         groups_of = ((_image(bits, across, down, False) >> 8) & 0xFFFF).astype(np.int64)
         count = int(groups_of.max()) + 1
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    groups = [[_read_prefix(bits, s) for s in sizes] for _ in range(count)]
+    groups = [_read_prefixes(bits, sizes) for _ in range(count)]
     n = width * height
-    if count == 1 and not cache_bits and all(c.uniform is not None for c in groups[0][:4]) and groups[0][0].symbols[-1] < 256:
-        return _uniform_pixels(bits, groups[0][:4], n)
+    if count == 1 and not cache_bits and groups[0][0].symbols[-1] < 256:
+        uniform = all(c.uniform is not None for c in groups[0][:4])
+        return (_uniform_pixels if uniform else _coded_pixels)(bits, groups[0][:4], n)
     out = [0] * n
     cache = [0] * (1 << cache_bits) if cache_bits else None
     shift = 32 - cache_bits
@@ -387,7 +467,105 @@ def decode(data: bytes) -> np.ndarray:
     return c[..., [2, 1, 0, 3]]
 
 
-# Writing: uniform-length prefix codes, over a palette where few colours repeat.
+# Writing: prefix codes by frequency, or of one length where their description costs more than they save; over a palette where few
+# colours repeat.
+
+#: Longest codes that the writer makes, of symbols and of code lengths.
+LONGEST, LONGEST_LENGTH = 11, 7
+
+
+def code_lengths(counts: dict[int, int], limit: int) -> dict[int, int]:
+    """Lengths of an optimal prefix code of two symbols or more; counts are levelled until no code is over the limit."""
+    while True:
+        heap = [(c, s, (s,)) for s, c in counts.items()]
+        heapq.heapify(heap)
+        length = dict.fromkeys(counts, 0)
+        while len(heap) > 1:
+            a, x, low = heapq.heappop(heap)
+            b, _, high = heap[0]
+            for s in low:
+                length[s] += 1
+            for s in high:
+                length[s] += 1
+            heapq.heapreplace(heap, (a + b, x, low + high))
+        if max(length.values()) <= limit:
+            return length
+        counts = {s: (c + 1) // 2 for s, c in counts.items()}
+
+
+def canonical(length: dict[int, int]) -> dict[int, int]:
+    """The codes of some lengths as the stream has them: first bit lowest."""
+    out, code, last = {}, 0, 0
+    for s in sorted(length, key=lambda s: (length[s], s)):
+        code <<= length[s] - last
+        last = length[s]
+        out[s] = int(format(code, f"0{last}b")[::-1], 2)
+        code += 1
+    return out
+
+
+def _described(length: dict[int, int]) -> np.ndarray:
+    """A code's description: its lengths up to the last used symbol, runs of zeros shortened, with their count."""
+    steps: list[tuple[int, int, int]] = []  # symbol, extra bits' value and width
+    at = 0
+    for s in sorted(length):
+        gap = s - at
+        while gap > 0:
+            if gap >= 11:
+                run = min(gap, 138)
+                steps.append((18, run - 11, 7))
+            elif gap >= 3:
+                run = gap
+                steps.append((17, run - 3, 3))
+            else:
+                run = 1
+                steps.append((0, 0, 0))
+            gap -= run
+        steps.append((length[s], 0, 0))
+        at = s + 1
+    counts: dict[int, int] = {}
+    for s, _, _ in steps:
+        counts[s] = counts.get(s, 0) + 1
+    if len(counts) == 1:
+        counts[0 if 0 not in counts else 1] = 1
+    of = code_lengths(counts, LONGEST_LENGTH)
+    code = canonical(of)
+    value = at = 0
+    last = max(LENGTH_ORDER.index(s) for s in of)
+    number = max(4, last + 1)
+    for v, w in [(0, 1), (number - 4, 4), *((of.get(s, 0), 3) for s in LENGTH_ORDER[:number]), (1, 1), (3, 3), (len(steps) - 2, 8)]:
+        value |= v << at
+        at += w
+    for s, extra, w in steps:
+        value |= (code[s] | extra << of[s]) << at
+        at += of[s] + w
+    return np.unpackbits(np.frombuffer(value.to_bytes((at + 7) >> 3, "little"), np.uint8), bitorder="little")[:at]
+
+
+def _coded_image(green: np.ndarray, red: np.ndarray, blue: np.ndarray) -> list[np.ndarray] | None:
+    """Codes and pixels of an opaque image, one code by frequency for its three channels; none where codes of one length are shorter."""
+    flat = np.stack([green, red, blue], axis=1).reshape(-1)
+    times = np.bincount(flat, minlength=256)
+    used = np.flatnonzero(times)
+    if len(used) < 3:
+        return None
+    length = code_lengths({int(s): int(times[s]) for s in used}, LONGEST)
+    code, size = np.zeros(256, np.int32), np.zeros(256, np.int64)
+    for s, c in canonical(length).items():
+        code[s], size[s] = c, length[s]
+    total = int((size * times).sum())
+    head = _described(length)
+    plain = sum(int(len(np.unique(v)) - 1).bit_length() * len(v) + 310 for v in (green, red, blue))
+    if total + 3 * len(head) >= plain:
+        return None
+    own = size[flat]
+    ends = np.cumsum(own)
+    spot = np.arange(total, dtype=np.int64) - np.repeat(ends - own, own)
+    pixels = (np.repeat(code[flat], own) >> spot.astype(np.int32)).astype(np.uint8) & 1
+    opaque = _number_bits((1, 1), (0, 1), (1, 1), (255, 8))
+    far = _number_bits((1, 1), (0, 1), (0, 1), (0, 1))
+    return [head, head, head, opaque, far, pixels]
+
 
 
 def _number_bits(*pairs: tuple[int, int]) -> np.ndarray:
@@ -437,10 +615,11 @@ def encode_rgb(rgb: np.ndarray) -> bytes:
     flat = rgb.reshape(-1, 3)
     parts = [_number_bits((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3))]
     opaque = np.full(1, 255, np.uint8)
+    packed = flat[:, 0].astype(np.uint32) << 16 | flat[:, 1].astype(np.uint32) << 8 | flat[:, 2]
     colours = None
-    if len(flat) <= 4096:
-        packed = flat[:, 0].astype(np.uint32) << 16 | flat[:, 1].astype(np.uint32) << 8 | flat[:, 2]
+    if len(np.unique(packed[:4096])) <= 256:  # else there are more in the whole
         colours, index = np.unique(packed, return_inverse=True)
+    coded = None
     if colours is not None and len(colours) <= 256 and 4 * len(colours) <= len(flat):
         steps = np.diff(_channels(colours | np.uint32(0xFF000000)), axis=0, prepend=0).astype(np.uint8)
         parts += [_number_bits((1, 1), (3, 2), (len(colours) - 1, 8), (0, 1))]
@@ -458,7 +637,8 @@ def encode_rgb(rgb: np.ndarray) -> bytes:
         channels = [bundled.reshape(-1), zero, zero, opaque]
     else:
         channels = [flat[:, 1], flat[:, 0], flat[:, 2], opaque]
-    parts += [_number_bits((0, 1), (0, 1), (0, 1)), *_uniform_image(channels)]
+        coded = _coded_image(*channels[:3])
+    parts += [_number_bits((0, 1), (0, 1), (0, 1)), *(coded or _uniform_image(channels))]
     body = np.packbits(np.concatenate(parts), bitorder="little").tobytes()
     padded = body + b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + padded

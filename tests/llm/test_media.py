@@ -157,3 +157,46 @@ def test_frame(spark):
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
     assert out[4][1:] == out[5][1:] and out[0][1:] == out[1][1:]
     assert media.read_media(media.encode_media(df.limit(0))).count() == 0
+
+
+def test_most_rows_go_through_prefix_codes(spark, monkeypatch):
+    """Codes of several lengths store and read nearly all documents; the others are as short in codes of one length."""
+    taken = {"_coded_pixels": 0, "_uniform_pixels": 0}
+    for name in taken:
+
+        def counted(*args, name=name, work=getattr(webp, name)):
+            taken[name] += 1
+            return work(*args)
+
+        monkeypatch.setattr(webp, name, counted)
+    raw = [(r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    payloads = [d + b" " * (-len(d) % 192 if d else 192) for d in raw]
+    stored = [media.to_media(p) for p in payloads]
+    for p, m in zip(payloads, stored, strict=True):
+        assert np.ascontiguousarray(media.from_media(m)[..., :3]).tobytes() == p
+    assert taken["_coded_pixels"] > 0.85 * len(raw)
+    assert sum(map(len, stored)) < 0.6 * sum(map(len, payloads))
+
+
+def test_prefix_codes_of_any_shape(monkeypatch):
+    rng = np.random.default_rng(5)
+    for ahead in (1 << 9, 1 << 17):
+        monkeypatch.setattr(webp, "_AHEAD", ahead)  # stretches of bits end anywhere in a pixel
+        for k in range(60):
+            shape = (int(rng.integers(1, 40)), int(rng.integers(1, 70)), 3)
+            draw = [rng.integers(0, 256, shape), rng.zipf(1.3, shape).clip(0, 255), np.full(shape, 7), rng.integers(0, 3, shape) * 50, rng.geometric(0.05, shape).clip(0, 255)][k % 5]
+            found = webp.decode(webp.encode_rgb(draw.astype(np.uint8)))
+            assert (found[..., :3] == draw).all() and (found[..., 3] == 255).all()
+    for counts in ({1: 1, 2: 1}, {k: 2**k for k in range(30)}, {k: 1 for k in range(256)}):
+        length = webp.code_lengths(counts, 11)
+        assert max(length.values()) <= 11 and sum(2.0 ** -n for n in length.values()) == 1
+        codes = webp.canonical(length)
+        assert len({(codes[s], length[s]) for s in codes}) == len(codes)
+
+
+def test_a_short_stream_is_refused():
+    data = webp.encode_rgb(np.random.default_rng(1).geometric(0.05, (40, 64, 3)).clip(0, 255).astype(np.uint8))
+    cut = data[: len(data) // 2]
+    cut = cut[:4] + (len(cut) - 8).to_bytes(4, "little") + cut[8:16] + (len(cut) - 20).to_bytes(4, "little") + cut[20:]
+    with pytest.raises(ValueError, match="early"):
+        webp.decode(cut)
