@@ -296,7 +296,7 @@ def _(t):
     return store.count()
 
 
-@register("ext_5_token_counter", "SELECT source, doc_id, used::BIGINT AS used FROM (SELECT source, doc_id, sum(len(regexp_extract_all(text, '\S+'))) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) WHERE used <= 5000")
+@register("ext_5_token_counter", r"SELECT source, doc_id, used::BIGINT AS used FROM (SELECT source, doc_id, sum(len(regexp_extract_all(text, '\S+'))) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) WHERE used <= 5000")
 def _(t):
     """Words instead of estimated tokens: as many documents of each source as 5,000 words hold."""
     packed = retrieval.pack_budget(t.documents, "source", [F.col("doc_id")], text.word_count(F.col("text")), 5000)

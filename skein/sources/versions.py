@@ -2,8 +2,8 @@
 
 A table is a folder. Its rows lie in ``data/<commit>/bucket=<k>``, k being the hash of the key columns modulo the number of
 buckets; files there never change. A snapshot is a manifest, ``snapshots/<number>.json``, that names the folders that
-make it up. It is written under a temporary name and renamed without overwriting: of two commits of one number only one
-succeeds, and the other is made again on the newer snapshot. Readers open one manifest and see its rows alone, whatever is committed
+make it up. It is written under a temporary name and renamed without overwriting: where the file system's rename is atomic, as in
+HDFS, of two commits of one number only one succeeds, and the other is made again on the newer snapshot. Readers open one manifest and see its rows alone, whatever is committed
 meanwhile. What a killed job has written is named by no manifest, and ``vacuum`` removes it.
 
 A commit may carry a token (writer, batch): a batch that is not beyond the writer's last one changes nothing, so that a
