@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -14,8 +15,8 @@ from skein.functions import vectors as V
 from skein.sources.shared import stored
 
 THRESHOLD = 0.55
-#: The clustering fold is sequential in id order; it is meant for up to this many vectors a group.
-FOLD_LIMIT = 100_000
+#: Vectors that are measured at once while clusters grow.
+BLOCK = 256
 #: Vectors of a piece, vectors that a task holds while packing, and bytes of pieces that are broadcast at once.
 PIECE, HELD, BROADCAST_BYTES = 512, 65_536, 32 << 20
 
@@ -33,42 +34,76 @@ def mean_vectors(rows: DataFrame, key: str) -> DataFrame:
     return joined.select(key, F.when(F.col("lo") == F.col("hi"), V.normalise(F.col("mean"))).alias("vector"))
 
 
-def greedy_clusters(ids: list, vectors: np.ndarray, threshold: float = THRESHOLD) -> list[int]:
-    """Cluster numbers in the given order: the last cluster of greatest cosine at or above the threshold, else a new one."""
-    sums: list[np.ndarray] = []
-    centres = np.empty((0, vectors.shape[1] if vectors.ndim == 2 else 0))
-    out = []
-    for v in vectors:
-        best = -1
-        if len(sums):
-            cosine = centres @ v
-            top = cosine.max()
-            if top >= threshold:
+class GreedyClusters:
+    """Clusters of vectors in a given order: each joins the last cluster of greatest cosine at or above the threshold, or founds one.
+
+    A block of vectors is measured against all centres at once; while it is dealt, only centres that it has moved or founded itself are
+    measured anew. Memory holds the clusters and a block, not what was dealt before.
+    """
+
+    def __init__(self, threshold: float = THRESHOLD) -> None:
+        self.threshold, self.n = threshold, 0
+        self.sums = self.centres = np.empty((0, 0))
+
+    def add(self, block: np.ndarray) -> list[int]:
+        size = block.shape[1]
+        if self.centres.shape[1] != size:
+            if self.n:
+                raise ValueError("vectors of a group have one length")
+            self.sums, self.centres = np.zeros((16, size)), np.zeros((16, size))
+        known = self.n
+        measured = block @ self.centres[:known].T
+        moved: list[int] = []
+        out = []
+        for v, cosine in zip(block, measured, strict=True):
+            if moved:
+                cosine[moved] = self.centres[moved] @ v
+            cosine = np.concatenate([cosine, self.centres[known : self.n] @ v])
+            best = -1
+            if self.n and (top := cosine.max()) >= self.threshold:
                 best = int(np.flatnonzero(cosine == top)[-1])
-        if best < 0:
-            best = len(sums)
-            sums.append(np.zeros_like(v))
-            centres = np.vstack([centres, np.zeros_like(v)])
-        sums[best] = sums[best] + v
-        n = np.linalg.norm(sums[best])
-        centres[best] = sums[best] / n if n > V.EPSILON else sums[best]
-        out.append(best)
-    return out
+            if best < 0:
+                best = self.n
+                self.n += 1
+                if self.n > len(self.sums):
+                    self.sums, self.centres = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.centres))
+            elif best < known and best not in moved:
+                moved.append(best)
+            self.sums[best] += v
+            norm = np.linalg.norm(self.sums[best])
+            self.centres[best] = self.sums[best] / norm if norm > V.EPSILON else self.sums[best]
+            out.append(best)
+        return out
 
 
 def cluster(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """id, cluster of rows (grp, id, vector): one fold per grp, in the order of the ids as text."""
-
-    def fold(table: pa.Table) -> pa.Table:
-        if table.num_rows > FOLD_LIMIT:
-            raise ValueError(f"a group of {table.num_rows} vectors is more than the fold takes ({FOLD_LIMIT}): give smaller groups")
-        ids = table.column("id").to_pylist()
-        order = sorted(range(len(ids)), key=lambda k: str(ids[k]))
-        v = np.array([table.column("vector")[k].as_py() for k in order], float)
-        found = greedy_clusters([ids[k] for k in order], v, threshold)
-        return pa.table({"id": pa.array([ids[k] for k in order], pa.int64()), "cluster": pa.array(found, pa.int64())})
-
-    return rows.groupBy("grp").applyInArrow(fold, "id long, cluster long")
+    """id, cluster of rows (grp, id, vector), in the order of the ids as text; rows without a vector are in no cluster.
+
+    The order is sequential by definition: a group passes through one task, as a stream, of which the clusters alone are held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, clusters = None, None
+        for batch in batches:
+            groups, vectors = batch.column(0).to_pylist(), batch.column(2)
+            lo = 0
+            while lo < len(groups):
+                hi = lo + 1
+                while hi < min(len(groups), lo + BLOCK) and groups[hi] == groups[lo]:
+                    hi += 1
+                if clusters is None or groups[lo] != last:
+                    last, clusters = groups[lo], GreedyClusters(threshold)
+                part = vectors.slice(lo, hi - lo)
+                size = len(part[0])
+                if pa.compute.any(pa.compute.not_equal(part.value_lengths(), size)).as_py():
+                    raise ValueError("vectors of a group have one length")
+                found = clusters.add(np.asarray(part.flatten(), float).reshape(hi - lo, size))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(found, pa.int64())], ["id", "cluster"])
+                lo = hi
+
+    order = F.col("id").cast("string")
+    dealt = rows.filter("vector is not null").select("grp", "id", "vector").repartition("grp").sortWithinPartitions("grp", order)
+    return dealt.mapInArrow(run, "id long, cluster long")
 
 
 def group_names(members: DataFrame, classified: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def test_clusters():
     axes = np.eye(4)
     v = np.array([axes[k // 3] + 0.05 * axes[(k // 3 + 1) % 4] * (k % 3) for k in range(12)])
     v /= np.linalg.norm(v, axis=1)[:, None]
-    assert clustering.greedy_clusters(list(range(12)), v) == [k // 3 for k in range(12)]
+    assert clustering.GreedyClusters().add(v) == [k // 3 for k in range(12)]
 
 
 def test_assembly_batch_equals_stream(spark):
@@ -101,11 +101,40 @@ def test_windows_and_summary_calls():
     assert stages.count("map") == 60 and stages.count("merge0") == 9 and stages.count("merge1") == 2 and stages[-1] == "reduce"
 
 
-def test_large_group_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(clustering, "FOLD_LIMIT", 3)
-    rows = spark.createDataFrame([(1, k, [1.0, 0.0]) for k in range(4)], "grp long, id long, vector array<double>")
-    with pytest.raises(Exception, match="more than the fold takes"):
-        clustering.cluster(rows).collect()
+def plain_clusters(vectors, threshold):
+    sums, out = [], []
+    for v in vectors:
+        best, top = -1, threshold
+        for n, s in enumerate(sums):
+            cosine = float(np.dot(s / np.linalg.norm(s), v))
+            if cosine >= top:
+                best, top = n, cosine
+        if best < 0:
+            best = len(sums)
+            sums.append(np.zeros(len(v)))
+        sums[best] = sums[best] + v
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_a_large_group_is_a_stream(spark, monkeypatch, block):
+    """Blocks and batches of any size give the plain fold's clusters."""
+    monkeypatch.setattr(clustering, "BLOCK", block)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        rng = np.random.default_rng(block)
+        v = rng.normal(size=(900, 6)) + 3 * np.eye(6)[rng.integers(0, 6, 900)]
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        rows = [(k % 2, k, x.tolist()) for k, x in enumerate(v)] + [(0, 5000, None)]
+        df = spark.createDataFrame(rows, "grp long, id long, vector array<double>").repartition(5)
+        got = {r.id: r.cluster for r in clustering.cluster(df, 0.7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g in (0, 1):
+        ids = sorted((k for k in range(900) if k % 2 == g), key=str)
+        assert [got[k] for k in ids] == plain_clusters(v[ids], 0.7)
+    assert len(got) == 900 and len(set(got.values())) > 5
 
 
 def test_json_and_imports(spark):
