@@ -149,10 +149,10 @@ def _(t):
     return _drain(t, transcripts.read_updates(t.spark, folder, 100).select("session_id", "seq", "is_final"), "append").drop("batch")
 
 
-@register("src_18_generator", """SELECT i AS segment_id, i * 6.0::DOUBLE AS start, CASE i WHEN 10 THEN 'The launch moved to the twelfth of May.' WHEN 25 THEN 'Dana owns the vendor contract.'
-    WHEN 40 THEN 'The budget is capped at forty thousand.' WHEN 60 THEN 'Support hours end at six.' ELSE 'Routine remark number ' || i || '.' END AS text FROM range(150) r(i)""")
+@register("src_18_generator", r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)
+    SELECT doc_id AS session_id, i AS segment_id, i * 6.0::DOUBLE AS start, text FROM l WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''""")
 def _(t):
-    return imports.generated_segments(t.spark, 150).select("segment_id", "start", "text")
+    return imports.generated_segments(t.docs.select("id", "text")).select("session_id", "segment_id", "start", "text")
 
 
 @register("src_19_knowledge", "SELECT 'document' AS source_type, doc_id AS id, created FROM docs UNION ALL SELECT 'session', session_id, created FROM sessions", "docs sessions")
@@ -162,15 +162,15 @@ def _(t):
     return a.unionByName(b).orderBy(F.desc("created"), "source_type", "id")
 
 
-MODELS = [("small-1b", "chat", False), ("small-3b", "chat", True), ("large-8b", "chat", False), ("embed-300m", "embedding", True)]
-
-
-@register("src_20_catalogue", "SELECT * FROM (VALUES ('chat', 'large-8b'), ('missing', 'small-3b'), ('all', 'embed-300m'), ('all', 'large-8b'), ('all', 'small-1b'), ('all', 'small-3b')) v(asked, model_id)")
+@register("src_20_catalogue", """WITH m AS (SELECT p_partkey AS model_id, p_type AS kind, p_partkey % 5 = 0 AS is_default FROM part), d AS (SELECT kind, min(model_id) AS first FROM m WHERE is_default GROUP BY kind),
+    a AS (SELECT o_orderkey AS ask_id, p_type AS kind, o_custkey AS wanted FROM orders JOIN part ON p_partkey = o_orderkey % 50 + 1)
+    SELECT ask_id, coalesce(m.model_id, first) AS model_id FROM a LEFT JOIN m ON m.kind = a.kind AND m.model_id = a.wanted LEFT JOIN d ON d.kind = a.kind""")
 def _(t):
-    models = t.spark.createDataFrame(MODELS, "model_id string, kind string, is_default boolean")
-    found = imports.catalogue(models, "chat", "large-8b").select(F.lit("chat").alias("asked"), "model_id")
-    found = found.union(imports.catalogue(models, "chat", "unknown").select(F.lit("missing"), "model_id"))
-    return found.union(imports.catalogue(models).select(F.lit("all"), "model_id"))
+    """Parts as models, their type as the kind; each order asks for a model by number, which often is of another kind."""
+    models = t.part.select(F.col("p_partkey").alias("model_id"), F.col("p_type").alias("kind"), (F.col("p_partkey") % 5 == 0).alias("is_default"))
+    kinds = t.part.select(F.col("p_partkey"), F.col("p_type").alias("kind"))
+    asked = t.orders.join(kinds, F.col("p_partkey") == F.col("o_orderkey") % 50 + 1).select(F.col("o_orderkey").alias("ask_id"), "kind", F.col("o_custkey").alias("wanted"))
+    return imports.catalogue(models, asked)
 
 
 # Sinks

@@ -88,13 +88,13 @@ def import_pages(rows: DataFrame, key: str) -> DataFrame:
     return made.select(key, "text", "page_breaks", F.size("pages").alias("page_count"), error.alias("import_error"))
 
 
-def catalogue(models: DataFrame, kind: str | None = None, wanted: str | None = None) -> DataFrame:
-    """Models (model_id, kind, is_default) of a kind; with ``wanted`` that one, or else the default row."""
-    rows = models if kind is None else models.filter(F.col("kind") == kind)
-    if wanted is None:
-        return rows
-    place = F.when(F.col("model_id") == wanted, 0).when(F.col("is_default"), 1)
-    return rows.withColumn("place", place).filter("place is not null").orderBy("place", "model_id").limit(1).drop("place")
+def catalogue(models: DataFrame, asked: DataFrame) -> DataFrame:
+    """ask_id, model_id: for each row (ask_id, kind, wanted) the model (model_id, kind, is_default) that is wanted, if its kind has it, or
+    else the kind's default one (of several the first); null for kinds without models."""
+    held = models.select(F.col("kind").alias("__kind"), "model_id")
+    default = models.filter("is_default").groupBy(F.col("kind").alias("__kind")).agg(F.min("model_id").alias("default"))
+    exact = asked.join(held, (F.col("kind") == F.col("__kind")) & (F.col("wanted") == F.col("model_id")), "left").drop("__kind")
+    return exact.join(default, F.col("kind") == F.col("__kind"), "left").select("ask_id", F.coalesce("model_id", "default").alias("model_id"))
 
 
 # Scans: filters and orders are left to the reader's pushdown and the planner's top-n.
@@ -113,13 +113,9 @@ def by_keys(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted.select(key).distinct(), key, "left_semi")
 
 
-def generated_segments(spark: SparkSession, count: int) -> DataFrame:
-    """A long transcript: segments six seconds apart, facts planted at 10, 25, 40 and 60."""
-    fact = (
-        F.when(F.col("id") == 10, "The launch moved to the twelfth of May.")
-        .when(F.col("id") == 25, "Dana owns the vendor contract.")
-        .when(F.col("id") == 40, "The budget is capped at forty thousand.")
-        .when(F.col("id") == 60, "Support hours end at six.")
-        .otherwise(F.concat(F.lit("Routine remark number "), F.col("id").cast("string"), F.lit(".")))
-    )
-    return spark.range(count).select(F.col("id").alias("segment_id"), (F.col("id") * 6.0).alias("start"), (F.col("id") * 6.0 + 6.0).alias("end"), fact.alias("text"))
+def generated_segments(texts: DataFrame, seconds: float = 6.0) -> DataFrame:
+    """session_id, segment_id, start, end, text: a transcript of each text (id, text), a line a segment, at even intervals; blank lines are silence."""
+    lines = texts.select(F.col("id").alias("session_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("segment_id", "text"))
+    start = F.col("segment_id") * F.lit(seconds)
+    return lines.filter(text.strip(F.col("text")) != "").select("session_id", F.col("segment_id").cast("long").alias("segment_id"), start.alias("start"), (start + seconds).alias("end"), "text")
+
