@@ -98,12 +98,12 @@ class Encoder:
 
 
 def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.Array, list]]:
-    """The first column and the values of another in pieces of bounded text: up to 64 rows, or about 1 MB."""
+    """The first column and the values of another in pieces of bounded text: up to 512 rows, or about 4 MB."""
     values = batch.column(column)
     lo = size = 0
     for k, v in enumerate(values):
         size += 0 if v.as_py() is None else len(v.as_py())
-        if k + 1 - lo == 64 or size > 1 << 20 or k + 1 == len(values):
+        if k + 1 - lo == 512 or size > 1 << 22 or k + 1 == len(values):
             yield batch.column(0).slice(lo, k + 1 - lo), values.slice(lo, k + 1 - lo).to_pylist()
             lo, size = k + 1, 0
 
