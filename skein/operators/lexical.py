@@ -3,9 +3,10 @@
 A piece holds the postings of up to ``PIECE_DOCS`` documents of one partition, its terms sorted, and for each term the
 greatest frequency and the shortest length of a document that has it, which bound the term's contribution in the
 piece. Nothing is shuffled to build pieces. A search deals its queries into packs of bounded size, which are broadcast a bounded number of bytes
-at a time, and each task scores packs against its pieces: terms with the greatest bounds are added up first, until the
-bounds of the rest can't lift other documents over the best ``k`` so far; only the documents left are scored in full.
-What a task sends on is its best ``k`` documents of each query.
+at a time, and each task scores packs against its pieces, block by block: terms that many documents of a piece have are
+one product of two small dense matrices, all other terms are added up along their postings. These sums are kept in single precision; what
+may reach the best ``k`` so far within their greatest error, and nothing else, is scored in full. What a task sends on is its best ``k``
+documents of each query.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from skein.functions import text
 from skein.sources.shared import scratch, stored
 
 K1, B = 1.5, 0.75
-#: Documents of a piece; queries and terms of a pack; bytes of packs that are broadcast at once.
-PIECE_DOCS, PACK_QUERIES, PACK_TERMS, BROADCAST_BYTES = 1024, 128, 100_000, 32 << 20
+#: Documents and tokens of a piece; queries and terms of a pack; bytes of packs that are broadcast at once.
+PIECE_DOCS, PIECE_TOKENS, PACK_QUERIES, PACK_TERMS, BROADCAST_BYTES = 8192, 1 << 22, 2048, 1_000_000, 32 << 20
 DECIMALS = 6
 #: Scores this far below the bar may still equal it when rounded.
 SLACK = 2e-6
-#: Terms added between two looks at the bar.
-STRIDE = 8
+#: Terms that a greater share of a piece's documents have are multiplied as a dense matrix, so many at most.
+DENSE_SHARE, DENSE_TERMS = 0.04, 1024
+#: Sums (query, document) of a block that are held at once.
+BLOCK_SUMS = 1 << 22
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -68,17 +71,20 @@ def pieces(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        count = 0
+        count = tokens = 0
         for batch in batches:
+            bounds = np.asarray(batch.column(1).offsets, np.int64)
             lo = 0
             while lo < batch.num_rows:
-                part = batch.slice(lo, PIECE_DOCS - count)
-                held.append(part)
-                count += part.num_rows
-                lo += part.num_rows
-                if count == PIECE_DOCS:
+                hi = int(np.searchsorted(bounds, bounds[lo] + PIECE_TOKENS - tokens, "right")) - 1
+                hi = min(max(hi, lo if held else lo + 1), lo + PIECE_DOCS - count, batch.num_rows)
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+                    count, tokens = count + hi - lo, tokens + int(bounds[hi] - bounds[lo])
+                if count == PIECE_DOCS or hi < batch.num_rows:
                     yield made(held)
-                    held, count = [], 0
+                    held, count, tokens = [], 0, 0
+                lo = hi
         if held:
             yield made(held)
 
@@ -109,41 +115,66 @@ class Piece:
         self.by_doc = np.repeat(np.arange(len(df)), df)[order]
         self.doc_weight = self.weight[order]
         self.doc_starts = np.searchsorted(self.at[order], np.arange(self.n + 1))
+        often = np.flatnonzero(df > DENSE_SHARE * self.n)
+        often = np.sort(often[np.argsort(-df[often], kind="stable")[:DENSE_TERMS]])
+        self.df, self.column, self.factor = df, np.full(len(df), -1), np.zeros(len(df))
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.n), np.float32)
+        for c, t in enumerate(often.tolist()):
+            lo, hi = self.starts[t], self.starts[t + 1]
+            self.dense[c, self.at[lo:hi]] = self.weight[lo:hi]
+        #: Greatest relative error of a sum: all parts are positive, and each step rounds once.
+        self.error = (len(often) + 8) * 6e-8
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents that may be among the best ``k`` of a query, and their scores; ``bar``: what ``k`` others have already."""
-        bounds = idf * self.bound[terms]
-        order = np.argsort(-bounds, kind="stable")
-        rest = np.concatenate([np.cumsum(bounds[order][::-1])[::-1], [0.0]])
-        if not len(terms) or rest[0] < bar - SLACK:
-            return np.empty(0, np.int64), np.empty(0)
-        summed = np.zeros(self.n)
-        left = np.arange(self.n)
-        for m, j in enumerate(order.tolist(), 1):
-            lo, hi = self.starts[terms[j]], self.starts[terms[j] + 1]
-            summed[self.at[lo:hi]] += idf[j] * self.weight[lo:hi]
-            if m % STRIDE == 0 and m < len(order):
-                if self.n > k:
-                    bar = max(bar, float(np.partition(summed, self.n - k)[self.n - k]))
-                if rest[m] < bar:
-                    left = np.flatnonzero(summed + rest[m] >= bar - SLACK)
-                    if len(left) <= max(2 * k, self.n // 32):
-                        break
-        else:
-            left = np.flatnonzero(summed > 0)
-            if len(left) > k:
-                least = max(bar, float(np.partition(summed[left], len(left) - k)[len(left) - k]))
-                left = left[summed[left] >= least - SLACK]
-        return left, self._scores(left, terms, idf)
+        for _, docs, scores in self.search_block(np.array([0, len(terms)]), terms, idf, k, np.array([bar])):
+            return docs, scores
+        return np.empty(0, np.int64), np.empty(0)
+
+    def search_block(self, bounds: np.ndarray, terms: np.ndarray, idf: np.ndarray, k: int, bars: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The same for several queries, whose terms lie between ``bounds``: (query, documents, scores) of those that find some."""
+        total = np.concatenate([[0.0], np.cumsum(idf * self.bound[terms])])
+        reach = total[bounds[1:]] - total[bounds[:-1]]
+        asked = np.flatnonzero((np.diff(bounds) > 0) & (reach * (1 + 1e-9) + SLACK >= bars))
+        step = max(1, BLOCK_SUMS // max(1, self.n))
+        for lo in range(0, len(asked), step):
+            block = asked[lo : lo + step]
+            sums = self._sums([(terms[bounds[q] : bounds[q + 1]], idf[bounds[q] : bounds[q + 1]]) for q in block.tolist()])
+            least = np.maximum((bars[block] - SLACK) * (1 - self.error), 1e-30)
+            hits = np.count_nonzero(sums >= least[:, None], axis=1)
+            for r in np.flatnonzero(hits).tolist():
+                if hits[r] > k:
+                    local = float(np.partition(sums[r], self.n - k)[self.n - k]) / (1 + self.error)
+                    least[r] = max(least[r], (local - SLACK) * (1 - self.error))
+                q = int(block[r])
+                docs = np.flatnonzero(sums[r] >= least[r])
+                yield q, docs, self._scores(docs, terms[bounds[q] : bounds[q + 1]], idf[bounds[q] : bounds[q + 1]])
+
+    def _sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Scores of queries and all documents in single precision."""
+        often = np.zeros((len(queries), len(self.dense)), np.float32)
+        for r, (terms, idf) in enumerate(queries):
+            column = self.column[terms]
+            often[r, column[column >= 0]] = idf[column >= 0]
+        sums = often @ self.dense
+        for r, (terms, idf) in enumerate(queries):
+            seldom = self.column[terms] < 0
+            terms, idf = terms[seldom], idf[seldom]
+            size = self.df[terms]
+            spot = np.arange(int(size.sum())) + np.repeat(self.starts[terms] - (np.cumsum(size) - size), size)
+            sums[r] += np.bincount(self.at[spot], self.weight[spot] * np.repeat(idf, size), self.n)
+        return sums
 
     def _scores(self, docs: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
         """Full scores, terms always added in their sorted order, so that they don't depend on the piece."""
-        factor = np.zeros(len(self.bound))
-        factor[terms] = idf
-        size = self.doc_starts[docs + 1] - self.doc_starts[docs]
-        row = np.repeat(np.arange(len(docs)), size)
-        spot = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.doc_starts[docs], size)
-        return np.bincount(row, factor[self.by_doc[spot]] * self.doc_weight[spot], len(docs))
+        self.factor[terms] = idf
+        spans = [slice(lo, hi) for lo, hi in zip(self.doc_starts[docs].tolist(), self.doc_starts[docs + 1].tolist(), strict=True)]
+        row = np.repeat(np.arange(len(docs)), self.doc_starts[docs + 1] - self.doc_starts[docs])
+        parts = self.factor[np.concatenate([self.by_doc[x] for x in spans])] * np.concatenate([self.doc_weight[x] for x in spans])
+        scores = np.bincount(row, parts, len(docs))
+        self.factor[terms] = 0.0
+        return scores
 
 
 class Best:
@@ -181,15 +212,14 @@ def _searched(k: int, mean: float, query_kind, id_kind):
                     asked = row["query_ids"].values.to_pylist()
                     best[pack] = asked, Best(len(asked), k)
                 top = best[pack][1]
-                codes, starts, idf = (np.frombuffer(row[c].as_py(), t) for c, t in (("codes", "<i8"), ("q_starts", "<i8"), ("idf", "<f8")))
+                codes, starts, idf = (np.frombuffer(row[c].as_py(), t) for c, t in (("codes", "<i4"), ("q_starts", "<i8"), ("idf", "<f8")))
                 where = np.asarray(pc.fill_null(pc.index_in(row["vocab"].values, value_set=piece.terms), -1), np.int64)
-                for q in range(len(starts) - 1):
-                    own = codes[starts[q] : starts[q + 1]]
-                    own = own[where[own] >= 0]
-                    if len(own):
-                        docs, scores = piece.search(where[own], idf[own], k, top.bar(q))
-                        if len(docs):
-                            top.add(q, piece.ids.take(pa.array(docs)).to_pylist(), scores)
+                known = where[codes] >= 0
+                bounds = np.concatenate([[0], np.cumsum(known)])[starts]
+                codes = codes[known]
+                bars = np.array([top.bar(q) for q in range(len(starts) - 1)])
+                for q, docs, scores in piece.search_block(bounds, where[codes], idf[codes], k, bars):
+                    top.add(q, piece.ids.take(pa.array(docs)).to_pylist(), scores)
         for asked, top in best.values():
             rows = [(a, i, -s) for a, held in zip(asked, top.found, strict=True) for s, i in held]
             if rows:
@@ -213,7 +243,7 @@ def _packed(terms: DataFrame) -> DataFrame:
         packed = lambda x, t: pa.array([x.astype(t).tobytes()], pa.binary())
         return pa.table({
             "pack": table.column("pack").slice(0, 1), "query_ids": one(asked.dictionary.cast(arrow)), "q_starts": packed(starts, "<i8"), "vocab": one(words.dictionary),
-            "codes": packed(np.asarray(words.indices), "<i8"), "idf": packed(idf, "<f8"),
+            "codes": packed(np.asarray(words.indices), "<i4"), "idf": packed(idf, "<f8"),
         })
 
     schema = f"pack long, query_ids array<{kind.simpleString()}>, q_starts binary, vocab array<string>, codes binary, idf binary"

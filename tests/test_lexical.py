@@ -101,3 +101,19 @@ def test_kept_index_and_other_ids(spark, tmp_path):
     assert [(r.id, r.rank) for r in found.orderBy("rank").collect()] == [("b", 1), ("a", 2)]
     none = LexicalIndex.build(docs.limit(0)).search(spark.createDataFrame([("q", "red")], "query_id string, text string"))
     assert none.count() == 0 and none.columns == ["query_id", "id", "score", "rank"]
+
+
+def test_many_queries_in_one_block(spark, monkeypatch):
+    """Queries are summed together; single-precision sums lose no document, also of terms that most documents have."""
+    rng = random.Random(8)
+    docs = [(k, zipf(rng, rng.randrange(1, 60), 60)) for k in range(400)]
+    monkeypatch.setattr(lexical, "PIECE_TOKENS", 2000)
+    index = LexicalIndex.build(spark.createDataFrame(docs, "id long, text string").coalesce(1))
+    assert 4 < index.pieces.count() < 20 and index.n == 400
+    calls = []
+    inner = lexical.Piece._sums
+    monkeypatch.setattr(lexical.Piece, "_sums", lambda self, queries: calls.append(len(queries)) or inner(self, queries))
+    terms = spark.createDataFrame([(q, t, math.log(400 / (1 + int(t[1:]))) + 1, 0) for q, text in docs[:50] for t in set(tokens(text))], "query_id long, term string, idf double, pack long")
+    rows = index.pieces.join(lexical._packed(terms).hint("broadcast")).toArrow()
+    sent = list(lexical._searched(5, index.mean, pa.int64(), pa.int64())(rows.to_batches()))
+    assert sum(b.num_rows for b in sent) == 250 and max(calls) == 50
