@@ -5,8 +5,8 @@ quota of blocks: whole passes while its target exceeds its size, then the permut
 rest, the last of them document by document; words that it can't fill are carried to documents of the other blocks.
 The quotas are split among the output shards by recursive halving: a node's quotas go left by sampling without
 replacement (a multivariate-hypergeometric draw), the remainder right, so every shard gets its share and no block
-instance lands twice. Nodes of more than ``DRAWN`` blocks draw bundles of blocks of one source instead of single ones,
-so that the work on a node stays bounded whatever the table's size. A shard's rows are then shuffled inside it.
+instance lands twice. A node draws one number a source, by inversion from the mode outwards, so that its work grows with
+the root of its blocks only, and all nodes draw alike whatever the table's size. A shard's rows are then shuffled inside it.
 
 Only DataFrame functions are used. What is held in one row is the vector of quotas, one number for each source, and
 what one task orders is the list of sources; nothing that grows with the documents is gathered.
@@ -30,7 +30,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MAX_PASSES = 3
 #: Source tables up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 4096
-#: Draws that one node of the splitting tree makes at most, but for one more a source.
+#: Counts that a draw of the splitting tree looks at in one sequence; longer walks take several, with the same result.
 DRAWN = 1 << 16
 #: Depth of the tree at which its nodes are dealt to tasks.
 SPREAD = 6
@@ -111,25 +111,37 @@ def _block_quotas(sized: DataFrame, targets: DataFrame, block_docs: int, seed: i
 def _split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(shard, rank, quota) from one row of per-source quotas ``q`` array<struct<rank,n>>, by recursive halving.
 
-    A node's items are visited source by source; each goes left with probability (places left on the left) / (blocks
-    still to come). The counts so drawn are multivariate hypergeometric and fill both halves exactly; where a node
-    draws bundles (``unit`` blocks each, and each source's remainder), up to a bundle.
+    A node's sources are visited in order: of a source's ``k`` items, ``n`` places left on the left and ``r`` items still to
+    come, a hypergeometric number goes left. So the counts are multivariate hypergeometric and fill both halves exactly.
+    Weights are relative to the mode's; beyond 12 standard deviations and 30 counts they are less than a uniform number's step.
     """
+
+    def walk(start: str, step: str) -> str:
+        return f"""aggregate(if(v.h > 0, sequence(0L, (v.h - 1) div {DRAWN}), cast(array() as array<bigint>)), {start}, (a, c) ->
+            aggregate(sequence(c * {DRAWN} + 1, least(v.h, (c + 1) * {DRAWN})), a, (b, i) -> {step}))"""
+
+    up = "b.up * ((v.k - v.m - i + 1D) * (v.n - v.m - i + 1D) / ((v.m + i * 1D) * (v.r - v.k - v.n + v.m + i * 1D)))"
+    down = "b.down * ((v.m - i + 1D) * (v.r - v.k - v.n + v.m - i + 1D) / ((v.k - v.m + i * 1D) * (v.n - v.m + i * 1D)))"
+    total = walk("named_struct('up', 1D, 'down', 1D, 'sum', 1D)", f"named_struct('up', {up}, 'down', {down}, 'sum', b.sum + {up} + {down})")
+    found = walk(
+        "named_struct('up', 1D, 'down', 1D, 'sum', 1D, 'at', if(1D > v.goal, v.m, cast(null as bigint)))",
+        f"named_struct('up', {up}, 'down', {down}, 'sum', b.sum + {up} + {down}, 'at', coalesce(b.at, if(b.sum + {up} > v.goal, v.m + i, if(b.sum + {up} + {down} > v.goal, v.m - i, cast(null as bigint)))))",
+    )
+    node = """named_struct('n', s.room, 'k', x.n, 'r', s.rest,
+        'm', greatest(0L, s.room - s.rest + x.n, least(x.n, s.room, cast(floor((s.room + 1D) * (x.n + 1D) / (s.rest + 2D)) as bigint))),
+        'h', least(x.n, s.room, 30 + cast(ceil(12D * sqrt(s.room * (x.n * 1D / greatest(1L, s.rest)) * (1D - x.n * 1D / greatest(1L, s.rest)) * (s.rest - s.room) / greatest(1L, s.rest - 1))) as bigint)))"""
+    sure = f"pmod(xxhash64({seed}, lo, hi, x.rank), 9007199254740992L) / 9007199254740992D"
+    goal = f"transform(array({node}), v -> named_struct('n', v.n, 'k', v.k, 'r', v.r, 'm', v.m, 'h', v.h, 'goal', {sure} * {total}.sum))"
+    left = f"transform({goal}, v -> coalesce({found}.at, v.m))[0]"
     fold = f"""aggregate(q,
         named_struct('rest', total, 'room', (total * (mid - lo)) div (hi - lo), 'rooms', cast(array() as array<bigint>)),
-        (s, x) -> named_struct(
-          'rest', s.rest - x.n,
-          'room', aggregate(if(x.n > 0, sequence(0L, (x.n - 1) div unit), cast(array() as array<bigint>)), s.room, (room, i) ->
-            room - if(pmod(xxhash64({seed}, lo, hi, x.rank, i), 9007199254740992L) / 9007199254740992D
-                      * (s.rest - i * unit) < room, least(unit, x.n - i * unit), 0L)),
-          'rooms', concat(s.rooms, array(s.room))),
+        (s, x) -> named_struct('rest', s.rest - x.n, 'room', s.room - {left}, 'rooms', concat(s.rooms, array(s.room))),
         s -> concat(s.rooms, array(s.room)))"""
     nodes = quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "q")
     for depth in range(math.ceil(math.log2(max(1, shards)))):
         if depth == SPREAD:
             nodes = nodes.repartition(F.col("lo"))
         nodes = nodes.withColumn("total", F.expr("aggregate(q, 0L, (a, x) -> a + x.n)"))
-        nodes = nodes.withColumn("unit", F.expr(f"greatest(1L, cast(ceil(total / {DRAWN}) as bigint))"))
         nodes = nodes.withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2).cast("int"))
         # explode() of the single result keeps the fold from being evaluated once for each later use of it
         rooms = F.when(F.col("hi") - F.col("lo") > 1, F.array(F.expr(fold))).otherwise(F.array(F.array().cast("array<bigint>")))

@@ -83,6 +83,22 @@ def test_bundles_keep_quotas(spark, monkeypatch):
     assert max(per_shard.values()) < 1.6 * 13_503 / 24 and min(per_shard.values()) > 13_503 / 24 / 1.6
 
 
+def test_draws_do_not_depend_on_sizes(spark, monkeypatch):
+    """Large nodes draw as small ones do: walks in several sequences give the same, counts are spread as the hypergeometric ones."""
+    q = [(0, 10_000), (1, 170), (2, 3_333)]
+    one = spark.createDataFrame([(q,)], "q array<struct<rank:int,n:bigint>>")
+    whole = sorted(map(tuple, mixing._split_tree(one, 24, 9).collect()))
+    monkeypatch.setattr(mixing, "DRAWN", 64)
+    assert sorted(map(tuple, mixing._split_tree(one, 24, 9).collect())) == whole
+    monkeypatch.undo()
+    for n in (20, 90_000):
+        q = spark.createDataFrame([([(0, n), (1, n)],)], "q array<struct<rank:int,n:bigint>>")
+        counts = [r.quota for seed in range(24) for r in mixing._split_tree(q, 2, seed).filter("shard = 0 and rank = 0").collect()]
+        spread = (n / 4 * n / (2 * n - 1)) ** 0.5
+        away = [(c - n / 2) / spread for c in counts]
+        assert len(away) == 24 and abs(sum(away)) < 4 * 24**0.5 and 0.3 < sum(a * a for a in away) / 24 < 2.3
+
+
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a", "w w", 1, 2, 3), (2, "b", "w", 4, 5, 6)], "doc_id long, source string, text string, row_key int, draw int, draws int")
     mixed = mixing.mix(df)
