@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import contextlib
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
+from skein.operators.batches import map_batches  # noqa: F401
 from skein.sources.shared import scratch, shared_dir, stored  # noqa: F401  the operators' helpers in one place
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -19,49 +16,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Rows of a batch that travels to Python: whole texts are long, so batches are small.
-BATCH_ROWS = 1024
-
-
-def _release() -> None:
-    """Give memory that a task no longer needs back to the system: Python workers live on from stage to stage."""
-    import ctypes
-    import gc
-
-    import pyarrow as pa
-
-    gc.collect()
-    gc.freeze()  # what is left are modules, which later collections need not look at
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
-def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """mapInArrow with small batches, whose workers release their memory when a partition ends."""
-    conf = df.sparkSession.conf
-    now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if now <= 0 or now > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-    def bounded(batches):
-        seen = False
-
-        def watched():
-            nonlocal seen
-            for batch in batches:
-                seen = True
-                yield batch
-
-        try:
-            yield from run(watched())
-        finally:
-            if seen:
-                _release()
-
-    return df.mapInArrow(bounded, schema)
-
-
 def word_count(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
