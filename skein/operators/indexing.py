@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.batches import map_batches
 from skein.operators.embedding import hashed_embedding
 from skein.operators.sentences import Chunker, as_of, chunk_text
 from skein.sources.shared import stored
@@ -68,7 +69,7 @@ def chunked(items: DataFrame, provider: Callable[[str], np.ndarray | None] = has
 
     names = ["source_type", "source_id", "chunk_index", "text", "words", "page_number", "timestamp", "vector", "error"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float32()), pa.string()]
-    return items.select("source_type", "source_id", "parts", "starts", "times").mapInArrow(run, f"{CHUNK}, error string")
+    return map_batches(items.select("source_type", "source_id", "parts", "starts", "times"), run, f"{CHUNK}, error string")
 
 
 class ChunkIndex:
