@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -18,6 +20,10 @@ from skein.sources.versions import VersionedTable, sink
 from skein.streaming import newest, stateful, transcripts
 
 
+#: Files of a micro-batch that takes whatever is there.
+ALL_FILES = 1 << 30
+
+
 def _folder(t: Tables, name: str) -> str:
     """A fresh folder that the cluster shares."""
     return scratch(t.spark, name)
@@ -182,8 +188,8 @@ def _updates(t: Tables) -> DataFrame:
     return update_stream(t.conversations).withColumn("ts", F.timestamp_seconds(F.lit(EPOCH) + F.col("seq")))
 
 
-def _drain(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
-    """All that a stream yields for what is there now, as stored rows with their batch number."""
+def _drain(t: Tables, stream: DataFrame, mode: str, feeds: tuple = ()) -> DataFrame:
+    """All that a stream yields for what is there now, and after each of ``feeds``, as stored rows with their batch number."""
     out, marks = _folder(t, "stream-out"), _folder(t, "stream-marks")
     schema = stream.schema
 
@@ -191,8 +197,10 @@ def _drain(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
         # A batch that comes again overwrites its own folder.
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    query.awaitTermination()
+    for feed in (lambda: None, *feeds):
+        feed()
+        query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        query.awaitTermination()
     return t.spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).parquet(out)
 
 
@@ -372,14 +380,18 @@ def _(t):
 
 @register("str_2_assembly_stream", ASSEMBLY, "updates")
 def _(t):
-    """Three files or more in order of seq, each a micro-batch, so that the state goes on from batch to batch."""
+    """Three parts in order of seq, each a micro-batch whatever its files, so that the state goes on from batch to batch."""
     folder = _folder(t, "updates")
     updates = _updates(t)
     cuts = updates.agg(F.max("seq").alias("n")).first()["n"] or 0
-    for k in range(3):
+
+    def feed(k: int) -> None:
         part = updates.filter((F.col("seq") > cuts * k // 3 - (k == 0)) & (F.col("seq") <= cuts * (k + 1) // 3))
         part.repartition("session_id").sortWithinPartitions("session_id", "seq").write.mode("append").json(folder)
-    changed = _drain(t, stateful.assemble_stream(transcripts.read_updates(t.spark, folder)), "update")
+
+    feed(0)
+    stream = transcripts.read_updates(t.spark, folder, ALL_FILES)
+    changed = _drain(t, stateful.assemble_stream(stream), "update", tuple(partial(feed, k) for k in (1, 2)))
     newest = Window.partitionBy("session_id", "line").orderBy(F.desc("batch"))
     return changed.withColumn("n", F.row_number().over(newest)).filter("n = 1").select("session_id", "line", "text", "start", "end")
 

@@ -22,17 +22,16 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class LineAssembler(StatefulProcessor):
-    """State of a session: its last line (number, text, start, end) and the last seq that was seen."""
+    """State of a session: the last seq that was seen and its last line (number, text, start, end), read and written once a batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "line long, text string, start double, end double")
-        self.seen = handle.getValueState("seen", "seq long")
+        self.last = handle.getValueState("last", "seq long, line long, text string, start double, end double")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        seen = self.seen.get()[0] if self.seen.exists() else None
-        number, line = -1, None
-        if self.last.exists():
-            number, *line = self.last.get()
+        held = self.last.get()
+        seen, number, *line = (None, -1) if held is None else held
+        line = line or None
+        before = seen
         changed: dict[int, tuple] = {}
         for r in sorted((r for r in rows if r.is_final and (seen is None or r.seq > seen)), key=lambda r: r.seq):
             if seen is not None and r.seq <= seen:
@@ -42,9 +41,8 @@ class LineAssembler(StatefulProcessor):
             number += kind == "append"
             if kind != "drop":
                 changed[number] = line
-        if line is not None:
-            self.last.update((number, *line))
-            self.seen.update((seen,))
+        if seen != before:
+            self.last.update((seen, number, *line))
         for n, (text, start, end) in changed.items():
             yield Row(session_id=key[0], line=n, text=text, start=start, end=end)
 

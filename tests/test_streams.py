@@ -74,3 +74,41 @@ def test_a_pause_inside_a_batch_and_a_second_turn(ends):
 
 def test_no_end_without_speech(ends):
     assert ends(said(("a", 0, ""), ("a", 100, None)), said(("clock", 9000, "")), said(("clock", 19_000, ""))) == []
+
+
+def test_state_is_read_and_written_once_a_batch():
+    """Each look at the state is a round trip to the JVM: one read, and one write where something is new."""
+    from pyspark.sql import Row
+
+    from skein.streaming.stateful import LineAssembler
+
+    calls, held = [], {}
+
+    class Value:
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            calls.append("get")
+            return held.get(self.name)
+
+        def exists(self):
+            calls.append("exists")
+            return self.name in held
+
+        def update(self, value):
+            calls.append("update")
+            held[self.name] = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value(name)
+
+    row = lambda seq, text, start: Row(seq=seq, is_final=True, text=text, start=start, end=start + 1.0)
+    machine = LineAssembler()
+    machine.init(Handle())
+    first = list(machine.handleInputRows(("s",), iter([row(1, "a", 0.0), row(2, "b", 5.0)]), None))
+    assert [(r.line, r.text) for r in first] == [(0, "a"), (1, "b")] and calls == ["get", "update"]
+    again = list(machine.handleInputRows(("s",), iter([row(2, "b", 5.0), row(3, "b more", 5.0)]), None))
+    assert [(r.line, r.text) for r in again] == [(1, "b more")] and calls == ["get", "update"] * 2
+    assert list(machine.handleInputRows(("s",), iter([row(3, "b more", 5.0)]), None)) == [] and calls[4:] == ["get"]
