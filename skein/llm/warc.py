@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import map_batches, read, scratch, stored
+from skein.sources.shared import file_system as _filesystem
 
 #: All records carry this date: output depends on the input only.
 DATE = "2024-01-01T00:00:00Z"
@@ -46,15 +46,6 @@ EOL = b"\r\n"
 PIECE = 1 << 14
 
 
-def _filesystem(uri: str):
-    """pyarrow file system and path of a URI or local path."""
-    from pyarrow import fs
-
-    if re.match(r"[a-z][a-z0-9+.-]*:/", uri, re.I):
-        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
-    return fs.LocalFileSystem(), uri
-
-
 def _commit(files, temporary: str, final: str) -> None:
     """Rename a whole file to its name, unless an earlier attempt has put the equal file there."""
     from pyarrow import fs

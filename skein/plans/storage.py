@@ -356,7 +356,7 @@ def _(t):
     name = F.concat(text.file_name(F.col("title")), F.lit("-"), F.col("session_id").cast("string"))
     folder = _folder(t, "export")
     tables.export_all(bodies.select(name.alias("file_name"), "body"), folder)
-    return t.spark.read.text(folder, wholetext=True).select(F.col("file_name").cast("string"), F.length("value").cast("long").alias("n_chars"))
+    return tables.exported(t.spark, folder).select("file_name", F.length("value").cast("long").alias("n_chars"))
 
 
 @register("snk_17_reminders", r"""SELECT conv_id, turn, s AS reminder, 'From meeting: ' || conv_id || CASE WHEN role <> 'system' THEN chr(10) || 'Owner: ' || role ELSE '' END AS notes FROM

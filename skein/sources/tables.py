@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+import uuid
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text
+from skein.operators.batches import map_batches
+from skein.sources.shared import file_system, make_dir, remove
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -76,9 +84,66 @@ def reminders(items: DataFrame) -> DataFrame:
     return items.filter(body != "").withColumn("reminder", body).withColumn("notes", notes)
 
 
+#: Name of the file of rows without a name; no other name is escaped to it.
+NAMELESS = "%"
+
+
+def _escaped(name: str | None) -> str:
+    """A session's name as that of a file: what paths can't hold, and a first character that hides a file, as %XX."""
+    return re.sub(r"[%/:\x00-\x1f\x7f]|\A[._]", lambda m: f"%{ord(m[0]):02X}", name) if name else NAMELESS
+
+
+def _move(files, temporary: str, final: str) -> None:
+    """Rename a whole file to its name, over that of an earlier attempt."""
+    from pyarrow import fs
+
+    try:
+        files.move(temporary, final)
+    except OSError:  # not every file system renames over a file
+        if files.get_file_info(final).type == fs.FileType.NotFound:
+            raise
+        files.delete_file(final)
+        files.move(temporary, final)
+
+
 def export_all(bodies: DataFrame, folder: str) -> None:
-    """One text file folder per session: (file_name, body)."""
-    bodies.select("file_name", F.col("body").alias("value")).write.mode("overwrite").partitionBy("file_name").text(folder)
+    """One text file per session: the body and a line end, in ``folder``, which is emptied first. Bodies of one name share a file.
+
+    Tasks write the files, under temporary names until they are whole: no folders, and no file is left for the driver to move.
+    """
+    spark = bodies.sparkSession
+    remove(spark, [folder])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = file_system(folder)
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        done = 0
+        for name, group in groupby(rows, key=lambda row: row[0]):
+            if not done:
+                files.create_dir(f"{root}/_temporary", recursive=True)
+            temporary = f"{root}/_temporary/{uuid.uuid4().hex}"
+            with files.open_output_stream(temporary) as out:
+                for _, body in group:
+                    out.write(f"{body or ''}\n".encode())
+            _move(files, temporary, f"{root}/{_escaped(name)}.md")
+            done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["files"])
+
+    named = bodies.select(F.nullif("file_name", F.lit("")).alias("file_name"), "body")
+    map_batches(named.repartition("file_name").sortWithinPartitions("file_name"), run, "files long").agg(F.sum("files")).collect()
+    make_dir(spark, folder)  # also where there are no sessions
+    remove(spark, [f"{folder}/_temporary"])
+
+
+def exported(spark: SparkSession, folder: str) -> DataFrame:
+    """file_name, value: the files of an export, read back whole."""
+
+    def unescaped(name):
+        return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+    name = F.regexp_replace(unescaped(F.col("_metadata.file_name")), r"\.md\z", "")  # Spark gives names as in URLs
+    name = F.when(name != NAMELESS, unescaped(name))
+    return spark.read.text(folder, wholetext=True).select(name.alias("file_name"), "value")
 
 
 def wipe(rows: DataFrame, path: str) -> None:
