@@ -122,7 +122,7 @@ def _tokens(reps: DataFrame) -> DataFrame:
 
 def _sights(reps: DataFrame) -> DataFrame:
     """(region, rep): the documents that see a pivot, by its hash."""
-    tokens = _tokens(reps)
+    tokens = _tokens(reps).repartition("token")  # dealt once: the count and the join find each token's rows together
     pivots = tokens.groupBy("token").agg(F.count("*").alias("seen"), F.min(F.xxhash64("rep")).alias("region")).filter("seen > 1")
     return tokens.join(pivots.drop("seen"), "token").select("region", "rep").distinct()
 

@@ -111,3 +111,20 @@ def test_odd_rows(spark, tmp_path):
     assert nj.ngram_components(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         nj.ngram_components(df, percent=50)
+
+
+def test_tokens_are_dealt_once(spark):
+    """The pivots' count and their join read one shuffle of the prefix shingles, also where the pivots are no broadcast."""
+    rows = [(k, 3, np.array([k, k // 2 + 5000, 7], "<i8").tobytes()) for k in range(2000)]
+    reps = spark.createDataFrame(rows, "rep long, n_shingles long, prefix binary")
+    asked = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = nj._sights(reps)
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", asked)
+    assert {r.rep for r in got} == set(range(2000)) and len(got) == len(set(got))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(token" in line]
+    assert len([line for line in dealt if "ReusedExchange" not in line]) == 1 and any("ReusedExchange" in line for line in dealt)
