@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from skein.llm import piece_model as pm
@@ -27,19 +28,30 @@ from skein.llm.common import map_batches, read
 
 #: Threads of the library in a task, at least.
 THREADS = 2
+#: Texts that go to the library at once: what it makes of them is many times their size, and should stay in the processor's caches.
+ROWS = 128
 
 
 def _decoder(strip: bool):
-    """Marks become spaces, byte pieces characters; the leading mark's space goes."""
+    """Byte pieces become characters; the leading mark's space goes."""
     from tokenizers import decoders
 
-    steps = [decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(pm.MARK, " ")]
+    steps = [decoders.ByteFallback(), decoders.Fuse()]
     return decoders.Sequence(steps + ([decoders.Strip(" ", 1, 0)] if strip else []))
 
 
+def rebuild_decoder(model: pm.PieceModel):
+    """A tokenizers.Tokenizer that decodes the model's ids: its pieces, by their place, have spaces for marks already."""
+    from tokenizers import Tokenizer, models
+
+    made = Tokenizer(models.Unigram([(p.replace(pm.MARK, " "), 0.0) for p, _, _ in model.pieces], unk_id=model.unk_id))
+    made.decoder = _decoder(strip=model.add_dummy_prefix)
+    return made
+
+
 def rebuild(model: pm.PieceModel):
-    """A tokenizers.Tokenizer equal to the SentencePiece model."""
-    from tokenizers import AddedToken, Regex, Tokenizer, models, normalizers
+    """A tokenizers.Tokenizer that encodes as the SentencePiece model does."""
+    from tokenizers import AddedToken, Regex, Tokenizer, models, normalizers, pre_tokenizers
 
     vocab = {p: k for k, (p, _, _) in enumerate(model.pieces)}
     if model.kind == pm.UNIGRAM:
@@ -66,9 +78,9 @@ def rebuild(model: pm.PieceModel):
         steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if model.add_dummy_prefix:
         steps.append(normalizers.Prepend(pm.MARK))
-    steps.append(normalizers.Replace(" ", pm.MARK))
     made.normalizer = normalizers.Sequence(steps)
-    made.decoder = _decoder(strip=model.add_dummy_prefix)
+    # Marks for spaces, without cutting there: cheaper than as a rule of the normaliser, which looks for an expression.
+    made.pre_tokenizer = pre_tokenizers.Metaspace(pm.MARK, prepend_scheme="never", split=False)
     made.add_special_tokens([AddedToken(p, special=True, normalized=False) for p, _, kind in model.pieces if kind == pm.CONTROL])
     made.encode_special_tokens = True  # their strings in a text are ordinary text
     return made
@@ -79,7 +91,7 @@ class Encoder:
 
     def __init__(self, data: bytes, parity: bool = True) -> None:
         self.model = pm.parse(data)
-        self.made = rebuild(self.model)
+        self.made, self.reader = rebuild(self.model), rebuild_decoder(self.model)
         self.other = None
         if parity:
             import sentencepiece
@@ -94,16 +106,16 @@ class Encoder:
         return [(a, a == b) for a, b in zip(ids, theirs, strict=True)]
 
     def decode(self, batch: list[list[int]]) -> list[str]:
-        return self.made.decode_batch(batch, skip_special_tokens=False)
+        return self.reader.decode_batch(batch, skip_special_tokens=False)
 
 
 def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.Array, list]]:
-    """The first column and the values of another in pieces of bounded text: up to 512 rows, or about 4 MB."""
+    """The first column and the values of another in pieces of bounded text: up to ``ROWS`` rows, or about 4 MB."""
     values = batch.column(column)
     lo = size = 0
-    for k, v in enumerate(values):
-        size += 0 if v.as_py() is None else len(v.as_py())
-        if k + 1 - lo == 512 or size > 1 << 22 or k + 1 == len(values):
+    for k, n in enumerate(pc.binary_length(values).to_pylist()):
+        size += n or 0
+        if k + 1 - lo == ROWS or size > 1 << 22 or k + 1 == len(values):
             yield batch.column(0).slice(lo, k + 1 - lo), values.slice(lo, k + 1 - lo).to_pylist()
             lo, size = k + 1, 0
 

@@ -90,3 +90,24 @@ def test_unigram_model_on_a_table(spark, tmp_path):
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     for r in pieces.encode_pieces(docs, f"{tmp_path}/unigram.model").collect():
         assert len(r.ids) == len(proc.encode(texts[r.doc_id]))
+
+
+def test_decoder_has_spaces_for_marks():
+    """Marks are replaced in the pieces, not in the decoded text: a mark that byte pieces spell stays, as in sentencepiece."""
+    data, model = pm.load()
+    encoder, proc = pieces.Encoder(data, False), sp.SentencePieceProcessor(model_proto=data)
+    place = {p: k for k, (p, _, _) in enumerate(model.pieces)}
+    for spelt in (["a", "<0xE2>", "<0x96>", "<0x81>", "b"], ["▁", "▁", "a"], ["▁a", "<0xE2>", "a"], []):
+        ids = [place[p] for p in spelt]
+        assert encoder.decode([ids]) == [proc.decode(ids)]
+
+
+def test_parts_are_small():
+    """At most ROWS texts go to the library at once, and each row comes once."""
+    import pyarrow as pa
+
+    texts = [None if k % 50 == 0 else "é" * (k % 7) for k in range(1000)]
+    texts[500] = "x" * (5 << 20)
+    got = list(pieces._parts(pa.record_batch([pa.array(range(1000)), pa.array(texts)], ["doc_id", "text"]), 1))
+    assert [t for _, part in got for t in part] == texts and [k for keys, _ in got for k in keys.to_pylist()] == list(range(1000))
+    assert max(len(part) for _, part in got) == 128 and got[3][1][-1] == texts[500]
