@@ -5,8 +5,9 @@ greatest frequency and the shortest length of a document that has it, which boun
 piece. Nothing is shuffled to build pieces. A search deals its queries into packs of bounded size, which are broadcast a bounded number of bytes
 at a time, and each task scores packs against its pieces, block by block: terms that many documents of a piece have are
 one product of two small dense matrices, all other terms are added up along their postings. These sums are kept in single precision; what
-may reach the best ``k`` so far within their greatest error, and nothing else, is scored in full. What a task sends on is its best ``k``
-documents of each query.
+may reach the best ``k`` so far within their greatest error, and nothing else, is scored in full. A large index is summed in a sample
+of its pieces first; what ``k`` documents score there at least is a bar for all tasks: documents that have too little of the frequent terms to reach a
+query's bar by them are not multiplied. What a task sends on is its best ``k`` documents of each query that reach the bar.
 """
 
 from __future__ import annotations
@@ -33,6 +34,12 @@ SLACK = 2e-6
 DENSE_SHARE, DENSE_TERMS = 0.04, 1024
 #: Sums (query, document) of a block that are held at once.
 BLOCK_SUMS = 1 << 22
+#: Queries of a block at most.
+BLOCK_QUERIES = 256
+#: Indexes of so many pieces are searched in a sample of them first.
+LEAST_PIECES = 24
+#: A document's mass below this share of the bar stands for what the matrix would add.
+LIGHT_SHARE = 0.6
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -56,6 +63,13 @@ def _piece(ids: pa.Array, tokens: pa.ListArray) -> pa.RecordBatch:
     starts = np.cumsum(df) - df
     peak = np.maximum.reduceat(tf, starts) if len(df) else tf
     least = np.minimum.reduceat(size[at], starts) if len(df) else tf
+    # Documents stand by what they have of frequent terms, so that a search can leave out the first of them.
+    part = np.where(df > DENSE_SHARE * n, np.log((n - df + 0.5) / (df + 0.5) + 1), 0)[term] * tf / (tf + K1 * (1 - B + B * size[at] / max(1.0, size.sum() / max(1, n))))
+    by_mass = np.argsort(np.bincount(at, part, n), kind="stable")
+    stands = np.empty(n, np.int64)
+    stands[by_mass] = np.arange(n)
+    order_in = np.argsort(term * n + stands[at])
+    at, tf, ids, size = stands[at][order_in], tf[order_in], ids.take(pa.array(by_mass)), size[by_mass]
     packed = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
     columns = [
@@ -100,31 +114,36 @@ def pieces(docs: DataFrame) -> DataFrame:
 
 
 class Piece:
-    """A piece in a task: its postings by term and by document, weighted for a corpus of mean length ``mean``."""
+    """A piece in a task: its postings by term, weighted for a corpus of mean length ``mean``."""
 
     def __init__(self, row: dict, mean: float) -> None:
-        number = lambda c: np.frombuffer(row[c].as_py(), "<i4").astype(np.int64)
+        number = lambda c: np.frombuffer(row[c].as_py(), "<i4")
         self.n, self.ids, self.terms = row["n"].as_py(), row["ids"].values, row["terms"].values
+        self.nameless = np.flatnonzero(np.asarray(self.ids.is_null()))
         df = np.asarray(row["df"].values, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(df)])
-        self.at, size, tf = number("at"), number("lens"), number("tf")
-        saturated = lambda tf, size: tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
-        self.weight = saturated(tf, size[self.at])
-        self.bound = saturated(number("peak"), number("least"))
-        order = np.argsort(self.at, kind="stable")
-        self.by_doc = np.repeat(np.arange(len(df)), df)[order]
-        self.doc_weight = self.weight[order]
-        self.doc_starts = np.searchsorted(self.at[order], np.arange(self.n + 1))
+        self.at = number("at").astype(np.int64)
+        #: Where the postings stand by document, and their terms in that order.
+        self.by_doc = np.argsort(self.at.astype(np.min_scalar_type(max(1, self.n))), kind="stable")
+        self.doc_terms = np.repeat(np.arange(len(df), dtype=np.int32), df)[self.by_doc]
+        self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(self.at, minlength=self.n))])
+        self.marked = np.zeros(len(df), bool)
+        size = K1 * (1 - B + B * number("lens") / mean)
+        saturated = lambda tf, size: tf * (K1 + 1) / (tf + size)
+        self.weight = saturated(number("tf"), size[self.at])
+        self.bound = saturated(number("peak"), K1 * (1 - B + B * number("least") / mean))
         often = np.flatnonzero(df > DENSE_SHARE * self.n)
-        often = np.sort(often[np.argsort(-df[often], kind="stable")[:DENSE_TERMS]])
-        self.df, self.column, self.factor = df, np.full(len(df), -1), np.zeros(len(df))
-        self.column[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), self.n), np.float32)
-        for c, t in enumerate(often.tolist()):
+        self.often = np.sort(often[np.argsort(-df[often], kind="stable")[:DENSE_TERMS]])
+        self.df, self.column, self.value = df, np.full(len(df), -1), np.zeros(len(df))
+        self.column[self.often] = np.arange(len(self.often))
+        #: A row a document, so that some documents alone can be multiplied.
+        self.dense = np.zeros((self.n, len(self.often)), np.float32)
+        for c, t in enumerate(self.often.tolist()):
             lo, hi = self.starts[t], self.starts[t + 1]
-            self.dense[c, self.at[lo:hi]] = self.weight[lo:hi]
-        #: Greatest relative error of a sum: all parts are positive, and each step rounds once.
-        self.error = (len(often) + 8) * 6e-8
+            self.dense[self.at[lo:hi], c] = self.weight[lo:hi]
+        self.postings = np.empty(2 * len(self.at), np.uint32)
+        self.postings[1::2] = self.at
+        self.steps = np.arange(max(1, self.n) * 4)
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents that may be among the best ``k`` of a query, and their scores; ``bar``: what ``k`` others have already."""
@@ -133,72 +152,150 @@ class Piece:
         return np.empty(0, np.int64), np.empty(0)
 
     def search_block(self, bounds: np.ndarray, terms: np.ndarray, idf: np.ndarray, k: int, bars: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """The same for several queries, whose terms lie between ``bounds``: (query, documents, scores) of those that find some."""
+        """The same for several queries, whose terms lie between ``bounds``: (query, documents, scores) of those that find some.
+
+        What the terms of the matrix add to a document is at most ``mass``, whatever the query, so documents of little mass
+        are multiplied only with queries of low bars; for others the mass stands in the sum, and what then reaches the bar is scored in full.
+        """
+        for block, queries, least, heavy, sums, error in self._blocks(bounds, terms, idf, bars):
+            reached = sums >= least[:, None]
+            for r in np.flatnonzero(np.count_nonzero(reached, axis=1) > k).tolist():
+                known = sums[r, heavy:]
+                if len(known) >= k:
+                    local = float(np.partition(known, len(known) - k)[len(known) - k]) / (1 + error)
+                    reached[r] = sums[r] >= max(least[r], (local - SLACK) * (1 - error))
+            row, docs = np.divmod(np.flatnonzero(reached), self.n)
+            ends = np.searchsorted(row, np.arange(len(block) + 1))
+            for r in np.flatnonzero(np.diff(ends)).tolist():
+                found = docs[ends[r] : ends[r + 1]]
+                yield int(block[r]), found, self._scores(found, queries[r])
+
+    def least_best(self, bounds: np.ndarray, terms: np.ndarray, idf: np.ndarray, k: int, held: np.ndarray) -> None:
+        """Puts into ``held`` (a row a query) what the best ``k`` documents score at least; none is scored in full."""
+        for block, _, _, _, sums, error in self._blocks(bounds, terms, idf, np.zeros(len(bounds) - 1)):
+            best = np.partition(sums, self.n - k, axis=1)[:, self.n - k :] if self.n > k else sums
+            both = np.concatenate([held[block], best / (1 + error) - SLACK], axis=1)
+            held[block] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+
+    def _blocks(self, bounds: np.ndarray, terms: np.ndarray, idf: np.ndarray, bars: np.ndarray) -> Iterator[tuple]:
+        """Blocks of queries that may find something: their numbers, terms, least sums, and sums with all documents up to a relative error.
+
+        Sums of the documents before ``heavy`` are upper bounds.
+        """
         total = np.concatenate([[0.0], np.cumsum(idf * self.bound[terms])])
         reach = total[bounds[1:]] - total[bounds[:-1]]
         asked = np.flatnonzero((np.diff(bounds) > 0) & (reach * (1 + 1e-9) + SLACK >= bars))
-        step = max(1, BLOCK_SUMS // max(1, self.n))
+        asked = asked[np.argsort(bars[asked], kind="stable")]
+        # Greatest relative error of a sum: all parts are positive, and each step rounds once.
+        error = (len(self.often) + int(np.diff(bounds).max(initial=0)) + 8) * 6e-8
+        self.value[:] = 0.0
+        self.value[terms] = idf  # a term's idf is the same in all queries
+        valued = self.weight * np.repeat(self.value, self.df)
+        # Document and value of a posting lie side by side: a search fetches both at once.
+        self.postings[0::2] = valued.astype(np.float32).view(np.uint32)
+        self.doc_values = valued[self.by_doc]
+        factor = self.value[self.often].astype(np.float32)
+        mass = self.dense @ factor * (1 + error)
+        most = np.maximum.accumulate(mass)
+        step = max(1, min(BLOCK_QUERIES, BLOCK_SUMS // max(1, self.n)))
         for lo in range(0, len(asked), step):
             block = asked[lo : lo + step]
-            sums = self._sums([(terms[bounds[q] : bounds[q + 1]], idf[bounds[q] : bounds[q + 1]]) for q in block.tolist()])
-            least = np.maximum((bars[block] - SLACK) * (1 - self.error), 1e-30)
-            hits = np.count_nonzero(sums >= least[:, None], axis=1)
-            for r in np.flatnonzero(hits).tolist():
-                if hits[r] > k:
-                    local = float(np.partition(sums[r], self.n - k)[self.n - k]) / (1 + self.error)
-                    least[r] = max(least[r], (local - SLACK) * (1 - self.error))
-                q = int(block[r])
-                docs = np.flatnonzero(sums[r] >= least[r])
-                yield q, docs, self._scores(docs, terms[bounds[q] : bounds[q + 1]], idf[bounds[q] : bounds[q + 1]])
-
-    def _sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Scores of queries and all documents in single precision."""
-        often = np.zeros((len(queries), len(self.dense)), np.float32)
-        for r, (terms, idf) in enumerate(queries):
-            column = self.column[terms]
-            often[r, column[column >= 0]] = idf[column >= 0]
-        sums = often @ self.dense
-        for r, (terms, idf) in enumerate(queries):
-            seldom = self.column[terms] < 0
-            terms, idf = terms[seldom], idf[seldom]
+            queries = [terms[bounds[q] : bounds[q + 1]] for q in block.tolist()]
+            least = np.maximum((bars[block] - SLACK) * (1 - error), 1e-30)
+            sums = self._sums(queries)
+            often = np.zeros((len(block), len(self.often)), np.float32)
+            for r, query in enumerate(queries):
+                column = self.column[query]
+                column = column[column >= 0]
+                often[r, column] = factor[column]
+            # A document whose mass is near the bar would reach it by little else.
+            heavy = int(np.searchsorted(most, LIGHT_SHARE * least[0]))
+            sums[:, :heavy] += mass[:heavy]
+            sums[:, heavy:] += often @ self.dense[heavy:].T
+            sums[:, self.nameless] = 0
+            yield block, queries, least, heavy, sums, error
+
+    def _sums(self, queries: list[np.ndarray]) -> np.ndarray:
+        """Sums of queries and all documents over the terms that the matrix does not hold, in single precision."""
+        sums = np.zeros((len(queries), self.n), np.float32)
+        for r, terms in enumerate(queries):
+            terms = terms[self.column[terms] < 0]
             size = self.df[terms]
-            spot = np.arange(int(size.sum())) + np.repeat(self.starts[terms] - (np.cumsum(size) - size), size)
-            sums[r] += np.bincount(self.at[spot], self.weight[spot] * np.repeat(idf, size), self.n)
+            ends = np.cumsum(size)
+            if not len(terms):
+                continue
+            spot = np.repeat(self.starts[terms] - ends + size, size)
+            spot += self.steps[: len(spot)] if len(spot) <= len(self.steps) else np.arange(len(spot))
+            found = np.take(self.postings.view(np.uint64), spot, mode="clip").view(np.uint32)
+            np.add.at(sums[r], found[1::2].astype(np.intp), found[0::2].copy().view(np.float32))
         return sums
 
-    def _scores(self, docs: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    def _scores(self, docs: np.ndarray, terms: np.ndarray) -> np.ndarray:
         """Full scores, terms always added in their sorted order, so that they don't depend on the piece."""
-        self.factor[terms] = idf
+        self.marked[terms] = True
         spans = [slice(lo, hi) for lo, hi in zip(self.doc_starts[docs].tolist(), self.doc_starts[docs + 1].tolist(), strict=True)]
         row = np.repeat(np.arange(len(docs)), self.doc_starts[docs + 1] - self.doc_starts[docs])
-        parts = self.factor[np.concatenate([self.by_doc[x] for x in spans])] * np.concatenate([self.doc_weight[x] for x in spans])
-        scores = np.bincount(row, parts, len(docs))
-        self.factor[terms] = 0.0
-        return scores
+        parts = self.marked[np.concatenate([self.doc_terms[x] for x in spans])] * np.concatenate([self.doc_values[x] for x in spans])
+        self.marked[terms] = False
+        return np.bincount(row, parts, len(docs))
 
 
 class Best:
     """The best ``k`` of each query of a pack that a task has seen: equal scores by the smaller id."""
 
-    def __init__(self, n: int, k: int) -> None:
+    def __init__(self, n: int, k: int, bars: np.ndarray | None = None) -> None:
         self.k = k
         self.found: list[list[tuple[float, object]]] = [[] for _ in range(n)]
-
-    def bar(self, q: int) -> float:
-        held = self.found[q]
-        return -held[-1][0] if len(held) == self.k else 0.0
+        #: What ``k`` documents of each query have already, here or in other tasks.
+        self.bars = np.zeros(n) if bars is None else np.array(bars, float)
 
     def add(self, q: int, ids: list, scores: np.ndarray) -> None:
-        rows = [(-s, i) for s, i in zip(np.round(scores, DECIMALS).tolist(), ids, strict=True) if s > 0 and i is not None]
-        self.found[q] = sorted(self.found[q] + rows)[: self.k]
-
-
-def _searched(k: int, mean: float, query_kind, id_kind):
-    """Pieces joined with packs become each task's best rows."""
+        bar = self.bars[q]
+        rows = [(-s, i) for s, i in zip(np.round(scores, DECIMALS).tolist(), ids, strict=True) if s > 0 and s >= bar and i is not None]
+        if rows:
+            self.found[q] = held = sorted(self.found[q] + rows)[: self.k]
+            if len(held) == self.k:
+                self.bars[q] = max(bar, -held[-1][0])
+
+
+class Asked:
+    """The queries of packs, over one vocabulary."""
+
+    def __init__(self, packs: list[dict], k: int) -> None:
+        number = lambda c, t: [np.frombuffer(x[c].as_py(), t) for x in packs]
+        codes, starts, idf = number("codes", "<i4"), number("q_starts", "<i8"), number("idf", "<f8")
+        words = pa.concat_arrays([x["vocab"].values for x in packs]).dictionary_encode()
+        place, self.vocab = np.asarray(words.indices, np.int64), words.dictionary
+        shift = np.cumsum([0] + [len(x) for x in idf])
+        self.codes = np.concatenate([place[c + n] for c, n in zip(codes, shift.tolist(), strict=False)])
+        shift = np.cumsum([0] + [len(x) for x in codes])
+        self.starts = np.concatenate([x[:-1] + n for x, n in zip(starts, shift.tolist(), strict=False)] + [shift[-1:]])
+        self.idf = np.empty(len(self.vocab))
+        self.idf[place] = np.concatenate(idf)
+        self.ids = [i for x in packs for i in x["query_ids"].values.to_pylist()]
+        self.least = np.zeros((len(self.ids), k), np.float32)
+        self.top = Best(len(self.ids), k, np.concatenate(number("bars", "<f8")) if "bars" in packs[0] else None)
+
+    def meet(self, piece: Piece, k: int, rough: bool) -> None:
+        where = np.asarray(pc.fill_null(pc.index_in(self.vocab, value_set=piece.terms), -1), np.int64)
+        known = where[self.codes] >= 0
+        bounds = np.concatenate([[0], np.cumsum(known)])[self.starts]
+        codes = self.codes[known]
+        if rough:
+            return piece.least_best(bounds, where[codes], self.idf[codes], k, self.least)
+        for q, docs, scores in piece.search_block(bounds, where[codes], self.idf[codes], k, self.top.bars.copy()):
+            self.top.add(q, piece.ids.take(pa.array(docs)).to_pylist(), scores)
+
+
+def _searched(k: int, mean: float, query_kind, id_kind, rough: bool = False):
+    """Pieces joined with packs become each task's best rows. ``packs``: the packs of a turn, which stand in a task's first row alone.
+
+    ``rough``: what the best score at least, without ids.
+    """
     schema = pa.schema([("query_id", query_kind), ("id", id_kind), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[list, Best]] = {}
+        best: dict[int, Asked] = {}
         last, piece = None, None
         for batch in batches:
             names = batch.schema.names
@@ -207,21 +304,18 @@ def _searched(k: int, mean: float, query_kind, id_kind):
                 key = (row["at"].as_py(), row["lens"].as_py())
                 if key != last:
                     last, piece = key, Piece(row, mean)
-                pack = row["pack"].as_py()
+                pack = -1 if "packs" in row else row["pack"].as_py()
                 if pack not in best:
-                    asked = row["query_ids"].values.to_pylist()
-                    best[pack] = asked, Best(len(asked), k)
-                top = best[pack][1]
-                codes, starts, idf = (np.frombuffer(row[c].as_py(), t) for c, t in (("codes", "<i4"), ("q_starts", "<i8"), ("idf", "<f8")))
-                where = np.asarray(pc.fill_null(pc.index_in(row["vocab"].values, value_set=piece.terms), -1), np.int64)
-                known = where[codes] >= 0
-                bounds = np.concatenate([[0], np.cumsum(known)])[starts]
-                codes = codes[known]
-                bars = np.array([top.bar(q) for q in range(len(starts) - 1)])
-                for q, docs, scores in piece.search_block(bounds, where[codes], idf[codes], k, bars):
-                    top.add(q, piece.ids.take(pa.array(docs)).to_pylist(), scores)
-        for asked, top in best.values():
-            rows = [(a, i, -s) for a, held in zip(asked, top.found, strict=True) for s, i in held]
+                    held = row["packs"].values.flatten() if pack < 0 else None
+                    fields = [] if pack >= 0 else [f.name for f in row["packs"].type.value_type]
+                    best[pack] = Asked([row] if held is None else [{c: held[i][j] for i, c in enumerate(fields)} for j in range(len(held[0]))], k)
+                best[pack].meet(piece, k, rough)
+        for asked in best.values():
+            if rough:
+                q, place = np.nonzero(asked.least > 0)
+                rows = [(asked.ids[a], None, s) for a, s in zip(q.tolist(), asked.least[q, place].tolist(), strict=True)]
+            else:
+                rows = [(a, i, -s) for a, held in zip(asked.ids, asked.top.found, strict=True) for s, i in held]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -250,13 +344,26 @@ def _packed(terms: DataFrame) -> DataFrame:
     return terms.groupBy("pack").applyInArrow(work, schema)
 
 
+def _barred(packed: DataFrame, bars: DataFrame) -> DataFrame:
+    """Packs with the bars (query_id, bar) of their queries; 0 where there is none."""
+    held = packed.select("pack", F.posexplode("query_ids").alias("at", "query_id")).join(bars, "query_id", "left")
+    held = held.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bar", F.lit(0.0)).alias("bar")))).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.asarray(x.values, float).astype("<f8").tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["pack", "bars"])
+
+    return packed.join(held.select("pack", F.col("rows.bar").alias("bars")).mapInArrow(run, "pack long, bars binary"), "pack")
+
+
 class LexicalIndex:
     """Block-max postings of a corpus, in a folder; statistics are those of the whole corpus."""
 
     def __init__(self, held: DataFrame) -> None:
         self.pieces = held
-        stats = held.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
-        self.n = float(stats["n"] or 0)
+        stats = held.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("*").alias("pieces")).first()
+        self.n, self.n_pieces = float(stats["n"] or 0), stats["pieces"]
         self.mean = max(1.0, (stats["total"] or 0) / max(1.0, self.n))
 
     @classmethod
@@ -281,6 +388,11 @@ class LexicalIndex:
     def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
         """query_id, id, score, rank of queries (query_id, text): positive scores, best ``k``; ties to smaller ids."""
         df = F.col("df")
+
+        def top(found: DataFrame) -> DataFrame:
+            ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+            return ranked.filter(F.col("rank") <= k)
+
         terms = stored(query_terms(queries).distinct(), "query-terms")
         idf = F.log((F.lit(self.n) - df + 0.5) / (df + 0.5) + 1.0).alias("idf")
         size = terms.agg(F.count("*").alias("terms"), F.count_distinct("query_id").alias("queries")).first()
@@ -290,12 +402,24 @@ class LexicalIndex:
         sized = packed.agg(F.sum(F.length("codes") + F.length("idf") + 24 * F.size("vocab")).alias("bytes")).first()["bytes"] or 0
         turns = -(-sized // BROADCAST_BYTES) or 1
         kinds = to_arrow_type(packed.schema["query_ids"].dataType.elementType), to_arrow_type(self.pieces.schema["ids"].dataType.elementType)
+        pieces = self.pieces.select("n", "ids", "lens", "terms", "df", "at", "tf", "peak", "least")
+        if self.n_pieces >= LEAST_PIECES:
+            # What the best of a sample of the pieces score at least is a bar for all documents.
+            share = round((self.n_pieces / 2) ** 0.5)
+            chosen = F.pmod(F.xxhash64("n", "peak"), F.lit(share)) == 0
+            rough = top(self._found(pieces.filter(chosen), packed, turns, k, kinds, True))
+            bars = rough.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+            packed = stored(_barred(packed, bars), "query-packs")
+        return top(self._found(pieces, packed, turns, k, kinds))
+
+    def _found(self, pieces: DataFrame, packed: DataFrame, turns: int, k: int, kinds: tuple, rough: bool = False) -> DataFrame:
+        """query_id, id, score: the best rows of each task, packs broadcast in turns."""
+        schema = f"query_id {packed.schema['query_ids'].dataType.elementType.simpleString()}, id {pieces.schema['ids'].dataType.elementType.simpleString()}, score double"
         found = None
         for turn in range(turns):
-            asked = packed.filter(F.pmod(F.xxhash64("pack"), F.lit(turns)) == turn)
-            rows = self.pieces.select("n", "ids", "lens", "terms", "df", "at", "tf", "peak", "least").join(F.broadcast(asked))
-            schema = f"query_id {packed.schema['query_ids'].dataType.elementType.simpleString()}, id {self.pieces.schema['ids'].dataType.elementType.simpleString()}, score double"
-            one = rows.mapInArrow(_searched(k, self.mean, *kinds), schema)
+            asked = packed.filter(F.pmod(F.xxhash64("pack"), F.lit(turns)) == turn).agg(F.collect_list(F.struct(*packed.columns)).alias("packs")).filter(F.size("packs") > 0)
+            # All rows of a task have the same packs: the first alone takes them to Python.
+            rows = pieces.withColumn("row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).join(F.broadcast(asked))
+            one = rows.select(*pieces.columns, F.when(F.col("row") == 0, F.col("packs")).alias("packs")).mapInArrow(_searched(k, self.mean, *kinds, rough), schema)
             found = one if found is None else found.union(one)
-        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-        return ranked.filter(F.col("rank") <= k)
+        return found

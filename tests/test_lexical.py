@@ -117,3 +117,34 @@ def test_many_queries_in_one_block(spark, monkeypatch):
     rows = index.pieces.join(lexical._packed(terms).hint("broadcast")).toArrow()
     sent = list(lexical._searched(5, index.mean, pa.int64(), pa.int64())(rows.to_batches()))
     assert sum(b.num_rows for b in sent) == 250 and max(calls) == 50
+
+
+def test_bars_of_a_sample(spark, monkeypatch):
+    """Rough sums of some pieces give bars, with which all pieces find the same and score few documents in full; packs go to a task once."""
+    monkeypatch.setattr(lexical, "PIECE_DOCS", 64)
+    rng = random.Random(5)
+    docs = [(k, zipf(rng, rng.choice([2, 5, 40, 90]), 300)) for k in range(1500)]
+    docs += [(None, docs[3][1])] * 30
+    queries = [(q, zipf(rng, rng.choice([3, 60]), 300)) for q in range(40)]
+    index = LexicalIndex.build(spark.createDataFrame(docs, "id long, text string").coalesce(1))
+    asked = spark.createDataFrame(queries, "query_id long, text string")
+    monkeypatch.setattr(lexical, "LEAST_PIECES", 10**9)
+    without = sorted(map(tuple, index.search(asked, 5).collect()))
+    monkeypatch.setattr(lexical, "LEAST_PIECES", 2)
+    sent = []
+    inner = LexicalIndex._found
+    monkeypatch.setattr(LexicalIndex, "_found", lambda self, pieces, packed, *rest: sent.append((pieces, packed)) or inner(self, pieces, packed, *rest))
+    found = sorted(map(tuple, index.search(asked, 5).collect()))
+    assert found == without and len(found) == 200
+    assert len(sent) == 2 and sent[0][0].count() < sent[1][0].count() == index.n_pieces > 20
+    # The same in this process, where full scores can be counted.
+    counts = []
+    score = lexical.Piece._scores
+    monkeypatch.setattr(lexical.Piece, "_scores", lambda self, docs, terms: counts.append(len(docs)) or score(self, docs, terms))
+    scored = {}
+    for name, packs in (("bars", sent[1][1]), ("none", sent[0][1])):
+        counts.clear()
+        rows = index.pieces.join(packs.hint("broadcast")).toArrow().to_batches()
+        assert sum(b.num_rows for b in lexical._searched(5, index.mean, pa.int64(), pa.int64())(rows)) >= 200 * (name == "none")
+        scored[name] = sum(counts)
+    assert scored["bars"] < 0.7 * scored["none"]
