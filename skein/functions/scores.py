@@ -19,7 +19,12 @@ def recency_prior(created: Column, now: Column) -> Column:
 def coverage(query_terms: Column, doc_terms: Column) -> Column:
     """Share of the distinct query terms that a document holds."""
     q = F.array_distinct(query_terms)
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, doc_terms)) / F.size(q)).otherwise(F.lit(0.0))
+    return share(F.size(F.array_intersect(q, doc_terms)), F.size(q))
+
+
+def share(shared: Column, terms: Column) -> Column:
+    """Share of a number of terms; 0 of none."""
+    return F.when(terms > 0, shared / terms).otherwise(F.lit(0.0))
 
 
 def adjusted(fused: Column, recency: Column, covered: Column) -> Column:

@@ -239,19 +239,26 @@ class Piece:
         self.marked[terms] = False
         return np.bincount(row, parts, len(docs))
 
+    def shared(self, docs: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """How many of the terms each document has."""
+        self.marked[terms] = True
+        found = np.array([np.count_nonzero(self.marked[self.doc_terms[self.doc_starts[d] : self.doc_starts[d + 1]]]) for d in docs.tolist()])
+        self.marked[terms] = False
+        return found
+
 
 class Best:
     """The best ``k`` of each query of a pack that a task has seen: equal scores by the smaller id."""
 
     def __init__(self, n: int, k: int, bars: np.ndarray | None = None) -> None:
         self.k = k
-        self.found: list[list[tuple[float, object]]] = [[] for _ in range(n)]
+        self.found: list[list[tuple[float, object, int]]] = [[] for _ in range(n)]
         #: What ``k`` documents of each query have already, here or in other tasks.
         self.bars = np.zeros(n) if bars is None else np.array(bars, float)
 
-    def add(self, q: int, ids: list, scores: np.ndarray) -> None:
+    def add(self, q: int, ids: list, scores: np.ndarray, shared: np.ndarray) -> None:
         bar = self.bars[q]
-        rows = [(-s, i) for s, i in zip(np.round(scores, DECIMALS).tolist(), ids, strict=True) if s > 0 and s >= bar and i is not None]
+        rows = [(-s, i, n) for s, i, n in zip(np.round(scores, DECIMALS).tolist(), ids, shared.tolist(), strict=True) if s > 0 and s >= bar and i is not None]
         if rows:
             self.found[q] = held = sorted(self.found[q] + rows)[: self.k]
             if len(held) == self.k:
@@ -284,7 +291,10 @@ class Asked:
         if rough:
             return piece.least_best(bounds, where[codes], self.idf[codes], k, self.least)
         for q, docs, scores in piece.search_block(bounds, where[codes], self.idf[codes], k, self.top.bars.copy()):
-            self.top.add(q, piece.ids.take(pa.array(docs)).to_pylist(), scores)
+            kept = np.round(scores, DECIMALS) >= self.top.bars[q]
+            if kept.any():
+                docs = docs[kept]
+                self.top.add(q, piece.ids.take(pa.array(docs)).to_pylist(), scores[kept], piece.shared(docs, where[codes[bounds[q] : bounds[q + 1]]]))
 
 
 def _searched(k: int, mean: float, query_kind, id_kind, rough: bool = False):
@@ -292,7 +302,7 @@ def _searched(k: int, mean: float, query_kind, id_kind, rough: bool = False):
 
     ``rough``: what the best score at least, without ids.
     """
-    schema = pa.schema([("query_id", query_kind), ("id", id_kind), ("score", pa.float64())])
+    schema = pa.schema([("query_id", query_kind), ("id", id_kind), ("score", pa.float64()), ("shared", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, Asked] = {}
@@ -313,9 +323,9 @@ def _searched(k: int, mean: float, query_kind, id_kind, rough: bool = False):
         for asked in best.values():
             if rough:
                 q, place = np.nonzero(asked.least > 0)
-                rows = [(asked.ids[a], None, s) for a, s in zip(q.tolist(), asked.least[q, place].tolist(), strict=True)]
+                rows = [(asked.ids[a], None, s, 0) for a, s in zip(q.tolist(), asked.least[q, place].tolist(), strict=True)]
             else:
-                rows = [(a, i, -s) for a, held in zip(asked.ids, asked.top.found, strict=True) for s, i in held]
+                rows = [(a, i, -s, n) for a, held in zip(asked.ids, asked.top.found, strict=True) for s, i, n in held]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -387,6 +397,10 @@ class LexicalIndex:
 
     def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
         """query_id, id, score, rank of queries (query_id, text): positive scores, best ``k``; ties to smaller ids."""
+        return self.search_shared(queries, k)[0].drop("shared")
+
+    def search_shared(self, queries: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
+        """``search`` with ``shared``, the number of distinct terms that query and document share; and the queries (query_id) of which any document has a term."""
         df = F.col("df")
 
         def top(found: DataFrame) -> DataFrame:
@@ -410,11 +424,11 @@ class LexicalIndex:
             rough = top(self._found(pieces.filter(chosen), packed, turns, k, kinds, True))
             bars = rough.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
             packed = stored(_barred(packed, bars), "query-packs")
-        return top(self._found(pieces, packed, turns, k, kinds))
+        return top(self._found(pieces, packed, turns, k, kinds)), packed.select(F.explode("query_ids").alias("query_id"))
 
     def _found(self, pieces: DataFrame, packed: DataFrame, turns: int, k: int, kinds: tuple, rough: bool = False) -> DataFrame:
         """query_id, id, score: the best rows of each task, packs broadcast in turns."""
-        schema = f"query_id {packed.schema['query_ids'].dataType.elementType.simpleString()}, id {pieces.schema['ids'].dataType.elementType.simpleString()}, score double"
+        schema = f"query_id {packed.schema['query_ids'].dataType.elementType.simpleString()}, id {pieces.schema['ids'].dataType.elementType.simpleString()}, score double, shared int"
         found = None
         for turn in range(turns):
             asked = packed.filter(F.pmod(F.xxhash64("pack"), F.lit(turns)) == turn).agg(F.collect_list(F.struct(*packed.columns)).alias("packs")).filter(F.size("packs") > 0)

@@ -44,3 +44,20 @@ def test_alternatives_are_one_search(spark):
     scored = retrieval.adjust(retrieval.reciprocal_rank_fusion(rankings), corpus, queries, 0)
     want = {(r.query_id, r.id): r.adjusted for r in scored.collect()}
     assert len(got) == 36 and all(abs(want[r[0], r[1]] - r[3]) < 1e-6 for r in got)
+
+
+def test_counted_terms_are_not_tokenised_again(spark):
+    """Coverage comes from the search's counts; only other pairs, and ids of several documents, need texts."""
+    docs = [(k, f"w{k % 7} w{k % 5} common Café-{k % 3}", k * 1000) for k in range(60)] + [(60, "w1", 0), (60, "w1 w2", 0), (61, None, 5)]
+    corpus = spark.createDataFrame(docs, "id long, text string, created long")
+    queries = spark.createDataFrame([(q, f"w{q} w{q} other café") for q in range(5)] + [(7, "nowhere"), (8, None), (9, "W1"), (9, "w3 common")], "query_id long, text string")
+    words, known = retrieval.bm25_shared(queries, corpus, 50)
+    near = spark.createDataFrame([(q, i, r + 1) for q in (0, 1, 7, 8, 9) for r, i in enumerate([2, 59, 60, 61])], "query_id long, id long, rank int")
+    fused = retrieval.reciprocal_rank_fusion([near, words])
+    want = sorted(map(tuple, retrieval.adjust(fused, corpus, queries, 10**6).collect()))
+    assert sorted(map(tuple, retrieval.adjust(fused, corpus, queries, 10**6, words, known).collect())) == want
+    # Texts of counted pairs are not looked at.
+    fused = fused.join(words.select("query_id", "id"), ["query_id", "id"], "left_semi").filter("id < 60 and query_id < 9")
+    blank = corpus.withColumn("text", F.lit(None).cast("string"))
+    want = sorted(map(tuple, retrieval.adjust(fused, corpus, queries, 10**6).collect()))
+    assert sorted(map(tuple, retrieval.adjust(fused, blank, queries, 10**6, words, known).collect())) == want and len(want) > 100
