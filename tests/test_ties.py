@@ -61,3 +61,27 @@ def test_counted_terms_are_not_tokenised_again(spark):
     blank = corpus.withColumn("text", F.lit(None).cast("string"))
     want = sorted(map(tuple, retrieval.adjust(fused, corpus, queries, 10**6).collect()))
     assert sorted(map(tuple, retrieval.adjust(fused, blank, queries, 10**6, words, known).collect())) == want and len(want) > 100
+
+
+def test_equal_vectors_are_asked_once_and_strangers_not_tokenised(spark, monkeypatch):
+    """Two alternatives with one vector are one search; coverage of queries in words that no document has needs no texts."""
+    docs = [(k, f"w{k % 7} common", [float(k % 3), 1.0], k * 1000) for k in range(60)]
+    corpus = spark.createDataFrame(docs, "id long, text string, vector array<double>, created long")
+    queries = spark.createDataFrame([(q, "unknown words", [0.0, 0.0]) for q in range(6)], "query_id long, text string, vector array<double>")
+    alts = [(q, a, f"w{q % 7}", [1.0, 2.0 if q < 4 else float(a)] if q else None) for q in range(6) for a in (1, 2, 3)]
+    alts = spark.createDataFrame(alts, "query_id long, alt_no int, text string, vector array<double>")
+    asked, adjusted = [], []
+    search, adjust = retrieval.vector_top_k, retrieval.adjust
+    monkeypatch.setattr(retrieval, "vector_top_k", lambda q, *rest: asked.append(q.count()) or search(q, *rest))
+    monkeypatch.setattr(retrieval, "adjust", lambda *rest: adjusted.append(rest) or adjust(*rest))
+    got = sorted(map(tuple, retrieval.hybrid(queries, corpus, 10**6, expansions=alts).collect()))
+    assert asked == [6, 1 + 3 + 4]
+    rankings = [search(queries, corpus)]
+    for number in (1, 2):
+        one = alts.filter(F.col("alt_no") == number)
+        rankings += [search(one, corpus), retrieval.bm25(one, corpus)]
+    want = {(r.query_id, r.id): r.adjusted for r in adjust(retrieval.reciprocal_rank_fusion(rankings), corpus, queries, 10**6).collect()}
+    assert len(got) == 36 and all(abs(want[r[0], r[1]] - r[3]) < 1e-6 for r in got)
+    fused, _, _, now, shared, known = adjusted[0]
+    blank = adjust(fused, corpus.withColumn("text", F.lit("unknown words")), queries, now, shared, known)
+    assert {(r.query_id, r.id): r.adjusted for r in blank.collect()} == want
